@@ -54,7 +54,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
     The rows of lowest hash are taken, so reruns agree. The ids are bounded by `limit`,
     which is why they may be broadcast against the documents. A null label is none; of
-    several labels of one id the largest counts.
+    several labels of one id the largest counts, of several texts that of the lowest hash.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -62,7 +62,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .orderBy(F.xxhash64("_id"), "_id").limit(limit)
     )
     found = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    return found.join(F.broadcast(chosen), "_id").select("_id", "text", "y").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(limit)
+    return found.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
 def components(edges: DataFrame) -> DataFrame:

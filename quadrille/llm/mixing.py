@@ -3,8 +3,9 @@
 Every document of a source gets the same real number of copies, target / source size; its
 fraction is rounded to 0 or 1. Documents of a source meet in pairs: the word mass of one is
 moved to the other, at random and without bias, until one of them is whole. A chunk of some
-64 documents ends with one fractional document at most; these meet in chunks again, level by
-level, so a source's words end within one document of its target, whatever its size.
+64 documents of one size class ends with one fractional document at most; these meet in
+chunks again, level by level. One document of each size class is left of a source; these are
+made whole together, the largest first, so a source ends near its target at any size.
 """
 
 from __future__ import annotations
@@ -78,13 +79,33 @@ def _step(state: Column, item: Column, seed: Column) -> Column:
 
 
 def _round(items: DataFrame, seed: int) -> DataFrame:
-    """Chunks (source, chunk) of items (did, th, a, full) to their decided documents and the fractional one."""
+    """Chunks (source, class, chunk) of items (did, th, a, full) to their decided documents and the fractional one."""
     one = F.struct(F.xxhash64("did", "th", F.lit(seed)).alias("h"), "did", "th", "a", "full")
-    chunks = items.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    chunks = items.groupBy("source", "class", "chunk").agg(F.array_sort(F.collect_list(one)).alias("items"))
     rows = F.transform("items", lambda x: F.struct(x["did"].alias("did"), x["th"].alias("th"), x["a"].alias("a"), x["full"].alias("full")))
     start = F.struct(F.lit(None).cast(_ITEM).alias("cur"), F.array().cast(f"array<{_DONE}>").alias("out"))
     folded = F.aggregate(rows, start, lambda s, x: _step(s, x, F.lit(seed)))
-    return chunks.select("source", "chunk", folded.alias("f")).select("source", "chunk", "f.cur", "f.out")
+    return chunks.select("source", "class", "chunk", folded.alias("f")).select("source", "class", "chunk", "f.cur", "f.out")
+
+
+def _last(rest: DataFrame) -> DataFrame:
+    """What is left of a source, a document of each size class at most (some 60 classes), made whole together.
+
+    The largest first, each is taken if the mass that is left has room for it, or if the
+    smaller ones together would miss that mass by more. So the end lies near the mass of all.
+    """
+    one = F.struct("cur.full", "cur.did", "cur.th", "cur.a")
+    by = rest.groupBy("source").agg(F.sort_array(F.collect_list(one), asc=False).alias("items"))
+    start = F.struct(F.aggregate("items", F.lit(0.0), lambda s, x: s + x["a"]).alias("mass"), F.aggregate("items", F.lit(0.0), lambda s, x: s + x["full"]).alias("below"), F.array().cast(f"array<{_DONE}>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        below = s["below"] - x["full"]
+        over = x["full"] - s["mass"]
+        take = (over <= 0) | (over < s["mass"] - below)
+        now = F.struct(x["did"].alias("did"), x["th"].alias("th"), take.cast("int").alias("take"))
+        return F.struct(F.when(take, -over).otherwise(s["mass"]).alias("mass"), below.alias("below"), F.concat(s["out"], F.array(now)).cast(f"array<{_DONE}>").alias("out"))
+
+    return by.select("source", F.explode(F.aggregate("items", start, step)["out"]).alias("d")).select("source", "d.*")
 
 
 def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
@@ -107,22 +128,23 @@ def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[
     per = F.when(F.col("source_size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = base.join(small.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("per", per)
     joined = joined.withColumn("base", F.floor("per")).withColumn("part", F.col("per") - F.col("base"))
+    items = joined.where("part > 0 and size > 0").select("source", F.floor(F.log2("size")).alias("class"), "did", "th", (F.col("part") * F.col("size")).alias("a"), F.col("size").cast("double").alias("full"))
+    strata = settled(items.groupBy(F.col("source").alias("_s"), F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("n")))
+    kinds, most = strata.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    small = F.broadcast(strata) if kinds <= BROADCAST_SOURCES else strata
+    items = items.join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")))
     n_chunks = F.ceil(F.col("n") / FAN_IN).cast("bigint")
-    items = joined.where("part > 0 and size > 0").select(
-        "source", F.pmod(F.xxhash64("did", "th", F.lit(seed + 1)), n_chunks).alias("chunk"), "did", "th", (F.col("part") * F.col("size")).alias("a"), F.col("size").cast("double").alias("full")
-    )
+    items = items.select("source", "class", F.pmod(F.xxhash64("did", "th", F.lit(seed + 1)), n_chunks).alias("chunk"), "did", "th", "a", "full")
     done, chunks, level = [], -(-most // FAN_IN), 0
     while True:
         rounded = settled(_round(items, seed + 2 + level))
         done.append(rounded.select("source", F.explode("out").alias("d")).select("source", "d.*"))
         rest = rounded.where("cur is not null")
         if chunks <= 1:
-            # what is left of a source is one document: it becomes whole with its fraction as probability
-            draw = F.pmod(F.xxhash64("cur.did", "cur.th", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-            done.append(rest.select("source", "cur.did", "cur.th", (draw * F.col("cur.full") < F.col("cur.a")).cast("int").alias("take")))
             break
-        items = rest.select("source", F.floor(F.col("chunk") / FAN_IN).alias("chunk"), "cur.*")
+        items = rest.select("source", "class", F.floor(F.col("chunk") / FAN_IN).alias("chunk"), "cur.*")
         chunks, level = -(-chunks // FAN_IN), level + 1
+    done.append(_last(rest))
     takes = done[0]
     for d in done[1:]:
         takes = takes.unionByName(d)

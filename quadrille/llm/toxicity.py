@@ -109,17 +109,21 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
     y = np.asarray(y, np.float64)
     prior = (y.sum() + 0.5) / (n + 1)
     machine = Machine(s, float(np.log(prior / (1 - prior))), np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.factors), np.float32))
-    parts, begun, hasher = [], 0, Hasher(s.buckets)
-    for at in range(0, n, 256):  # a few texts at a time: memory follows the windows kept
-        term, x, first, doc = spread(s.sample_windows, *windows(texts[at : at + 256], hasher, s.width))
-        parts.append((term.astype(np.int32), x, first + begun, doc + at))
-        begun += len(term)
-    if not begun or y.min() == y.max():
+    if not n or y.min() == y.max():
         return machine
-    term, x, first, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    hasher = Hasher(s.buckets)
+
+    def read() -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+        for at in range(0, n, 256):  # a few texts at a time, twice: memory follows the terms that take part
+            yield at, spread(s.sample_windows, *windows(texts[at : at + 256], hasher, s.width))
+
     # log odds of a term over documents, damped; a term without a clear lean takes no part
-    pair = np.unique(np.repeat(doc, np.diff(np.r_[first, len(term)])) * s.buckets + term)
-    good, bad = (np.bincount(pair[y[pair // s.buckets] == k] % s.buckets, minlength=s.buckets) for k in (0, 1))
+    good, bad = np.zeros(s.buckets), np.zeros(s.buckets)
+    for at, (term, x, first, doc) in read():
+        pair = np.unique(np.repeat(doc, np.diff(np.r_[first, len(term)])) * s.buckets + term)
+        toxic = y[at + pair // s.buckets] == 1
+        bad += np.bincount(pair[toxic] % s.buckets, minlength=s.buckets)
+        good += np.bincount(pair[~toxic] % s.buckets, minlength=s.buckets)
     odds = np.log((bad + prior) / (y.sum() + 1)) - np.log((good + 1 - prior) / (n - y.sum() + 1))
     z = odds / np.sqrt(1 / (bad + prior) + 1 / (good + 1 - prior))
     active = (good + bad >= s.least_docs) & (np.abs(z) >= s.least_z)
@@ -127,7 +131,14 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
     active[length] = True
     machine.w = np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
     machine.v = (active[:, None] * np.random.default_rng(s.seed).normal(0, 0.02, machine.v.shape)).astype(np.float32)
-    term, x, first, doc = only(active, term, x, first, doc)
+    parts, begun = [], 0
+    for at, (term, x, first, doc) in read():
+        term, x, first, doc = only(active, term, x, first, doc)
+        parts.append((term.astype(np.int32), x, first + begun, doc + at))
+        begun += len(term)
+    term, x, first, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    if not len(doc):
+        return machine
     ends = np.r_[first[1:], len(term)]
     g_w, g_v, g_b = np.full(s.buckets, 1e-2, np.float32), np.full(machine.v.shape, 1e-2, np.float32), 1e-2
     own, begins = np.unique(doc, return_index=True)
@@ -155,7 +166,7 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Machine:
-    rows = labelled_sample(docs, labels, label, settings.sample).select("text", "y").toPandas()
+    rows = labelled_sample(docs, labels, label, settings.sample).toPandas().sort_values("_id")
     return fit(rows["text"].tolist(), rows["y"].to_numpy(), settings)
 
 
