@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
@@ -29,32 +32,87 @@ class Hasher(dict):
         self.rows[row] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.buckets for t in terms]
         return row
 
-    def terms(self, texts: list[str]) -> list[np.ndarray]:
-        """The terms of each text's words, a row for each word."""
+    def terms(self, words: list[str]) -> np.ndarray:
+        """The terms of words, a row for each."""
         if len(self) >= self.most:
             self.clear()
-        found = [np.fromiter(map(self.__getitem__, TERM.findall(t.lower())), np.int64) for t in texts]
-        return [self.rows[x] for x in found]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.rows[at]
 
 
-def windows(texts: list[str], hasher: Hasher, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(term, x, first, doc): the distinct hashed terms of each window of `width` words with log2(1 + count), where each window begins in them, and its text's number.
+@dataclass
+class Windows:
+    """The distinct hashed terms of windows of some texts."""
+
+    term: np.ndarray
+    #: log2(1 + count) of each term.
+    x: np.ndarray
+    #: Where each window begins in term and x.
+    first: np.ndarray
+    #: Each window's text, and its number within it.
+    doc: np.ndarray
+    nth: np.ndarray
+
+    def where(self, rows: np.ndarray) -> Windows:
+        kept, first = slices(self.first[rows], np.r_[self.first[1:], len(self.term)][rows])
+        return Windows(self.term[kept], self.x[kept], first, self.doc[rows], self.nth[rows])
+
+    def only(self, active: np.ndarray) -> Windows:
+        """Without the terms that take no part."""
+        keep = active[self.term]
+        return Windows(self.term[keep], self.x[keep], np.r_[0, np.cumsum(keep)][self.first], self.doc, self.nth)
+
+
+def slices(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and where each range begins in them."""
+    size = ends - begins
+    at = np.cumsum(size) - size
+    return np.repeat(begins - at, size) + np.arange(int(size.sum())), at
+
+
+def words_of(text: str) -> Iterator[str]:
+    text = text.lower()
+    return iter(TERM.findall(text)) if len(text) < 1 << 20 else (m[0] for m in TERM.finditer(text))
+
+
+def windows(texts: list[str], hasher: Hasher, width: int, most: int = 1 << 16) -> Iterator[Windows]:
+    """All windows of `width` words of whole texts, about `most` words at a time, so that memory doesn't follow a text's length.
 
     A window has one term more, which tells its length in words by powers of two. A text
     without words has no window.
     """
-    found = hasher.terms(texts)
-    sizes = np.array([len(x) for x in found], np.int64)
-    per_doc = -(-sizes // width)
-    total = int(per_doc.sum())
-    if not total:
-        return np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = np.cumsum(per_doc) - per_doc
+    step = width * max(1, most // width)
+    parts: list[tuple[int, int, np.ndarray]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        words, nth = words_of(text), 0
+        while block := list(islice(words, step)):
+            parts.append((i, nth, hasher.terms(block)))
+            nth += len(block) // width
+            held += len(block)
+            if held >= most:
+                yield _windows(parts, hasher.buckets, width)
+                parts, held = [], 0
+    if parts:
+        yield _windows(parts, hasher.buckets, width)
+
+
+def _windows(parts: list[tuple[int, int, np.ndarray]], buckets: int, width: int) -> Windows:
+    sizes = np.array([len(x) for _, _, x in parts])
+    per_part = -(-sizes // width)
+    total = int(per_part.sum())
+    begins = np.cumsum(per_part) - per_part
     at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     window = np.repeat(begins, sizes) + at // width
     length = np.log2(np.bincount(window, minlength=total)).astype(np.int64)
-    kind = np.array([zlib.crc32(b"length %d" % i) % hasher.buckets for i in range(int(length.max()) + 1)])[length]
-    keys = np.concatenate([(window[:, None] * hasher.buckets + np.concatenate(found)).ravel(), np.arange(total) * hasher.buckets + kind])
+    kind = np.array([length_term(i, buckets) for i in range(int(length.max()) + 1)])[length]
+    keys = np.concatenate([(window[:, None] * buckets + np.concatenate([x for _, _, x in parts])).ravel(), np.arange(total) * buckets + kind])
     both, count = np.unique(keys, return_counts=True)
-    first = np.searchsorted(both, np.arange(total) * hasher.buckets)
-    return both % hasher.buckets, np.log2(1.0 + count).astype(np.float32), first, np.repeat(np.arange(len(texts)), per_doc)
+    first = np.searchsorted(both, np.arange(total) * buckets)
+    doc = np.repeat([i for i, _, _ in parts], per_part)
+    nth = np.repeat([n for _, n, _ in parts], per_part) + np.arange(total) - np.repeat(begins, per_part)
+    return Windows(both % buckets, np.log2(1.0 + count).astype(np.float32), first, doc, nth)
+
+
+def length_term(power: int, buckets: int) -> int:
+    return zlib.crc32(b"length %d" % power) % buckets

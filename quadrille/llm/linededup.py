@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower
+from .common import WS, ascii_lower, settled
 
 
 def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -36,7 +36,8 @@ def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "did", "th", "row", "pos")
     dealt = hashed.repartitionByRange("h1", "h2", "did").sortWithinPartitions("h1", "h2", "did", "row", "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "did", "row").orderBy("pos")) == 1
-    counts = dealt.withColumn("first", first.cast("int")).groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("did").alias("last"))
+    dealt = settled(dealt.select("h1", "h2", "did", "th", "pos", first.cast("int").alias("first")))  # read twice: counted and looked up
+    counts = dealt.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("did").alias("last"))
     # the derived key makes Spark exchange both sides anew, so it can split the rows of a hot line
     common = counts.where(F.col("n") >= min_docs).select(F.xxhash64("h1", "h2").alias("hk"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "last")
     dealt = dealt.select(F.xxhash64("h1", "h2").alias("hk"), "h1", "h2", "did", "th", "pos")

@@ -11,7 +11,6 @@ either alone.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -22,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample
-from .features import Hasher, windows
+from .features import Hasher, Windows, length_term, slices, windows
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Labelled documents used at most; a larger set of labels is sampled by hash.
-    sample: int = 16_000
-    #: Windows of one labelled document used at most, evenly spread (training alone; scoring reads all).
+    sample: int = 8_000
+    #: Windows of one labelled document used, evenly spread: about so many of a long one (training alone; scoring reads all).
     sample_windows: int = 64
     buckets: int = 1 << 18
     factors: int = 4
@@ -64,45 +63,21 @@ class Machine:
         return logit, sums
 
     def scores(self, texts: list[str], hasher: Hasher) -> np.ndarray:
-        term, x, first, doc = only(self.active, *windows(texts, hasher, self.settings.width))
-        worst = np.full(len(texts), self.bias)
-        if len(doc):
-            own, begins = np.unique(doc, return_index=True)
-            worst[own] = np.maximum.reduceat(self.logits(term, x, first)[0], begins)
-        return sigmoid(worst)
+        worst = np.full(len(texts), -np.inf)
+        for found in windows(texts, hasher, self.settings.width):
+            found = found.only(self.active)
+            np.maximum.at(worst, found.doc, self.logits(found.term, found.x, found.first)[0])
+        return sigmoid(np.where(np.isinf(worst), self.bias, worst))
 
     @cached_property
     def active(self) -> np.ndarray:
         return self.w != 0
 
 
-def only(active: np.ndarray, term: np.ndarray, x: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows without the terms that take no part."""
-    keep = active[term]
-    return term[keep], x[keep], np.r_[0, np.cumsum(keep)][first], doc
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def slices(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges one after the other, and where each range begins in them."""
-    size = ends - begins
-    at = np.cumsum(size) - size
-    return np.repeat(begins - at, size) + np.arange(int(size.sum())), at
-
-
-def spread(most: int, term: np.ndarray, x: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """At most `most` windows of each document, evenly spread."""
-    _, begins, counts = np.unique(doc, return_index=True, return_counts=True)
-    if not len(counts) or counts.max() <= most:
-        return term, x, first, doc
-    rows = np.concatenate([b + (np.arange(n) if n <= most else np.linspace(0, n - 1, most).astype(np.int64)) for b, n in zip(begins, counts)])
-    kept, at = slices(first[rows], np.r_[first[1:], len(term)][rows])
-    return term[kept], x[kept], at, doc[rows]
-
-
 def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Machine:
     """The machine for labels 0 and 1. With one class only, or no row, it is a constant: the damped share of ones."""
     s, n = settings, len(texts)
@@ -113,32 +88,35 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
         return machine
     hasher = Hasher(s.buckets)
 
-    def read() -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-        for at in range(0, n, 256):  # a few texts at a time, twice: memory follows the terms that take part
-            yield at, spread(s.sample_windows, *windows(texts[at : at + 256], hasher, s.width))
+    # windows are read twice, some at a time: memory follows the terms that take part
+    strides = np.array([1 + len(t) // (6 * s.width * s.sample_windows) for t in texts])
+
+    def read() -> Iterator[Windows]:
+        for found in windows(texts, hasher, s.width):
+            yield found.where(np.flatnonzero(found.nth % strides[found.doc] == 0))
 
     # log odds of a term over documents, damped; a term without a clear lean takes no part
     good, bad = np.zeros(s.buckets), np.zeros(s.buckets)
-    for at, (term, x, first, doc) in read():
-        pair = np.unique(np.repeat(doc, np.diff(np.r_[first, len(term)])) * s.buckets + term)
-        toxic = y[at + pair // s.buckets] == 1
+    for found in read():
+        pair = np.unique(np.repeat(found.doc, np.diff(np.r_[found.first, len(found.term)])) * s.buckets + found.term)
+        toxic = y[pair // s.buckets] == 1
         bad += np.bincount(pair[toxic] % s.buckets, minlength=s.buckets)
         good += np.bincount(pair[~toxic] % s.buckets, minlength=s.buckets)
     odds = np.log((bad + prior) / (y.sum() + 1)) - np.log((good + 1 - prior) / (n - y.sum() + 1))
     z = odds / np.sqrt(1 / (bad + prior) + 1 / (good + 1 - prior))
     active = (good + bad >= s.least_docs) & (np.abs(z) >= s.least_z)
-    length = np.unique(np.array([zlib.crc32(b"length %d" % i) % s.buckets for i in range(int(np.log2(s.width)) + 1)]))
-    active[length] = True
+    active[[length_term(i, s.buckets) for i in range(int(np.log2(s.width)) + 1)]] = True
     machine.w = np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
     machine.v = (active[:, None] * np.random.default_rng(s.seed).normal(0, 0.02, machine.v.shape)).astype(np.float32)
     parts, begun = [], 0
-    for at, (term, x, first, doc) in read():
-        term, x, first, doc = only(active, term, x, first, doc)
-        parts.append((term.astype(np.int32), x, first + begun, doc + at))
-        begun += len(term)
-    term, x, first, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    if not len(doc):
+    for found in read():
+        found = found.only(active)
+        parts.append((found.term.astype(np.int32), found.x, found.first + begun, found.doc))
+        begun += len(found.term)
+    hasher.clear()
+    if not parts:
         return machine
+    term, x, first, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
     ends = np.r_[first[1:], len(term)]
     g_w, g_v, g_b = np.full(s.buckets, 1e-2, np.float32), np.full(machine.v.shape, 1e-2, np.float32), 1e-2
     own, begins = np.unique(doc, return_index=True)
@@ -183,7 +161,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
         hasher = Hasher(box.value.settings.buckets)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = np.concatenate([box.value.scores(texts[at : at + 128], hasher) for at in range(0, len(texts), 128)] or [np.empty(0)])
+            found = box.value.scores(texts, hasher)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
