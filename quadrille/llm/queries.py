@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality, simhash, toxicity
+from . import licenses, linededup, mixing, packing, quality, simhash, toolcalls, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -22,6 +27,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toolcalls.link(*toolcalls.conversation_calls(table(spark, sf_dir, "conversations")), toolcalls.CONVERSATION_SCHEMAS)
+    return found.select("conv_id", "call_id", "name", "call_turn", "result_turn", "n_calls", "n_results", "status", "order_turn", "order_level", "valid", F.array_join("errors", ",").alias("errors"), "json")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(table(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.per_row(mixing.mix(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -43,9 +57,28 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_line_dedup, op4_toxicity, op7_mixing, op8_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing)}
 
 SQL = {
+    "op2_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+""",
+    "op5_tool_calls": """
+WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'respond' ELSE 'configure' END AS name, role, text FROM conversations WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name, c.turn AS call_turn, r.turn AS result_turn,
+       CAST(c.call_id IS NOT NULL AS BIGINT) AS n_calls, CAST(r.call_id IS NOT NULL AS BIGINT) AS n_results,
+       CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       c.turn AS order_turn, CASE WHEN c.call_id IS NOT NULL THEN CAST(0 AS BIGINT) END AS order_level, c.call_id IS NOT NULL AS valid, '' AS errors,
+       '{"arguments":' || CASE role WHEN 'user' THEN '{"chars":' || length(c.text) || ',"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' WHEN 'system' THEN '{"instructions":' || to_json(c.text) || '}' ELSE 'null' END
+       || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || coalesce(to_json(c.name), 'null') || ',"result":' || coalesce(to_json(r.text), 'null') || '}' AS json
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+""",
     "op3_line_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 cut AS (SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs),
