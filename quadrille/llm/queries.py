@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, mixing, packing, quality, simhash, toolcalls, topk, toxicity
+from . import images, licenses, linededup, mixing, packing, quality, simhash, toolcalls, topk, toxicity
 from .common import table
 
 
@@ -50,6 +50,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no image column; each page's picture stands for one (see images.page_image)."""
+    found = images.copies(images.page_features(table(spark, sf_dir, "pages")))
+    return found.select(F.col("image_id").alias("page_id"), "n_keys", "component_id", "n_links")
+
+
 def vocabulary() -> str:
     """The public tokenizer file that op9 and the pipeline use; every node has it at the same place."""
     import public_tokenizers
@@ -57,7 +63,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing, op10_image_copies)}
 
 SQL = {
     "op2_top_k": """
