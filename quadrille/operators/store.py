@@ -8,6 +8,7 @@ min/max statistics of the flat term fields skip row groups for the rest.
 from __future__ import annotations
 
 import json
+import tempfile
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -180,11 +181,15 @@ class QuadStore:
         self.nquads().write.mode("overwrite").text(path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df in the session's checkpoint folder, which executors share; a local folder only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which executors share; a local folder only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

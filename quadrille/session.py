@@ -47,11 +47,11 @@ class Outcome:
         return self.bindings.df.select(*[T.ntriples(self.bindings.col(v)).alias(v) for v in self.columns])
 
     def native(self, **types: str) -> DataFrame:
-        """The solutions as plain columns: types name = string, double, bigint; text if not named."""
+        """The solutions as plain columns: types name = string, double, bigint, or a number of digits to round to; text if not named."""
         out = []
         for v in self.columns:
             kind, t = types.get(v, "string"), self.bindings.col(v)
-            out.append((t["v"] if kind == "string" else t["n"].cast(kind)).alias(v))
+            out.append((t["v"] if kind == "string" else F.round(t["n"], int(kind)) if kind.isdigit() else t["n"].cast(kind)).alias(v))
         return self.bindings.df.select(*out)
 
     def count(self) -> int:

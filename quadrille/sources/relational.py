@@ -191,6 +191,15 @@ class RelationalSource:
             out.append(df.select(s, pairs.alias("x")).select("s", "x.p", "x.o").where("o is not null"))
         return out
 
+    def triples(self, names: tuple[str, ...]) -> DataFrame:
+        """All triples of these tables as (s, p, o)."""
+        x = Triple(Var("s"), Var("p"), Var("o"))
+        parts = [p for n in names for p in self._triples(self.tables[n], x)]
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionAll(p)
+        return df
+
     def _present(self, name: str) -> bool:
         try:
             return bool(self.frame(name).columns)
