@@ -29,7 +29,8 @@ WINDOW, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a worker keeps; beyond that it starts anew. It changes speed only.
 MEMO = 600_000
-POINT = re.compile(rb"(?<=[A-Za-z])([,.;:!?])(?=[ \n])")
+#: A mark right behind a letter and before white space.
+POINT = re.compile(rb"[,.;:!?](?<=[a-z].)(?=[ \n])")
 
 
 @cache
@@ -49,36 +50,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a token ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = self._ids("Ab cd,\n\t eF. ") == self._ids("ab") + self._ids("cd") + self._ids(",") + self._ids("ef") + self._ids(".")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """uint32 ids, little-endian."""
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """uint32 ids of each text, little-endian."""
         if not self.by_word:
-            return self._ids(text)
-        data, memo = text.encode(), self.memo
-        if b"<|" not in data:  # it may be a special token, for which case counts
-            data = POINT.sub(rb" \1", data.lower())
-        parts = data.split()  # of bytes: at ASCII white space alone
-        if new := [p for p in dict.fromkeys(parts) if p not in memo]:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            for at in range(0, len(new), 4096):
-                self._learn([p.decode() for p in new[at : at + 4096]])
-        return b"".join(map(memo.__getitem__, parts))
-
-    def _learn(self, words: list[str]) -> None:
-        """The ids of many words from one call: each token belongs to the word that its characters stand in."""
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *map(len, words[:-1])]) + np.arange(len(words))
-        first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
-        ends = 4 * np.searchsorted(first, np.r_[begins[1:], 1 << 62])
-        ids, at = np.array(got.ids, "<u4").tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.memo[word.encode()] = ids[at:end]
+            return [self._ids(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        get, out, held, new = self.memo.get, [], [], set()
+        for i, text in enumerate(texts):
+            data = text.encode()
+            if b"<|" not in data:  # it may be a special token, for which case counts
+                data = POINT.sub(rb" \g<0>", data.lower())
+            parts = data.split()  # of bytes: at ASCII white space alone
+            found = list(map(get, parts))
+            if None in found:
+                held.append((i, parts))
+                new.update(p for p, ids in zip(parts, found) if ids is None)
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        plain = {w: t.isalpha() and t.lower().isalpha() for w in new for t in (w.decode(),)}
+        for kind in (True, False):
+            words = [w for w, p in plain.items() if p is kind]
+            for at in range(0, len(words), 4096):
+                self._learn(words[at : at + 4096], kind)
+        for i, parts in held:
+            out[i] = b"".join(map(self.memo.__getitem__, parts))
+        return out
+
+    def _learn(self, words: list[bytes], plain: bool) -> None:
+        """The ids of many words from one call.
+
+        Words of letters alone end where a token does that ends a word; else each token
+        belongs to the word that its first character stands in.
+        """
+        got = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1 if plain else ()
+        if len(ends) != len(words):
+            texts = [w.decode() for w in words]
+            begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
+            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
+            ends = np.searchsorted(first, np.r_[begins[1:], 1 << 62])
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * np.asarray(ends)).tolist()):
+            self.memo[word] = data[at:end]
             at = end
 
 
@@ -89,8 +114,10 @@ def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW)
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = encode(text) + last
+            docs_, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+            coded = (ids for at in range(0, len(texts), 512) for ids in encode(texts[at : at + 512]))
+            for doc, key, ids in zip(docs_, keys, coded):
+                ids += last
                 n = len(ids) // 4
                 full = n - n % window
                 rows += [(doc, key, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, None) for at in range(0, full, window)]
