@@ -68,7 +68,9 @@ def read_turtle(spark: SparkSession, path: str | list[str], scope: str | None =
     return _quads(files.mapInArrow(parsed, _FLAT))
 
 
-def _lines(spark: SparkSession, path: str | list[str], scope: str | None, quads: bool) -> DataFrame:
+def parsed_lines(lines: DataFrame, scope: str | None, quads: bool) -> DataFrame:
+    """Lines (value, file name) to quads."""
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes: dict[str, str] = {}
         match = _PLAIN.match
@@ -94,10 +96,13 @@ def _lines(spark: SparkSession, path: str | list[str], scope: str | None, quads:
                 rows.append((*g, *s, T.IRI, p, *o))
             yield _batch(rows)
 
-    lines = spark.read.text(path).select("value", F.input_file_name())
     return _quads(lines.mapInArrow(parsed, _FLAT))
 
 
+def _lines(spark: SparkSession, path: str | list[str], scope: str | None, quads: bool) -> DataFrame:
+    return parsed_lines(spark.read.text(path).select("value", F.input_file_name()), scope, quads)
+
+
 def read_ntriples(spark: SparkSession, path: str | list[str], scope: str | None = None) -> DataFrame:
     """Line by line, files split over tasks. Statements that span lines need read_turtle(..., strict="ntriples")."""
     return _lines(spark, path, scope, quads=False)
@@ -113,4 +118,4 @@ def load_text(spark: SparkSession, text: str, syntax: str = "turtle", scope: str
     return QuadStore.of(spark, read(text, scope))
 
 
-__all__ = ["SCHEMA", "ParseError", "Term", "load_text", "read_nquads", "read_ntriples", "read_turtle", "scope_of"]
+__all__ = ["SCHEMA", "ParseError", "Term", "load_text", "parsed_lines", "read_nquads", "read_ntriples", "read_turtle", "scope_of"]

@@ -79,17 +79,18 @@ class RelationalSource:
         return F.concat(F.lit(f"{self.base}{table.name}/"), key)
 
     def subject(self, table: Table) -> Column:
-        return T.iri_term(self.subject_iri(table))
+        return T.make(F.lit(T.IRI), self.subject_iri(table))
 
     def object(self, table: Table, column: str) -> Column:
+        """The column's term, for rows where it isn't null: without a test for null, filters on it reach the scan."""
         c, kind = F.col(column), self.columns(table.name)[column]
         if column in table.references:
-            return T.iri_term(F.concat(F.lit(f"{self.base}{table.references[column]}/"), c.cast("string")))
+            return T.make(F.lit(T.IRI), F.concat(F.lit(f"{self.base}{table.references[column]}/"), c.cast("string")))
         text = c.cast("string")
         if kind in ("timestamp", "timestamp_ntz"):
             text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         number = c.cast("double") if kind in NUMBERS else None
-        return F.when(c.isNotNull(), T.make(F.lit(T.LITERAL), text, None, F.lit(_TYPES[kind]), number))
+        return T.make(F.lit(T.LITERAL), text, None, F.lit(_TYPES[kind]), number)
 
     def _column(self, p: Slot) -> tuple[Table, str] | None:
         """The table and column that a constant predicate names; the column rdf:type's class stands in `o`."""
@@ -187,7 +188,7 @@ class RelationalSource:
         df, s = self.frame(table.name), self.subject(table).alias("s")
         out = [df.select(s, T.constant(T.iri(T.TYPE)).alias("p"), T.constant(T.iri(self.base + table.name)).alias("o"))]
         if not isinstance(t.p, T.Term):
-            pairs = F.explode(F.array(*[F.struct(T.constant(T.iri(f"{self.base}{table.name}#{c}")).alias("p"), self.object(table, c).alias("o")) for c in self.columns(table.name)]))
+            pairs = F.explode(F.array(*[F.struct(T.constant(T.iri(f"{self.base}{table.name}#{c}")).alias("p"), F.when(F.col(c).isNotNull(), self.object(table, c)).alias("o")) for c in self.columns(table.name)]))
             out.append(df.select(s, pairs.alias("x")).select("s", "x.p", "x.o").where("o is not null"))
         return out
 
