@@ -30,9 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared checkpoint folder and cut from its lineage.
+
+    A checkpoint keeps the size that Spark estimated for its plan, and estimates of joins are
+    products; without that size they can't grow from round to round of a loop.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -94,3 +100,10 @@ def _with_least(edges: DataFrame) -> DataFrame:
     left = edges.withColumn("_k", F.xxhash64("a"))
     right = least.select(F.xxhash64("a").alias("_k"), F.col("a").alias("_a"), "m")
     return left.join(right, (left["_k"] == right["_k"]) & (F.col("a") == F.col("_a"))).select("a", "b", "m")
+
+
+def with_group_min(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """df with the least value of each row's group. The join is over a derived key, so both sides are exchanged and Spark can split a large group."""
+    least = df.groupBy(group).agg(F.min(value).alias(out)).select(F.xxhash64(group).alias("_gk"), F.col(group).alias("_g"), out)
+    left = df.withColumn("_k", F.xxhash64(group))
+    return left.join(least, (F.col("_k") == F.col("_gk")) & (F.col(group) == F.col("_g"))).drop("_k", "_gk", "_g")

@@ -165,9 +165,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns."""
     shares = per_row(mix(docs.select("doc_id", "text", "source"), **options))
     shares = shares.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), F.col("nth").alias("_n"), F.col("copies").alias("_c")).where("_c > 0")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_source", F.col("source")).withColumn("_id", F.col("doc_id").cast("bigint"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.col("source").alias("_source"), F.col("doc_id").cast("bigint").alias("_id"))
     nth = F.row_number().over(Window.partitionBy("_id", "_source", "_th").orderBy("_th")) - 1
     keyed = keyed.withColumn("_nth", nth)
     same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_t")) & (F.col("_nth") == F.col("_n"))
     taken = keyed.join(shares, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c")))).select(*[taken[c] for c in docs.columns])
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

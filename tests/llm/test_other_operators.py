@@ -33,7 +33,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(8)
     some = [[float(x) for x in rng.normal(0, 1, 6).astype(np.float32)] for _ in range(40)]
     rows = [(int(i), some[int(rng.integers(0, 40))]) for i in rng.permutation(150)]
-    rows += [(200, None), (202, [1.0, None, 0, 0, 0, 0]), (204, [float("nan")] * 6), (206, [float("inf")] * 6), (208, [1.0, 2.0]), (209, [3.0, 4.0]), (210, []), (212, []), (None, some[0])]
+    rows += [(200, None), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6), (206, [float("inf")] * 6), (208, [1.0, 2.0]), (209, [3.0, 4.0]), (210, []), (212, []), (None, some[0])]
     assert top(spark, rows) == top_by_hand(rows)
     assert top(spark, rows, query_block=7, shard=5) == top_by_hand(rows)
     assert top(spark, rows[:3], shard=1) == top_by_hand(rows[:3]) and top(spark, []) == []

@@ -49,7 +49,7 @@ CASES = [
     [(i, f"own {i}\n{LONG}\nmore\n{LONG.upper()}\t") for i in range(6)],
     [(i, LONG) for i in (1, 1, 1, 1, 1)],
     [(i, LONG) for i in (None, None, None, None, None)],
-    [(i, f"{LONG}\né{LONG}" if i % 2 else LONG) for i in (None, 5, 9, 3, 3, 7, 11, 11)],
+    [(i, f"{LONG}\né{LONG}" if (i or 0) % 2 else LONG) for i in (None, 5, 9, 3, 3, 7, 11, 11)],
     [(i, " " + LONG[:39] + "\n" + LONG[:40] + "\r") for i in range(8)],
     [(1, "\n".join(f"{LONG} {k}" for k in range(3000)))] + [(i, f"{LONG} 7\n{LONG} 9\nx") for i in range(2, 8)],
 ]
@@ -230,7 +230,7 @@ def test_balanced():
         assert offset == used[k]
         used[k] += size
         cost[k] += size + size * size / 2048
-    assert used.sum() == sum(lengths) and used.max() <= 4096 and (used < 4096).sum() <= 1
+    assert used.sum() == sum(lengths) and used.max() <= 4096 and len(used) * 4096 - used.sum() < 4096
     assert sum(p[2] for p in pieces) == sum(lengths) and cost.std() < 0.35 * cost.mean()
 
 
@@ -244,7 +244,7 @@ def test_quality(spark):
     got = quality.quality(docs(spark, rows), labels).toPandas()
     assert len(got) == 403 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
     own = got[got.doc_id < 400]
-    assert (own.predicted == (own.doc_id % 4 > 0)).mean() > 0.99 and (own.held_out == own.doc_id.map(py_held_out)).all()
+    assert (own.predicted == (own.doc_id % 4 > 0)).mean() > 0.99 and (own.held_out == own.doc_id.astype(int).map(py_held_out)).all()
     # labels of the held-out quarter aren't looked at
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert quality.quality(docs(spark, rows), turned).toPandas().sort_values("doc_id").score.tolist() == got.sort_values("doc_id").score.tolist()
