@@ -190,6 +190,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared folder and cut from its lineage and from Spark's estimate of its size, which grows with every join."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
