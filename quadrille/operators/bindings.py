@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 
 _numbers = count()
+#: A plain column that says which of the terms of one kind (its domain) a variable is bound to.
+Keys = dict[str, tuple[str, Column]]
 
 
-def fresh(df: DataFrame, columns: dict[str, Column], definite: set[str]) -> Bindings:
+def fresh(df: DataFrame, columns: dict[str, Column], definite: set[str], keys: Keys | None = None) -> Bindings:
     """df's columns under names of their own, so that joins never meet a name twice (SPARQL tells ?x from ?X, Spark doesn't)."""
     names = {v: f"v{next(_numbers)}" for v in columns}
-    return Bindings(df.select(*[c.alias(names[v]) for v, c in columns.items()]), names, frozenset(definite))
+    short = {v: (domain, f"k{next(_numbers)}") for v, (domain, _) in (keys or {}).items() if v in columns}
+    df = df.select(*[c.alias(names[v]) for v, c in columns.items()], *[keys[v][1].alias(k) for v, (_, k) in short.items()])
+    return Bindings(df, names, frozenset(definite), short)
 
 
 @dataclass(frozen=True)
@@ -25,18 +29,26 @@ class Bindings:
     names: dict[str, str]
     #: Variables that no row leaves unbound.
     definite: frozenset[str]
+    #: Of some definite variables: a domain, and a column that is equal just where the terms are. Joins within a domain compare it instead.
+    keys: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def col(self, var: str) -> Column:
         return F.col(self.names[var])
 
+    def key(self, *names: str) -> Keys:
+        return {v: (self.keys[v][0], F.col(self.keys[v][1])) for v in names if v in self.keys}
+
+    def columns(self) -> list[str]:
+        return [*self.names.values(), *(k for _, k in self.keys.values())]
+
     def scope(self) -> dict[str, Column]:
         return {v: self.col(v) for v in self.names}
 
     def filtered(self, condition: Column) -> Bindings:
-        return Bindings(self.df.where(condition), self.names, self.definite)
+        return Bindings(self.df.where(condition), self.names, self.definite, self.keys)
 
     def sure(self, *names: str) -> Bindings:
-        return Bindings(self.df, self.names, self.definite | set(names))
+        return Bindings(self.df, self.names, self.definite | set(names), self.keys)
 
 
 def compatible(a: Bindings, b: Bindings, shared: list[str]) -> Column | None:
@@ -44,7 +56,10 @@ def compatible(a: Bindings, b: Bindings, shared: list[str]) -> Column | None:
     found = None
     for v in shared:
         x, y = a.col(v), b.col(v)
-        one = x == y
+        if v in a.keys and v in b.keys and a.keys[v][0] == b.keys[v][0]:
+            one = F.col(a.keys[v][1]) == F.col(b.keys[v][1])
+        else:
+            one = x == y
         if v not in a.definite:
             one = one | x.isNull()
         if v not in b.definite:
@@ -71,23 +86,23 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
     df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
     scope = merged(a, b)
     if all(v in a.names and v in a.definite or v not in a.names for v in b.names):
-        names = {**b.names, **a.names}
-        return Bindings(df.select(*names.values()), names, a.definite | b.definite)
-    return fresh(df, scope, a.definite | b.definite)
+        found = Bindings(df, {**b.names, **a.names}, a.definite | b.definite, {**b.keys, **a.keys})
+        return Bindings(df.select(*found.columns()), found.names, found.definite, found.keys)
+    return fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite))
 
 
 def left_join(a: Bindings, b: Bindings, condition: Column | None) -> Bindings:
     on = compatible(a, b, [v for v in a.names if v in b.names])
     on = condition if on is None else on if condition is None else on & condition
     df = a.df.join(b.df, F.lit(True) if on is None else on, "left")
-    return fresh(df, merged(a, b), set(a.definite))
+    return fresh(df, merged(a, b), set(a.definite), a.key(*a.definite))
 
 
 def anti_join(a: Bindings, b: Bindings, condition: Column | None) -> Bindings:
     """Rows of a without a partner in b; b's own variables are unbound."""
     on = compatible(a, b, [v for v in a.names if v in b.names])
     on = condition if on is None else on if condition is None else on & condition
-    return Bindings(a.df.join(b.df, F.lit(True) if on is None else on, "left_anti"), a.names, a.definite)
+    return Bindings(a.df.join(b.df, F.lit(True) if on is None else on, "left_anti"), a.names, a.definite, a.keys)
 
 
 def union(a: Bindings, b: Bindings) -> Bindings:
@@ -100,4 +115,4 @@ def union(a: Bindings, b: Bindings) -> Bindings:
 
 
 def distinct(a: Bindings) -> Bindings:
-    return Bindings(a.df.distinct(), a.names, a.definite)
+    return Bindings(a.df.select(*a.names.values()).distinct(), a.names, a.definite)

@@ -277,7 +277,7 @@ def aggregate(a: Aggregate, value: Value | None, name: str, ready: bool = False)
 
 def project(child: Bindings, names) -> Bindings:
     names = list(dict.fromkeys(names))
-    return B.fresh(child.df, {v: child.col(v) if v in child.names else T.unbound() for v in names}, {v for v in names if v in child.definite})
+    return B.fresh(child.df, {v: child.col(v) if v in child.names else T.unbound() for v in names}, {v for v in names if v in child.definite}, child.key(*names))
 
 
 def _slot(x: Slot) -> str:

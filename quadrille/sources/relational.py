@@ -118,9 +118,11 @@ class RelationalSource:
     def _fold(self, table: Table, triples: list[Triple]) -> Bindings:
         """One scan for patterns on one subject. A row has one value of each column, so no join is needed."""
         df = self.frame(table.name)
-        own = {}
         subject = triples[0].s.name
         columns = {subject: self.subject(table)}
+        keys: B.Keys = {}
+        if len(table.key) == 1 and (key := self.key(table.name, table.name, table.key[0])):
+            keys[subject] = key
         for t in triples:
             found = self._column(t.p)
             if not found:
@@ -133,8 +135,15 @@ class RelationalSource:
                 df = df.where(columns[t.o.name] == self.object(table, name))
             else:
                 columns[t.o.name] = self.object(table, name)
-                own[t.o.name] = name
-        return B.fresh(df, columns, set(columns))
+                if name in table.references and (key := self.key(table.references[name], table.name, name)):
+                    keys[t.o.name] = key
+        return B.fresh(df, columns, set(columns), keys)
+
+    def key(self, domain: str, table: str, column: str) -> tuple[str, Column] | None:
+        """A whole number that names a row of `domain`, from the table's column: joins on it need not build the subjects' texts."""
+        kinds = [self.columns(t).get(c) for t, c in ((table, column), *((domain, k) for k in self.tables[domain].key))]
+        whole = len(kinds) == 2 and all(k in NUMBERS[:4] for k in kinds)
+        return (f"{self.base}{domain}", F.col(column).cast("bigint")) if whole else None
 
     def _is(self, table: Table, column: str, t: T.Term) -> Column:
         """The column's term is t: as a comparison of the native column where its text is canonical."""
