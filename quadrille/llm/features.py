@@ -19,7 +19,7 @@ TERMS = 1 + len(HEADS)
 class Hasher(dict):
     """word -> row of a table of its hashed terms; keeps what it has met, up to a size (it changes speed only)."""
 
-    def __init__(self, buckets: int, most: int = 400_000) -> None:
+    def __init__(self, buckets: int, most: int = 200_000) -> None:
         super().__init__()
         self.buckets, self.most = buckets, most
         self.rows = np.empty((1024, TERMS), np.int32)

@@ -12,9 +12,11 @@ one sequence.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,13 @@ WINDOW, END = 4096, 2
 #: Cost of a document of n tokens in a sequence: LINEAR x n + QUADRATIC x n x n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a worker keeps; beyond that it starts anew. It changes speed only.
-MEMO = 600_000
-#: A mark right behind a letter and before white space.
-POINT = re.compile(rb"[,.;:!?](?<=[a-z].)(?=[ \n])")
+MEMO = 300_000
+#: How byte-level models write bytes as characters: printable Latin-1 as it is, the rest from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+#: Marks, but for apostrophes, right behind a letter and before white space.
+POINT = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \n])")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 @cache
@@ -50,11 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        vocabulary = self.tokenizer.get_vocab()
-        #: Whether a token ends a word.
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.by_word = self._ids("Ab cd,\n\t eF. ") == self._ids("ab") + self._ids("cd") + self._ids(",") + self._ids("ef") + self._ids(".")
+        self.merges = self.tokenizer.model.tokenize
+        self.by_word = self._ids("Ab cd,\n\t eF.$$ \u00c9") == b"".join(map(self._ids, ("ab", "cd", ",", "ef", ".$$", "\u00e9")))
+        self.by_word = self.by_word and all(pack_ids([t.id for t in self.merges(w.encode().decode("latin-1").translate(BYTE_CHARS))]) == self._ids(w) for w in ("word", "größe", "語"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,9 +71,10 @@ class Encoder:
             self.memo.clear()
         get, out, held, new = self.memo.get, [], [], set()
         for i, text in enumerate(texts):
-            data = text.encode()
-            if b"<|" not in data:  # it may be a special token, for which case counts
-                data = POINT.sub(rb" \g<0>", data.lower())
+            if "<|" in text:  # it may be a special token, for which case counts
+                data = text.encode()
+            else:
+                data = POINT.sub(rb" \g<0>", (text if _beyond_latin(text) else text.lower()).encode().lower())
             parts = data.split()  # of bytes: at ASCII white space alone
             found = list(map(get, parts))
             if None in found:
@@ -78,45 +83,60 @@ class Encoder:
                 out.append(b"")
             else:
                 out.append(b"".join(found))
-        plain = {w: t.isalpha() and t.lower().isalpha() for w in new for t in (w.decode(),)}
-        for kind in (True, False):
-            words = [w for w, p in plain.items() if p is kind]
-            for at in range(0, len(words), 4096):
-                self._learn(words[at : at + 4096], kind)
+        words = [w for w in new if not self._learn_plain(w)]
+        for at in range(0, len(words), 4096):
+            self._learn(words[at : at + 4096])
         for i, parts in held:
             out[i] = b"".join(map(self.memo.__getitem__, parts))
         return out
 
-    def _learn(self, words: list[bytes], plain: bool) -> None:
-        """The ids of many words from one call.
-
-        Words of letters alone end where a token does that ends a word; else each token
-        belongs to the word that its first character stands in.
-        """
-        got = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1 if plain else ()
-        if len(ends) != len(words):
-            texts = [w.decode() for w in words]
-            begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
-            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
-            ends = np.searchsorted(first, np.r_[begins[1:], 1 << 62])
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * np.asarray(ends)).tolist()):
+    def _learn_plain(self, word: bytes) -> bool:
+        """The ids of a word of letters that are lower case and composed already: nothing but the merges is left to do."""
+        text = word.decode()
+        if not word.isalpha():  # beyond ASCII
+            if not (text.isalpha() and text == text.lower() and is_normalized("NFC", text)):
+                return False
+            text = word.decode("latin-1").translate(BYTE_CHARS)
+        else:
+            text = text.lower()
+        self.memo[word] = pack_ids([t.id for t in self.merges(text)])
+        return True
+
+    def _learn(self, words: list[bytes]) -> None:
+        """The ids of many words from one call: each token belongs to the word that its first character stands in."""
+        texts = [w.decode() for w in words]
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
+        first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
+        ends = 4 * np.searchsorted(first, np.r_[begins[1:], 1 << 62])
+        data, at = np.array(got.ids, "<u4").tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
             self.memo[word] = data[at:end]
             at = end
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _beyond_latin(text: str) -> bool:
+    """Whether case is more than a table: Latin-1 letters have one lower case each, whatever stands around."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) to (doc_id, key, start, length, ids_crc32, doc_tokens, ids): full pieces, without ids, and what is left of each document, with its ids."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows: list[tuple] = []
-            docs_, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-            coded = (ids for at in range(0, len(texts), 512) for ids in encode(texts[at : at + 512]))
-            for doc, key, ids in zip(docs_, keys, coded):
+            ids_, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, key, ids in zip(ids_, keys, encode(texts)):
                 ids += last
                 n = len(ids) // 4
                 full = n - n % window
@@ -124,7 +144,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW)
                 if full < n:
                     rows.append((doc, key, full, n - full, zlib.crc32(ids[4 * full :]), n, ids[4 * full :]))
             kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(of, "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")

@@ -159,7 +159,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(box.value.settings.buckets)
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = box.value.scores(texts, hasher)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], schema=schema)
