@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 NAME = "A-Za-z0-9_\\-\u0080-\U0010ffff"
@@ -20,8 +20,7 @@ class ParseError(ValueError):
         return ParseError, (self.message, self.line, self.column)
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     kind: str
     text: str
     at: int
@@ -62,17 +61,24 @@ class Tokens:
         self.text, self.at = text, 0
         self.prefixes: dict[str, str] = {}
         self.base = ""
+        self._seen: tuple[int, bool, Token] = (-1, False, Token("end", "", 0, 0))
 
     def fail(self, message: str, at: int | None = None) -> ParseError:
         at = min(self.at if at is None else at, len(self.text))
         return ParseError(message, self.text.count("\n", 0, at) + 1, at - (self.text.rfind("\n", 0, at) + 1) + 1)
 
     def peek(self, operator: bool = False) -> Token:
+        at, kind, token = self._seen
+        if at == self.at and kind is operator:
+            return token
         begin = _SKIP.match(self.text, self.at).end()
         if begin >= len(self.text):
-            return Token("end", "", begin, begin)
-        found = (_OPERATOR if operator else _TERM).match(self.text, begin)
-        return Token(found.lastgroup, found.group(), begin, found.end())
+            token = Token("end", "", begin, begin)
+        else:
+            found = (_OPERATOR if operator else _TERM).match(self.text, begin)
+            token = Token(found.lastgroup, found.group(), begin, found.end())
+        self._seen = (self.at, operator, token)
+        return token
 
     def next(self, operator: bool = False) -> Token:
         token = self.peek(operator)
