@@ -44,8 +44,8 @@ def encoder(path: str) -> "Encoder":
     return Encoder(path)
 
 
-class Encoder:
-    """Token ids of whole texts, word by word.
+class Encoder(dict):
+    """Token ids of whole texts, word by word; as a dict, word -> its ids.
 
     Where no token spans white space and the tokenizer drops it, ignores case and parts a
     word from a mark behind it, the ids of a text are those of its parts between ASCII white
@@ -55,64 +55,36 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
         self.by_word = self._ids("Ab cd,\n\t eF.$$ \u00c9") == b"".join(map(self._ids, ("ab", "cd", ",", "ef", ".$$", "\u00e9")))
         self.by_word = self.by_word and all(pack_ids([t.id for t in self.merges(w.encode().decode("latin-1").translate(BYTE_CHARS))]) == self._ids(w) for w in ("word", "größe", "語"))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """uint32 ids of each text, little-endian."""
+    def __call__(self, text: str) -> bytes:
+        """uint32 ids, little-endian."""
         if not self.by_word:
-            return [self._ids(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        get, out, held, new = self.memo.get, [], [], set()
-        for i, text in enumerate(texts):
-            if "<|" in text:  # it may be a special token, for which case counts
-                data = text.encode()
-            else:
-                data = POINT.sub(rb" \g<0>", (text if _beyond_latin(text) else text.lower()).encode().lower())
-            parts = data.split()  # of bytes: at ASCII white space alone
-            found = list(map(get, parts))
-            if None in found:
-                held.append((i, parts))
-                new.update(p for p, ids in zip(parts, found) if ids is None)
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        words = [w for w in new if not self._learn_plain(w)]
-        for at in range(0, len(words), 4096):
-            self._learn(words[at : at + 4096])
-        for i, parts in held:
-            out[i] = b"".join(map(self.memo.__getitem__, parts))
-        return out
-
-    def _learn_plain(self, word: bytes) -> bool:
-        """The ids of a word of letters that are lower case and composed already: nothing but the merges is left to do."""
-        text = word.decode()
-        if not word.isalpha():  # beyond ASCII
-            if not (text.isalpha() and text == text.lower() and is_normalized("NFC", text)):
-                return False
-            text = word.decode("latin-1").translate(BYTE_CHARS)
+            return self._ids(text)
+        if "<|" in text:  # it may be a special token, for which case counts
+            data = text.encode()
         else:
-            text = text.lower()
-        self.memo[word] = pack_ids([t.id for t in self.merges(text)])
-        return True
-
-    def _learn(self, words: list[bytes]) -> None:
-        """The ids of many words from one call: each token belongs to the word that its first character stands in."""
-        texts = [w.decode() for w in words]
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
-        first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
-        ends = 4 * np.searchsorted(first, np.r_[begins[1:], 1 << 62])
-        data, at = np.array(got.ids, "<u4").tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.memo[word] = data[at:end]
-            at = end
+            data = POINT.sub(rb" \g<0>", (text if _beyond_latin(text) else text.lower()).encode().lower())
+        return b"".join(map(self.__getitem__, data.split()))  # bytes are split at ASCII white space alone
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        if word.isalpha():  # ASCII letters: nothing but case and merges is left to do
+            found = pack_ids([t.id for t in self.merges(word.decode().lower())])
+        elif (text := word.decode()).isalpha() and text == text.lower() and is_normalized("NFC", text):
+            found = pack_ids([t.id for t in self.merges(word.decode("latin-1").translate(BYTE_CHARS))])
+        else:
+            found = self._ids(text)
+        self[word] = found
+        return found
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -136,7 +108,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW)
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows: list[tuple] = []
             ids_, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-            for doc, key, ids in zip(ids_, keys, encode(texts)):
+            for doc, key, ids in zip(ids_, keys, map(encode, texts)):
                 ids += last
                 n = len(ids) // 4
                 full = n - n % window
