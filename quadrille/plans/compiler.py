@@ -253,21 +253,25 @@ class Compiler:
 
 
 def aggregate(a: Aggregate, value: Value | None, name: str, ready: bool = False) -> tuple[list[Column], Column]:
-    """What an aggregate needs of each row, and its result over those columns."""
+    """What an aggregate needs of each row, and its result over those columns (over the value itself, if ready).
+
+    Sums and counts take plain numbers and flags: no term is built for a row that is only added up.
+    """
     true, double = F.lit(True), F.lit(False)
     if value is None:
         return [], T.number_term(F.count(F.lit(1)).cast("double"), true)
-    x = F.col(name)
-    term = value.term()
-    columns = [] if ready else [term.alias(name)]
+    parts = {"x": value.term(), "n": value.number(), "b": value.bound()}
+    used = "nb" if a.func in ("SUM", "AVG") else "b" if a.func == "COUNT" and not a.distinct else "x"
+    columns = [] if ready else [parts[p].alias(f"{name}{p}") for p in used]
+    x, n, b = (parts[p] if ready else F.col(f"{name}{p}") for p in "xnb")
     match a.func:
         case "COUNT":
-            found = T.number_term((F.count_distinct(x) if a.distinct else F.count(x)).cast("double"), true)
+            found = T.number_term((F.count_distinct(x) if a.distinct else F.count_if(b)).cast("double"), true)
         case "SUM":
-            total = F.coalesce(F.sum(x["n"]), F.lit(0.0))
-            found = F.when(F.count(x) == 0, T.constant(T.literal("0", datatype=T.INTEGER))).otherwise(T.number_term(total, double))
+            total = F.coalesce(F.sum(n), F.lit(0.0))
+            found = F.when(F.count_if(b) == 0, T.constant(T.literal("0", datatype=T.INTEGER))).otherwise(T.number_term(total, double))
         case "AVG":
-            found = F.when(F.count(x) > 0, T.number_term(F.coalesce(F.sum(x["n"]), F.lit(0.0)) / F.count(x), double))
+            found = F.when(F.count_if(b) > 0, T.number_term(F.coalesce(F.sum(n), F.lit(0.0)) / F.count_if(b), double))
         case "MAX":
             found = F.max_by(x, T.sort_key(x))
         case _:  # MIN, and SAMPLE, for which any value will do
