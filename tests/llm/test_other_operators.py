@@ -141,6 +141,23 @@ def test_copies(spark):
     assert images.copies(images.page_features(spark.createDataFrame([], "page_id long, html string"))).count() == 0
 
 
+def test_copies_by_few_common_keys(spark):
+    """Pictures whose only common part is a patch: whatever keys they share link them."""
+    rng = np.random.default_rng(21)
+    pairs = []
+    for _ in range(12):
+        a, b = texture(rng, 128, 128), texture(rng, 128, 128)
+        b[80:112, 80:112] = a[16:48, 16:48]
+        pairs.append((a, b))
+    common = [len(np.intersect1d(*images.constellations(np.stack(p)))) for p in pairs]
+    rows = [(100 * j + i, pgm(p[j])) for i, p in enumerate(pairs) for j in (0, 1)]
+    got = {r.image_id: (r.component_id, r.n_links) for r in images.copies(images.media_features(spark.createDataFrame(rows + rows[:3], "image_id long, image binary"))).collect()}
+    assert sum(n > 0 for n in common) >= 6
+    for i, n in enumerate(common):
+        if n:
+            assert got[100 + i][0] == i and got[i][1] >= n
+
+
 def test_page_images():
     assert images.page_image(None).shape == (64, 64) and not images.page_image("<p></p>").any()
     a = images.page_image("<p>one two</p><script>x y</script>")
