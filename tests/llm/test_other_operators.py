@@ -158,6 +158,27 @@ def test_copies_by_few_common_keys(spark):
             assert got[100 + i][0] == i and got[i][1] >= n
 
 
+def test_crops_of_large_pictures_and_resized_copies():
+    rng = np.random.default_rng(5)
+    common = lambda a, b: len(np.intersect1d(*(images.constellations(x[None])[0] for x in (a, b))))
+    large = texture(rng, 900, 900)
+    assert common(large, large[301:429, 402:530]) > 100 > 5 > common(texture(rng, 900, 900), large)
+    base = np.kron(rng.integers(0, 256, (20, 20)), np.ones((8, 8)))
+    grown = lambda f: np.repeat(np.repeat(base, f, axis=0), f, axis=1)
+    halved = base.reshape(80, 2, 80, 2).mean(axis=(1, 3))
+    for copy in (grown(2), grown(3), halved):
+        assert common(base, copy) > 0
+
+
+def test_tiles_and_neighbours_of_many_corners():
+    x = texture(np.random.default_rng(6), 700, 560)[None].astype(np.float32)
+    whole, tiled = images.describe(x), images.describe_tiled(x)
+    assert all((a == b).all() for a, b in zip(whole, tiled)) and whole[0].shape[1] > images.FEW
+    yx = whole[1][0]
+    away = ((yx[:, None] - yx[None]) ** 2).sum(axis=2) * len(yx) + np.arange(len(yx))
+    assert (images.nearest(*whole[:2])[0][0] == np.argsort(away, axis=1)[:, : images.MEMBERS]).all()
+
+
 def test_page_images():
     assert images.page_image(None).shape == (64, 64) and not images.page_image("<p></p>").any()
     a = images.page_image("<p>one two</p><script>x y</script>")
