@@ -186,6 +186,16 @@ def test_page_images():
     assert images.page_image("w " * 5000).any()
 
 
+def test_long_pages_keep_a_place_for_each_word(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{rng.integers(5000)}" for _ in range(3000)]
+    pages = {0: words, 1: [*words[:500], "more", *words[500:]], 2: words[1000:1900], 3: words[:1020], 4: [f"v{rng.integers(5000)}" for _ in range(3000)]}
+    assert images.page_image(" ".join(words)).shape == (188, 64) and (images.page_image(" ".join(words))[-2:, 46:48] == zlib.crc32(words[-1].encode()) % 256).all()
+    rows = [(i, " ".join(w)) for i, w in pages.items()]
+    got = {r.image_id: r.component_id for r in images.copies(images.page_features(spark.createDataFrame(rows, "page_id long, html string"))).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
 # --- all queries ---
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
