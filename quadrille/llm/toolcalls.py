@@ -17,8 +17,6 @@ from .common import settled
 
 #: JSON types of a schema and what the parser calls them.
 TYPES = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT", "array": r"^ARRAY", "null": r"^VOID$"}
-#: Rounds in which an order may still move; messages that haven't settled by then stand on a cycle.
-MOST_ROUNDS = 64
 
 
 def json_text(s: Column) -> Column:
@@ -51,7 +49,7 @@ def problems(name: Column, parsed: Column, schemas: Mapping[str, Mapping]) -> Co
     return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~kinds.startswith("OBJECT"), F.array(F.lit("not an object"))).when(~known, F.array(F.lit("unknown tool"))).otherwise(per_tool)
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     """calls (conv_id, call_id, turn, name, arguments, depends_on) and results (conv_id, call_id, turn, content) to linked calls.
 
     One row for each (conv_id, call_id): name, call_turn, result_turn, n_calls, n_results,
@@ -62,7 +60,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], m
     identifiers the lowest turn counts, then the least name and arguments; n_calls and
     n_results tell how many there were. Rows without conv_id or call_id can't be linked: each
     gets a row of status unidentified. Identifiers in depends_on that have no result are
-    ignored, and so is the order of messages on a cycle (status stays, cyclic is true).
+    ignored, and so is what a call on a cycle needs (it stays at its turn, cyclic is true).
     Null turns come last. Empty tables give what the other table has.
     """
     late = F.lit((1 << 62)).cast("bigint")
@@ -73,7 +71,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], m
     first = c.where(known).groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
     answer = r.where(known).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
     both = settled(first.join(answer, key, "full"))
-    order = _ordered(both, most_rounds)
+    order = _ordered(both)
     rows = both.join(order, key, "left").select(
         *key, F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"), F.col("c.turn").alias("call_turn"), F.col("r.turn").alias("result_turn"),
         F.coalesce("n_calls", F.lit(0)).cast("bigint").alias("n_calls"), F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"),
@@ -104,31 +102,61 @@ def _loose(turn: str, call: bool) -> Sequence[Column]:
     return [F.lit("unidentified").alias("status"), *(p.alias(n) for p, n in zip(pairs, names)), F.lit(False).alias("cyclic")]
 
 
-def _ordered(both: DataFrame, most_rounds: int) -> DataFrame:
+def _place(turn: Column, level: Column) -> Column:
+    return F.struct(turn.alias("t"), level.cast("bigint").alias("l"))
+
+
+def _ordered(both: DataFrame) -> DataFrame:
     """Places (turn, level) of calls and results: the least that respect all links.
 
-    Every round moves each call behind the latest result that it needs; the rounds end when
-    nothing moves, one round after the longest chain of misplaced messages.
+    A call at p whose result has the turn r lets a call that needs it stand at f(p) = the
+    larger of (r, 1) and p two levels on. Along a path such bounds stay of that form, the
+    larger of a constant c and p plus k levels, so paths are doubled from round to round and
+    the rounds grow with the logarithm of the longest chain. Calls that reach themselves stand
+    on a cycle and need nothing. Only conversations in which something is misplaced take part.
     """
     key = ["conv_id", "call_id"]
-    own = F.struct(F.col("c.turn").alias("t"), F.lit(0).cast("bigint").alias("l"))
-    after = lambda place, turn: F.when(turn > place["t"], F.struct(turn.alias("t"), F.lit(0).cast("bigint").alias("l"))).otherwise(F.struct(place["t"].alias("t"), (place["l"] + 1).alias("l")))
+    zero = F.lit(0).cast("bigint")
     needs = both.where("c is not null").select("conv_id", F.col("call_id").alias("later"), F.explode(F.array_distinct(F.filter("c.depends_on", lambda x: x.isNotNull()))).alias("call_id"))
-    needs = settled(needs.join(both.where("r is not null").select(*key), key, "left_semi"))
-    places = both.select(*key, F.when(F.col("c").isNotNull(), own).alias("p"), F.col("r.turn").alias("turn"))
-    moved = places.withColumn("q", F.when(F.col("turn").isNotNull(), F.when(F.col("p").isNull(), F.struct(F.col("turn").alias("t"), F.lit(0).cast("bigint").alias("l"))).otherwise(after(F.col("p"), F.col("turn")))))
-    places = settled(moved)
-    for round_ in range(most_rounds + 1):
-        least = needs.join(places.select(*key, "q"), key).groupBy("conv_id", F.col("later").alias("call_id")).agg(F.max(F.struct(F.col("q.t").alias("t"), (F.col("q.l") + 1).alias("l"))).alias("least"))
-        late = settled(least.join(places, key).where(F.col("p").isNotNull() & (F.col("least") > F.col("p"))).select(*key, "least"))
-        if round_ == most_rounds or late.isEmpty():
-            break
-        new = places.join(late, key, "left").withColumn("p", F.coalesce("least", "p")).drop("least", "q")
-        places = settled(new.withColumn("q", F.when(F.col("turn").isNotNull(), F.when(F.col("p").isNull(), F.struct(F.col("turn").alias("t"), F.lit(0).cast("bigint").alias("l"))).otherwise(after(F.col("p"), F.col("turn"))))))
-    out = places.join(late.select(*key, F.lit(True).alias("cyclic")), key, "left")
+    needs = settled(needs.join(both.where("r is not null").select(*key, F.when(F.col("c").isNotNull(), _place(F.col("c.turn"), zero)).alias("from"), F.col("r.turn").alias("turn")), key))
+    places = both.select(*key, F.when(F.col("c").isNotNull(), _place(F.col("c.turn"), zero)).alias("p"), F.col("r.turn").alias("turn"), F.lit(False).alias("cyclic"))
+    steps = needs.select("conv_id", F.col("call_id").alias("a"), F.col("later").alias("b"), _place(F.col("turn"), F.lit(1)).alias("c"), F.lit(2).cast("bigint").alias("k"), "from")
+    bound = F.when(F.col("from").isNull(), F.col("c")).otherwise(F.greatest("c", _place(F.col("from.t"), F.col("from.l") + F.col("k"))))
+    own = places.where("p is not null").select("conv_id", F.col("call_id").alias("b"), "p")
+    late = settled(steps.join(own, ["conv_id", "b"]).where(bound > F.col("p")).select("conv_id").distinct())
+    if not late.isEmpty():
+        steps = settled(steps.join(late, "conv_id", "left_semi"))
+        on_cycle = settled(_paths(steps.select("conv_id", "a", "b"), False).where("a = b").select("conv_id", "b"))
+        steps = settled(steps.join(on_cycle, ["conv_id", "b"], "left_anti"))
+        begins = steps.select("conv_id", "a", "from").distinct()
+        least = _paths(steps.drop("from"), True).join(begins, ["conv_id", "a"]).groupBy("conv_id", F.col("b").alias("call_id")).agg(F.max(bound).alias("least"))
+        least = settled(least)
+        loops = on_cycle.select("conv_id", F.col("b").alias("call_id"), F.lit(True).alias("loop"))
+        moved = places.join(least, key, "left").join(loops, key, "left")
+        places = moved.select(*key, F.when(F.col("p").isNotNull(), F.greatest("p", "least")).alias("p"), "turn", F.coalesce("loop", F.lit(False)).alias("cyclic"))
+    after = F.when(F.col("turn") > F.col("p.t"), _place(F.col("turn"), zero)).otherwise(_place(F.col("p.t"), F.col("p.l") + 1))
+    out = places.withColumn("q", F.when(F.col("turn").isNotNull(), F.when(F.col("p").isNull(), _place(F.col("turn"), zero)).otherwise(after)))
     return out.select(*key, F.col("p.t").alias("order_turn"), F.col("p.l").alias("order_level"), F.col("q.t").alias("result_order_turn"), F.col("q.l").alias("result_order_level"), "cyclic")
 
 
+def _paths(steps: DataFrame, bounds: bool) -> DataFrame:
+    """All (conv_id, a, b) that steps lead from and to; with bounds, which only paths without a cycle have, the largest c and k of their paths."""
+    both = ["conv_id", "a", "b"]
+    whole = lambda df: df.groupBy(*both).agg(F.max("c").alias("c"), F.max("k").alias("k")) if bounds else df.distinct()
+    paths, before = settled(whole(steps)), None
+    while True:
+        state = tuple(paths.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*paths.columns).cast("decimal(38,0)"))).first())
+        if state == before:
+            return paths
+        before = state
+        x, y = paths.alias("x"), paths.alias("y")
+        longer = x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.b") == F.col("y.a")))
+        ends = [F.col("x.conv_id").alias("conv_id"), F.col("x.a").alias("a"), F.col("y.b").alias("b")]
+        if bounds:
+            ends += [F.greatest(F.col("y.c"), _place(F.col("x.c.t"), F.col("x.c.l") + F.col("y.k"))).alias("c"), (F.col("x.k") + F.col("y.k")).alias("k")]
+        paths = settled(whole(paths.unionByName(longer.select(*ends))))
+
+
 #: Tools that the turns of a plain conversation amount to.
 CONVERSATION_SCHEMAS = {
     "respond": {"required": ["chars", "prompt"], "properties": {"chars": {"type": "integer"}, "prompt": {"type": "string"}, "turn": {"type": "integer"}}, "additionalProperties": False},

@@ -92,6 +92,23 @@ def test_order(spark):
     assert by[2, "p"].cyclic or by[2, "q"].cyclic and not by[1, "a"].cyclic
 
 
+def test_order_of_a_long_chain_and_of_cycles(spark):
+    n = 100
+    chain = [(1, f"c{i}", 2 * (n - i), "say", "{}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    loops = [(2, "p", 1, "say", "{}", ["q"]), (2, "q", 3, "say", "{}", ["p"]), (2, "s", 0, "say", "{}", ["q"]), (2, "o", 0, "say", "{}", ["lone"]), (3, "self", 4, "say", "{}", ["self"])]
+    answers = [(c, i, t + 1, "") for c, i, t, *_ in chain + loops] + [(2, "lone", 7, "")]
+    by, _ = linked(spark, chain + loops, answers)
+    turn, level, want = 2 * n, 0, []
+    for i in range(n):  # all stand behind the first, which has the last turn; its result comes one turn later
+        if i:
+            turn, level = 2 * n + 1, 2 * i - 1
+        want.append((turn, level, False))
+    assert [(by[1, f"c{i}"].order_turn, by[1, f"c{i}"].order_level, by[1, f"c{i}"].cyclic) for i in range(n)] == want
+    assert {i: by[i].cyclic for i in by if i[0] > 1} == {(2, "p"): True, (2, "q"): True, (2, "s"): False, (2, "o"): False, (2, "lone"): False, (3, "self"): True}
+    place = lambda c: (by[2, c].order_turn, by[2, c].order_level)
+    assert (place("p"), place("q"), place("s"), place("o")) == ((1, 0), (3, 0), (4, 1), (7, 1))
+
+
 def test_no_calls(spark):
     assert linked(spark, [], [])[1] == [] and linked(spark, [], [(1, "a", 1, "x")])[1][0].status == "orphan"
 
