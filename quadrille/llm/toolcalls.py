@@ -168,7 +168,8 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, turn, role, text) as calls and results.
 
     A user's turn calls respond, a system turn configure; an assistant's turn is the result
-    of the call one turn before. A user's turn depends on the answer before it.
+    of the call one turn before. A user's turn depends on the answer before it. Turns of
+    another role, or of none, are neither: they give no row, as in the query's SQL.
     """
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     id_ = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(back))

@@ -109,6 +109,12 @@ def test_order_of_a_long_chain_and_of_cycles(spark):
     assert (place("p"), place("q"), place("s"), place("o")) == ((1, 0), (3, 0), (4, 1), (7, 1))
 
 
+def test_turns_of_other_roles_give_no_row(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n"), (1, 5, "function", "f")]
+    calls, results = toolcalls.conversation_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert sorted(r.turn for r in calls.collect()) == [0, 1] and [r.turn for r in results.collect()] == [2]
+
+
 def test_no_calls(spark):
     assert linked(spark, [], [])[1] == [] and linked(spark, [], [(1, "a", 1, "x")])[1][0].status == "orphan"
 
