@@ -293,3 +293,18 @@ def test_licenses(spark):
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert "apache-2.0" in got.labels.iloc[9] and "apache," not in got.labels.iloc[9] and "gpl-3.0" in got.labels.iloc[4]
     assert licenses.license_scan(empty(spark)).count() == 0 and len(licenses.rules()) > 300
+
+
+def test_mixing_keeps_chances_and_targets(spark):
+    """Large and small documents get their share on average, and a source ends within one small document of its target."""
+    rows = [(i, "w " * (1 + 60 * (i % 5)), "ab"[i % 4 == 0]) for i in range(1500)]
+    df, copies = docs(spark, rows).cache(), collections.defaultdict(list)
+    for seed in range(4):
+        got = mixing.mix(df, seed=seed).toPandas()
+        ends = got.assign(taken=got.copies * got["size"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        assert (abs(ends.taken - ends.target) <= 1).all()
+        per = got.target / got.source_size
+        assert ((got.copies == np.floor(per)) | (got.copies == np.ceil(per))).all()
+        for key, part in (got.copies - per).groupby([got.source, got["size"]]):
+            copies[key] += part.tolist()
+    assert all(abs(np.mean(x)) < 0.06 for x in copies.values())
