@@ -52,8 +52,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no image column; each page's picture stands for one (see images.page_image)."""
-    found = images.copies(images.page_features(table(spark, sf_dir, "pages")))
-    return found.select(F.col("image_id").alias("page_id"), "n_keys", "component_id", "n_links")
+    found = images.copies(images.page_features(table(spark, sf_dir, "pages")), tables=images.PAGE_TABLES)
+    return found.select(F.col("image_id").alias("page_id"), "n_corners", "component_id", "n_links")
 
 
 def vocabulary() -> str:
