@@ -165,7 +165,7 @@ def test_copies(spark):
 
 
 def votes(a, b, scales=images.LADDER, tables=images.TABLES):
-    return images.consensus(*(images.corners(x[None], scales)[0] for x in (a, b)), tables)
+    return images.consensus(*(images.corners(x[None], scales)[0] for x in (a, b)), tables=tables)
 
 
 def resized(x, factor):
@@ -253,7 +253,7 @@ def test_copies_of_pages_by_brute_force(spark):
     group = {d: {d} for d in found}
     for a in found:
         for b in found:
-            if a < b and np.intersect1d(keys[a], keys[b]).size and images.consensus(found[a], found[b], images.PAGE_TABLES) >= images.LEAST and group[a] is not group[b]:
+            if a < b and np.intersect1d(keys[a], keys[b]).size and images.consensus(found[a], found[b], tables=images.PAGE_TABLES) >= images.LEAST and group[a] is not group[b]:
                 group[a] |= group[b]
                 for d in group[a]:
                     group[d] = group[a]
