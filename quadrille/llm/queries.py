@@ -29,7 +29,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toolcalls.link(*toolcalls.conversation_calls(table(spark, sf_dir, "conversations")), toolcalls.CONVERSATION_SCHEMAS)
-    return found.select("conv_id", "call_id", "name", "call_turn", "result_turn", "n_calls", "n_results", "status", "order_turn", "order_level", "valid", F.array_join("errors", ",").alias("errors"), "json")
+    return found.select("conv_id", "call_id", "name", "call_turn", "result_turn", "n_calls", "n_results", "status", "order_turn", "order_level", "result_order_turn", "result_order_level", "cyclic", "valid", F.array_join("errors", ",").alias("errors"), "json")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,15 +75,32 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """,
     "op5_tool_calls": """
-WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'respond' ELSE 'configure' END AS name, role, text FROM conversations WHERE role IN ('user', 'system')),
-results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant')
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name, c.turn AS call_turn, r.turn AS result_turn,
+WITH RECURSIVE turns AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, coalesce(length(text), 0) AS n FROM conversations),
+calls AS (SELECT *, conv_id || ':' || turn AS call_id FROM turns WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id, turn - 1 AS call_turn, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM turns WHERE role = 'assistant'),
+asked AS (SELECT conv_id, turn AS b, turn - 2 AS a FROM calls WHERE role = 'user' AND n % 3 <> 0 UNION ALL SELECT conv_id, turn, turn + 2 FROM calls WHERE role = 'user' AND n % 4 = 1),
+needs AS (SELECT k.conv_id, k.a, k.b, r.turn AS answered, c.turn IS NOT NULL AS called FROM asked k JOIN results r ON r.conv_id = k.conv_id AND r.call_turn = k.a LEFT JOIN calls c ON c.conv_id = k.conv_id AND c.turn = k.a),
+cycles AS (SELECT DISTINCT x.conv_id, x.b FROM needs x JOIN needs y ON x.conv_id = y.conv_id AND x.a = y.b AND x.b = y.a),
+steps AS (SELECT n.* FROM needs n LEFT JOIN cycles c ON n.conv_id = c.conv_id AND n.b = c.b WHERE c.b IS NULL),
+places AS (
+  (SELECT conv_id, turn AS id, turn * 1000000 AS spot FROM calls UNION ALL SELECT conv_id, b, answered * 1000000 + 1 FROM steps WHERE NOT called)
+  UNION SELECT s.conv_id, s.b, greatest(s.answered * 1000000 + 1, p.spot + 2) FROM places p JOIN steps s ON s.conv_id = p.conv_id AND s.a = p.id),
+placed AS (SELECT conv_id, id, max(spot) AS spot FROM places GROUP BY conv_id, id)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, CASE c.role WHEN 'user' THEN 'respond' WHEN 'system' THEN 'configure' END AS name, c.turn AS call_turn, r.turn AS result_turn,
        CAST(c.call_id IS NOT NULL AS BIGINT) AS n_calls, CAST(r.call_id IS NOT NULL AS BIGINT) AS n_results,
        CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       c.turn AS order_turn, CASE WHEN c.call_id IS NOT NULL THEN CAST(0 AS BIGINT) END AS order_level, c.call_id IS NOT NULL AS valid, '' AS errors,
-       '{"arguments":' || CASE role WHEN 'user' THEN '{"chars":' || length(c.text) || ',"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' WHEN 'system' THEN '{"instructions":' || to_json(c.text) || '}' ELSE 'null' END
-       || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || coalesce(to_json(c.name), 'null') || ',"result":' || coalesce(to_json(r.text), 'null') || '}' AS json
+       p.spot // 1000000 AS order_turn, p.spot % 1000000 AS order_level,
+       CASE WHEN p.spot IS NULL OR r.turn > p.spot // 1000000 THEN r.turn WHEN r.turn IS NOT NULL THEN p.spot // 1000000 END AS result_order_turn,
+       CASE WHEN r.turn IS NULL THEN NULL WHEN p.spot IS NULL OR r.turn > p.spot // 1000000 THEN 0 ELSE p.spot % 1000000 + 1 END AS result_order_level,
+       y.b IS NOT NULL AS cyclic,
+       c.call_id IS NOT NULL AND NOT (c.role = 'user' AND (c.n % 5 = 4 OR c.n % 4 = 0 OR c.n % 7 = 0 OR c.n % 11 = 0)) AS valid,
+       CASE WHEN c.role = 'user' THEN concat_ws(',', CASE WHEN c.n % 5 = 4 THEN 'options.style: not allowed' END, CASE WHEN c.n % 4 = 0 THEN 'options.tags[0]: not string' END, CASE WHEN c.n % 7 = 0 THEN 'chars: missing' END, CASE WHEN c.n % 11 = 0 THEN 'debug: unknown' END) ELSE '' END AS errors,
+       '{"arguments":' || CASE c.role WHEN 'system' THEN '{"instructions":' || to_json(c.text) || '}' WHEN 'user' THEN
+         '{' || CASE WHEN c.n % 7 <> 0 THEN '"chars":' || c.n || ',' ELSE '' END || CASE WHEN c.n % 11 = 0 THEN '"debug":true,' ELSE '' END
+         || '"options":{"style":"' || ['brief', 'plain', 'long', 'plain', 'loud'][c.n % 5 + 1] || '","tags":[' || CASE WHEN c.n % 4 = 0 THEN c.turn || ',' ELSE '' END || '"x"]},"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' ELSE 'null' END
+       || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || CASE c.role WHEN 'user' THEN '"respond"' WHEN 'system' THEN '"configure"' ELSE 'null' END || ',"result":' || coalesce(to_json(r.text), 'null') || '}' AS json
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.id = c.turn LEFT JOIN cycles y ON y.conv_id = c.conv_id AND y.b = c.turn
 """,
     "op3_line_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -8,6 +8,7 @@ validated against the tool's schema and written as canonical JSON (keys sorted,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,25 +29,41 @@ def json_text(s: Column) -> Column:
 def problems(name: Column, parsed: Column, schemas: Mapping[str, Mapping]) -> Column:
     """What is wrong with parsed arguments (a variant), as an array of texts; the schemas are part of the plan.
 
-    A schema: {"required": [...], "properties": {key: {"type": ...}}, "additionalProperties": bool}.
+    A schema: {"type": name or names, "enum": [...], "properties": {key: schema}, "required": [...],
+    "additionalProperties": bool, "items": schema}, nested to any depth. A value of a wrong type is not
+    looked into. Texts begin with the value's path: "a.b: missing", "a.c[2]: not string".
     """
-    kinds = F.schema_of_variant(parsed)
-    none = F.array().cast("array<string>")
-    per_tool = none
-    keys = F.when(kinds.startswith("OBJECT"), F.json_object_keys(F.to_json(parsed)))
+    out = F.array(F.lit("unknown tool"))
     for tool, schema in schemas.items():
-        found: list[Column] = []
-        for key, rule in schema.get("properties", {}).items():
-            kind = F.schema_of_variant(F.try_variant_get(parsed, f'$["{key}"]', "variant"))
-            found.append(F.when(kind.isNotNull() & ~kind.rlike(TYPES[rule["type"]]), f"{key}: not {rule['type']}"))
-        found += [F.when(~F.coalesce(F.array_contains(keys, key), F.lit(False)), f"{key}: missing") for key in schema.get("required", [])]
+        out = F.when(name == tool, F.filter(_wrong(parsed, schema, F.lit("")), lambda x: x.isNotNull())).otherwise(out)
+    return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(out)
+
+
+def _wrong(value: Column, schema: Mapping, path: Column) -> Column:
+    """An array of texts, null where nothing is wrong; a missing value (null) is right."""
+    kind, at = F.schema_of_variant(value), F.regexp_replace(path, r"\.$", "")
+    own: list[Column] = []
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else list(types)
+    if types:
+        own.append(F.when(~kind.rlike("|".join(TYPES[t] for t in types)), F.concat(at, F.lit(": not " + " or ".join(types)))))
+    if "enum" in schema:
+        allowed = [json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in schema["enum"]]
+        own.append(F.when(~F.to_json(value).isin(allowed), F.concat(at, F.lit(": not allowed"))))
+    out = [F.array(*own, F.lit(None).cast("string"))]
+    for key, rule in schema.get("properties", {}).items():
+        out.append(_wrong(F.try_variant_get(value, f'$["{key}"]', "variant"), rule, F.concat(path, F.lit(f"{key}."))))
+    if schema.get("required") or not schema.get("additionalProperties", True):
+        keys = F.when(kind.startswith("OBJECT"), F.json_object_keys(F.to_json(value)))
+        missing = [F.when(~F.array_contains(keys, key), F.concat(path, F.lit(f"{key}: missing"))) for key in schema.get("required", [])]
         if not schema.get("additionalProperties", True):
-            more = F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {"": None}))))
-            found.append(F.when(F.size(more) > 0, F.concat(F.array_join(F.array_sort(more), "+"), F.lit(": unknown"))))
-        wrong = F.filter(F.array(*found, F.lit(None).cast("string")), lambda x: x.isNotNull())
-        per_tool = F.when(name == tool, wrong).otherwise(per_tool)
-    known = F.coalesce(name.isin(*schemas), F.lit(False))
-    return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~kinds.startswith("OBJECT"), F.array(F.lit("not an object"))).when(~known, F.array(F.lit("unknown tool"))).otherwise(per_tool)
+            more = F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))
+            missing.append(F.when(F.size(more) > 0, F.concat(path, F.array_join(F.array_sort(more), "+"), F.lit(": unknown"))))
+        out.append(F.array(*missing))
+    if "items" in schema:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: _wrong(x, schema["items"], F.concat(F.regexp_replace(path, r"\.$", ""), F.lit("["), i.cast("string"), F.lit("]."))))
+        out.append(F.coalesce(F.flatten(each), F.array().cast("array<string>")))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.concat(*out))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
@@ -109,11 +126,9 @@ def _place(turn: Column, level: Column) -> Column:
 def _ordered(both: DataFrame) -> DataFrame:
     """Places (turn, level) of calls and results: the least that respect all links.
 
-    A call at p whose result has the turn r lets a call that needs it stand at f(p) = the
-    larger of (r, 1) and p two levels on. Along a path such bounds stay of that form, the
-    larger of a constant c and p plus k levels, so paths are doubled from round to round and
-    the rounds grow with the logarithm of the longest chain. Calls that reach themselves stand
-    on a cycle and need nothing. Only conversations in which something is misplaced take part.
+    A call at p whose result has the turn r lets a call that needs it stand at the larger of
+    (r, 1) and p two levels on. Calls that reach themselves stand on a cycle and need
+    nothing. Only conversations in which something is misplaced take part.
     """
     key = ["conv_id", "call_id"]
     zero = F.lit(0).cast("bigint")
@@ -121,62 +136,132 @@ def _ordered(both: DataFrame) -> DataFrame:
     needs = settled(needs.join(both.where("r is not null").select(*key, F.when(F.col("c").isNotNull(), _place(F.col("c.turn"), zero)).alias("from"), F.col("r.turn").alias("turn")), key))
     places = both.select(*key, F.when(F.col("c").isNotNull(), _place(F.col("c.turn"), zero)).alias("p"), F.col("r.turn").alias("turn"), F.lit(False).alias("cyclic"))
     steps = needs.select("conv_id", F.col("call_id").alias("a"), F.col("later").alias("b"), _place(F.col("turn"), F.lit(1)).alias("c"), F.lit(2).cast("bigint").alias("k"), "from")
-    bound = F.when(F.col("from").isNull(), F.col("c")).otherwise(F.greatest("c", _place(F.col("from.t"), F.col("from.l") + F.col("k"))))
+    bound = F.when(F.col("from").isNull(), F.col("c")).otherwise(F.greatest("c", _on(F.col("from"), F.col("k"))))
     own = places.where("p is not null").select("conv_id", F.col("call_id").alias("b"), "p")
     late = settled(steps.join(own, ["conv_id", "b"]).where(bound > F.col("p")).select("conv_id").distinct())
     if not late.isEmpty():
         steps = settled(steps.join(late, "conv_id", "left_semi"))
-        on_cycle = settled(_paths(steps.select("conv_id", "a", "b"), False).where("a = b").select("conv_id", "b"))
+        on_cycle = _on_cycles(steps.where("from is not null").select("conv_id", "a", "b"))
         steps = settled(steps.join(on_cycle, ["conv_id", "b"], "left_anti"))
-        begins = steps.select("conv_id", "a", "from").distinct()
-        least = _paths(steps.drop("from"), True).join(begins, ["conv_id", "a"]).groupBy("conv_id", F.col("b").alias("call_id")).agg(F.max(bound).alias("least"))
-        least = settled(least)
+        # results without a call have a place that nothing changes
+        fixed = steps.where("from is null").groupBy("conv_id", "b").agg(F.max("c").alias("c"))
+        nodes = places.where("p is not null").join(late, "conv_id", "left_semi").select("conv_id", F.col("call_id").alias("b"), "p").join(fixed, ["conv_id", "b"], "left")
+        least = _least(nodes.select("conv_id", "b", F.greatest("p", "c").alias("p")), steps.where("from is not null").drop("from"))
+        least = least.select("conv_id", F.col("b").alias("call_id"), F.col("p").alias("least"))
         loops = on_cycle.select("conv_id", F.col("b").alias("call_id"), F.lit(True).alias("loop"))
         moved = places.join(least, key, "left").join(loops, key, "left")
-        places = moved.select(*key, F.when(F.col("p").isNotNull(), F.greatest("p", "least")).alias("p"), "turn", F.coalesce("loop", F.lit(False)).alias("cyclic"))
-    after = F.when(F.col("turn") > F.col("p.t"), _place(F.col("turn"), zero)).otherwise(_place(F.col("p.t"), F.col("p.l") + 1))
+        places = moved.select(*key, F.coalesce("least", "p").alias("p"), "turn", F.coalesce("loop", F.lit(False)).alias("cyclic"))
+    after = F.when(F.col("turn") > F.col("p.t"), _place(F.col("turn"), zero)).otherwise(_on(F.col("p"), F.lit(1)))
     out = places.withColumn("q", F.when(F.col("turn").isNotNull(), F.when(F.col("p").isNull(), _place(F.col("turn"), zero)).otherwise(after)))
     return out.select(*key, F.col("p.t").alias("order_turn"), F.col("p.l").alias("order_level"), F.col("q.t").alias("result_order_turn"), F.col("q.l").alias("result_order_level"), "cyclic")
 
 
-def _paths(steps: DataFrame, bounds: bool) -> DataFrame:
-    """All (conv_id, a, b) that steps lead from and to; with bounds, which only paths without a cycle have, the largest c and k of their paths."""
-    both = ["conv_id", "a", "b"]
-    whole = lambda df: df.groupBy(*both).agg(F.max("c").alias("c"), F.max("k").alias("k")) if bounds else df.distinct()
-    paths, before = settled(whole(steps)), None
+def _on(place: Column, levels: Column) -> Column:
+    return _place(place["t"], place["l"] + levels)
+
+
+def _least(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """The least places (conv_id, b, p) from those of nodes (conv_id, b, p) on that all steps (conv_id, a, b, c, k) allow: b at the larger of c and a's place k levels on.
+
+    Along a path such bounds stay of that form. So each node keeps one more step, a shortcut: the path
+    behind its tightest step, which is joined from round to round with the shortcut of
+    the node that it comes from. A chain of n takes some log2(n) rounds, and a round's work
+    follows the steps. It ends when no step is missed, which is exact whatever the shortcuts are.
+    With nodes `most` given, a place beyond that level stays there: on and behind a cycle all get there.
+    """
+    most = F.col("most") if "most" in nodes.columns else F.lit(None).cast("bigint")
+    none = F.lit(None)
+    kind = dict(steps.dtypes)
+    state = settled(nodes.withColumn("s", none.cast(kind["a"])).withColumn("sc", none.cast(kind["c"])).withColumn("sk", none.cast("bigint")))
     while True:
-        state = tuple(paths.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*paths.columns).cast("decimal(38,0)"))).first())
-        if state == before:
-            return paths
-        before = state
+        shortcuts = state.where("s is not null").select("conv_id", F.col("s").alias("a"), "b", F.col("sc").alias("c"), F.col("sk").alias("k"), F.lit(False).alias("own"))
+        origin = state.select("conv_id", F.col("b").alias("a"), "p", "s", "sc", "sk")
+        offers = steps.select("conv_id", "a", "b", "c", "k", F.lit(True).alias("own")).unionByName(shortcuts).join(origin, ["conv_id", "a"])
+        offer = F.greatest("c", _on(F.col("p"), F.col("k"))).alias("o")
+        far = F.col("s").isNotNull()
+        longer = [F.coalesce("s", "a").alias("s"), F.when(far, F.greatest("c", _on(F.col("sc"), F.col("k")))).otherwise(F.col("c")).alias("sc"), F.when(far, F.col("sk") + F.col("k")).otherwise(F.col("k")).alias("sk")]
+        best = offers.select("conv_id", "b", "own", offer, *longer).groupBy("conv_id", "b").agg(F.max(F.when(F.col("own"), F.col("o"))).alias("direct"), F.max(F.struct("o", "sk", "sc", "s")).alias("m"))
+        held = F.coalesce(F.col("p.l") >= most, F.lit(False))
+        risen = F.when(held | F.col("m").isNull(), F.col("p")).otherwise(F.greatest("p", "m.o"))
+        risen = F.when(risen["l"] > most, _place(risen["t"], most)).otherwise(risen)
+        missed = F.coalesce(~held & (F.col("direct") > F.col("p")), F.lit(False))
+        both = state.select(*[c for c in state.columns if c not in ("s", "sc", "sk", "missed")]).join(best, ["conv_id", "b"], "left")
+        kept = [c for c in nodes.columns if c != "p"]
+        state = settled(both.select(*kept, risen.alias("p"), F.col("m.s").alias("s"), F.col("m.sc").alias("sc"), F.col("m.sk").alias("sk"), missed.alias("missed")))
+        if state.where("missed").isEmpty():
+            return state.select("conv_id", "b", "p")
+
+
+def _on_cycles(steps: DataFrame) -> DataFrame:
+    """The (conv_id, b) that steps (conv_id, a, b) lead back to.
+
+    On and behind a cycle paths have no end: there the longest path grows beyond the number of
+    calls, and so it does with all steps turned round. Only what lies on or between cycles is left for the closure.
+    """
+    steps = settled(steps.distinct())
+    if steps.isEmpty():
+        return steps.select("conv_id", "b")
+    ends = steps.select("conv_id", "b").unionAll(steps.select("conv_id", F.col("a").alias("b"))).distinct()
+    nodes = settled(ends.join(ends.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("most")), "conv_id").withColumn("p", _place(F.lit(0).cast("bigint"), F.lit(0))))
+    one = [_place(F.lit(0).cast("bigint"), F.lit(1)).alias("c"), F.lit(1).cast("bigint").alias("k")]
+    for a, b in (("a", "b"), ("b", "a")):
+        depth = _least(nodes, steps.select("conv_id", F.col(a).alias("a"), F.col(b).alias("b"), *one))
+        endless = settled(depth.join(nodes.select("conv_id", "b", "most"), ["conv_id", "b"]).where(F.col("p.l") >= F.col("most")).select("conv_id", "b"))
+        for end in ("a", "b"):
+            steps = steps.join(endless.withColumnRenamed("b", end), ["conv_id", end], "left_semi")
+        steps = settled(steps)
+    return settled(_paths(steps).where("a = b").select("conv_id", "b"))
+
+
+def _paths(steps: DataFrame) -> DataFrame:
+    """All (conv_id, a, b) that steps lead from and to."""
+    paths, before = steps, -1
+    while (now := paths.count()) != before:
+        before = now
         x, y = paths.alias("x"), paths.alias("y")
         longer = x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.b") == F.col("y.a")))
-        ends = [F.col("x.conv_id").alias("conv_id"), F.col("x.a").alias("a"), F.col("y.b").alias("b")]
-        if bounds:
-            ends += [F.greatest(F.col("y.c"), _place(F.col("x.c.t"), F.col("x.c.l") + F.col("y.k"))).alias("c"), (F.col("x.k") + F.col("y.k")).alias("k")]
-        paths = settled(whole(paths.unionByName(longer.select(*ends))))
+        paths = settled(paths.unionByName(longer.select("x.conv_id", "x.a", "y.b")).distinct())
+    return paths
 
 
 #: Tools that the turns of a plain conversation amount to.
 CONVERSATION_SCHEMAS = {
-    "respond": {"required": ["chars", "prompt"], "properties": {"chars": {"type": "integer"}, "prompt": {"type": "string"}, "turn": {"type": "integer"}}, "additionalProperties": False},
+    "respond": {
+        "required": ["chars", "prompt"], "additionalProperties": False,
+        "properties": {
+            "chars": {"type": "integer"}, "prompt": {"type": "string"}, "turn": {"type": "integer"},
+            "options": {"type": "object", "required": ["style"], "properties": {"style": {"type": "string", "enum": ["brief", "plain", "long"]}, "tags": {"type": "array", "items": {"type": "string"}}}},
+        },
+    },
     "configure": {"required": ["instructions"], "properties": {"instructions": {"type": "string"}}, "additionalProperties": False},
-}
+}
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, turn, role, text) as calls and results.
+    """(conv_id, turn, role, text) as calls and results, by a fixed rule on the number n of a text's characters.
 
     A user's turn calls respond, a system turn configure; an assistant's turn is the result
-    of the call one turn before. A user's turn depends on the answer before it. Turns of
-    another role, or of none, are neither: they give no row, as in the query's SQL.
+    of the call one turn before. A user's turn depends on the answer to the user before it (two
+    turns back) unless 3 divides n, and on the answer to the one after it if n mod 4 is 1: so some
+    calls must move behind later ones, and some stand on cycles. Its arguments name its turn,
+    prompt and characters (left out if 7 divides n), a style by n mod 5 ("loud", which isn't
+    allowed, at 4) and tags (the first a number, which isn't allowed, if 4 divides n), and an
+    unknown key if 11 divides n. Turns of another role, or of none, are neither: they give
+    no row, as in the query's SQL. A null text has no characters and is a null prompt.
     """
-    name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    id_ = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(back))
+    name = lambda by: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") + by).cast("string"))
+    id_ = lambda by: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(by))
     user, system = F.col("role") == "user", F.col("role") == "system"
-    ask = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"), F.char_length("text").alias("chars")))
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    turn = F.coalesce(F.col("turn").cast("string"), F.lit("null"))
+    style = F.element_at(F.array(*map(F.lit, ("brief", "plain", "long", "plain", "loud"))), n % 5 + 1)
+    ask = F.concat(
+        F.lit('{"turn":'), turn, F.lit(',"prompt":'), json_text(F.col("text")), F.when(n % 7 != 0, F.concat(F.lit(',"chars":'), n.cast("string"))).otherwise(""),
+        F.when(n % 11 == 0, ',"debug":true').otherwise(""), F.lit(',"options":{"style":"'), style, F.lit('","tags":['), F.when(n % 4 == 0, F.concat(turn, F.lit(","))).otherwise(""), F.lit('"x"]}}'),
+    )
+    needs = F.filter(F.array(F.when(n % 3 != 0, id_(-2)), F.when(n % 4 == 1, id_(2))), lambda x: x.isNotNull())
     calls = turns.where(user | system).select(
         "conv_id", id_(0).alias("call_id"), "turn", F.when(user, "respond").otherwise("configure").alias("name"),
-        F.when(user, ask).otherwise(F.to_json(F.struct(F.col("text").alias("instructions")))).alias("arguments"), F.when(user, F.array(id_(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(user, ask).otherwise(F.to_json(F.struct(F.col("text").alias("instructions")))).alias("arguments"), F.when(user, needs).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
-    return calls, turns.where(F.col("role") == "assistant").select("conv_id", id_(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, turns.where(F.col("role") == "assistant").select("conv_id", id_(-1).alias("call_id"), "turn", F.col("text").alias("content"))

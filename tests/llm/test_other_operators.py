@@ -93,7 +93,7 @@ def test_order(spark):
 
 
 def test_order_of_a_long_chain_and_of_cycles(spark):
-    n = 100
+    n = 200
     chain = [(1, f"c{i}", 2 * (n - i), "say", "{}", [f"c{i - 1}"] if i else []) for i in range(n)]
     loops = [(2, "p", 1, "say", "{}", ["q"]), (2, "q", 3, "say", "{}", ["p"]), (2, "s", 0, "say", "{}", ["q"]), (2, "o", 0, "say", "{}", ["lone"]), (3, "self", 4, "say", "{}", ["self"])]
     answers = [(c, i, t + 1, "") for c, i, t, *_ in chain + loops] + [(2, "lone", 7, "")]
@@ -109,6 +109,76 @@ def test_order_of_a_long_chain_and_of_cycles(spark):
     assert (place("p"), place("q"), place("s"), place("o")) == ((1, 0), (3, 0), (4, 1), (7, 1))
 
 
+def order_by_hand(calls, results):
+    """Least places by repeated passes; calls that reach themselves need nothing. Other columns of equal names don't matter."""
+    answer = {(c, i): t for c, i, t, _ in results}
+    called = {(c, i): t for c, i, t, *_ in calls}
+    needs = {(c, i): {(c, d) for d in deps if (c, d) in answer} for c, i, _, _, _, deps in calls}
+
+    def reach(x):
+        seen, todo = set(), list(needs.get(x, ()))
+        while todo:
+            if (y := todo.pop()) not in seen:
+                seen.add(y)
+                todo += needs.get(y, ())
+        return seen
+
+    cyclic = {x for x in needs if x in reach(x)}
+    place, before = {x: (t, 0) for x, t in called.items()}, None
+    while place != before:
+        before = dict(place)
+        for x in set(needs) - cyclic:
+            for y in needs[x]:
+                after = max((answer[y], 1), (place[y][0], place[y][1] + 2)) if y in place else (answer[y], 1)
+                place[x] = max(place[x], after)
+    return place, cyclic
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_by_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    calls, results = [], []
+    for conv in range(12):
+        n = int(rng.integers(1, 14))
+        turns = rng.permutation(2 * n)[:n]
+        for i in range(n):
+            deps = sorted({f"c{j}" for j in rng.integers(0, n + 1, int(rng.integers(0, 3)))})
+            calls.append((conv, f"c{i}", int(turns[i]), "add", "{}", deps))
+            if rng.random() < 0.85:
+                results.append((conv, f"c{i}", int(turns[i]) + 1, "x"))
+        results.append((conv, f"c{n}", 3, "orphan"))
+    place, cyclic = order_by_hand(calls, results)
+    df = spark.createDataFrame(calls, CALLS).withColumn("p", F.lit(1)).withColumn("s", F.lit("x")).withColumn("content", F.lit(2))
+    rows = toolcalls.link(df, spark.createDataFrame(results, RESULTS).withColumn("name", F.lit(0)), SCHEMAS).where("n_calls > 0").collect()
+    got = {(r.conv_id, r.call_id): ((r.order_turn, r.order_level), r.cyclic) for r in rows}
+    assert got == {x: (p, x in cyclic) for x, p in place.items()} and any(c for _, c in got.values())
+
+
+def test_nested_validation(spark):
+    schema = {
+        "type": "object", "required": ["a"], "additionalProperties": False,
+        "properties": {
+            "a": {"type": "object", "required": ["b", "k"], "additionalProperties": False, "properties": {"b": {"type": "integer"}, "k": {"type": ["string", "null"]}}},
+            "c": {"enum": ["x", "y", 3]},
+            "d": {"type": "array", "items": {"type": "array", "items": {"type": "integer"}}},
+            "e": {"type": "array", "items": {"required": ["q"], "properties": {"q": {"enum": [True]}}}},
+        },
+    }
+    cases = {
+        '{"a":{"b":1,"k":null},"c":3,"d":[[1],[]],"e":[{"q":true}]}': [],
+        '{"a":{"b":"no","k":"s"},"c":"z","d":["q"]}': ["a.b: not integer", "c: not allowed", "d[0]: not array"],
+        '{"a":{"k":1,"z":2,"y":2},"d":[[1],[2,"u"]],"w":0}': ["a.k: not string or null", "a.b: missing", "a.y+z: unknown", "d[1][1]: not integer", "w: unknown"],
+        '{"a":[1],"e":[{},{"q":false},{"q":true}]}': ["a: not object", "e[0].q: missing", "e[1].q: not allowed"],
+        "{}": ["a: missing"],
+        "[]": ["not an object"],
+        "{": ["not JSON"],
+    }
+    calls = [(1, str(i), i, "f", text, []) for i, text in enumerate(cases)] + [(1, "u", 99, "g", "{}", []), (1, "n", 98, None, None, [])]
+    rows = toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": schema}).collect()
+    got = {r.call_id: r.errors for r in rows}
+    assert [got[str(i)] for i in range(len(cases))] == list(cases.values()) and got["u"] == ["unknown tool"] and got["n"] == ["not JSON"]
+
+
 def test_turns_of_other_roles_give_no_row(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n"), (1, 5, "function", "f")]
     calls, results = toolcalls.conversation_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
