@@ -34,6 +34,7 @@ def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     keyed = lines.where(F.octet_length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(WS))).where(F.char_length("key") >= min_chars)
     keyed = keyed.withColumn("key", ascii_lower(F.col("key")))
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "did", "th", "row", "pos")
+    hashed = settled(hashed)  # the range partitioner samples its input: texts aren't split and hashed again for that
     dealt = hashed.repartitionByRange("h1", "h2", "did").sortWithinPartitions("h1", "h2", "did", "row", "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "did", "row").orderBy("pos")) == 1
     dealt = settled(dealt.select("h1", "h2", "did", "th", "pos", first.cast("int").alias("first")))  # read twice: counted and looked up
