@@ -21,6 +21,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import settled
 WINDOW, END = 4096, 2
 #: Cost of a document of n tokens in a sequence: LINEAR x n + QUADRATIC x n x n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+#: Groups of a task, about.
+GROUPS = 8
 #: Words whose ids a worker keeps; beyond that it starts anew. It changes speed only.
 MEMO = 300_000
 #: How byte-level models write bytes as characters: printable Latin-1 as it is, the rest from U+0100 on.
@@ -101,14 +104,17 @@ def _beyond_latin(text: str) -> bool:
 
 
 def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, key, start, length, ids_crc32, doc_tokens, ids): full pieces, without ids, and what is left of each document, with its ids."""
+    """docs (doc_id, text) to (doc_id, key, start, length, ids_crc32, doc_tokens, ids): full pieces, without ids, and what is left of each document, with its ids. key: a hash of the row's place in the input."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(path), np.array([end], "<u4").tobytes()
+        from pyspark import TaskContext
+
+        encode, last, row = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows: list[tuple] = []
-            ids_, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-            for doc, key, ids in zip(ids_, keys, map(encode, texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist())):
+                row += 1
+                key = xxhash.xxh64_intdigest(row.to_bytes(8, "little")) - (1 << 63)
                 ids += last
                 n = len(ids) // 4
                 full = n - n % window
@@ -118,7 +124,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW)
             kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(of, "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
@@ -157,13 +163,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, group_tokens: int = 1
     """docs (doc_id, text) to pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null text is empty: the end id alone. Every row is packed, equal rows and repeated
-    ids too. sequence_id is the group's number x 2^32 plus the sequence within it; groups
-    are dealt by a hash of id and text, so reruns agree. An empty table gives no row.
+    ids too. sequence_id is the group's number x 2^32 plus the sequence within it. Rows are
+    dealt to groups by a hash of their place in the input, so equal rows spread like
+    others, and reruns over the same files agree. An empty table gives no row.
     """
     pieces = settled(tokenized(docs, path, end, window))
     left = pieces.where("ids is not null").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-left // group_tokens))
-    pieces = pieces.withColumn("group", F.pmod("key", F.lit(groups)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS))
+    pieces = pieces.withColumn("group", F.pmod("key", F.lit(groups))).repartition(tasks, "group")
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         return _group(rows, window, linear, quadratic)
