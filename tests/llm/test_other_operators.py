@@ -39,6 +39,12 @@ def test_top_k(spark):
     assert top(spark, rows[:3], shard=1) == top_by_hand(rows[:3]) and top(spark, []) == []
 
 
+def test_top_k_of_a_repeated_candidate(spark):
+    """One vector being most of the rows, its copies spread over the cells of the grid."""
+    rows = [(7, [1.0, 1.0])] * 300 + [(i, [float(i % 5), 1.0]) for i in range(100, 140)]
+    assert top(spark, rows, shard=20) == top_by_hand(rows) and top(spark, rows) == top_by_hand(rows)
+
+
 def test_top_k_of_large_values(spark):
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([[3e6, 1.5], [3e6, 1.25], [-3e6, 2.0], [1.0, 1.0], [2.9e6, 0.0]])]
     assert top(spark, rows, k=3) == top_by_hand(rows, k=3)

@@ -192,6 +192,29 @@ def test_near_duplicates(spark):
 
 
 # --- packing ---
+def test_pivots_discard():
+    """Pairs of a bucket that the pivots leave unformed or discard are all beyond the radius; the links are those of all pairs."""
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:200] ^ np.uint64(1 << 7), fps[:90] ^ np.uint64((1 << 40) + 2)]))
+    keys = np.sort(rng.integers(0, 5, len(fps)))
+    counts = {}
+    a, b = simhash.bucket_links(keys, fps, counts=counts)
+    want, pairs = set(), 0
+    for k in range(5):
+        own = fps[keys == k]
+        pairs += len(own) * (len(own) - 1) // 2
+        low = components_by_hand(list(range(len(own))), [int(x) for x in own])
+        want |= {frozenset(int(own[i]) for i in range(len(own)) if low[i] == x) for x in set(low)}
+    groups = {int(x): {int(x)} for x in fps}
+    for x, y in zip(a.tolist(), b.tolist()):
+        joined = groups[x] | groups[y]
+        for z in joined:
+            groups[z] = joined
+    assert {frozenset(g) for g in groups.values()} == want
+    assert counts["pairs"] == pairs and counts["formed"] < 0.6 * pairs and counts["verified"] < 0.02 * counts["formed"] and counts["discarded"] == counts["formed"] - counts["verified"]
+
+
 def check_pieces(pieces, rows, window=4096):
     from tokenizers import Tokenizer
 
@@ -218,7 +241,16 @@ def test_packing(spark):
     assert pieces.sequence_id.nunique() <= total / 4096 + 12
     assert packing.pack(empty(spark), vocabulary()).count() == 0
     twice = packing.pack(docs(spark, [(1, "a b c", "s"), (1, "a b c", "s")]), vocabulary()).toPandas()
-    assert len(twice) == 2 and sorted(twice.offset) == [0, 4]
+    assert len(twice) == 2 and twice.length.tolist() == [4, 4]
+
+
+def test_packing_of_equal_rows(spark):
+    """A third of all rows being equal, or without id and text, they spread over the groups like others."""
+    rows = [(5, "same words here " * 60, "s")] * 1500 + [(None, None, "s")] * 1500 + [(i, "other words " * 90, "s") for i in range(10, 1500)]
+    pieces = packing.pack(docs(spark, rows), vocabulary(), group_tokens=30_000).toPandas()
+    assert len(pieces) >= len(rows) and pieces.groupby("sequence_id").length.sum().max() <= 4096
+    own = pieces.assign(group=pieces.sequence_id // 2**32).groupby("group").length.sum()
+    assert len(own) >= 10 and own.max() < 2 * own.median()
 
 
 def test_balanced():
