@@ -49,18 +49,13 @@ class Windows:
     x: np.ndarray
     #: Where each window begins in term and x.
     first: np.ndarray
-    #: Each window's text, and its number within it.
+    #: Each window's text.
     doc: np.ndarray
-    nth: np.ndarray
-
-    def where(self, rows: np.ndarray) -> Windows:
-        kept, first = slices(self.first[rows], np.r_[self.first[1:], len(self.term)][rows])
-        return Windows(self.term[kept], self.x[kept], first, self.doc[rows], self.nth[rows])
 
     def only(self, active: np.ndarray) -> Windows:
         """Without the terms that take no part."""
         keep = active[self.term]
-        return Windows(self.term[keep], self.x[keep], np.r_[0, np.cumsum(keep)][self.first], self.doc, self.nth)
+        return Windows(self.term[keep], self.x[keep], np.r_[0, np.cumsum(keep)][self.first], self.doc)
 
 
 def slices(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,42 +71,46 @@ def words_of(text: str) -> Iterator[str]:
 
 
 def windows(texts: list[str], hasher: Hasher, width: int, most: int = 1 << 16) -> Iterator[Windows]:
-    """All windows of `width` words of whole texts, about `most` words at a time, so that memory doesn't follow a text's length.
+    """All windows of `width` words of whole texts, one beginning at each half width, about `most` words at a time, so that memory doesn't follow a text's length.
 
     A window has one term more, which tells its length in words by powers of two. A text
     without words has no window.
     """
-    step = width * max(1, most // width)
-    parts: list[tuple[int, int, np.ndarray]] = []
+    half = width // 2
+    step = half * max(2, most // half)
+    parts: list[tuple[int, np.ndarray]] = []
     held = 0
     for i, text in enumerate(texts):
-        words, nth = words_of(text), 0
+        words, carry = words_of(text), np.empty((0, TERMS), np.int32)
         while block := list(islice(words, step)):
-            parts.append((i, nth, hasher.terms(block)))
-            nth += len(block) // width
-            held += len(block)
+            terms = np.concatenate([carry, hasher.terms(block)])
+            parts.append((i, terms))
+            carry = terms[-half:] if len(block) == step else carry[:0]  # the next block's first window begins here
+            held += len(terms)
             if held >= most:
-                yield _windows(parts, hasher.buckets, width)
+                yield _windows(parts, hasher.buckets, half)
                 parts, held = [], 0
     if parts:
-        yield _windows(parts, hasher.buckets, width)
+        yield _windows(parts, hasher.buckets, half)
 
 
-def _windows(parts: list[tuple[int, int, np.ndarray]], buckets: int, width: int) -> Windows:
-    sizes = np.array([len(x) for _, _, x in parts])
-    per_part = -(-sizes // width)
+def _windows(parts: list[tuple[int, np.ndarray]], buckets: int, half: int) -> Windows:
+    sizes = np.array([len(x) for _, x in parts])
+    per_part = np.maximum(1, -(-sizes // half) - 1)
     total = int(per_part.sum())
     begins = np.cumsum(per_part) - per_part
-    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    window = np.repeat(begins, sizes) + at // width
+    at = (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // half
+    terms = np.concatenate([x for _, x in parts])
+    # a word stands in the window that begins with its half and in the one before, where there are such
+    own, before = at < np.repeat(per_part, sizes), at > 0
+    window = np.repeat(begins, sizes) + at
+    window = np.concatenate([window[own], window[before] - 1])
     length = np.log2(np.bincount(window, minlength=total)).astype(np.int64)
     kind = np.array([length_term(i, buckets) for i in range(int(length.max()) + 1)])[length]
-    keys = np.concatenate([(window[:, None] * buckets + np.concatenate([x for _, _, x in parts])).ravel(), np.arange(total) * buckets + kind])
+    keys = np.concatenate([(window[:, None] * buckets + np.concatenate([terms[own], terms[before]])).ravel(), np.arange(total) * buckets + kind])
     both, count = np.unique(keys, return_counts=True)
     first = np.searchsorted(both, np.arange(total) * buckets)
-    doc = np.repeat([i for i, _, _ in parts], per_part)
-    nth = np.repeat([n for _, n, _ in parts], per_part) + np.arange(total) - np.repeat(begins, per_part)
-    return Windows(both % buckets, np.log2(1.0 + count).astype(np.float32), first, doc, nth)
+    return Windows(both % buckets, np.log2(1.0 + count).astype(np.float32), first, np.repeat([i for i, _ in parts], per_part))
 
 
 def length_term(power: int, buckets: int) -> int:

@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is read whole, in windows of `width` words. A window's terms are its words, their
+A text is read whole, in windows of `width` words, each half over the next. A window's terms are its words, their
 heads and its length, x being log2(1 + count); its logit is bias + sum w[t] x[t] + the sum over
 pairs of terms of <v[t], v[u]> x[t] x[u], and the text's is that of its worst window, so a long
-text doesn't hide a short insult. Linear weights begin at damped log odds; weights, factors
+text doesn't hide a short insult. For the fit, windows are made on executors; the driver gets
+counts of terms, and then only the terms that take part. Linear weights begin at damped log odds; weights, factors
 and bias are then fitted together by AdaGrad on the logistic loss of the worst windows. The
 pairs' factors tell an insult next to a mention of a group, or next to a second insult, from
 either alone.
@@ -17,19 +18,18 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
-from .features import Hasher, Windows, length_term, slices, windows
+from .common import held_out, labelled_sample, settled
+from .features import Hasher, length_term, slices, windows
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled documents used at most; a larger set of labels is sampled by hash.
+    #: Labelled documents used at most, and their characters together; a larger set of labels is sampled by hash, whole documents at a time.
     sample: int = 8_000
-    #: Windows of one labelled document used, evenly spread: about so many of a long one (training alone; scoring reads all).
-    sample_windows: int = 64
+    sample_chars: int = 1 << 27
     buckets: int = 1 << 18
     factors: int = 4
     width: int = 256
@@ -78,50 +78,74 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Machine:
-    """The machine for labels 0 and 1. With one class only, or no row, it is a constant: the damped share of ones."""
-    s, n = settings, len(texts)
-    y = np.asarray(y, np.float64)
-    prior = (y.sum() + 0.5) / (n + 1)
-    machine = Machine(s, float(np.log(prior / (1 - prior))), np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.factors), np.float32))
-    if not n or y.min() == y.max():
-        return machine
-    hasher = Hasher(s.buckets)
-
-    # windows are read twice, some at a time: memory follows the terms that take part
-    strides = np.array([1 + len(t) // (6 * s.width * s.sample_windows) for t in texts])
-
-    def read() -> Iterator[Windows]:
-        for found in windows(texts, hasher, s.width):
-            yield found.where(np.flatnonzero(found.nth % strides[found.doc] == 0))
-
-    # log odds of a term over documents, damped; a term without a clear lean takes no part
-    good, bad = np.zeros(s.buckets), np.zeros(s.buckets)
-    for found in read():
-        pair = np.unique(np.repeat(found.doc, np.diff(np.r_[found.first, len(found.term)])) * s.buckets + found.term)
-        toxic = y[pair // s.buckets] == 1
-        bad += np.bincount(pair[toxic] % s.buckets, minlength=s.buckets)
-        good += np.bincount(pair[~toxic] % s.buckets, minlength=s.buckets)
-    odds = np.log((bad + prior) / (y.sum() + 1)) - np.log((good + 1 - prior) / (n - y.sum() + 1))
+def term_counts(texts: list[str], y: np.ndarray, settings: Settings, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents of class 0 and of class 1 each term stands."""
+    good, bad = np.zeros(settings.buckets, np.int64), np.zeros(settings.buckets, np.int64)
+    for i, text in enumerate(texts):
+        found = [w.term for w in windows([text], hasher, settings.width)]
+        if found:
+            (bad if y[i] == 1 else good)[np.unique(np.concatenate(found))] += 1
+    return good, bad
+
+
+def leaning(good: np.ndarray, bad: np.ndarray, n: int, toxic: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term the damped log odds over documents, and whether it takes part: it has a clear lean, or tells a window's length."""
+    s, prior = settings, (toxic + 0.5) / (n + 1)
+    odds = np.log((bad + prior) / (toxic + 1)) - np.log((good + 1 - prior) / (n - toxic + 1))
     z = odds / np.sqrt(1 / (bad + prior) + 1 / (good + 1 - prior))
     active = (good + bad >= s.least_docs) & (np.abs(z) >= s.least_z)
     active[[length_term(i, s.buckets) for i in range(int(np.log2(s.width)) + 1)]] = True
-    machine.w = np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
-    machine.v = (active[:, None] * np.random.default_rng(s.seed).normal(0, 0.02, machine.v.shape)).astype(np.float32)
-    parts, begun = [], 0
-    for found in read():
-        found = found.only(active)
-        parts.append((found.term.astype(np.int32), found.x, found.first + begun, found.doc))
-        begun += len(found.term)
-    hasher.clear()
+    return odds, active
+
+
+@dataclass
+class Examples:
+    """The windows of some documents, with the terms that take part; documents without a window are left out."""
+
+    term: np.ndarray
+    x: np.ndarray
+    #: Terms of each window, windows of each document, and its label.
+    size: np.ndarray
+    count: np.ndarray
+    y: np.ndarray
+
+
+def examples(text: str, hasher: Hasher, active: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, their x and the sizes of a text's windows."""
+    parts = [w.only(active) for w in windows([text], hasher, settings.width)]
     if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32)
+    return np.concatenate([p.term for p in parts]).astype(np.int32), np.concatenate([p.x for p in parts]), np.concatenate([np.diff(np.r_[p.first, len(p.term)]) for p in parts]).astype(np.int32)
+
+
+def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Machine:
+    """The machine for labels 0 and 1 of texts at hand."""
+    y, hasher = np.asarray(y), Hasher(settings.buckets)
+    odds, active = leaning(*term_counts(texts, y, settings, hasher), len(y), int(y.sum()), settings)
+    found = [(*examples(t, hasher, active, settings), label) for t, label in zip(texts, y)]
+    return fitted(_stacked(found), odds, active, len(y), int(y.sum()), settings)
+
+
+def _stacked(found: list[tuple]) -> Examples:
+    found = [f for f in found if len(f[2])]
+    none = (np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32))
+    return Examples(*(np.concatenate([f[i] for f in found]) if found else none[i] for i in range(3)), np.array([len(f[2]) for f in found], np.int64), np.array([f[3] for f in found], np.float64))
+
+
+def fitted(found: Examples, odds: np.ndarray, active: np.ndarray, n: int, toxic: int, settings: Settings) -> Machine:
+    """With one class only, or no row, the machine is a constant: the damped share of ones."""
+    s, prior = settings, (toxic + 0.5) / (n + 1)
+    machine = Machine(s, float(np.log(prior / (1 - prior))), np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.factors), np.float32))
+    if not len(found.y) or toxic in (0, n):
         return machine
-    term, x, first, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    ends = np.r_[first[1:], len(term)]
+    machine.w = np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
+    machine.v = (active[:, None] * np.random.default_rng(s.seed).normal(0, 0.02, machine.v.shape)).astype(np.float32)
+    term, x, target = found.term, found.x, found.y
+    ends = np.cumsum(found.size, dtype=np.int64)
+    first = ends - found.size
+    begins = np.cumsum(found.count) - found.count
+    groups = np.repeat(np.arange(len(target)), found.count)
     g_w, g_v, g_b = np.full(s.buckets, 1e-2, np.float32), np.full(machine.v.shape, 1e-2, np.float32), 1e-2
-    own, begins = np.unique(doc, return_index=True)
-    target = y[own]
-    groups = np.repeat(np.arange(len(own)), np.diff(np.r_[begins, len(doc)]))
     for _ in range(s.rounds):
         logit, sums = machine.logits(term, x, first)
         worst = np.flatnonzero(logit == np.maximum.reduceat(logit, begins)[groups])
@@ -130,9 +154,9 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
         at, _ = slices(first[worst], ends[worst])
         size = ends[worst] - first[worst]
         terms, value, per = term[at], x[at], np.repeat(error, size) * x[at]
-        d_w = np.bincount(terms, per, s.buckets).astype(np.float32) + s.decay * len(own) * machine.w * active
+        d_w = np.bincount(terms, per, s.buckets).astype(np.float32) + s.decay * len(target) * machine.w * active
         d_x = per[:, None] * (np.repeat(sums[worst], size, axis=0) - machine.v[terms] * value[:, None])
-        d_v = np.stack([np.bincount(terms, d_x[:, f], s.buckets) for f in range(s.factors)], axis=1).astype(np.float32) + 10 * s.decay * len(own) * machine.v
+        d_v = np.stack([np.bincount(terms, d_x[:, f], s.buckets) for f in range(s.factors)], axis=1).astype(np.float32) + 10 * s.decay * len(target) * machine.v
         d_b = float(error.sum())
         g_w += d_w * d_w
         g_v += d_v * d_v
@@ -144,8 +168,40 @@ def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Mac
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Machine:
-    rows = labelled_sample(docs, labels, label, settings.sample).toPandas().sort_values("_id")
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(), settings)
+    """Of at most `sample` labelled documents with `sample_chars` characters together, in the order of their hashes.
+
+    Texts stay on executors. The driver gets a number for each hashed term, and of each
+    window the terms that take part: both follow the bounds of the settings.
+    """
+    spark = docs.sparkSession
+    rows = settled(labelled_sample(docs, labels, label, settings.sample))
+    size = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    within = rows.select("_id", F.char_length("text").alias("_n"), "text").select(F.col("_id").alias("_w"), size.alias("_to")).where(F.col("_to") <= settings.sample_chars)
+    rows = rows.join(F.broadcast(within.select("_w")), F.col("_id") == F.col("_w")).select("_id", "y", "text")  # ids bounded by `sample`
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, total = Hasher(settings.buckets), np.zeros((2, settings.buckets), np.int64)
+        for batch in batches:
+            total += term_counts(batch.column(2).to_pylist(), batch.column(1).to_numpy(), settings, hasher)
+        met = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[0][met]), pa.array(total[1][met])], names=["term", "good", "bad"])
+
+    by = rows.mapInArrow(count, "term long, good long, bad long").groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
+    good, bad = np.zeros(settings.buckets), np.zeros(settings.buckets)
+    good[by["term"].to_numpy(np.int64)], bad[by["term"].to_numpy(np.int64)] = by["good"], by["bad"]
+    odds, active = leaning(good, bad, n, int(toxic), settings)
+    box = spark.sparkContext.broadcast(np.packbits(active))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, takes_part = Hasher(settings.buckets), np.unpackbits(box.value, count=settings.buckets).astype(bool)
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            found = [[p.tobytes() for p in examples(t, hasher, takes_part, settings)] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.binary()) for i in range(3))], names=["_id", "y", "term", "x", "size"])
+
+    seen = sorted(rows.mapInArrow(read, "_id long, y int, term binary, x binary, size binary").collect(), key=lambda r: r["_id"])
+    kinds = (np.int32, np.float32, np.int32)
+    return fitted(_stacked([(*(np.frombuffer(r[c], k) for c, k in zip(("term", "x", "size"), kinds)), r["y"]) for r in seen]), odds, active, n, int(toxic), settings)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
