@@ -340,3 +340,30 @@ def test_mixing_keeps_chances_and_targets(spark):
         for key, part in (got.copies - per).groupby([got.source, got["size"]]):
             copies[key] += part.tolist()
     assert all(abs(np.mean(x)) < 0.06 for x in copies.values())
+
+
+def test_toxicity_scores_by_hand():
+    """Windows and logits against loops over words and pairs of terms, of short, long and empty texts."""
+    rng = np.random.default_rng(3)
+    texts = ["", "?!", *(" ".join(rng.choice(["vile", "Scum", "tree", "river", "house", "of", "él"], int(n))) for n in (1, 3, 7, 8, 9, 12, 16, 17, 40, 200))]
+    s = toxicity.Settings(buckets=1 << 10, width=8, least_docs=1, least_z=0.0)
+    machine = toxicity.fit(texts, np.arange(len(texts)) % 2, s)
+    crc = lambda t: zlib.crc32(t.encode()) % s.buckets
+
+    def score(text):
+        words, worst = re.findall(r"\w+", text.lower()), None
+        for begin in range(0, max(1, len(words) - 4), 4) if words else []:
+            own = words[begin : begin + 8]
+            x = collections.Counter(crc(t) for w in own for t in (w, f"4 {w[:4]}", f"6 {w[:6]}"))
+            x[crc(f"length {int(np.log2(len(own)))}")] += 1
+            x = {t: np.log2(1.0 + n) for t, n in x.items()}
+            pairs = sum(x[t] * x[u] * float(machine.v[t].astype(float) @ machine.v[u]) for t in x for u in x if t < u)
+            logit = machine.bias + sum(float(machine.w[t]) * n for t, n in x.items()) + pairs
+            worst = logit if worst is None else max(worst, logit)
+        return 1 / (1 + np.exp(-(machine.bias if worst is None else worst)))
+
+    got = machine.scores(texts, toxicity.Hasher(s.buckets))
+    assert np.abs(got - [score(t) for t in texts]).max() < 1e-5 and got.std() > 0.01
+    blocks = list(toxicity.windows([texts[-1]], toxicity.Hasher(s.buckets), 8, most=16))
+    whole = list(toxicity.windows([texts[-1]], toxicity.Hasher(s.buckets), 8))
+    assert len(blocks) > 3 and (np.concatenate([b.term for b in blocks]) == whole[0].term).all()
