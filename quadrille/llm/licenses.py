@@ -1,6 +1,6 @@
 """License scans: ordered signature rules over the words of a text.
 
-A rule is a regular expression over words, hand-written for its family, with keywords. One
+A rule is a regular expression over words, written by hand (signatures.py), with keywords. One
 pass of a keyword automaton tells which rules can match at all; only those run. Detections
 are then taken by priority: one that lies within an interval already taken is dropped, so
 "apache license version 2 0" doesn't also count as a bare "apache license". Base rules
@@ -20,117 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .signatures import SIGNATURES
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {ord(a): a.lower() for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 #: Phrases that are always reported, whatever else covers them.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Families: label, keywords (each alternative of the name has one of them), name as a word pattern, version pattern (or none), further names of the exact license text or its identifier.
-FAMILIES = (
-    ("apache-2.0", "apache", r"apache(?: software)?(?: public)?", r"2(?: 0)?", ("apache 2 0", "asl 2 0", "apache software foundation license")),
-    ("apache-1.1", "apache", r"apache(?: software)?", r"1 1", ("apache 1 1",)),
-    ("apache-1.0", "apache", r"apache(?: software)?", r"1 0", ("apache 1 0",)),
-    ("mit", "mit", r"(?:the )?mit(?: x11| expat)?", None, ("mit licensed", "expat license")),
-    ("bsd-2-clause", "bsd", r"(?:simplified|2 clause|two clause) bsd|bsd (?:2|two) clause", None, ("freebsd license",)),
-    ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause", None, ()),
-    ("bsd-4-clause", "bsd", r"(?:original|old|4 clause|four clause) bsd|bsd (?:4|four) clause", None, ()),
-    ("gpl-1.0", "gpl", r"gnu gpl|gpl", r"v?1(?: 0)?", ("gplv1",)),
-    ("gpl-2.0", "gpl", r"gnu gpl|gpl", r"v?2(?: 0)?", ("gplv2", "gpl2")),
-    ("gpl-3.0", "gpl", r"gnu gpl|gpl", r"v?3(?: 0)?", ("gplv3", "gpl3")),
-    ("gpl-2.0", "general", r"(?:gnu )?general public", r"v?2(?: 0)?", ()),
-    ("gpl-3.0", "general", r"(?:gnu )?general public", r"v?3(?: 0)?", ()),
-    ("lgpl-2.0", "lesser library", r"(?:gnu )?(?:lesser|library) general public", r"v?2(?: 0)?", ()),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public", r"v?2 1", ()),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public", r"v?3(?: 0)?", ()),
-    ("lgpl-2.1", "lgpl", r"lgpl", r"v?2 1", ("lgplv2 1",)),
-    ("lgpl-3.0", "lgpl", r"lgpl", r"v?3(?: 0)?", ("lgplv3", "lgpl3")),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public", r"v?3(?: 0)?", ()),
-    ("agpl-3.0", "agpl", r"agpl", r"v?3(?: 0)?", ("agplv3",)),
-    ("mpl-1.1", "mozilla", r"mozilla public", r"1 1", ("mpl 1 1",)),
-    ("mpl-2.0", "mozilla", r"mozilla public", r"2(?: 0)?", ("mpl 2 0",)),
-    ("epl-1.0", "eclipse", r"eclipse public", r"1(?: 0)?", ("epl 1 0",)),
-    ("epl-2.0", "eclipse", r"eclipse public", r"2(?: 0)?", ("epl 2 0",)),
-    ("cddl-1.0", "common", r"common development and distribution", r"1(?: 0)?", ("cddl 1 0",)),
-    ("cpl-1.0", "common", r"common public", r"1(?: 0)?", ()),
-    ("isc", "isc", r"isc", None, ()),
-    ("zlib", "zlib", r"zlib(?: libpng)?", None, ()),
-    ("boost-1.0", "boost", r"boost software", r"1(?: 0)?", ("bsl 1 0",)),
-    ("artistic-1.0", "artistic", r"(?:perl )?artistic", r"1(?: 0)?", ()),
-    ("artistic-2.0", "artistic", r"(?:perl )?artistic", r"2(?: 0)?", ()),
-    ("unlicense", "unlicense", r"unlicense", None, ("the unlicense",)),
-    ("wtfpl", "wtfpl", r"wtfpl", None, ()),
-    ("psf-2.0", "python psf", r"python software foundation|psf", r"2(?: 0)?", ()),
-    ("ofl-1.1", "open", r"sil open font|open font", r"1 1", ()),
-    ("eupl-1.2", "european", r"european union public", r"1 2", ("eupl 1 2",)),
-    ("openssl", "openssl", r"openssl", None, ()),
-    ("postgresql", "postgresql", r"postgresql", None, ()),
-    ("ruby", "ruby", r"ruby", None, ()),
-    ("php-3.01", "php", r"php", r"3 01", ()),
-    ("vim", "vim", r"vim", None, ()),
-    ("ms-pl", "microsoft", r"microsoft public", None, ("ms pl",)),
-    ("ms-rl", "microsoft", r"microsoft reciprocal", None, ("ms rl",)),
-    ("odbl-1.0", "open", r"open (?:data commons )?open database|open database", r"1(?: 0)?", ("odbl 1 0",)),
-    ("odc-by-1.0", "open", r"open data commons attribution", r"1(?: 0)?", ()),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation", r"1 [123]", ("gfdl",)),
-    ("ncsa", "illinois ncsa", r"university of illinois (?:ncsa )?open source|ncsa(?: open source)?", None, ()),
-    ("upl-1.0", "universal", r"universal permissive", r"1(?: 0)?", ()),
-    ("cc0-1.0", "cc0 zero", r"cc0|creative commons (?:zero|cc0)", r"1(?: 0)?", ("cc0 1 0",)),
-)
-#: How a family's license is named in running text; {n} its name, {v} its version. Earlier ones win.
-FORMS = (
-    r"licensed under (?:the )?(?:{n}) license(?: version| v)? {v}",
-    r"licensed under (?:the )?terms of (?:the )?(?:{n}) license(?: version| v)? {v}",
-    r"(?:{n}) license(?: as published by the free software foundation)?(?: either)?(?: version| v)? {v}",
-    r"license (?:identifier )?(?:{n}) {v}",
-    r"(?:{n})(?: version| v)? {v} license",
-)
-#: Creative Commons: the parts of a license's name, each with its words.
-CC_PARTS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?derivat(?:ives|ive works)"}
-CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-
-#: Single signatures: label, keywords, pattern, weight. Phrases of license texts and notices.
-SINGLES = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.95),
-    ("bsd-3-clause", "endorse", r"neither the name of (?:\S+ ){1,12}?(?:may|nor the names of its contributors may) be used to endorse or promote", 0.9),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 0.95),
-    ("zlib", "altered", r"altered source versions must be plainly marked as such", 0.95),
-    ("apache-2.0", "apache", r"www apache org licenses license 2 0", 0.95),
-    ("gpl", "free", r"this program is free software you can redistribute it and or modify", 0.9),
-    ("lgpl", "library", r"this library is free software you can redistribute it and or modify", 0.9),
-    ("gpl", "gnu", r"www gnu org licenses(?: gpl\S*)?", 0.8),
-    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 0.95),
-    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 0.95),
-    ("boost-1.0", "boost", r"distributed under the boost software license version 1 0", 0.95),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
-    ("wtfpl", "fuck", r"do what the fuck you want to public license", 0.95),
-    ("public-domain", "domain", r"(?:released|placed|dedicated|put)(?: in| into| to)? the public domain", 0.9),
-    ("public-domain", "domain", r"public domain", 0.5),
-    ("cc", "creative", r"creative commons(?: license)?", 0.6),
-    ("cc", "creativecommons", r"creativecommons org (?:licenses|publicdomain)(?: \S+){0,4}?", 0.8),
-    ("cc0-1.0", "cc0", r"cc0", 0.7),
-    ("apache", "apache", r"apache license", 0.7),
-    ("mit", "mit", r"(?:the )?mit license|license mit|mit licensed", 0.85),
-    ("bsd", "bsd", r"bsd(?: style)? license", 0.7),
-    ("gpl", "gpl", r"(?:gnu )?gpl", 0.6),
-    ("gpl", "general", r"gnu general public license", 0.8),
-    ("lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public license", 0.8),
-    ("agpl", "affero", r"(?:gnu )?affero general public license", 0.8),
-    ("mpl", "mozilla", r"mozilla public license", 0.7),
-    ("epl", "eclipse", r"eclipse public license", 0.7),
-    ("warranty", "warranty", r"(?:without warranty of any kind|without any warranty|provided as is without warranty)", 0.5),
-    ("warranty", "warranties", r"(?:without warranties or conditions of any kind|as is and any express or implied warranties)", 0.5),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 0.4),
-    ("copyright", "copyright", r"copyright", 0.2),
-    ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", 0.7),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)(?: \S+){0,8}? (?:is )?(?:strictly )?prohibited", 0.7),
-    ("spdx", "spdx", r"spdx license identifier \S+(?: \d+)*", 0.9),
-    ("license-notice", "licensed", r"licensed under (?:the )?", 0.3),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -144,34 +41,13 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, in order of priority: base phrases, then the more exact before the less. About 500."""
-
-    def rule(label: str, keyword: str, pattern: str, weight: float, base: bool = False) -> Rule:
-        # over " w1 w2 ... wn ", so a match begins behind a space and ends before one; places may overlap
-        return Rule(label, tuple(keyword.split()), re.compile(rf"(?<= )(?:{pattern})(?= )"), weight, base)
-
-    out = [rule(label, phrase.split()[0], phrase, 0.9, base=True) for phrase, label in BASE]
-    for parts in CC_PARTS:
-        name = parts.replace(" ", "-")
-        words = " ".join(CC_WORDS[p] for p in parts.split())
-        for v in CC_VERSIONS:
-            label = f"cc-{name}-{v.replace(' ', '.')}"
-            out.append(rule(label, "creative", rf"creative commons {words}(?: (?:international|unported|generic))?(?: license)?(?: version)? {v}(?: (?:international|unported|generic))?(?: license)?", 0.95))
-            out.append(rule(label, "cc", rf"cc {parts} {v}", 0.95))
-            out.append(rule(label, "creativecommons", rf"creativecommons org licenses {parts} {v}", 0.95))
-        out.append(rule(f"cc-{name}", "creative", rf"creative commons {words}(?: license)?", 0.85))
-        if parts != "by":
-            out.append(rule(f"cc-{name}", "cc", rf"cc {parts}", 0.85))
-    exact, loose = [], []
-    for label, keyword, name, version, others in FAMILIES:
-        if version is not None:
-            exact += [rule(label, keyword, form.format(n=name, v=version), 0.95) for form in FORMS]
-        else:
-            loose += [rule(label, keyword, f.format(n=name, v="").replace("(?: version| v)? ", "").rstrip(), 0.85) for f in FORMS[:2]]
-            loose.append(rule(label, keyword, rf"(?:{name}) license", 0.8))
-        exact += [rule(label, other.split()[0], other, 0.85) for other in others]
-    out += exact + [rule(*s) for s in sorted(SINGLES, key=lambda s: -s[3]) if s[3] >= 0.9] + loose
-    return tuple(out + [rule(*s) for s in sorted(SINGLES, key=lambda s: -s[3]) if s[3] < 0.9])
+    """All rules in order of priority: the base phrases, then the signatures."""
+
+    def rule(label: str, keywords: str, pattern: str, weight: float, base: bool = False) -> Rule:
+        # over " w1 w2 ... wn ", so a match begins behind a space and ends before one
+        return Rule(label, tuple(keywords.split()), re.compile(rf"(?<= )(?:{pattern})(?= )"), weight, base)
+
+    return (*(rule(label, phrase.split()[0], phrase, 0.9, base=True) for phrase, label in BASE), *(rule(*s) for s in SIGNATURES))
 
 
 @cache
@@ -211,28 +87,41 @@ def scan(text: str | None, gated: bool = True) -> tuple[int, list[Detection]]:
     hit = {k for _, k in automaton.iter(line)} if gated else set(by)
     if not hit:
         return len(words), []
-    spaces: np.ndarray | None = None
+    chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    spaces = np.flatnonzero(chars == 32)
     found: list[Detection] = []
-    taken: list[tuple[int, int]] = []
+    # intervals taken so far: their begins, ascending, and the largest end up to each
+    begins, ends, reach = (np.empty(0, np.int64),) * 3
     for i in sorted({i for k in hit for i in by[k]}):
-        r, at = rules()[i], 0
-        while m := r.pattern.search(line, at):
-            if spaces is None:
-                spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-            begin, end = (int(x) for x in np.searchsorted(spaces, (m.start(), m.end())))
-            begin -= 1
-            end = max(end, begin + 1)
-            if r.base:
-                found.append(Detection(r.label, i, begin, end, r.weight, True))
-                at = m.start() + 1
-                continue
-            if not any(a <= begin and end <= b for a, b in taken):
-                found.append(Detection(r.label, i, begin, end, r.weight, False))
-                taken.append((begin, end))
-            at = max(m.end(), m.start() + 1)
+        r = rules()[i]
+        places, labels = _matches(r, line)
+        if not len(places):
+            continue
+        own = np.searchsorted(spaces, places)
+        own[:, 0] -= 1
+        own[:, 1] = np.maximum(own[:, 1], own[:, 0] + 1)
+        if not r.base:
+            at = np.searchsorted(begins, own[:, 0], side="right") - 1
+            free = np.flatnonzero(~((at >= 0) & (reach[at] >= own[:, 1]))) if len(begins) else np.arange(len(own))
+            own, labels = own[free], [labels[j] for j in free.tolist()]
+            begins, ends = np.concatenate([begins, own[:, 0]]), np.concatenate([ends, own[:, 1]])
+            order = np.argsort(begins, kind="stable")
+            begins, ends = begins[order], ends[order]
+            reach = np.maximum.accumulate(ends)
+        found += [Detection(label, i, begin, end, r.weight, r.base) for label, (begin, end) in zip(labels, own.tolist())]
     return len(words), sorted(found, key=lambda d: (d.begin, d.end, d.rule))
 
 
+def _matches(r: Rule, line: str) -> tuple[np.ndarray, list[str]]:
+    """Where a rule matches in a line, begins and ends (n, 2), and the labels. A base phrase's places may overlap, others don't."""
+    places, labels, at = [], [], 0
+    while m := r.pattern.search(line, at):
+        places.append((m.start(), m.end()))
+        labels.append(r.label.replace("{v}", (m["v"] or "").strip().replace(" ", ".")).rstrip("-") if "{v}" in r.label else r.label)
+        at = m.start() + 1 if r.base else max(m.end(), m.start() + 1)
+    return np.array(places, np.int64).reshape(-1, 2), labels
+
+
 SPAN = pa.struct([("label", pa.string()), ("rule", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("weight", pa.float64()), ("base", pa.bool_())])
 
 
