@@ -1,8 +1,8 @@
 """RDFS entailment: rules 2, 3, 5, 7, 9 and 11.
 
 The schema (subclasses, subproperties, domains, ranges) is closed on the driver: it is the
-vocabulary, not the data, and its size is checked. The data take one narrow pass against
-the closed rules and one shuffle that removes what is already known.
+vocabulary, not the data, and its size is checked. In a round the data meet the closed rules
+in one join (broadcast up to a size) and one shuffle removes what is already known.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -97,53 +97,71 @@ class RdfsStats:
     rounds: int
 
 
-def _pairs(spark, relation: dict[Term, set[Term]]) -> DataFrame:
-    rows = [(a.row(), b.row()) for a in sorted(relation) for b in sorted(relation[a])]
-    return spark.createDataFrame(rows, f"a {T.TERM}, b {T.TERM}")
+#: What a rule makes of a triple (s, p, o): the same with another predicate, a type of s, a type of o.
+_MORE, _SUBJECT, _OBJECT = 0, 1, 2
+#: Closed rules that are broadcast at most; more are joined by shuffle.
+BROADCAST_RULES = 200_000
 
 
-def proposals(default: DataFrame, schema: RdfsSchema) -> DataFrame:
-    """(s, p, o) that the rules give over the default graph's (s, p, o), with repeats."""
-    spark = default.sparkSession
+def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
+    """(s, p, o) that the rules give over triples (s, p, o), with repeats: one join with the closed rules, one explode.
+
+    A triple's rules hang on its class where it is a type, else on its predicate. What the
+    schema says of rdf:type itself holds for each type and stands in the plan as constants.
+    """
+    spark = triples.sparkSession
     more, of_subject, of_object = schema.rules()
-    typed: Column = T.constant(T.iri(T.TYPE))
-    out = []
-
-    def add(relation: dict[Term, set[Term]], key: str, s: str | Column, p: Column | str, o: str | Column, data: DataFrame) -> None:
-        if any(relation.values()):
-            pairs = _pairs(spark, relation)
-            hit = data.join(pairs.withColumn("key", F.col("a.v")), F.col(f"{key}.v") == F.col("key")).where(F.col(key) == F.col("a"))
-            out.append(hit.select(*[(F.col(x) if isinstance(x, str) else x).alias(n) for x, n in ((s, "s"), (p, "p"), (o, "o"))]))
-
-    add(more, "p", "s", "b", "o", default)
-    add(of_subject, "p", "s", typed, "b", default)
-    add(of_object, "p", "o", typed, "b", default)
-    add(schema.sub_class, "o", "s", typed, "b", default.where(F.col("p.v") == T.TYPE))
-    for name, relation in ((SUB_CLASS, schema.sub_class), (SUB_PROPERTY, schema.sub_property)):
-        if any(relation.values()):
-            out.append(_pairs(spark, relation).select(F.col("a").alias("s"), T.constant(T.iri(name)).alias("p"), F.col("b").alias("o")))
-    found = default.limit(0) if not out else out[0]
-    for x in out[1:]:
-        found = found.unionAll(x)
-    return found
+    by_predicate: dict[Term, list[tuple[int, Term]]] = defaultdict(list)
+    for mode, relation in ((_MORE, more), (_SUBJECT, of_subject), (_OBJECT, of_object)):
+        for p, terms in relation.items():
+            by_predicate[p] += [(mode, t) for t in sorted(terms)]
+    own = by_predicate.pop(T.iri(T.TYPE), [])
+    rows = [(False, p.row(), [(m, t.row()) for m, t in found]) for p, found in by_predicate.items() if found]
+    rows += [(True, c.row(), [(_SUBJECT, t.row()) for t in sorted(above)]) for c, above in schema.sub_class.items() if above]
+    is_type = F.col("p.v") == T.TYPE
+    out = f"array<struct<m:tinyint,t:{T.TERM}>>"
+    found = triples.limit(0)
+    if rows or own:
+        rules = spark.createDataFrame(rows, f"ofclass boolean, k {T.TERM}, outs {out}")
+        if len(rows) <= BROADCAST_RULES:
+            rules = F.broadcast(rules)
+        keyed = triples.withColumn("ofclass", is_type).withColumn("k", F.when(is_type, F.col("o")).otherwise(F.col("p")))
+        joined = keyed.join(rules, ["ofclass", "k"], "left" if own else "inner")
+        always = F.array(*[F.struct(F.lit(m).cast("tinyint").alias("m"), T.constant(t).alias("t")) for m, t in own]).cast(out) if own else F.array().cast(out)
+        outs = F.concat(F.coalesce("outs", F.array().cast(out)), F.when(is_type, always).otherwise(F.array().cast(out))) if own else F.col("outs")
+        each = joined.select("s", "p", "o", F.explode(outs).alias("x"))
+        typed = T.constant(T.iri(T.TYPE))
+        found = each.select(
+            F.when(F.col("x.m") == _OBJECT, F.col("o")).otherwise(F.col("s")).alias("s"),
+            F.when(F.col("x.m") == _MORE, F.col("x.t")).otherwise(typed).alias("p"),
+            F.when(F.col("x.m") == _MORE, F.col("o")).otherwise(F.col("x.t")).alias("o"),
+        )
+    closed = [(a.row(), T.iri(name).row(), b.row()) for name, relation in ((SUB_CLASS, schema.sub_class), (SUB_PROPERTY, schema.sub_property)) for a in sorted(relation) for b in sorted(relation[a])]
+    return found.unionAll(spark.createDataFrame(closed, f"s {T.TERM}, p {T.TERM}, o {T.TERM}")) if closed else found
 
 
 def materialise(quads: DataFrame, settle, most_rounds: int = 65) -> tuple[DataFrame, RdfsStats]:
     """quads with what follows in the default graph, to the fixpoint, and counts.
 
-    settle writes a DataFrame to storage and reads it back. One round is enough for a schema
-    that does not speak of the RDFS vocabulary itself; the last round finds nothing.
+    settle writes a DataFrame to storage and reads it back; it is used for the quads too, as
+    every round reads them. One round is enough for a schema that does not speak of the RDFS
+    vocabulary itself; the last round finds nothing. A round looks at what the round before added, and
+    at everything only where that changed the schema.
     """
-    data = quads
+    data = settle(quads)
     before = data.where("g is null").count()
     added = rounds = 0
+    schema, part = RdfsSchema.collect(data), data.where("g is null").select("s", "p", "o")
     while rounds < most_rounds:
         rounds += 1
-        default = data.where("g is null").select("s", "p", "o")
-        new = settle(proposals(default, RdfsSchema.collect(data)).distinct().join(default, ["s", "p", "o"], "left_anti"))
+        known = data.where("g is null").select("s", "p", "o")
+        new = settle(proposals(part, schema).distinct().join(known, ["s", "p", "o"], "left_anti"))
         fresh = new.count()
         if not fresh:
             break
         added += fresh
         data = data.unionByName(new.select(F.lit(None).cast(T.TERM).alias("g"), "s", "p", "o"))
+        part, changed = new, RdfsSchema.collect(data)
+        if changed != schema:
+            schema, part = changed, data.where("g is null").select("s", "p", "o")
     return data, RdfsStats(before, before + added, added, rounds)

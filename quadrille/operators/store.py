@@ -2,13 +2,15 @@
 
 Saved stores are Parquet, partitioned by a hash bucket of the predicate and sorted within
 files by predicate and subject: a pattern with a constant predicate reads one bucket, and
-min/max statistics of the flat term fields skip row groups for the rest.
+min/max statistics of the flat term fields skip row groups for the rest. A save or an append
+writes folders of its own and then a new manifest that names them; nothing that an older
+manifest names is touched, so stores opened before stay as they were.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -17,13 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans.algebra import Slot, Triple, Var
+from ..storage import Folder, settled, shared_folder
 from . import bindings as B
 from .bindings import Bindings
 from .rdfs import RdfsSchema, RdfsStats, materialise
 
 SCHEMA = f"g {T.TERM}, s {T.TERM}, p {T.TERM}, o {T.TERM}"
 BUCKETS = 64
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 #: Predicates whose counts the planner keeps; beyond that the rest share an estimate.
 MAX_STATS = 50_000
 
@@ -32,11 +35,21 @@ def bucket(v) -> F.Column:
     return F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("int")
 
 
+def _read(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The parts' quads. Each is read by itself, so that the bucket stays a partition column of all."""
+    schema, found = f"{SCHEMA}, pb int", None
+    for part in parts:
+        df = spark.read.schema(schema).parquet(f"{path}/{part}")
+        found = df if found is None else found.unionAll(df)
+    return found
+
+
 class QuadStore:
-    def __init__(self, quads: DataFrame, bucketed: bool = False) -> None:
+    def __init__(self, quads: DataFrame, bucketed: bool = False, path: str | None = None, manifest: dict | None = None) -> None:
         """quads (g, s, p, o), repeats allowed unless they come from a saved store (bucketed)."""
         self.spark: SparkSession = quads.sparkSession
-        self.bucketed = bucketed
+        self.bucketed, self.path, self.manifest = bucketed, path, manifest
+        self.staged = quads
         self.quads = quads if bucketed else quads.select("g", "s", "p", "o").dropDuplicates()
 
     # --- making and keeping ---
@@ -60,34 +73,81 @@ class QuadStore:
         self.quads = self.quads.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
-    def save(self, path: str, compression: str = "zstd") -> None:
-        """compression: zstd (compressed) or none (plain)."""
-        out = self.quads.select("g", "s", "p", "o", bucket("p.v").alias("pb"))
-        out.repartition("pb", F.pmod(F.xxhash64("s.v"), F.lit(8))).sortWithinPartitions("pb", "p", "s").write.mode("overwrite").option("compression", compression).partitionBy("pb").parquet(f"{path}/quads")
-        counts = self.quads.agg(F.count(F.lit(1)), F.count_if(F.col("g").isNull())).first()
-        manifest = {"format": "quadrille", "version": FORMAT_VERSION, "quads": counts[0], "triples": counts[1]}
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    def save(self, path: str, compression: str = "zstd") -> QuadStore:
+        """Write the store and open it; compression: zstd (compressed) or none (plain).
+
+        path may be where this or another store was opened from: that one's files stay until vacuum.
+        """
+        return self._commit(path, self.quads, [], compression)
+
+    def append(self, more: DataFrame | list[tuple], compression: str = "zstd") -> QuadStore:
+        """The opened store with these quads too, in the same place: only what is new is written, the rest isn't read but for the buckets it falls in."""
+        if self.path is None:
+            raise ValueError("only a saved store can be appended to")
+        other = QuadStore(more) if isinstance(more, DataFrame) else QuadStore.of(self.spark, more)
+        fresh = other.quads.withColumn("pb", bucket("p.v"))
+        held = self.quads.select(*[F.col(c).alias(f"_{c}") for c in ("g", "s", "p", "o", "pb")])
+        same = (F.col("pb") == F.col("_pb")) & F.col("g").eqNullSafe(F.col("_g")) & (F.col("s") == F.col("_s")) & (F.col("p") == F.col("_p")) & (F.col("o") == F.col("_o"))
+        return self._commit(self.path, fresh.join(held, same, "left_anti"), self.manifest["parts"], compression)
+
+    def _commit(self, path: str, quads: DataFrame, parts: list[str], compression: str) -> QuadStore:
+        part = f"quads-{uuid.uuid4().hex}"
+        out = quads.select("g", "s", "p", "o", bucket("p.v").alias("pb")).hint("rebalance", "pb")  # as many tasks as the data ask for, a large bucket in several
+        out.sortWithinPartitions("pb", "p.v", "s.v").write.option("compression", compression).partitionBy("pb").parquet(f"{path}/{part}")
+        parts = [*parts, part]
+        store = QuadStore(_read(self.spark, path, parts), bucketed=True)
+        by = store.quads.groupBy(F.col("p.v").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g").isNull()).alias("t"), F.approx_count_distinct("s.v").alias("s"), F.approx_count_distinct("o.v").alias("o"))
+        by = settled(by)
+        total, triples = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        stats = {r.p: (r.n, max(1, r.s), max(1, r.o)) for r in by.orderBy(F.desc("n")).limit(MAX_STATS).collect()}
+        manifest = {"format": "quadrille", "version": FORMAT_VERSION, "parts": parts, "quads": total, "triples": triples, "stats": stats}
+        number = max([int(n) for n in Folder(self.spark, f"{path}/manifests").names() if n.isdigit()], default=0) + 1
+        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifests/{number:09d}")
+        return QuadStore.open(self.spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> QuadStore:
-        try:
-            manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-        except Exception as e:
-            raise ValueError(f"{path} holds no store") from e
+        numbers = sorted((n for n in Folder(spark, f"{path}/manifests").names() if n.isdigit()), reverse=True)
+        for number in numbers:  # one that wasn't finished has no mark
+            if "_SUCCESS" in Folder(spark, f"{path}/manifests/{number}").names():
+                break
+        else:
+            raise ValueError(f"{path} holds no store")
+        manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{number}").collect()))
         if manifest.get("format") != "quadrille" or manifest.get("version") != FORMAT_VERSION:
             raise ValueError(f"{path} holds no store of version {FORMAT_VERSION}")
-        quads = spark.read.schema(f"{SCHEMA}, pb int").parquet(f"{path}/quads")
-        store = cls(quads, bucketed=True)
-        if manifest["quads"] != store.quad_count():
+        store = cls(_read(spark, path, manifest["parts"]), bucketed=True, path=path, manifest=manifest)
+        store.stats = {p: tuple(x) for p, x in manifest["stats"].items()}
+        if manifest["quads"] != store.quads.count():
             raise ValueError(f"{path} is damaged: {manifest['quads']} quads expected")
         return store
 
+    @classmethod
+    def vacuum(cls, spark: SparkSession, path: str) -> None:
+        """Delete what the newest manifest doesn't name; stores opened before can't be read any more."""
+        store = cls.open(spark, path)
+        for name in Folder(spark, path).names():
+            if name.startswith("quads-") and name not in store.manifest["parts"]:
+                Folder(spark, f"{path}/{name}").delete()
+        for name in sorted(n for n in Folder(spark, f"{path}/manifests").names() if n.isdigit())[:-1]:
+            Folder(spark, f"{path}/manifests/{name}").delete()
+
     # --- counts ---
     def triple_count(self) -> int:
-        return self.quads.where("g is null").count()
+        return self.manifest["triples"] if self.manifest else self.quads.where("g is null").count()
 
     def quad_count(self) -> int:
-        return self.quads.count()
+        return self.manifest["quads"] if self.manifest else self.quads.count()
+
+    def staged_count(self) -> int:
+        """Quads that were given, repeats included."""
+        return self.staged.count()
+
+    def size_bytes(self) -> int:
+        """Of a saved store its files' bytes, else what Spark expects its quads to take."""
+        if self.path:
+            return sum(Folder(self.spark, f"{self.path}/{p}").size() for p in self.manifest["parts"])
+        return int(str(self.quads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def named_graphs(self) -> list[T.Term]:
         return [T.Term(r.g.k, r.g.v, r.g.l, r.g.d) for r in self.graphs().orderBy(T.sort_key(F.col("g"))).collect()]
@@ -161,7 +221,7 @@ class QuadStore:
         return RdfsSchema.collect(self.quads)
 
     def materialise_rdfs(self) -> tuple[QuadStore, RdfsStats]:
-        data, stats = materialise(self.quads.select("g", "s", "p", "o"), settle)
+        data, stats = materialise(self.quads.select("g", "s", "p", "o"), settled)
         store = QuadStore(data)
         return store, stats
 
@@ -181,17 +241,4 @@ class QuadStore:
         self.nquads().write.mode("overwrite").text(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which executors share; a local folder only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut from its lineage and from Spark's estimate of its size, which grows with every join."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+__all__ = ["SCHEMA", "QuadStore", "settled", "shared_folder"]

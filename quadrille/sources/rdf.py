@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from ..functions.terms import BLANK, BOOLEAN, DECIMAL, DOUBLE, INTEGER, RDF, TYPE, Term, iri, literal
 from .tokens import ParseError, Token, Tokens, describe
@@ -23,7 +25,9 @@ class _Reader:
 
     def new_blank(self) -> Term:
         self.fresh += 1
-        return self.label(f"genid{self.fresh - 1}")
+        return self.label(f"genid{self.place}{self.fresh - 1}")
+
+    place = ""
 
     def literal(self, token: Token) -> Term:
         """A string with what may follow it at once: a language tag or a datatype."""
@@ -67,6 +71,21 @@ class TurtleReader(_Reader):
                 self.statement()
         return self.out
 
+    def directives(self) -> int:
+        """Read the declarations at the document's beginning, and tell where they end."""
+        t, end = self.tokens, 0
+        while True:
+            token = t.peek()
+            if token.kind == "lang" and token.text in ("@prefix", "@base"):
+                t.next()
+                t.directive(token.text == "@base")
+                t.expect(".")
+            elif word := t.keyword("PREFIX", "BASE"):
+                t.directive(word == "BASE")
+            else:
+                return end
+            end = t.at
+
     def statement(self) -> None:
         t = self.tokens
         alone = t.peek().text == "["
@@ -166,6 +185,93 @@ class LineReader(_Reader):
         return self.label(token.text[2:]) if token.kind == "blank" else self.literal(token)
 
 
+# --- pieces of a document ---
+#: Characters of a piece, about.
+CHUNK = 1 << 19
+#: All but brackets and long strings, up to where that ends; group 1 is the last end of a statement in it.
+_RUN = re.compile(r"""(?:[^"'<#.\[\](){}]++|"(?!"")(?:[^"\\\n\r]|\\[^\n])*+"|""(?!")|'(?!'')(?:[^'\\\n\r]|\\[^\n])*+'|''(?!')|<[^<>"{}|^`\x00-\x20]*+>|#[^\n]*+(?=\n)|(\.)(?=\s)|\.(?=\S))*+""")
+_LONG = re.compile(r'"""(?:"{0,2}(?:[^"\\]|\\.))*"""|' + r"'''(?:'{0,2}(?:[^'\\]|\\.))*'''", re.DOTALL)
+_DIRECTIVE = re.compile(r"@(?:prefix|base)\b|(?<![\w:])(?:prefix|base)\s+(?:[^\s<>\"']*:)?\s*<", re.IGNORECASE)
+
+
+@dataclass
+class Piece:
+    """Whole statements of a document from its character `at` on, which stands at line and column, with what was declared before."""
+
+    text: str
+    at: int = 0
+    line: int = 1
+    column: int = 1
+    prefixes: dict[str, str] = field(default_factory=dict)
+    base: str = ""
+
+
+def pieces(text: str, chunk: int = CHUNK) -> Iterator[Piece]:
+    """A document cut between statements, every `chunk` characters or so; as one where it is short, declares prefixes later on, or can't be cut."""
+    if len(text) <= chunk:
+        yield Piece(text)
+        return
+    reader = TurtleReader(text)
+    try:
+        head = reader.directives()
+    except ParseError:
+        head = None
+    if head is None or _DIRECTIVE.search(text, head):
+        yield Piece(text)
+        return
+    prefixes, base = dict(reader.tokens.prefixes), reader.tokens.base
+    begin, line, start = head, text.count("\n", 0, head) + 1, text.rfind("\n", 0, head) + 1
+    for end in [*_cuts(text, head, chunk), len(text)]:
+        yield Piece(text[begin:end], begin, line, begin - start + 1, prefixes, base)
+        line, start = line + text.count("\n", begin, end), max(start, text.rfind("\n", begin, end) + 1)
+        begin = end
+
+
+def _cuts(text: str, at: int, chunk: int) -> Iterator[int]:
+    """Ends of statements outside brackets, strings, IRIs and comments."""
+    begin, size, last = at, chunk, 0
+    while begin + size < len(text):
+        m = _RUN.match(text, at, begin + size)
+        last = max(last, m.end(1))
+        at = m.end()
+        if at < begin + size and text[at] in "[(":
+            at = _closed(text, at)
+        elif at < begin + size and (long := _LONG.match(text, at)):
+            at = long.end()
+        elif last > begin:  # the window's end, or what doesn't stand whole in it
+            yield last
+            at = begin = last
+            size = chunk
+        else:
+            size *= 2
+
+
+def _closed(text: str, at: int) -> int:
+    """Behind the bracket that closes the one at `at`, or the text's end."""
+    depth = 0
+    while at < len(text):
+        c = text[at]
+        depth += (c in "[(") - (c in "])")
+        at += 1
+        if not depth:
+            return at
+        if c not in "[](){}":
+            m = _LONG.match(text, at - 1) or _RUN.match(text, at - 1)
+            at = max(at, m.end())
+    return at
+
+
+def parse_piece(piece: Piece, scope: str = "") -> list[Triple]:
+    """A piece's triples; errors tell the document's line and column. Nodes without a label are named by the piece's place, but for the first."""
+    reader = TurtleReader(piece.text, scope)
+    reader.tokens.prefixes, reader.tokens.base = dict(piece.prefixes), piece.base
+    reader.place = f"{piece.at}_" if piece.at else ""
+    try:
+        return reader.read()
+    except ParseError as e:
+        raise ParseError(e.message, e.line + piece.line - 1, e.column + (piece.column - 1 if e.line == 1 else 0)) from None
+
+
 def parse_turtle(text: str, scope: str = "") -> list[Triple]:
     return TurtleReader(text, scope).read()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.terms import Term
 from ..operators.store import SCHEMA, QuadStore
-from .rdf import LineReader, parse_nquads, parse_ntriples, parse_turtle
+from .rdf import CHUNK, LineReader, Piece, parse_nquads, parse_ntriples, parse_piece, parse_turtle, pieces
 from .tokens import ParseError
 
 _IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
@@ -49,23 +50,46 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def read_turtle(spark: SparkSession, path: str | list[str], scope: str | None = None, strict: str = "") -> DataFrame:
-    """Whole files, one task each: a Turtle document can't be split. Blank nodes are named after their file.
+def read_turtle(spark: SparkSession, path: str | list[str], scope: str | None = None, strict: str = "", chunk: int = CHUNK) -> DataFrame:
+    """Turtle documents, cut between statements by one cheap pass each and parsed in many tasks. Blank nodes are named after their file.
 
-    strict: "ntriples" or "nquads" reads those by the full grammar, statements over several lines included.
-    A syntax error stops the job before anything is stored.
+    A document whose prefixes change behind its first statement is parsed whole. strict: "ntriples" or
+    "nquads" reads those by the full grammar, statements over several lines included, whole. A
+    document is one value, so of 2 GB at most. A syntax error stops the job before anything is stored.
     """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = {"": parse_turtle, "ntriples": parse_ntriples, "nquads": parse_nquads}[strict]
+        read = {"ntriples": parse_ntriples, "nquads": parse_nquads}[strict]
         for batch in batches:
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = read(text, scope_of(name) if scope is None else scope)
-                for at in range(0, len(found), 20_000):
-                    yield _batch([_flat_row(q) for q in found[at : at + 20_000]])
+                yield from _batches(read(text, scope_of(name) if scope is None else scope))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in pieces(text, chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part.text, name, part.at, part.line, part.column, json.dumps(part.prefixes), part.base)], names=_CUT)
+
+    def parsed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, name, at, line, column, prefixes, base in zip(*(c.to_pylist() for c in batch.columns)):
+                piece = Piece(text, at, line, column, json.loads(prefixes), base)
+                yield from _batches(parse_piece(piece, scope_of(name) if scope is None else scope))
 
     files = spark.read.text(path, wholetext=True).select("value", F.input_file_name())
-    return _quads(files.mapInArrow(parsed, _FLAT))
+    if strict:
+        return _quads(files.mapInArrow(parsed, _FLAT))
+    cuts = files.mapInArrow(cut, "text string, name string, at long, line long, col long, prefixes string, base string")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _quads(cuts.repartition(tasks, "name", "at").mapInArrow(parsed_pieces, _FLAT))
+
+
+_CUT = ["text", "name", "at", "line", "col", "prefixes", "base"]
+
+
+def _batches(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(found), 20_000):
+        yield _batch([_flat_row(q) for q in found[at : at + 20_000]])
 
 
 def parsed_lines(lines: DataFrame, scope: str | None, quads: bool) -> DataFrame:
