@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settled, shared_folder
+
 #: The characters that the contracts call white space: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -18,29 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which driver and executors share.
-
-    Only where that is unset (tests, local runs) it becomes a temporary folder of this machine.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut from its lineage.
-
-    A checkpoint keeps the size that Spark estimated for its plan, and estimates of joins are
-    products; without that size they can't grow from round to round of a loop.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is. lower() has a fast path for plain ASCII and is right there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -107,3 +85,6 @@ def with_group_min(df: DataFrame, group: str, value: str, out: str) -> DataFrame
     least = df.groupBy(group).agg(F.min(value).alias(out)).select(F.xxhash64(group).alias("_gk"), F.col(group).alias("_g"), out)
     left = df.withColumn("_k", F.xxhash64(group))
     return left.join(least, (F.col("_k") == F.col("_gk")) & (F.col(group) == F.col("_g"))).drop("_k", "_gk", "_g")
+
+
+__all__ = ["WS", "WORD", "ascii_lower", "components", "held_out", "labelled_sample", "py_held_out", "settled", "shared_folder", "table", "with_group_min"]
