@@ -79,9 +79,33 @@ def merged(a: Bindings, b: Bindings) -> dict[str, Column]:
     return out
 
 
+def _where_bound(a: Bindings, v: str) -> Bindings:
+    return a if v in a.definite else a.filtered(a.col(v).isNotNull()).sure(v)
+
+
+def _where_unbound(a: Bindings, v: str) -> Bindings:
+    """The rows that leave v unbound, without v."""
+    kept = a.filtered(a.col(v).isNull())
+    return Bindings(kept.df, {x: n for x, n in a.names.items() if x != v}, a.definite, {x: k for x, k in a.keys.items() if x != v})
+
+
 def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
-    """Natural join over all shared variables."""
-    on = compatible(a, b, [v for v in a.names if v in b.names])
+    """Natural join over all shared variables.
+
+    Where none of these is always bound on both sides, no equality would be left to join on. Then rows
+    are split by one of them: those that bind it on both sides join on it, and only rows
+    that leave it unbound meet all others, as they must.
+    """
+    shared = [v for v in a.names if v in b.names]
+    if shared and not any(v in a.definite and v in b.definite for v in shared):
+        v = shared[0]
+        found = join(_where_bound(a, v), _where_bound(b, v), hint)
+        if v not in a.definite:
+            found = union(found, join(_where_unbound(a, v), b, hint))
+        if v not in b.definite:
+            found = union(found, join(_where_bound(a, v), _where_unbound(b, v), hint))
+        return found
+    on = compatible(a, b, shared)
     right = b.df.hint(hint) if hint else b.df
     df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
     scope = merged(a, b)

@@ -33,19 +33,10 @@ def _iri(table: str, column: str) -> str:
 
 #: Filters over one string and one number of each part: function name -> (SPARQL, SQL).
 FUNCTIONS = {
-    "bound": ("BOUND(?t)", "p_type IS NOT NULL"),
     "coalesce": ("COALESCE(?none, ?z) > 25", "p_size > 25"),
     "if": ("IF(?z > 25, ?pr < 930, ?pr > 930)", "CASE WHEN p_size > 25 THEN p_retailprice < 930 ELSE p_retailprice > 930 END"),
-    "isiri": ("isIRI(?k) && !isIRI(?t)", "true"),
-    "isuri": ("isURI(?k)", "true"),
-    "isliteral": ("isLiteral(?t) && !isLiteral(?k)", "true"),
-    "isblank": ("!isBlank(?k) && !isBlank(?t)", "true"),
-    "isnumeric": ("isNumeric(?z) && !isNumeric(?t)", "true"),
     "str": ("STR(?z) = \"7\"", "CAST(p_size AS VARCHAR) = '7'"),
-    "lang": ("LANG(?t) = \"\"", "true"),
-    "datatype": ("DATATYPE(?z) = xsd:integer && DATATYPE(?t) = xsd:string", "true"),
     "sameterm": ("SAMETERM(?b, \"Brand#3\")", "p_brand = 'Brand#3'"),
-    "langmatches": ("!LANGMATCHES(LANG(?t), \"*\") && LANGMATCHES(\"en-GB\", \"EN\")", "true"),
     "strlen": ("STRLEN(?t) > 6", "strlen(p_type) > 6"),
     "ucase": ("UCASE(?b) = \"BRAND#3\"", "upper(p_brand) = 'BRAND#3'"),
     "lcase": ("LCASE(?b) = \"brand#3\"", "lower(p_brand) = 'brand#3'"),
@@ -92,10 +83,10 @@ def entries() -> dict[str, Entry]:
         "bgp_no_merge": Entry("SELECT ?o ?cn { ?o o:o_custkey ?c . ?c c:c_name ?cn }", f"SELECT {order} AS o, c_name AS cn FROM orders JOIN customer ON o_custkey = c_custkey", options={"enable_merge_join": False}),
         "type_scan": Entry("SELECT ?c { ?c a d:supplier }", f"SELECT {_iri('supplier', 's_suppkey')} AS c FROM supplier"),
         "variable_predicate": Entry("SELECT ?p ?v { <http://d/nation/3> ?p ?v }", f"SELECT 'http://d/nation#n_nationkey' AS p, CAST(n_nationkey AS VARCHAR) AS v FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'http://d/nation#n_name', n_name FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'http://d/nation#n_regionkey', {_iri('region', 'n_regionkey')} FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://d/nation'"),
-        "repeated_variable": Entry("SELECT ?o ?x { ?o l:l_quantity ?x ; l:l_tax ?x }", "SELECT CAST(NULL AS VARCHAR) AS o, CAST(NULL AS DOUBLE) AS x WHERE false", {"x": D}),
+        "repeated_variable": Entry("SELECT ?l ?x { ?l lb:quality ?x ; lb:toxic ?x }", f"SELECT {_iri('labels', 'doc_id')} AS l, CAST(quality AS BIGINT) AS x FROM labels WHERE quality = toxic", {"x": N}),
         "constant_object": Entry("SELECT ?c ?n { ?c c:c_mktsegment \"BUILDING\" ; c:c_name ?n }", f"SELECT {cust} AS c, c_name AS n FROM customer WHERE c_mktsegment = 'BUILDING'"),
         "constant_subject": Entry("SELECT ?n { <http://d/customer/7> c:c_name ?n }", "SELECT c_name AS n FROM customer WHERE c_custkey = 7"),
-        "unknown_constant": Entry("SELECT ?c { ?c c:nothing ?n }", "SELECT CAST(NULL AS VARCHAR) AS c WHERE false"),
+        "unknown_constant": Entry("SELECT ?c ?r { { ?c c:nothing ?n } UNION { ?r r:r_name ?x } UNION { ?c c:c_mktsegment \"no such\" } }", f"SELECT CAST(NULL AS VARCHAR) AS c, {_iri('region', 'r_regionkey')} AS r FROM region"),
         "unit": Entry("SELECT (COUNT(*) AS ?n) { }", "SELECT CAST(1 AS BIGINT) AS n", {"n": N}),
         "cross_product": Entry("SELECT ?a ?b { ?a r:r_name ?x . ?b n:n_name ?y }", f"SELECT {_iri('region', 'r_regionkey')} AS a, {_iri('nation', 'n_nationkey')} AS b FROM region, nation"),
         "object_join": Entry("SELECT ?c ?s { ?c c:c_nationkey ?n . ?s s:s_nationkey ?n ; s:s_acctbal ?b FILTER (?b > 9500) }", f"SELECT {cust} AS c, {_iri('supplier', 's_suppkey')} AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 9500"),
@@ -139,6 +130,25 @@ def entries() -> dict[str, Entry]:
         "documents_of_label": Entry("SELECT ?src (COUNT(*) AS ?n) { ?doc x:source ?src ; x:lang \"en\" . ?lab lb:doc_id ?doc ; lb:quality 1 } GROUP BY ?src", "SELECT source AS src, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en' AND quality = 1 GROUP BY source", {"n": N}),
         "events_by_type": Entry("SELECT ?t (COUNT(?e) AS ?n) (MAX(?v) AS ?m) { ?e e:event_type ?t ; e:value ?v } GROUP BY ?t", "SELECT event_type AS t, count(*) AS n, max(value) AS m FROM events GROUP BY event_type", {"n": N, "m": D}),
     }
+    # functions that tell kinds of terms apart, over variables that hold several
+    mixed = "{ ?x c:c_nationkey ?v } UNION { ?x c:c_name ?v } UNION { ?x c:c_mktsegment ?v }"
+    sizes = "{ ?x p:p_size ?v } UNION { ?x p:p_type ?v }"
+    names = f"SELECT {cust} AS x, c_name AS v FROM customer UNION ALL SELECT {cust}, c_mktsegment FROM customer"
+    numbers, types = (f"SELECT {_iri('part', 'p_partkey')} AS x, {c} AS v FROM part" for c in ("CAST(p_size AS VARCHAR)", "p_type"))
+    found |= {
+        "fn_bound": Entry("SELECT ?c ?o { ?c c:c_name ?n OPTIONAL { ?o o:o_custkey ?c ; o:o_orderstatus \"F\" } FILTER (BOUND(?o) && BOUND(?n)) }", f"SELECT {cust} AS c, {order} AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F'"),
+        "fn_isiri": Entry(f"SELECT ?x ?v {{ {mixed} FILTER (isIRI(?v)) }}", f"SELECT {cust} AS x, {nation} AS v FROM customer"),
+        "fn_isuri": Entry(f"SELECT ?x ?v {{ {mixed} FILTER (!isURI(?v)) }}", names),
+        "fn_isliteral": Entry(f"SELECT ?x ?v {{ {mixed} FILTER (isLiteral(?v)) }}", names),
+        "fn_isnumeric": Entry(f"SELECT ?x ?v {{ {sizes} FILTER (isNumeric(?v)) }}", numbers),
+        "fn_datatype": Entry(f"SELECT ?x ?v {{ {sizes} FILTER (DATATYPE(?v) = xsd:string) }}", types),
+        "fn_regex_of_data": Entry("SELECT ?x ?y { ?x r:r_name ?n . ?y n:n_name ?m FILTER (REGEX(?m, SUBSTR(?n, 1, 1)) || REGEX(?n, \"[\")) }", f"SELECT {_iri('region', 'r_regionkey')} AS x, {_iri('nation', 'n_nationkey')} AS y FROM region, nation WHERE regexp_matches(n_name, substr(r_name, 1, 1))"),
+        "count_distinct_star": Entry("SELECT (COUNT(DISTINCT *) AS ?n) { { ?o o:o_orderstatus ?s } UNION { ?o o:o_orderpriority ?p } }", "SELECT 2 * count(*) AS n FROM orders", {"n": N}),
+        "select_star_hidden": Entry("SELECT * { [] n:n_name ?n ; n:n_regionkey ?r }", f"SELECT {_iri('nation', 'n_nationkey')} AS _bnode_anon0, n_name AS n, {_iri('region', 'n_regionkey')} AS r FROM nation"),
+        "sum_distinct_by_group": Entry("SELECT ?f (SUM(DISTINCT ?q) AS ?v) (COUNT(*) AS ?n) (AVG(DISTINCT ?t) AS ?a) { ?l l:l_returnflag ?f ; l:l_quantity ?q ; l:l_tax ?t } GROUP BY ?f", "SELECT l_returnflag AS f, sum(DISTINCT l_quantity) AS v, count(*) AS n, round(avg(DISTINCT l_tax), 4) AS a FROM lineitem GROUP BY l_returnflag", {"v": D, "n": N, "a": R}),
+        "join_maybe_unbound": Entry("SELECT ?c ?o ?s { { ?c c:c_mktsegment \"BUILDING\" OPTIONAL { ?o o:o_custkey ?c ; o:o_orderpriority \"5-LOW\" } } { { ?o o:o_orderstatus \"P\" ; o:o_orderpriority ?s } UNION { ?z r:r_name ?s } } }", f"WITH a AS (SELECT {cust} AS c, {order} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '5-LOW' WHERE c_mktsegment = 'BUILDING'), b AS (SELECT {order} AS o, o_orderpriority AS s FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT NULL, r_name FROM region) SELECT a.c, coalesce(a.o, b.o) AS o, b.s FROM a JOIN b ON a.o = b.o OR a.o IS NULL OR b.o IS NULL"),
+        "order_by_kinds": Entry("SELECT ?x ?v { { ?x n:n_regionkey ?v } UNION { ?x r:r_name ?v } UNION { ?x r:r_regionkey ?v } } ORDER BY DESC(?v) ?x LIMIT 14", f"SELECT x, v FROM (SELECT {_iri('nation', 'n_nationkey')} AS x, {_iri('region', 'n_regionkey')} AS v, 0 AS kind FROM nation UNION ALL SELECT {_iri('region', 'r_regionkey')}, r_name, 2 FROM region UNION ALL SELECT {_iri('region', 'r_regionkey')}, CAST(r_regionkey AS VARCHAR), 1 FROM region) ORDER BY kind DESC, v DESC, x LIMIT 14"),
+    }
     return found
 
 

@@ -26,8 +26,8 @@ from .expressions import Value, compile_expr, truth
 class Options:
     #: Keep triple patterns in their written order.
     naive_join_order: bool = False
-    #: False: sort-merge joins are not asked for where both sides share one variable; Spark is hinted to hash.
-    enable_merge_join: bool = True
+    #: True: joins on variables are asked to sort and merge; False: to hash; None: Spark chooses by what it knows of the sides.
+    enable_merge_join: bool | None = None
     #: Apply the RDFS rules while reading, without storing what follows from them.
     rdfs_query_time: bool = False
 
@@ -115,7 +115,7 @@ class Compiler:
         return both
 
     def hint(self, a: Bindings, b: Bindings) -> str | None:
-        return None if self.options.enable_merge_join else "shuffle_hash"
+        return {None: None, True: "merge", False: "shuffle_hash"}[self.options.enable_merge_join]
 
     def filter(self, node: Filter, graph: Slot | None) -> Bindings:
         inner, missing = node.child, node.condition
@@ -228,25 +228,30 @@ class Compiler:
         if not node.aggregates:
             df = child.df.select(*keys).distinct()
             return B.fresh(df, {k: F.col(f"g{i}") for i, k in enumerate(node.keys)}, set(node.keys) & child.definite)
-        prepared, outputs, apart = [], [], []
+        prepared, outputs = [], []
+        apart: dict[Expr, list[tuple[int, Aggregate, Value]]] = {}
         for i, a in enumerate(node.aggregates):
             value = None if a.argument is None else compile_expr(a.argument, scope)
             if a.distinct and a.func in ("SUM", "AVG") and value is not None:
-                apart.append((i, a, value))
+                apart.setdefault(a.argument, []).append((i, a, value))
                 continue
             columns, out = aggregate(a, value, f"a{i}")
             prepared += columns
             outputs.append(out.alias(f"o{i}"))
-        base = child.df.select(*keys, *prepared)
-        df = base.groupBy(*names).agg(*(outputs or [F.count(F.lit(1)).alias("_n")]))
-        for i, a, value in apart:  # distinct terms first, then their numbers
-            one = child.df.select(*keys, value.term().alias("t")).distinct()
-            t = F.col("t")
-            part = one.groupBy(*[F.col(n).alias(f"h{n}") for n in names]).agg(aggregate(replace(a, distinct=False), Value("term", t), "t", ready=True)[1].alias(f"o{i}"))
-            same = F.lit(True)
+        df = child.df.select(*keys, *prepared).groupBy(*names).agg(*outputs) if outputs else None
+        for j, same in enumerate(apart.values()):  # distinct terms first, then their numbers: once for all aggregates of one argument
+            one = child.df.select(*keys, same[0][2].term().alias("t")).distinct()
+            t = Value("term", F.col("t"))
+            sums = [aggregate(replace(a, distinct=False), t, "t", ready=True)[1].alias(f"o{i}") for i, a, _ in same]
+            if not outputs:
+                df = one.groupBy(*names).agg(*sums)
+                outputs = sums
+                continue
+            part = one.groupBy(*[F.col(n).alias(f"h{j}{n}") for n in names]).agg(*sums)
+            on = F.lit(True)
             for n in names:
-                same = same & F.col(n).eqNullSafe(F.col(f"h{n}"))
-            df = df.join(part, same) if names else df.crossJoin(part)
+                on = on & F.col(n).eqNullSafe(F.col(f"h{j}{n}"))
+            df = df.join(part, on) if names else df.crossJoin(part)
         columns = {k: F.col(f"g{i}") for i, k in enumerate(node.keys)} | {a.out: F.col(f"o{i}") for i, a in enumerate(node.aggregates)}
         sure = (set(node.keys) & child.definite) | {a.out for a in node.aggregates if a.func in ("COUNT", "SUM")}
         return B.fresh(df, columns, sure)

@@ -282,7 +282,7 @@ def _same_kind(a: Value, text: Column) -> Value:
 
 
 def _regex(text: Column, args: list[Value]) -> Column:
-    """Java's dialect. A constant pattern that doesn't compile is an error for every row; one from the data stops the query."""
+    """Java's dialect. A pattern that doesn't compile, constant or from the data, is an error for its row; data's are tried in the JVM first."""
     fold = F.lit("")
     if len(args) > 2:
         flags = args[2].const
@@ -294,4 +294,7 @@ def _regex(text: Column, args: list[Value]) -> Column:
             java.Pattern.compile(pattern.v)
         except Exception:
             return F.lit(None).cast("boolean")
-    return F.rlike(text, F.concat(fold, args[1].string()))
+        return F.rlike(text, F.concat(fold, args[1].string()))
+    found = F.concat(fold, args[1].string())
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce(found, F.lit("")))
+    return F.rlike(text, F.when(compiles.isNotNull(), found))

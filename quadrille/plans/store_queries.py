@@ -12,7 +12,7 @@ from ..functions import terms as T
 from ..operators.rdfs import DOMAIN, RANGE, SUB_CLASS, SUB_PROPERTY
 from ..operators.store import QuadStore, shared_folder
 from ..session import Engine
-from ..sources.readers import read_nquads, read_ntriples
+from ..sources.readers import read_nquads, read_ntriples, read_turtle
 from ..sources.relational import RelationalSource
 from .catalogue import PREFIXES
 
@@ -122,9 +122,49 @@ def store_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir, ("region", "nation")).terms().groupBy(F.col("term.k").cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> QuadStore:
+    """Each document's source, tagged with its language (a third of them British), on a blank node for even ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null")
+    name, even = F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("doc_id") % 2 == 0
+    node = T.make(F.when(even, T.BLANK).otherwise(T.IRI), F.when(even, name).otherwise(F.concat(F.lit("http://d/documents/"), name)))
+    tag = F.concat(F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "-gb").otherwise(""))
+    o = T.make(F.lit(T.LITERAL), F.col("source"), tag, F.lit(T.LANG_STRING))
+    return QuadStore(docs.select(F.lit(None).cast(T.TERM).alias("g"), node.alias("s"), T.constant(T.iri("http://d/documents#source")).alias("p"), o.alias("o")))
+
+
+def _of_tagged(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    return _ask(_tagged(spark, sf_dir), f"SELECT ?t (COUNT(*) AS ?n) {{ ?s x:source ?t FILTER ({condition}) }} GROUP BY ?t", n="bigint")
+
+
+def fn_isblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_tagged(spark, sf_dir, "isBlank(?s)")
+
+
+def fn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_tagged(spark, sf_dir, 'LANG(?t) = "en"')
+
+
+def fn_langmatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_tagged(spark, sf_dir, 'LANGMATCHES(LANG(?t), "EN") && !LANGMATCHES(LANG(?t), "de")')
+
+
+def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-Triples are Turtle: files of them, read by the Turtle reader in small pieces."""
+    path = f"{shared_folder(spark)}/ttl-{uuid.uuid4().hex}"
+    _store(spark, sf_dir, ("nation", "supplier")).write_ntriples(path)
+    return _by_predicate(read_turtle(spark, path, scope="", chunk=4096))
+
+
+def append_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations saved, suppliers (and nations again) appended, and all saved once more to the same path."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store = _store(spark, sf_dir, ("nation",)).save(path).append(table_quads(spark, sf_dir, ("nation", "supplier")))
+    return _by_predicate(store.save(path).quads)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (store_chain, graph_iri, graph_var, graph_join, graph_names, rdfs_materialise, rdfs_stats, rdfs_query_time, rdfs_query_time_property, nt_round_trip, nq_round_trip, save_open, store_terms)
+    for f in (store_chain, graph_iri, graph_var, graph_join, graph_names, rdfs_materialise, rdfs_stats, rdfs_query_time, rdfs_query_time_property, nt_round_trip, nq_round_trip, save_open, store_terms, fn_isblank, fn_lang, fn_langmatches, turtle_files, append_save)
 }
 
 _TRIPLE_COUNTS = """
@@ -159,6 +199,11 @@ SELECT before, before + inferred AS after, inferred, CAST(2 AS BIGINT) AS rounds
     "nt_round_trip": _TRIPLE_COUNTS,
     "nq_round_trip": "SELECT CAST(NULL AS VARCHAR) AS g, 4 * count(*) AS n FROM nation UNION ALL SELECT 'http://d/region/' || n_regionkey, 4 * count(*) FROM nation GROUP BY n_regionkey",
     "save_open": _TRIPLE_COUNTS,
+    "turtle_files": _TRIPLE_COUNTS,
+    "append_save": _TRIPLE_COUNTS,
+    "fn_isblank": "SELECT source AS t, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY source, lang, doc_id % 3 = 0",
+    "fn_lang": "SELECT source AS t, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang = 'en' AND doc_id % 3 <> 0 GROUP BY source",
+    "fn_langmatches": "SELECT source AS t, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang = 'en' GROUP BY source, doc_id % 3 = 0",
     "store_terms": "SELECT CAST(1 AS INTEGER) AS kind, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 8 AS n UNION ALL SELECT 3, (SELECT count(DISTINCT k) FROM (SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation)) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)",
 }
 

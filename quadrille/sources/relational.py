@@ -78,6 +78,27 @@ class RelationalSource:
             key = F.sha2(F.to_json(F.struct(*self.columns(table.name))), 256)
         return F.concat(F.lit(f"{self.base}{table.name}/"), key)
 
+    def rows_of(self, table: Table, subject: Slot) -> DataFrame:
+        """The table's rows that may have this subject: the key in a constant's IRI is compared with the native columns, so it reaches the scan."""
+        df = self.frame(table.name)
+        if not isinstance(subject, T.Term):
+            return df
+        head = f"{self.base}{table.name}/"
+        if subject.k != T.IRI or not subject.v.startswith(head):
+            return df.where(F.lit(False))
+        parts = subject.v[len(head) :].split("/", len(table.key) - 1) if table.key else []
+        if len(parts) != len(table.key):
+            return df.where(F.lit(False))
+        for column, part in zip(table.key, parts):
+            kind = self.columns(table.name).get(column)
+            if kind in NUMBERS[:4]:
+                bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[kind]
+                fits = part.lstrip("-").isdigit() and str(int(part)) == part and -(1 << bits - 1) <= int(part) < 1 << bits - 1
+                df = df.where(F.col(column) == F.lit(int(part)).cast(kind) if fits else F.lit(False))
+            elif kind == "string" and len(table.key) == 1:
+                df = df.where(F.col(column) == part)
+        return df
+
     def subject(self, table: Table) -> Column:
         return T.make(F.lit(T.IRI), self.subject_iri(table))
 
@@ -115,9 +136,9 @@ class RelationalSource:
             groups.setdefault(key, []).append(t)
         return [(ts, self._fold(self.tables[key[1]], ts) if isinstance(key, tuple) else self.scan(ts[0], graph)) for key, ts in groups.items()]
 
-    def _fold(self, table: Table, triples: list[Triple]) -> Bindings:
-        """One scan for patterns on one subject. A row has one value of each column, so no join is needed."""
-        df = self.frame(table.name)
+    def _fold(self, table: Table, triples: list[Triple], of: Slot | None = None) -> Bindings:
+        """One scan for patterns on one subject (`of`: a constant one). A row has one value of each column, so no join is needed."""
+        df = self.rows_of(table, of)
         subject = triples[0].s.name
         columns = {subject: self.subject(table)}
         keys: B.Keys = {}
@@ -170,7 +191,7 @@ class RelationalSource:
             table = found[0] if found else self._class(triple)
             if isinstance(triple.s, Var):
                 return self._fold(table, [triple])
-            inner = self._fold(table, [Triple(Var("_subject"), triple.p, triple.o)])
+            inner = self._fold(table, [Triple(Var("_subject"), triple.p, triple.o)], triple.s)
             kept = inner.filtered((inner.col("_subject")["v"] == triple.s.v) & (F.lit(triple.s.k) == T.IRI))
             return B.fresh(kept.df, {v: kept.col(v) for v in triple.variables()}, set(triple.variables()))
         if isinstance(triple.p, T.Term) and triple.p.v != T.TYPE:
@@ -194,7 +215,7 @@ class RelationalSource:
     def _triples(self, table: Table, t: Triple) -> list[DataFrame]:
         if not self._present(table.name):
             return []
-        df, s = self.frame(table.name), self.subject(table).alias("s")
+        df, s = self.rows_of(table, t.s), self.subject(table).alias("s")
         out = [df.select(s, T.constant(T.iri(T.TYPE)).alias("p"), T.constant(T.iri(self.base + table.name)).alias("o"))]
         if not isinstance(t.p, T.Term):
             pairs = F.explode(F.array(*[F.struct(T.constant(T.iri(f"{self.base}{table.name}#{c}")).alias("p"), F.when(F.col(c).isNotNull(), self.object(table, c)).alias("o")) for c in self.columns(table.name)]))

@@ -67,7 +67,7 @@ def test_join_on_a_variable_that_may_be_unbound(library):
 
 
 def test_nested_group_sees_outer_variables_in_its_filter(library):
-    assert values(library, "SELECT ?b { ?b ex:author ?a . ?b ex:pages ?p { ?a ex:age ?n FILTER(?p > ?n * 6) } }") == ["book1", "book2", "book4"] or True
+    assert values(library, "SELECT ?b { ?b ex:author ?a . ?b ex:pages ?p { ?a ex:age ?n FILTER(?p > ?n * 6) } }") == ["book1", "book2", "book4"]
     assert len(ask(library, "SELECT ?b { ?b ex:author ?a . ?b ex:pages ?p { ?a ex:age ?n FILTER(?p > ?n * 6) } }")) == len(ask(library, "SELECT ?b { ?b ex:author ?a . ?b ex:pages ?p . ?a ex:age ?n FILTER(?p > ?n * 6) }"))
 
 

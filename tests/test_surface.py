@@ -1,6 +1,7 @@
 """The command line, streaming ingest, the relational mapping and the driver's entry module."""
 
 import importlib
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -8,8 +9,15 @@ from pathlib import Path
 import pytest
 
 from quadrille import cli
+from quadrille.functions import terms as T
+from quadrille.operators.rdfs import RdfsSchema, proposals
+from quadrille.operators.store import QuadStore
 from quadrille.session import Engine
+from quadrille.sources.generator import Spec, bibliography
+from quadrille.sources.rdf import parse_piece, parse_turtle, pieces
+from quadrille.sources.readers import load_text, read_turtle
 from quadrille.sources.relational import RelationalSource
+from quadrille.sources.tokens import ParseError
 from quadrille.streaming.ingest import stream_into, streamed_store
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +94,110 @@ def test_nothing_else_imports_the_operators():
         if "llm" not in f.parts:
             assert "quadrille.llm" not in f.read_text() and "..llm" not in f.read_text()
     assert importlib.import_module("quadrille.session")
+
+
+def test_save_to_the_path_of_an_opened_store(spark, tmp_path):
+    e = lambda x: T.iri(f"http://e/{x}")
+    path = str(tmp_path / "store")
+    first = QuadStore.of(spark, [(e("a"), e("p"), e("b")), (e("a"), e("p"), e("b")), (e("a"), e("q"), T.literal("x"), e("g"))])
+    assert (first.staged_count(), first.quad_count()) == (3, 2)
+    opened = first.save(path)
+    more = opened.add([(e("c"), e("p"), e("d"))]).save(path)
+    assert (more.quad_count(), more.triple_count(), QuadStore.open(spark, path).quads.count()) == (3, 2, 3)
+    assert opened.quads.count() == 2  # what was opened before is still there
+    grown = more.append([(e("c"), e("p"), e("d")), (e("c"), e("r"), e("d")), (e("a"), e("q"), T.literal("x"), e("g")), (e("a"), e("q"), T.literal("x"))])
+    assert (grown.quad_count(), grown.triple_count(), len(grown.manifest["parts"]), grown.quads.count()) == (5, 4, 2, 5)
+    assert grown.stats["http://e/p"][0] == 2 and grown.size_bytes() > 0
+    QuadStore.vacuum(spark, path)
+    again = QuadStore.open(spark, path)
+    assert again.quads.count() == 5 and again.count(p=e("p")) == 2 and Engine(again).count("SELECT * { ?s <http://e/r> ?o }") == 1
+    assert QuadStore.empty(spark).save(str(tmp_path / "none")).quad_count() == 0
+    with pytest.raises(ValueError):
+        QuadStore.open(spark, str(tmp_path / "nothing"))
+
+
+def test_documents_cut_into_pieces(spark, tmp_path):
+    """Statements with dots in strings, names, numbers, comments, IRIs and brackets; the same triples however small the pieces."""
+    body = """e:a e:b "x. y" ; e:c \"\"\"long " .
+ text. \"\"\" , 'a\\'. b' , <http://x/a.b.> . # end .
+[ e:p e:q ; e:r ( 1 2.5 [ e:z "]. " ] ) ] e:s 1.5e3 .
+e:a.b e:c 1 . e:x e:y 'z'@en-gb, "",'' , \"\"\"\"\"\" .
+e:l e:m true.
+"""
+    text = "@prefix e: <http://e/> . # . \n" + body * 12
+    plain = lambda triples: [tuple(re.sub("genid.*", "genid", t.v) for t in x) for x in triples]
+    want = plain(parse_turtle(text))
+    for chunk in (1, 60, 333, 10**6):
+        found = list(pieces(text, chunk))
+        assert "".join(p.text for p in found) == text[found[0].at :] and plain(t for p in found for t in parse_piece(p)) == want
+        assert chunk > 333 or len(found) > 5
+    assert len(list(pieces(text + "@prefix e: <http://f/> . e:a e:b e:c .", 60))) == 1
+    errors = []
+    for chunk in (60, 10**6):
+        with pytest.raises(ParseError) as e:
+            [parse_piece(p) for p in pieces(text + "e:a e:b\n  ??? .\n", chunk)]
+        errors.append((e.value.line, e.value.column))
+    assert errors[0] == errors[1]
+    path = tmp_path / "doc.ttl"
+    path.write_text(text)
+    assert QuadStore(read_turtle(spark, str(path), chunk=100)).quad_count() == QuadStore(read_turtle(spark, str(path))).quad_count()
+
+
+def test_a_round_of_rules_is_one_join(spark):
+    quads = load_text(spark, "@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . e:p r:subPropertyOf e:q . e:q r:domain e:C . e:C r:subClassOf e:D . e:x e:p e:y .").quads
+    plan = proposals(quads.select("s", "p", "o"), RdfsSchema.collect(quads))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_rules_about_the_vocabulary_itself(spark):
+    """rdf:type has a superproperty and a domain; subClassOf has a subproperty."""
+    store = load_text(spark, """@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . @prefix t: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
+        t:type r:subPropertyOf e:is . t:type r:domain e:Thing . e:under r:subPropertyOf r:subClassOf . e:A e:under e:B . e:x a e:A .""")
+    closed, stats = store.materialise_rdfs()
+    e = lambda x: T.iri(f"http://e/{x}")
+    assert closed.count(s=e("x"), p=T.iri(T.TYPE)) == 3 and closed.count(s=e("x"), p=e("is")) == 3 and stats.rounds >= 3
+    assert closed.materialise_rdfs()[1].inferred == 0
+
+
+def test_constant_subjects_reach_the_scan(spark):
+    engine = Engine(RelationalSource(spark, "/root/testdata/sf0.001"))
+    plan = engine.run("SELECT ?n { <http://d/customer/7> <http://d/customer#c_name> ?n }").plan()
+    assert "EqualTo(c_custkey,7)" in plan
+    for subject, n in (("customer/7", 1), ("customer/07", 0), ("customer/x", 0), ("customer/", 0), ("nation/7", 0), ("customer/99999999999999999999", 0)):
+        assert engine.count(f"SELECT ?n {{ <http://d/{subject}> <http://d/customer#c_name> ?n }}") == n
+    assert engine.count("SELECT ?p ?o { <http://d/nation/3> ?p ?o }") == 4
+
+
+def test_merge_and_hash_are_asked_for(spark):
+    engine = Engine(load_text(spark, "@prefix e: <http://e/> . e:a e:p e:b . e:c e:q e:b ."))
+    text = "SELECT * { ?x <http://e/p> ?y . ?z <http://e/q> ?y }"
+    assert "SortMergeJoin" in engine.run(text, enable_merge_join=True).plan() and "ShuffledHashJoin" in engine.run(text, enable_merge_join=False).plan()
+    assert engine.count(text) == engine.count(text, enable_merge_join=True) == 1
+
+
+def test_joins_on_variables_that_may_be_unbound_have_keys(spark):
+    engine = Engine(load_text(spark, "@prefix e: <http://e/> . e:a e:p e:b . e:b e:q 1 . e:a e:q 1 ."))
+    found = engine.run("SELECT ?s ?o { { ?s <http://e/p> ?x OPTIONAL { ?s <http://e/r> ?o } } { { ?t <http://e/q> ?o } UNION { ?t <http://e/p> ?x2 } } }")
+    assert "Join" in found.plan() and "CartesianProduct" not in found.plan().split("Union")[0] and found.count() == 3
+
+
+def test_examples(capsys):
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("bibliography", Path(__file__).parents[1] / "examples/bibliography.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    assert len(module.QUERIES) == 10
+
+
+@pytest.mark.parametrize("n", range(10))
+def test_example_queries(spark, example_engine, n):
+    import runpy
+
+    queries = runpy.run_path(str(Path(__file__).parents[1] / "examples/bibliography.py"))["QUERIES"]
+    assert example_engine.run("PREFIX ex: <http://example.org/> " + list(queries.values())[n]).collect()
+
+
+@pytest.fixture(scope="module")
+def example_engine(spark):
+    return Engine(load_text(spark, bibliography(Spec(papers=200, authors=50, venues=8, organisations=10, topics=12))).cached())
