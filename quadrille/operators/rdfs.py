@@ -140,15 +140,15 @@ def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
     return found.unionAll(spark.createDataFrame(closed, f"s {T.TERM}, p {T.TERM}, o {T.TERM}")) if closed else found
 
 
-def materialise(quads: DataFrame, settle, most_rounds: int = 65) -> tuple[DataFrame, RdfsStats]:
+def materialise(quads: DataFrame, settle, most_rounds: int = 65, stored: bool = False) -> tuple[DataFrame, RdfsStats]:
     """quads with what follows in the default graph, to the fixpoint, and counts.
 
     settle writes a DataFrame to storage and reads it back; it is used for the quads too, as
-    every round reads them. One round is enough for a schema that does not speak of the RDFS
+    every round reads them, unless they are stored already. One round is enough for a schema that does not speak of the RDFS
     vocabulary itself; the last round finds nothing. A round looks at what the round before added, and
     at everything only where that changed the schema.
     """
-    data = settle(quads)
+    data = quads if stored else settle(quads)
     before = data.where("g is null").count()
     added = rounds = 0
     schema, part = RdfsSchema.collect(data), data.where("g is null").select("s", "p", "o")

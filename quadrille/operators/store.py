@@ -221,7 +221,7 @@ class QuadStore:
         return RdfsSchema.collect(self.quads)
 
     def materialise_rdfs(self) -> tuple[QuadStore, RdfsStats]:
-        data, stats = materialise(self.quads.select("g", "s", "p", "o"), settled)
+        data, stats = materialise(self.quads.select("g", "s", "p", "o"), settled, stored=self.bucketed)
         store = QuadStore(data)
         return store, stats
 
