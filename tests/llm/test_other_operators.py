@@ -310,6 +310,30 @@ def test_tiles_and_neighbours_of_many_corners():
     assert (images.nearest(yx) == np.argsort(away, axis=1)[:, : images.MEMBERS]).all()
 
 
+def test_images_described_together():
+    """Images of several heights, padded to one, have the corners that each has alone."""
+    rng = np.random.default_rng(14)
+    some = [texture(rng, 4 * int(h), 60) for h in rng.integers(3, 40, 40)] + [texture(rng, 720, 960)]
+    features = next(images._features(iter([(list(range(41)), some)])))
+    for x, data in zip(some, features.column(4).to_pylist()):
+        alone = images.corners(x[None])[0]
+        assert all((a == b).all() for a, b in zip(alone, images.Corners.unpacked(data)))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 13])
+def test_rounds_in_one_task_and_in_many(spark, monkeypatch, few):
+    """Keys shared by chance with the smallest image don't part two copies, wherever the rounds run."""
+    rng = np.random.default_rng(2)
+    copies_ = [texture(rng, 96, 96) for _ in range(3)]
+    first = [images.corners(x[None])[0] for x in copies_]
+    decoy = images.Corners(*(np.concatenate([getattr(c, f)[:3] + (np.array([0, 400 * i]) if f == "yx" else 0) for i, c in enumerate(first)]) for f in images.Corners._fields))
+    rows = [(-9, decoy)] + [(10 * i + j, c) for i, c in enumerate(first, 1) for j in (0, 1)]
+    df = spark.createDataFrame([(d, len(c.bits), c.packed()) for d, c in rows], "digest long, n_corners long, corners binary")
+    monkeypatch.setattr(images, "FEW_PICTURES", few)
+    got = {(r.a, r.b) for r in images.links(df).collect()}
+    assert got >= {(10, 11), (20, 21), (30, 31)} and not any(a == -9 for a, _ in got)
+
+
 def test_page_images():
     assert images.page_image(None).shape == (15, 48) and not images.page_image("<p></p>").any()
     a = images.page_image("<p>one two</p><script>x y</script>")
