@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
+#: Rows of a task in the rounds that order calls.
+ROWS = 50_000
 #: JSON types of a schema and what the parser calls them.
 TYPES = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT", "array": r"^ARRAY", "null": r"^VOID$"}
 
@@ -168,26 +170,38 @@ def _least(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     the node that it comes from. A chain of n takes some log2(n) rounds, and a round's work
     follows the steps. It ends when no step is missed, which is exact whatever the shortcuts are.
     With nodes `most` given, a place beyond that level stays there: on and behind a cycle all get there.
+    There paths also come in from nodes that stay where they are, and don't grow by going round; so then a
+    shortcut is left out if its node hasn't risen in the later half of the rounds so far.
     """
-    most = F.col("most") if "most" in nodes.columns else F.lit(None).cast("bigint")
-    none = F.lit(None)
+    endless = "most" in nodes.columns
+    most = F.col("most") if endless else F.lit(None).cast("bigint")
+    none, kept, bound = F.lit(None), [c for c in nodes.columns if c != "p"], F.lit(1 << 40)
     kind = dict(steps.dtypes)
-    state = settled(nodes.withColumn("s", none.cast(kind["a"])).withColumn("sc", none.cast(kind["c"])).withColumn("sk", none.cast("bigint")))
+    # nodes and steps stay as many from round to round: few tasks for few of them, so that a round writes few files
+    tasks = max(1, nodes.count() // ROWS)
+    steps = settled(steps.coalesce(max(1, steps.count() // ROWS)))
+    state = settled(nodes.coalesce(tasks).withColumn("s", none.cast(kind["a"])).withColumn("sc", none.cast(kind["c"])).withColumn("sk", none.cast("bigint")).withColumn("last", F.lit(0)))
+    number = 0
     while True:
+        number += 1
+        if endless:
+            risen = state.where(F.col("last") * 2 >= number).select("conv_id", F.col("b").alias("s"), F.lit(True).alias("live"))
+            state = state.join(risen, ["conv_id", "s"], "left")
+            state = state.select("conv_id", *[c for c in kept if c != "conv_id"], "p", "last", *[F.when(F.col("live"), F.col(c)).alias(c) for c in ("s", "sc", "sk")])
         shortcuts = state.where("s is not null").select("conv_id", F.col("s").alias("a"), "b", F.col("sc").alias("c"), F.col("sk").alias("k"), F.lit(False).alias("own"))
         origin = state.select("conv_id", F.col("b").alias("a"), "p", "s", "sc", "sk")
         offers = steps.select("conv_id", "a", "b", "c", "k", F.lit(True).alias("own")).unionByName(shortcuts).join(origin, ["conv_id", "a"])
         offer = F.greatest("c", _on(F.col("p"), F.col("k"))).alias("o")
         far = F.col("s").isNotNull()
-        longer = [F.coalesce("s", "a").alias("s"), F.when(far, F.greatest("c", _on(F.col("sc"), F.col("k")))).otherwise(F.col("c")).alias("sc"), F.when(far, F.col("sk") + F.col("k")).otherwise(F.col("k")).alias("sk")]
+        beyond = _place(F.col("sc.t"), F.least(F.col("sc.l") + F.col("k"), bound))
+        longer = [F.coalesce("s", "a").alias("s"), F.when(far, F.greatest("c", beyond)).otherwise(F.col("c")).alias("sc"), F.when(far, F.least(F.col("sk") + F.col("k"), bound)).otherwise(F.col("k")).alias("sk")]
         best = offers.select("conv_id", "b", "own", offer, *longer).groupBy("conv_id", "b").agg(F.max(F.when(F.col("own"), F.col("o"))).alias("direct"), F.max(F.struct("o", "sk", "sc", "s")).alias("m"))
         held = F.coalesce(F.col("p.l") >= most, F.lit(False))
-        risen = F.when(held | F.col("m").isNull(), F.col("p")).otherwise(F.greatest("p", "m.o"))
-        risen = F.when(risen["l"] > most, _place(risen["t"], most)).otherwise(risen)
+        higher = F.when(held | F.col("m").isNull(), F.col("p")).otherwise(F.greatest("p", "m.o"))
+        higher = F.when(higher["l"] > most, _place(higher["t"], most)).otherwise(higher)
         missed = F.coalesce(~held & (F.col("direct") > F.col("p")), F.lit(False))
-        both = state.select(*[c for c in state.columns if c not in ("s", "sc", "sk", "missed")]).join(best, ["conv_id", "b"], "left")
-        kept = [c for c in nodes.columns if c != "p"]
-        state = settled(both.select(*kept, risen.alias("p"), F.col("m.s").alias("s"), F.col("m.sc").alias("sc"), F.col("m.sk").alias("sk"), missed.alias("missed")))
+        both = state.select(*kept, "p", "last").join(best, ["conv_id", "b"], "left")
+        state = settled(both.coalesce(tasks).select(*kept, higher.alias("p"), F.col("m.s").alias("s"), F.col("m.sc").alias("sc"), F.col("m.sk").alias("sk"), missed.alias("missed"), F.when(higher > F.col("p"), number).otherwise(F.col("last")).alias("last")))
         if state.where("missed").isEmpty():
             return state.select("conv_id", "b", "p")
 
