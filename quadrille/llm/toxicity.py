@@ -25,6 +25,10 @@ from .common import held_out, labelled_sample, settled
 from .features import Hasher, length_term, slices, windows
 
 
+#: Windows whose logits are taken at once in the fit.
+BLOCK = 2048
+
+
 @dataclass(frozen=True)
 class Settings:
     #: Labelled documents used at most, and their characters together; a larger set of labels is sampled by hash, whole documents at a time.
@@ -145,17 +149,19 @@ def fitted(found: Examples, odds: np.ndarray, active: np.ndarray, n: int, toxic:
     first = ends - found.size
     begins = np.cumsum(found.count) - found.count
     groups = np.repeat(np.arange(len(target)), found.count)
+    blocks = [(i, min(i + BLOCK, len(first))) for i in range(0, len(first), BLOCK)]  # windows, some at a time
     g_w, g_v, g_b = np.full(s.buckets, 1e-2, np.float32), np.full(machine.v.shape, 1e-2, np.float32), 1e-2
     for _ in range(s.rounds):
-        logit, sums = machine.logits(term, x, first)
+        logit = np.concatenate([machine.logits(term[first[i] : ends[j - 1]], x[first[i] : ends[j - 1]], first[i:j] - first[i])[0] for i, j in blocks])
         worst = np.flatnonzero(logit == np.maximum.reduceat(logit, begins)[groups])
         worst = worst[np.unique(groups[worst], return_index=True)[1]]
         error = sigmoid(logit[worst]) - target
-        at, _ = slices(first[worst], ends[worst])
+        at, begin = slices(first[worst], ends[worst])
         size = ends[worst] - first[worst]
+        sums = machine.logits(term[at], x[at], begin)[1]
         terms, value, per = term[at], x[at], np.repeat(error, size) * x[at]
         d_w = np.bincount(terms, per, s.buckets).astype(np.float32) + s.decay * len(target) * machine.w * active
-        d_x = per[:, None] * (np.repeat(sums[worst], size, axis=0) - machine.v[terms] * value[:, None])
+        d_x = per[:, None] * (np.repeat(sums, size, axis=0) - machine.v[terms] * value[:, None])
         d_v = np.stack([np.bincount(terms, d_x[:, f], s.buckets) for f in range(s.factors)], axis=1).astype(np.float32) + 10 * s.decay * len(target) * machine.v
         d_b = float(error.sum())
         g_w += d_w * d_w
