@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
 
 #: Rows of a task in the rounds that order calls.
 ROWS = 50_000
+#: Calls of a stretch of turns in which cycles are looked for by the closure at once.
+STRETCH = 64
 #: JSON types of a schema and what the parser calls them.
 TYPES = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT", "array": r"^ARRAY", "null": r"^VOID$"}
 
@@ -143,7 +145,8 @@ def _ordered(both: DataFrame) -> DataFrame:
     late = settled(steps.join(own, ["conv_id", "b"]).where(bound > F.col("p")).select("conv_id").distinct())
     if not late.isEmpty():
         steps = settled(steps.join(late, "conv_id", "left_semi"))
-        on_cycle = _on_cycles(steps.where("from is not null").select("conv_id", "a", "b"))
+        turns = places.where("p is not null").join(late, "conv_id", "left_semi").select("conv_id", F.col("call_id").alias("b"), F.col("p.t").alias("turn"))
+        on_cycle = _on_cycles(steps.where("from is not null").select("conv_id", "a", "b"), turns)
         steps = settled(steps.join(on_cycle, ["conv_id", "b"], "left_anti"))
         # results without a call have a place that nothing changes
         fixed = steps.where("from is null").groupBy("conv_id", "b").agg(F.max("c").alias("c"))
@@ -206,17 +209,39 @@ def _least(nodes: DataFrame, steps: DataFrame) -> DataFrame:
             return state.select("conv_id", "b", "p")
 
 
-def _on_cycles(steps: DataFrame) -> DataFrame:
-    """The (conv_id, b) that steps (conv_id, a, b) lead back to.
+def _on_cycles(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (conv_id, b) that steps (conv_id, a, b) lead back to; nodes: (conv_id, b, turn) of all calls.
 
-    On and behind a cycle paths have no end: there the longest path grows beyond the number of
-    calls, and so it does with all steps turned round. Only what lies on or between cycles is left for the closure.
+    A cycle leads back in turns as far as it leads on. So it lies within a stretch of turns that is
+    covered by steps from a later turn to an earlier one (or the same), and only steps within one stretch take
+    part. In a long stretch those on and behind a cycle, and with all steps turned round those before one, are found
+    first: there paths have no end. The closure is taken of what is left.
     """
-    steps = settled(steps.distinct())
-    if steps.isEmpty():
-        return steps.select("conv_id", "b")
-    ends = steps.select("conv_id", "b").unionAll(steps.select("conv_id", F.col("a").alias("b"))).distinct()
-    nodes = settled(ends.join(ends.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("most")), "conv_id").withColumn("p", _place(F.lit(0).cast("bigint"), F.lit(0))))
+    turn = lambda end: nodes.select("conv_id", F.col("b").alias(end), F.col("turn").alias(f"turn_{end}"))
+    steps = steps.distinct().join(turn("a"), ["conv_id", "a"]).join(turn("b"), ["conv_id", "b"])
+    back = steps.where("turn_a >= turn_b").select("conv_id", F.col("turn_b").alias("at"), F.col("turn_a").alias("to"), F.lit(None).cast(dict(steps.dtypes)["b"]).alias("b"))
+    events = settled(back.distinct().unionByName(nodes.join(back.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("at"), F.lit(None).cast("bigint").alias("to"), "b")))
+    order = Window.partitionBy("conv_id").orderBy("at", F.col("b").isNotNull())
+    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    events = events.withColumn("reach", reach).withColumn("begins", F.when(F.col("to").isNotNull() & (F.col("reach").isNull() | (F.col("at") > F.col("reach"))), F.col("at")))
+    within = events.withColumn("stretch", F.max("begins").over(order)).where("b is not null and reach >= at").select("conv_id", "b", "stretch")
+    within = settled(within)
+    ends = lambda end: within.select("conv_id", F.col("b").alias(end), F.col("stretch").alias(f"stretch_{end}"))
+    steps = steps.join(ends("a"), ["conv_id", "a"]).join(ends("b"), ["conv_id", "b"]).where("stretch_a = stretch_b").select("conv_id", "a", "b", F.col("stretch_a").alias("stretch"))
+    steps = settled(steps)
+    long = settled(within.groupBy("conv_id", "stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STRETCH).select("conv_id", "stretch"))
+    if long.isEmpty():
+        return settled(_paths(steps.drop("stretch")).where("a = b").select("conv_id", "b"))
+    short = steps.join(long, ["conv_id", "stretch"], "left_anti").drop("stretch")
+    kept = settled(_endless(steps.join(long, ["conv_id", "stretch"], "left_semi").drop("stretch")).unionByName(short))
+    return settled(_paths(kept).where("a = b").select("conv_id", "b"))
+
+
+def _endless(steps: DataFrame) -> DataFrame:
+    """The steps between calls that are on or behind a cycle, and on or before one: there the longest path grows beyond the number of calls."""
+    steps = settled(steps)
+    every = steps.select("conv_id", "b").unionAll(steps.select("conv_id", F.col("a").alias("b"))).distinct()
+    nodes = settled(every.join(every.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("most")), "conv_id").withColumn("p", _place(F.lit(0).cast("bigint"), F.lit(0))))
     one = [_place(F.lit(0).cast("bigint"), F.lit(1)).alias("c"), F.lit(1).cast("bigint").alias("k")]
     for a, b in (("a", "b"), ("b", "a")):
         depth = _least(nodes, steps.select("conv_id", F.col(a).alias("a"), F.col(b).alias("b"), *one))
@@ -224,7 +249,7 @@ def _on_cycles(steps: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             steps = steps.join(endless.withColumnRenamed("b", end), ["conv_id", end], "left_semi")
         steps = settled(steps)
-    return settled(_paths(steps).where("a = b").select("conv_id", "b"))
+    return steps
 
 
 def _paths(steps: DataFrame) -> DataFrame:

@@ -140,8 +140,9 @@ def order_by_hand(calls, results):
     return place, cyclic
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_order_by_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "stretch"), [(0, 0), (1, 64), (2, 64), (3, 4)])
+def test_order_by_brute_force(spark, monkeypatch, seed, stretch):
+    monkeypatch.setattr(toolcalls, "STRETCH", stretch)
     rng = np.random.default_rng(seed)
     calls, results = [], []
     for conv in range(12):
