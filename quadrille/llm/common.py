@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and, but for single rows, so many bytes of a text column."""
+    for batch in batches:
+        total, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
+            end = max(at + 1, min(at + rows, end))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id as text leaves 2 modulo 4. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -87,4 +102,4 @@ def with_group_min(df: DataFrame, group: str, value: str, out: str) -> DataFrame
     return left.join(least, (F.col("_k") == F.col("_gk")) & (F.col(group) == F.col("_g"))).drop("_k", "_gk", "_g")
 
 
-__all__ = ["WS", "WORD", "ascii_lower", "components", "held_out", "labelled_sample", "py_held_out", "settled", "shared_folder", "table", "with_group_min"]
+__all__ = ["WS", "WORD", "ascii_lower", "by_bytes", "components", "held_out", "labelled_sample", "py_held_out", "settled", "shared_folder", "table", "with_group_min"]

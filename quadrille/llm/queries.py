@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each operator over its whole table, in the contract's columns."""
+"""The queries op1 to op13: each operator over its whole table, in the contract's columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import images, licenses, linededup, mixing, packing, quality, simhash, toolcalls, topk, toxicity
+from . import alignment, images, licenses, linededup, mixing, negatives, packing, quality, simhash, tokencounts, toolcalls, topk, toxicity
 from .common import table
 
 
@@ -56,14 +56,29 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("image_id").alias("page_id"), "n_corners", "component_id", "n_links")
 
 
-def vocabulary() -> str:
-    """The public tokenizer file that op9 and the pipeline use; every node has it at the same place."""
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    found = negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
+    return found.select("anchor_id", "positive_id", F.col("rank").cast("int"), "negative_id", "positive_score", "negative_score")
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file (op9 and the pipeline use the one named here); every node has it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing, op10_image_copies)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing, op10_image_copies, op11_alignment, op12_token_counts, op13_hard_negatives)}
 
 SQL = {
     "op2_top_k": """
@@ -73,6 +88,17 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(li
           FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+pairs AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+              FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM pairs WHERE same) WHERE n <= 5),
+found AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+          FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
 """,
     "op5_tool_calls": """
 WITH RECURSIVE turns AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, coalesce(length(text), 0) AS n FROM conversations),
