@@ -18,10 +18,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, settled
+from .common import by_bytes, held_out, labelled_sample, settled
 from .features import Hasher, length_term, slices, windows
 
 
@@ -31,9 +31,10 @@ BLOCK = 2048
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled documents used at most, and their characters together; a larger set of labels is sampled by hash, whole documents at a time.
+    #: Labelled documents used at most, whatever their lengths; a larger set of labels is sampled by hash.
     sample: int = 8_000
-    sample_chars: int = 1 << 27
+    #: Windows of a document that the rounds of the fit look at; all are looked at for counts and for choosing these.
+    windows: int = 4
     buckets: int = 1 << 18
     factors: int = 4
     width: int = 256
@@ -86,9 +87,10 @@ def term_counts(texts: list[str], y: np.ndarray, settings: Settings, hasher: Has
     """In how many documents of class 0 and of class 1 each term stands."""
     good, bad = np.zeros(settings.buckets, np.int64), np.zeros(settings.buckets, np.int64)
     for i, text in enumerate(texts):
-        found = [w.term for w in windows([text], hasher, settings.width)]
-        if found:
-            (bad if y[i] == 1 else good)[np.unique(np.concatenate(found))] += 1
+        met = np.zeros(settings.buckets, bool)
+        for w in windows([text], hasher, settings.width):
+            met[w.term] = True
+        (bad if y[i] == 1 else good)[met] += 1
     return good, bad
 
 
@@ -114,19 +116,30 @@ class Examples:
     y: np.ndarray
 
 
-def examples(text: str, hasher: Hasher, active: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, their x and the sizes of a text's windows."""
-    parts = [w.only(active) for w in windows([text], hasher, settings.width)]
-    if not parts:
+def first_weights(odds: np.ndarray, active: np.ndarray) -> np.ndarray:
+    return np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
+
+
+def examples(text: str, hasher: Hasher, weights: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, their x and the sizes of a text's worst windows by these weights, in the order of the text; of equal ones the first."""
+    kept: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for found in windows([text], hasher, settings.width):
+        found = found.only(weights != 0)
+        parts = zip(np.split(found.term, found.first[1:]), np.split(found.x, found.first[1:]))
+        kept += [(float((weights[t] * x).sum()), t.astype(np.int32), x) for t, x in parts]
+        if len(kept) > settings.windows:
+            worst = sorted(sorted(range(len(kept)), key=lambda i: -kept[i][0])[: settings.windows])
+            kept = [kept[i] for i in worst]
+    if not kept:
         return np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32)
-    return np.concatenate([p.term for p in parts]).astype(np.int32), np.concatenate([p.x for p in parts]), np.concatenate([np.diff(np.r_[p.first, len(p.term)]) for p in parts]).astype(np.int32)
+    return np.concatenate([t for _, t, _ in kept]), np.concatenate([x for _, _, x in kept]), np.array([len(x) for _, _, x in kept], np.int32)
 
 
 def fit(texts: list[str], y: np.ndarray, settings: Settings = Settings()) -> Machine:
     """The machine for labels 0 and 1 of texts at hand."""
     y, hasher = np.asarray(y), Hasher(settings.buckets)
     odds, active = leaning(*term_counts(texts, y, settings, hasher), len(y), int(y.sum()), settings)
-    found = [(*examples(t, hasher, active, settings), label) for t, label in zip(texts, y)]
+    found = [(*examples(t, hasher, first_weights(odds, active), settings), label) for t, label in zip(texts, y)]
     return fitted(_stacked(found), odds, active, len(y), int(y.sum()), settings)
 
 
@@ -137,12 +150,12 @@ def _stacked(found: list[tuple]) -> Examples:
 
 
 def fitted(found: Examples, odds: np.ndarray, active: np.ndarray, n: int, toxic: int, settings: Settings) -> Machine:
-    """With one class only, or no row, the machine is a constant: the damped share of ones."""
-    s, prior = settings, (toxic + 0.5) / (n + 1)
+    """With one class only, or no row, the machine is a constant, the share of ones damped towards a tenth: it tells no text from another."""
+    s, prior = settings, (toxic + 0.5) / (n + 1) if 0 < toxic < n else (toxic + 0.1) / (n + 1)
     machine = Machine(s, float(np.log(prior / (1 - prior))), np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.factors), np.float32))
     if not len(found.y) or toxic in (0, n):
         return machine
-    machine.w = np.where(active, np.where(odds > 0, 0.25, 0.02) * np.clip(odds, -2, 4) + 1e-6, 0).astype(np.float32)
+    machine.w = first_weights(odds, active)
     machine.v = (active[:, None] * np.random.default_rng(s.seed).normal(0, 0.02, machine.v.shape)).astype(np.float32)
     term, x, target = found.term, found.x, found.y
     ends = np.cumsum(found.size, dtype=np.int64)
@@ -174,21 +187,21 @@ def fitted(found: Examples, odds: np.ndarray, active: np.ndarray, n: int, toxic:
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Machine:
-    """Of at most `sample` labelled documents with `sample_chars` characters together, in the order of their hashes.
+    """Of at most `sample` labelled documents, whole texts of any length; those of lowest hash.
 
-    Texts stay on executors. The driver gets a number for each hashed term, and of each
-    window the terms that take part: both follow the bounds of the settings.
+    Texts stay on executors. The driver gets a number for each hashed term, and of at most
+    `windows` windows of each document the terms that take part: both follow the bounds of
+    the settings, not the texts' lengths. Null labels and labels without a document teach
+    nothing; null and empty texts are documents without a window. Without labels of both
+    classes (an empty table, too) the machine is a constant.
     """
     spark = docs.sparkSession
-    rows = settled(labelled_sample(docs, labels, label, settings.sample))
-    size = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
-    within = rows.select("_id", F.char_length("text").alias("_n"), "text").select(F.col("_id").alias("_w"), size.alias("_to")).where(F.col("_to") <= settings.sample_chars)
-    rows = rows.join(F.broadcast(within.select("_w")), F.col("_id") == F.col("_w")).select("_id", "y", "text")  # ids bounded by `sample`
+    rows = settled(labelled_sample(docs, labels, label, settings.sample).select("_id", "y", "text"))
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(settings.buckets), np.zeros((2, settings.buckets), np.int64)
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             total += term_counts(batch.column(2).to_pylist(), batch.column(1).to_numpy(), settings, hasher)
         met = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[0][met]), pa.array(total[1][met])], names=["term", "good", "bad"])
@@ -197,12 +210,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings:
     good, bad = np.zeros(settings.buckets), np.zeros(settings.buckets)
     good[by["term"].to_numpy(np.int64)], bad[by["term"].to_numpy(np.int64)] = by["good"], by["bad"]
     odds, active = leaning(good, bad, n, int(toxic), settings)
-    box = spark.sparkContext.broadcast(np.packbits(active))
+    box = spark.sparkContext.broadcast(first_weights(odds, active))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, takes_part = Hasher(settings.buckets), np.unpackbits(box.value, count=settings.buckets).astype(bool)
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            found = [[p.tobytes() for p in examples(t, hasher, takes_part, settings)] for t in batch.column(2).to_pylist()]
+        hasher = Hasher(settings.buckets)
+        for batch in by_bytes(batches, 2):
+            found = [[p.tobytes() for p in examples(t, hasher, box.value, settings)] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.binary()) for i in range(3))], names=["_id", "y", "term", "x", "size"])
 
     seen = sorted(rows.mapInArrow(read, "_id long, y int, term binary, x binary, size binary").collect(), key=lambda r: r["_id"])
@@ -221,7 +234,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(box.value.settings.buckets)
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in by_bytes(batches, 1, 1024):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = box.value.scores(texts, hasher)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], schema=schema)
@@ -243,8 +256,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, setting
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
-    """The documents that the machine does not reject, with their own columns."""
+    """The documents that the machine does not reject, with their own columns. Where the labels don't hold both classes it tells none from another, and all stay."""
     machine = trained(docs, labels, "toxic", settings)
+    if not machine.active.any():
+        return docs
     # under internal names, so that columns called score or predicted pass unharmed
     plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
     return score(plain, machine, threshold).where("predicted = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -105,7 +105,7 @@ def test_alignment(spark, texts):
 def test_alignment_of_many_batches(spark, texts):
     """Small batches and tasks: links of a stripe dealt over tasks, blocks added in a tree, memory of stretches begun anew, a document larger than a batch."""
     rows = [*enumerate(texts * 2), (999, " ".join(texts))]
-    assert aligned(spark, rows, alignment.Sizes(stripe=4096, per_task=200, fan_in=2, batch_links=300, batch_docs=64, memo=100)) == by_hand(rows)
+    assert aligned(spark, rows, alignment.Sizes(stripe=128, per_task=20, fan_in=2, batch_links=300, batch_docs=64, memo=100)) == by_hand(rows)
 
 
 def test_blobs():

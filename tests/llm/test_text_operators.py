@@ -303,6 +303,27 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), labels).count() == 0 and toxicity.toxicity(docs(spark, rows[:9]), labels.limit(0)).count() == 9
 
 
+def test_toxicity_with_a_long_labelled_text_and_without_labels(spark):
+    """One labelled text of 10 MB costs no other row; where labels don't hold both classes, all documents stay."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        text = list(rng.choice(words, 30))
+        if i % 4 == 2:
+            text[5:7] = ["grim", "folk"]
+        rows.append((i, " ".join(text), "s"))
+    rows[1] = (1, " ".join(rng.choice(words, 1_500_000)), "s")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 2)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs(spark, rows), labels).toPandas()
+    kept = got[got["held_out"] & (got["doc_id"] != 1)]
+    assert (kept["predicted"] == (kept["doc_id"] % 4 == 2)).mean() > 0.95
+    few = docs(spark, [r for r in rows if r[0] != 1][:40])
+    for some in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0"), labels.selectExpr("doc_id", "quality", "cast(null as int) as toxic")):
+        assert toxicity.without_toxic(few, some).count() == 40
+    assert toxicity.toxicity(few, labels.limit(0)).where("predicted = 1").count() == 0
+
+
 def test_toxic_words_in_a_long_text():
     rng = np.random.default_rng(1)
     clean = lambda n: " ".join(rng.choice([f"w{i}" for i in range(300)], n))
