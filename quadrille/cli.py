@@ -28,6 +28,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--rdfs", action="store_true", help="store what follows by RDFS before the query")
     p.add_argument("--rdfs-query", action="store_true", help="apply RDFS while the query reads")
     p.add_argument("--naive", action="store_true", help="keep triple patterns in their written order")
+    p.add_argument("--merge", action="store_true", help="ask for merge joins; without this and --no-merge Spark chooses")
     p.add_argument("--no-merge", action="store_true", help="ask for hash joins instead of merge joins")
     p.add_argument("--generate", type=int, metavar="N", help="load a generated bibliography of N papers")
     p.add_argument("--save", metavar="PATH", help="save the store")
@@ -81,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
             if text and text.startswith("@"):
                 text = Path(text[1:]).read_text()
             if text:
-                out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=not args.no_merge, rdfs_query_time=args.rdfs_query)
+                out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=True if args.merge else False if args.no_merge else None, rdfs_query_time=args.rdfs_query)
                 if args.plan:
                     print(out.algebra + out.plan())
                 print(out.table(args.limit))

@@ -1,16 +1,13 @@
 """A set of quads as a DataFrame (g, s, p, o) of terms; g null is the default graph.
 
-Saved stores are Parquet, partitioned by a hash bucket of the predicate and sorted within
-files by predicate and subject: a pattern with a constant predicate reads one bucket, and
-min/max statistics of the flat term fields skip row groups for the rest. A save or an append
-writes folders of its own and then a new manifest that names them; nothing that an older
-manifest names is touched, so stores opened before stay as they were.
+A saved store holds its quads twice, in buckets of the predicate: sorted by subject and sorted by
+object (see parts). A pattern with a constant predicate reads one bucket, and min/max statistics
+of the flat term fields leave it few row groups and pages of the order in which its
+constant lies together.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -19,38 +16,27 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans.algebra import Slot, Triple, Var
-from ..storage import Folder, settled, shared_folder
+from ..storage import settled, shared_folder
 from . import bindings as B
+from . import parts as P
 from .bindings import Bindings
+from .parts import SCHEMA, Manifest, bucket
 from .rdfs import RdfsSchema, RdfsStats, materialise
 
-SCHEMA = f"g {T.TERM}, s {T.TERM}, p {T.TERM}, o {T.TERM}"
-BUCKETS = 64
-FORMAT_VERSION = 2
 #: Predicates whose counts the planner keeps; beyond that the rest share an estimate.
 MAX_STATS = 50_000
-
-
-def bucket(v) -> F.Column:
-    return F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("int")
-
-
-def _read(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
-    """The parts' quads. Each is read by itself, so that the bucket stays a partition column of all."""
-    schema, found = f"{SCHEMA}, pb int", None
-    for part in parts:
-        df = spark.read.schema(schema).parquet(f"{path}/{part}")
-        found = df if found is None else found.unionAll(df)
-    return found
+#: New quads of an append, and their bytes, up to which their keys are broadcast against the buckets that they fall in.
+BROADCAST_QUADS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 class QuadStore:
-    def __init__(self, quads: DataFrame, bucketed: bool = False, path: str | None = None, manifest: dict | None = None) -> None:
-        """quads (g, s, p, o), repeats allowed unless they come from a saved store (bucketed)."""
+    def __init__(self, quads: DataFrame, path: str | None = None, manifest: Manifest | None = None, objects: DataFrame | None = None) -> None:
+        """quads (g, s, p, o), repeats allowed unless they come from a saved store (path, its manifest, and the quads in the order of objects)."""
         self.spark: SparkSession = quads.sparkSession
-        self.bucketed, self.path, self.manifest = bucketed, path, manifest
+        self.bucketed, self.path, self.manifest = path is not None, path, manifest
         self.staged = quads
-        self.quads = quads if bucketed else quads.select("g", "s", "p", "o").dropDuplicates()
+        self.quads = quads if self.bucketed else quads.select("g", "s", "p", "o").dropDuplicates()
+        self.objects = objects
 
     # --- making and keeping ---
     @classmethod
@@ -70,74 +56,76 @@ class QuadStore:
 
     def cached(self) -> QuadStore:
         """Held in memory, spilling to disk; for stores that many queries read."""
-        self.quads = self.quads.persist(StorageLevel.MEMORY_AND_DISK)
+        self.quads, self.objects = self.quads.persist(StorageLevel.MEMORY_AND_DISK), None
         return self
 
-    def save(self, path: str, compression: str = "zstd") -> QuadStore:
+    def save(self, path: str, compression: str = "zstd", row_group: int = P.ROW_GROUP) -> QuadStore:
         """Write the store and open it; compression: zstd (compressed) or none (plain).
 
         path may be where this or another store was opened from: that one's files stay until vacuum.
         """
-        return self._commit(path, self.quads, [], compression)
+        before = Manifest.newest(self.spark, path)
+        part = P.write(self.spark, path, self.quads, compression, row_group)
+        streams = self.manifest.streams if self.manifest else {}
+        Manifest([part] if part else [], streams, (before.number if before else 0) + 1).write(self.spark, path)
+        return QuadStore.open(self.spark, path)
 
-    def append(self, more: DataFrame | list[tuple], compression: str = "zstd") -> QuadStore:
-        """The opened store with these quads too, in the same place: only what is new is written, the rest isn't read but for the buckets it falls in."""
+    def append(self, more: DataFrame | list[tuple], compression: str = "zstd", row_group: int = P.ROW_GROUP, stream: tuple[str, int] | None = None) -> QuadStore:
+        """The store at this one's path, as it is now, with these quads too.
+
+        What is written is what is new and, now and then, small parts that grow together; what
+        is read to leave out known quads is the buckets of the new ones' predicates, there the range
+        of their subjects. stream: a stream's name and the number of its batch; one that the
+        store holds already adds nothing. Of two commits at one time the later one is an error.
+        """
         if self.path is None:
             raise ValueError("only a saved store can be appended to")
+        manifest = Manifest.newest(self.spark, self.path)
+        if stream and manifest.streams.get(stream[0], -1) >= stream[1]:
+            return QuadStore.open(self.spark, self.path)
         other = QuadStore(more) if isinstance(more, DataFrame) else QuadStore.of(self.spark, more)
-        fresh = other.quads.withColumn("pb", bucket("p.v"))
-        held = self.quads.select(*[F.col(c).alias(f"_{c}") for c in ("g", "s", "p", "o", "pb")])
-        same = (F.col("pb") == F.col("_pb")) & F.col("g").eqNullSafe(F.col("_g")) & (F.col("s") == F.col("_s")) & (F.col("p") == F.col("_p")) & (F.col("o") == F.col("_o"))
-        return self._commit(self.path, fresh.join(held, same, "left_anti"), self.manifest["parts"], compression)
-
-    def _commit(self, path: str, quads: DataFrame, parts: list[str], compression: str) -> QuadStore:
-        part = f"quads-{uuid.uuid4().hex}"
-        out = quads.select("g", "s", "p", "o", bucket("p.v").alias("pb")).hint("rebalance", "pb")  # as many tasks as the data ask for, a large bucket in several
-        out.sortWithinPartitions("pb", "p.v", "s.v").write.option("compression", compression).partitionBy("pb").parquet(f"{path}/{part}")
-        parts = [*parts, part]
-        store = QuadStore(_read(self.spark, path, parts), bucketed=True)
-        by = store.quads.groupBy(F.col("p.v").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g").isNull()).alias("t"), F.approx_count_distinct("s.v").alias("s"), F.approx_count_distinct("o.v").alias("o"))
-        by = settled(by)
-        total, triples = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-        stats = {r.p: (r.n, max(1, r.s), max(1, r.o)) for r in by.orderBy(F.desc("n")).limit(MAX_STATS).collect()}
-        manifest = {"format": "quadrille", "version": FORMAT_VERSION, "parts": parts, "quads": total, "triples": triples, "stats": stats}
-        number = max([int(n) for n in Folder(self.spark, f"{path}/manifests").names() if n.isdigit()], default=0) + 1
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifests/{number:09d}")
-        return QuadStore.open(self.spark, path)
+        fresh = settled(other.quads.withColumn("pb", bucket(F.col("p.v"))))
+        length = sum((F.coalesce(F.octet_length(F.col(f"{c}.{f}")), F.lit(0)) for c in "gspo" for f in "vld"), F.lit(0))
+        n, size, touched, *ranges = fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0)), F.collect_set("pb"), *(f(f"{c}.v") for c in "sp" for f in (F.min, F.max))).first()
+        streams = manifest.streams | ({stream[0]: stream[1]} if stream else {})
+        parts = manifest.parts
+        if n:
+            fresh = self._unknown(fresh, parts, sorted(touched), ranges, n <= BROADCAST_QUADS and size <= BROADCAST_BYTES)
+            stay, small = P.absorbed(parts, n)
+            part = P.write(self.spark, self.path, fresh.unionByName(P.read(self.spark, self.path, "s", small).select("g", "s", "p", "o")) if small else fresh, compression, row_group)
+            parts = [*stay, part] if part else parts
+        Manifest(parts, streams, manifest.number + 1).write(self.spark, self.path)
+        return QuadStore.open(self.spark, self.path)
+
+    def _unknown(self, fresh: DataFrame, parts: list[P.Part], touched: list[int], ranges: list[str], small: bool) -> DataFrame:
+        """Those of the new quads that the store lacks."""
+        held = P.read(self.spark, self.path, "s", [p for p in parts if {*p.buckets} & {*touched}])
+        held = held.where(F.col("pb").isin(touched) & F.col("s.v").between(*ranges[:2]) & F.col("p.v").between(*ranges[2:]))
+        key = lambda df, to: df.select("g", "s", "p", "o", F.struct(*[F.col(f"{c}.{f}").alias(f"{c}{f}") for c in "spo" for f in "kvld"], *[F.coalesce(F.col(f"g.{f}").cast("string"), F.lit("-")).alias(f"g{f}") for f in "kvld"]).alias(to))
+        fresh, held = key(fresh, "new"), key(held, "old").select("old")
+        if small:  # the buckets stream past the new quads, and only those that are met again are shuffled
+            held = held.join(F.broadcast(fresh.select("new")), F.col("old") == F.col("new"), "left_semi")
+        return fresh.join(held, F.col("new") == F.col("old"), "left_anti").select("g", "s", "p", "o")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> QuadStore:
-        numbers = sorted((n for n in Folder(spark, f"{path}/manifests").names() if n.isdigit()), reverse=True)
-        for number in numbers:  # one that wasn't finished has no mark
-            if "_SUCCESS" in Folder(spark, f"{path}/manifests/{number}").names():
-                break
-        else:
+        manifest = Manifest.newest(spark, path)
+        if manifest is None:
             raise ValueError(f"{path} holds no store")
-        manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{number}").collect()))
-        if manifest.get("format") != "quadrille" or manifest.get("version") != FORMAT_VERSION:
-            raise ValueError(f"{path} holds no store of version {FORMAT_VERSION}")
-        store = cls(_read(spark, path, manifest["parts"]), bucketed=True, path=path, manifest=manifest)
-        store.stats = {p: tuple(x) for p, x in manifest["stats"].items()}
-        if manifest["quads"] != store.quads.count():
-            raise ValueError(f"{path} is damaged: {manifest['quads']} quads expected")
-        return store
+        P.check(spark, path, manifest.parts)
+        return cls(P.read(spark, path, "s", manifest.parts), path, manifest, P.read(spark, path, "o", manifest.parts))
 
     @classmethod
     def vacuum(cls, spark: SparkSession, path: str) -> None:
         """Delete what the newest manifest doesn't name; stores opened before can't be read any more."""
-        store = cls.open(spark, path)
-        for name in Folder(spark, path).names():
-            if name.startswith("quads-") and name not in store.manifest["parts"]:
-                Folder(spark, f"{path}/{name}").delete()
-        for name in sorted(n for n in Folder(spark, f"{path}/manifests").names() if n.isdigit())[:-1]:
-            Folder(spark, f"{path}/manifests/{name}").delete()
+        P.clean(spark, path, cls.open(spark, path).manifest)
 
     # --- counts ---
     def triple_count(self) -> int:
-        return self.manifest["triples"] if self.manifest else self.quads.where("g is null").count()
+        return self.manifest.triples if self.manifest else self.quads.where("g is null").count()
 
     def quad_count(self) -> int:
-        return self.manifest["quads"] if self.manifest else self.quads.count()
+        return self.manifest.quads if self.manifest else self.quads.count()
 
     def staged_count(self) -> int:
         """Quads that were given, repeats included."""
@@ -146,7 +134,7 @@ class QuadStore:
     def size_bytes(self) -> int:
         """Of a saved store its files' bytes, else what Spark expects its quads to take."""
         if self.path:
-            return sum(Folder(self.spark, f"{self.path}/{p}").size() for p in self.manifest["parts"])
+            return sum(p.bytes for p in self.manifest.parts)
         return int(str(self.quads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def named_graphs(self) -> list[T.Term]:
@@ -166,7 +154,8 @@ class QuadStore:
 
     # --- reading patterns ---
     def _matching(self, constants: dict[str, T.Term | None], graph: Slot | None) -> DataFrame:
-        df = self.quads
+        by_object = self.objects is not None and constants.get("o") is not None and constants.get("s") is None
+        df = self.objects if by_object else self.quads
         if graph is None:
             df = df.where("g is null")
         elif isinstance(graph, Var):
@@ -200,8 +189,11 @@ class QuadStore:
 
     @cached_property
     def stats(self) -> dict[str, tuple[int, int, int]]:
-        """Per predicate: triples, subjects, objects (the last two estimated). One pass, kept with the store."""
-        by = self.quads.groupBy(F.col("p.v").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s.v").alias("s"), F.approx_count_distinct("o.v").alias("o"))
+        """Per predicate: quads, subjects, objects (the last two estimated). Merged from those of a saved store's parts, else one pass; kept with the store."""
+        if self.manifest:
+            by = P.stats(self.spark, self.path, self.manifest.parts)
+        else:
+            by = self.quads.groupBy(F.col("p.v").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s.v").alias("s"), F.approx_count_distinct("o.v").alias("o"))
         return {r.p: (r.n, max(1, r.s), max(1, r.o)) for r in by.orderBy(F.desc("n")).limit(MAX_STATS).collect()}
 
     def cardinality(self, triple: Triple, graph: Slot | None) -> float:

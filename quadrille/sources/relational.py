@@ -9,6 +9,7 @@ numeric literal stays the native column: filters and sums reach the scan as such
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -53,6 +54,11 @@ TABLES = (
 )
 
 
+def _canonical(text: str) -> bool:
+    """Whether a text is what a whole number of a column is written as."""
+    return re.fullmatch(r"0|-?[1-9][0-9]{0,18}", text) is not None
+
+
 class RelationalSource:
     """A Source over Parquet tables in one folder; all of them are the default graph."""
 
@@ -93,7 +99,7 @@ class RelationalSource:
             kind = self.columns(table.name).get(column)
             if kind in NUMBERS[:4]:
                 bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[kind]
-                fits = part.lstrip("-").isdigit() and str(int(part)) == part and -(1 << bits - 1) <= int(part) < 1 << bits - 1
+                fits = _canonical(part) and -(1 << bits - 1) <= int(part) < 1 << bits - 1
                 df = df.where(F.col(column) == F.lit(int(part)).cast(kind) if fits else F.lit(False))
             elif kind == "string" and len(table.key) == 1:
                 df = df.where(F.col(column) == part)
@@ -179,7 +185,7 @@ class RelationalSource:
         if kind == "string":
             return F.col(column) == t.v
         if kind in NUMBERS[:4]:
-            return (F.col(column) == int(t.v)) if t.v.lstrip("-").isdigit() and str(int(t.v)) == t.v else F.lit(False)
+            return (F.col(column) == int(t.v)) if _canonical(t.v) else F.lit(False)
         return self.object(table, column)["v"] == t.v
 
     def scan(self, triple: Triple, graph: Slot | None) -> Bindings:

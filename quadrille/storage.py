@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,5 +52,36 @@ class Folder:
         """Bytes of all files below."""
         return self.system.getContentSummary(self.path).getLength() if self.system.exists(self.path) else 0
 
+    def names_like(self, start: str) -> list[str]:
+        return [n for n in self.names() if n.startswith(start)]
+
+    def content(self) -> tuple[int, int]:
+        """Data files below, and their bytes."""
+        count = size = 0
+        found = self.system.listFiles(self.path, True) if self.system.exists(self.path) else None
+        while found is not None and found.hasNext():
+            one = found.next()
+            if not one.getPath().getName().startswith(("_", ".")):
+                count, size = count + 1, size + one.getLen()
+        return count, size
+
+    def write_new(self, text: str) -> None:
+        """A small file at this path, whole or not at all; an error if the path is taken."""
+        hidden = self.spark._jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f".{uuid.uuid4().hex}")
+        out = self.system.create(hidden)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.system.exists(self.path) or not self.system.rename(hidden, self.path):
+            self.system.delete(hidden, False)
+            raise FileExistsError(f"{self.path} was written meanwhile")
+
+    def read(self) -> str:
+        """The text of a small file."""
+        source = self.system.open(self.path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+        finally:
+            source.close()
+
     def delete(self) -> None:
         self.system.delete(self.path, True)

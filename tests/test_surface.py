@@ -46,7 +46,7 @@ def test_streaming(spark, tmp_path):
         q = stream_into(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(120)
     store = streamed_store(spark, str(tmp_path / "out"))
-    assert store.triple_count() == 2 and store.count(o=None) == 2
+    assert store.triple_count() == 2 and store.count(o=None) == 2 and store.manifest.streams == {str(tmp_path / "cp"): 1}
 
 
 @pytest.fixture(scope="module")
@@ -106,7 +106,7 @@ def test_save_to_the_path_of_an_opened_store(spark, tmp_path):
     assert (more.quad_count(), more.triple_count(), QuadStore.open(spark, path).quads.count()) == (3, 2, 3)
     assert opened.quads.count() == 2  # what was opened before is still there
     grown = more.append([(e("c"), e("p"), e("d")), (e("c"), e("r"), e("d")), (e("a"), e("q"), T.literal("x"), e("g")), (e("a"), e("q"), T.literal("x"))])
-    assert (grown.quad_count(), grown.triple_count(), len(grown.manifest["parts"]), grown.quads.count()) == (5, 4, 2, 5)
+    assert (grown.quad_count(), grown.triple_count(), len(grown.manifest.parts), grown.quads.count()) == (5, 4, 1, 5)
     assert grown.stats["http://e/p"][0] == 2 and grown.size_bytes() > 0
     QuadStore.vacuum(spark, path)
     again = QuadStore.open(spark, path)
