@@ -2,8 +2,9 @@
 
 A text is encoded by both; byte offsets where tokens of both end cut it into groups, and the
 two tokens that end at such an offset are a link. Both tokenizers break between anything but
-white space and a space behind it, so texts are aligned stretch by stretch between such
-places, and what a worker knows of a stretch it doesn't work out again.
+white space and a space behind it, so texts are encoded stretch by stretch between such
+places, and the ids of a stretch that a worker knows it doesn't work out again. Offsets, groups
+and links are then taken of many documents' tokens at once.
 
 Counts are taken in stripes of B's ids. Links go to the task of their stripe, packed for each
 batch of documents; there `np.add.at` adds them into a dense block of one row for each of
@@ -15,6 +16,7 @@ with many links is dealt over several tasks, whose blocks are added in a tree.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, settled
-from .packing import BYTE_CHARS
+from .packing import BYTE_CHARS, pack_ids
 
 #: Stretches that a worker keeps, about, and their characters; beyond that it starts anew. It changes speed only.
-MEMO, MEMO_CHARS = 250_000, 48
-#: Stretches that are encoded together.
-TOGETHER = 4096
+MEMO, MEMO_CHARS = 400_000, 48
+#: Where a space doesn't cut a text: behind white space, at its beginning or with nothing behind it.
+SPACES = re.compile(r"\s(?: |\Z)|\A ")
+#: Stretches that are encoded together; bytes and stretches of texts that are aligned at once, about.
+TOGETHER, AT_ONCE, STRETCHES = 4096, 1 << 22, 1 << 19
 TYPES = "row long, n_best long, count_sum long"
 
 
@@ -47,14 +51,8 @@ class Sizes:
     memo: int = MEMO
 
 
-@dataclass(frozen=True)
-class Stretch:
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    #: b x (number of A ids) + a of each link, as int64.
-    links: bytes
+#: The ids of a stretch by A and by B, as int32; none where B's bytes aren't the text's.
+Ids = tuple[bytes, bytes] | None
 
 
 @cache
@@ -63,7 +61,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class Aligner(dict):
-    """A byte-level tokenizer (A) and a sentencepiece model (B); as a dict, stretch without its first space -> Stretch, or None where B's bytes aren't the text's."""
+    """A byte-level tokenizer (A) and a sentencepiece model (B); as a dict, stretch without its first space -> its ids."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -72,47 +70,35 @@ class Aligner(dict):
         super().__init__()
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
-        self.n_a = self.a.get_vocab_size()
+        self.n_a, n_b = self.a.get_vocab_size(), self.b.get_piece_size()
         byte_of = {chr(c): bytes([b]) for b, c in BYTE_CHARS.items()}
-        self.bytes_a: list[int] = [0] * self.n_a
+        self.bytes_a: list[bytes] = [b""] * self.n_a
         added = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = added[i] if i in added else b"".join(byte_of[c] for c in token)
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.size_a, self.size_b = ([len(x) for x in of] for of in (self.bytes_a, self.bytes_b))
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(n_b))]
+        self.size_a, self.size_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        #: An id as it stands within a group, and at the end of the group's A or B ids.
+        self.text_a = np.array([f"{i}{end}" for end in ",|" for i in range(self.n_a)], object)
+        self.text_b = np.array([f"{i}{end}" for end in ",;" for i in range(n_b)], object)
 
-    def learn(self, stretches: list[str]) -> list[Stretch | None]:
+    def learn(self, stretches: list[str]) -> list[Ids]:
         """Of stretches without their first spaces."""
-        found = []
+        found: list[Ids] = []
+        size_a, size_b = self.size_a.tolist().__getitem__, self.size_b.tolist().__getitem__
         for at in range(0, len(stretches), TOGETHER):
             part = stretches[at : at + TOGETHER]
             of_a = self.a.encode_batch_fast([f" {s}" for s in part], add_special_tokens=False)
-            found += [self.aligned(f" {s}".encode(), a.ids, b) for s, a, b in zip(part, of_a, self.b.encode(part, num_threads=1) if part else [])]
+            for s, a, b in zip(part, [x.ids for x in of_a], self.b.encode(part, num_threads=1)):
+                # pieces give a text back but for U+2581, which becomes a space of fewer bytes: so lengths tell
+                same = sum(map(size_a, a)) == sum(map(size_b, b)) == 1 + len(s.encode())
+                found.append((pack_ids(a), pack_ids(b)) if same else None)
         return found
 
-    def aligned(self, text: bytes, a: list[int], b: list[int]) -> Stretch | None:
-        bytes_a, bytes_b, size_a, size_b = self.bytes_a, self.bytes_b, self.size_a, self.size_b
-        if b"".join([bytes_b[i] for i in b]) != text or b"".join([bytes_a[i] for i in a]) != text:
-            return None
-        groups, links = [], []
-        i = j = from_a = from_b = at_a = at_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += size_a[a[i]]
-                i += 1
-            else:
-                at_b += size_b[b[j]]
-                j += 1
-            if at_a == at_b and (i == len(a)) == (j == len(b)):
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append(b[j - 1] * self.n_a + a[i - 1])
-                from_a, from_b = i, j
-        return Stretch(len(a), len(b), len(links), ";".join(groups), np.array(links, np.int64).tobytes())
-
     def stretches(self, text: str) -> list[str]:
         """A text cut before each space that stands behind anything but white space, without these spaces: places that no token of either tokenizer spans."""
         parts = text.split(" ")
-        if not any(p == "" or p[-1].isspace() for p in parts):
+        if not SPACES.search(text):
             return parts
         out, held = [], []
         for p in parts:
@@ -124,38 +110,58 @@ class Aligner(dict):
             out[-1:] = [" ".join([*out[-1:], *held])]
         return out
 
-    def all_of(self, texts: list[list[str]], most: int = MEMO) -> list[list[Stretch | None]]:
-        """The stretches of some texts; those that are new are worked out together."""
+    def all_of(self, texts: list[list[str]], most: int = MEMO) -> list[list[Ids]]:
+        """The ids of some texts' stretches; those that are new are encoded together."""
         new = list({s for t in texts for s in t if s not in self})
         self.update(zip(new, self.learn(new)))
         found = [list(map(self.__getitem__, t)) for t in texts]
+        for s in [s for s in new if len(s) > MEMO_CHARS]:
+            del self[s]
         if len(self) > most:
             self.clear()
-        else:
-            for s in new:
-                if len(s) > MEMO_CHARS:
-                    del self[s]
         return found
 
+    def aligned(self, units: list[list[tuple[bytes, bytes]]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, str]]]:
+        """Of units of stretches: the links' units and codes, and of each unit its A ids, B ids, groups, and the groups' text with an end mark."""
+        parts_a, parts_b = ([b"".join([p[side] for p in u]) for u in units] for side in (0, 1))
+        a, b = (np.frombuffer(b"".join(p), "<u4").astype(np.int64) for p in (parts_a, parts_b))
+        to_a, to_b = (np.cumsum([len(x) // 4 for x in p]) for p in (parts_a, parts_b))
+        # every unit has as many bytes by A as by B, so offsets may run on from unit to unit
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        mark = np.zeros((int(ends_a[-1]) if len(a) else 0) + 1, np.int8)
+        mark[ends_a] = 1
+        mark[ends_b] += 2
+        last_a, last_b = mark[ends_a] == 3, mark[ends_b] == 3
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # in the text a group's A ids stand before its B ids
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + np.r_[0, at_b + 1][group_a]] = self.text_a[a + self.n_a * last_a]
+        words[np.arange(len(b)) + (at_a + 1)[group_b]] = self.text_b[b + len(self.size_b) * last_b]
+        words, out = words.tolist(), []
+        from_a, from_b, groups = np.r_[0, to_a[:-1]], np.r_[0, to_b[:-1]], np.searchsorted(at_a, to_a)
+        for lo_a, hi_a, lo_b, hi_b, lo, hi in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), [0, *groups[:-1].tolist()], groups.tolist()):
+            out.append((hi_a - lo_a, hi_b - lo_b, hi - lo, "".join(words[lo_a + lo_b : hi_a + hi_b])))
+        return np.searchsorted(to_a, at_a, "right"), b[at_b] * self.n_a + a[at_a], out
+
 
 class Batch:
     """Links of some documents, until they leave packed by stripe. Links of one document stay in one batch."""
 
     def __init__(self, number: int, sizes: Sizes) -> None:
         self.number, self.sizes, self.docs, self.n = number, sizes, 0, 0
-        self.held: list[tuple[int, bytes]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.summed: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, doc: int, links: bytes) -> None:
-        self.held.append((doc, links))
-        self.n += len(links) // 8
+    def add(self, doc: np.ndarray, code: np.ndarray) -> None:
+        self.held.append((doc, code))
+        self.n += len(code)
         if self.n >= 2 * self.sizes.batch_links:  # within a very long document
             self._settle()
 
     def _settle(self) -> None:
         """Each pair of a document once, with how often the document holds it."""
-        code = np.frombuffer(b"".join(x for _, x in self.held), np.int64)
-        doc = np.repeat(np.array([d for d, _ in self.held], np.int64), [len(x) // 8 for _, x in self.held])
+        doc, code = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
         self.summed.append(np.unique(code * self.sizes.batch_docs + doc, return_counts=True))  # ids are below 2^24
         self.held, self.n = [], 0
         if len(self.summed) > 1:
@@ -209,9 +215,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, sizes: Sizes) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        both, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 31
-        out: list[tuple] = []
-        held = Batch(number, sizes)
+        both, held, out = aligner(path_a, path_b), Batch(TaskContext.get().partitionId() << 31, sizes), []
 
         def leave() -> None:
             nonlocal held
@@ -223,22 +227,25 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, sizes: Sizes) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1024]), kinds)], names=names)
             out.clear()
 
-        for batch in by_bytes(batches, 1):
+        for batch in by_bytes(batches, 1, min(256, sizes.batch_docs), AT_ONCE):
             texts = both.all_of([both.stretches(t) if t else [] for t in batch.column(1).to_pylist()], sizes.memo)
-            for doc_id, parts in zip(batch.column(0).to_pylist(), texts):
-                here, held.docs = held.docs, held.docs + 1
-                row = held.number * sizes.batch_docs + here
-                if not parts or None in parts:  # B's bytes can only be fewer than the text's, so a later stretch doesn't make up for one that differs
-                    out.append((doc_id, row, 0, 0, 0, "", None, None, None, None))
-                else:
-                    digest = hashlib.sha256()
-                    for at in range(0, len(parts), 1 << 16):
-                        some = parts[at : at + (1 << 16)]
-                        digest.update((";" * (at > 0) + ";".join([p.groups for p in some])).encode())
-                        held.add(here, b"".join([p.links for p in some]))
-                    out.append((doc_id, row, *(sum(getattr(p, c) for p in parts) for c in ("n_a", "n_b", "n_groups")), digest.hexdigest(), None, None, None, None))
-                if held.n >= sizes.batch_links or held.docs == sizes.batch_docs or held.summed:
-                    leave()
+            # B's bytes can only be fewer than the text's, so a later stretch doesn't make up for one that differs
+            texts = [[] if None in t else t for t in texts]
+            units = [(i, t[at : at + STRETCHES]) for i, t in enumerate(texts) for at in range(0, len(t), STRETCHES)]
+            if held.docs + len(texts) > sizes.batch_docs:
+                leave()
+            first, totals, digests = held.docs, np.zeros((len(texts), 3), np.int64), [hashlib.sha256() if t else None for t in texts]
+            held.docs += len(texts)
+            for some in ([units] if len(units) <= len(texts) else [[u] for u in units]):  # a text of many units is aligned unit by unit
+                unit, code, found = both.aligned([u for _, u in some])
+                held.add(np.array([first + i for i, _ in some], np.int64)[unit], code)
+                for (i, _), (*counts, text) in zip(some, found):
+                    digests[i].update(((";" if totals[i].any() else "") + text[:-1]).encode())
+                    totals[i] += counts
+            rows = zip(batch.column(0).to_pylist(), range(held.number * sizes.batch_docs + first, 1 << 62), totals.tolist(), digests)
+            out.extend((doc_id, row, *counts, digest.hexdigest() if digest else "", None, None, None, None) for doc_id, row, counts, digest in rows)
+            if held.n >= sizes.batch_links or held.summed:
+                leave()
             yield from full()
         leave()
         yield from full()
