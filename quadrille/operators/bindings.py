@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,8 @@ class Bindings:
     definite: frozenset[str]
     #: Of some definite variables: a domain, and a column that is equal just where the terms are. Joins within a domain compare it instead.
     keys: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: Rows that the planner expects.
+    expected: float = float("inf")
 
     def col(self, var: str) -> Column:
         return F.col(self.names[var])
@@ -45,12 +47,17 @@ class Bindings:
         return {v: self.col(v) for v in self.names}
 
     def filtered(self, condition: Column) -> Bindings:
-        return Bindings(self.df.where(condition), self.names, self.definite, self.keys)
+        return replace(self, df=self.df.where(condition))
 
     def sure(self, *names: str) -> Bindings:
         return Bindings(self.df, self.names, self.definite | set(names), self.keys)
 
 
+def same_term(x: Column, y: Column) -> Column:
+    """Identity of terms, field by field: Spark can join on fields of a scan, filter the other side by them at run time and compare them without building a struct; a number follows from its text and datatype."""
+    return (x["v"] == y["v"]) & (x["k"] == y["k"]) & (x["l"] == y["l"]) & (x["d"] == y["d"])
+
+
 def compatible(a: Bindings, b: Bindings, shared: list[str]) -> Column | None:
     """Equality where both sides are always bound; else either side may be unbound."""
     found = None
@@ -59,7 +66,7 @@ def compatible(a: Bindings, b: Bindings, shared: list[str]) -> Column | None:
         if v in a.keys and v in b.keys and a.keys[v][0] == b.keys[v][0]:
             one = F.col(a.keys[v][1]) == F.col(b.keys[v][1])
         else:
-            one = x == y
+            one = same_term(x, y)
         if v not in a.definite:
             one = one | x.isNull()
         if v not in b.definite:
@@ -106,13 +113,14 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
             found = union(found, join(_where_bound(a, v), _where_unbound(b, v), hint))
         return found
     on = compatible(a, b, shared)
+    expected = min(a.expected, b.expected) if shared else a.expected * b.expected
     right = b.df.hint(hint) if hint else b.df
     df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
     scope = merged(a, b)
     if all(v in a.names and v in a.definite or v not in a.names for v in b.names):
         found = Bindings(df, {**b.names, **a.names}, a.definite | b.definite, {**b.keys, **a.keys})
-        return Bindings(df.select(*found.columns()), found.names, found.definite, found.keys)
-    return fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite))
+        return replace(found, df=df.select(*found.columns()), expected=expected)
+    return replace(fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite)), expected=expected)
 
 
 def left_join(a: Bindings, b: Bindings, condition: Column | None) -> Bindings:

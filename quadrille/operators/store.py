@@ -153,8 +153,9 @@ class QuadStore:
         return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
 
     # --- reading patterns ---
-    def _matching(self, constants: dict[str, T.Term | None], graph: Slot | None) -> DataFrame:
-        by_object = self.objects is not None and constants.get("o") is not None and constants.get("s") is None
+    def _matching(self, constants: dict[str, T.Term | None], graph: Slot | None, by: str = "s") -> DataFrame:
+        """by: s or o, the position that few values will be asked of where none is constant."""
+        by_object = self.objects is not None and constants.get("s") is None and (constants.get("o") is not None or by == "o")
         df = self.objects if by_object else self.quads
         if graph is None:
             df = df.where("g is null")
@@ -172,9 +173,9 @@ class QuadStore:
                     df = df.where(F.col("pb") == bucket(F.lit(t.v)))
         return df
 
-    def scan(self, triple: Triple, graph: Slot | None) -> Bindings:
+    def scan(self, triple: Triple, graph: Slot | None, by: str | None = None) -> Bindings:
         slots = dict(zip("spo", triple.slots())) | ({"g": graph} if isinstance(graph, Var) else {})
-        df = self._matching({n: x if isinstance(x, T.Term) else None for n, x in slots.items() if n != "g"}, graph)
+        df = self._matching({n: x if isinstance(x, T.Term) else None for n, x in slots.items() if n != "g"}, graph, "o" if by is not None and triple.o == Var(by) and triple.s != Var(by) else "s")
         columns = {}
         for name, x in slots.items():
             if isinstance(x, Var):

@@ -30,6 +30,10 @@ class Options:
     enable_merge_join: bool | None = None
     #: Apply the RDFS rules while reading, without storing what follows from them.
     rdfs_query_time: bool = False
+    #: Joined patterns of at most so many rows are run while the plan is made, where the next pattern has `lookup_from` rows or more by
+    #: its statistics; that one then reads only what their values can meet. 0: never.
+    lookup_rows: int = 1_000
+    lookup_from: int = 1_000_000
 
 
 class Source(Protocol):
@@ -37,7 +41,8 @@ class Source(Protocol):
 
     spark: object
 
-    def scan(self, triple: Triple, graph: Slot | None) -> Bindings: ...
+    def scan(self, triple: Triple, graph: Slot | None, by: str | None = None) -> Bindings:
+        """One pattern's bindings; by: a variable that few values will be asked of."""
 
     def star(self, triples: list[Triple], graph: Slot | None) -> list[tuple[list[Triple], Bindings]]:
         """Groups of these patterns, each answered by one scan."""
@@ -148,15 +153,41 @@ class Compiler:
             parts = self.source.star(list(node.triples), graph)
         parts = self.ordered(parts, graph)
         found = parts[0][1]
-        for _, more in parts[1:]:
+        for triples, more in parts[1:]:
+            found, more = self.looked_up(found, triples, more, graph)
             found = B.join(found, more, self.hint(found, more))
         return found
 
+    def looked_up(self, found: Bindings, triples: list[Triple], more: Bindings, graph: Slot | None) -> tuple[Bindings, Bindings]:
+        """found with its rows at hand, and the next patterns' bindings with the values of a shared variable only, where few rows meet many.
+
+        The rows are counted before they are used: with more than `lookup_rows` both stay as they are.
+        """
+        o = self.options
+        shared = [v for v in found.names if v in more.names and v in found.definite and v in more.definite]
+        if not o.lookup_rows or o.naive_join_order or self.schema is not None or not shared or found.expected > o.lookup_rows or more.expected < o.lookup_from:
+            return found, more
+        rows = found.df.limit(o.lookup_rows + 1).toArrow()
+        if rows.num_rows > o.lookup_rows:
+            return Bindings(found.df, found.names, found.definite, found.keys, float(rows.num_rows)), more
+        df = F.broadcast(self.source.spark.createDataFrame(rows, found.df.schema)) if rows.num_rows else found.df.limit(0)
+        here = Bindings(df, found.names, found.definite, found.keys, float(rows.num_rows))
+        v = next((v for v in shared if triples[0].s == Var(v)), shared[0])
+        if len(triples) == 1:
+            more = replace(self.source.scan(triples[0], graph, by=v), expected=more.expected)
+        if v in found.keys and v in more.keys and found.keys[v][0] == more.keys[v][0]:
+            kept = F.col(more.keys[v][1]).isin(sorted({*rows.column(found.keys[v][1]).to_pylist()}))
+        else:
+            kept = more.col(v)["v"].isin(sorted({t["v"] for t in rows.column(found.names[v]).to_pylist()}))
+        self.notes.append(f"looked up: {rows.num_rows} rows' ?{v} in {' , '.join(' '.join(map(_slot, t.slots())) for t in triples)}")
+        return here, more.filtered(kept)
+
     def ordered(self, parts: list[tuple[list[Triple], Bindings]], graph: Slot | None) -> list[tuple[list[Triple], Bindings]]:
         """Smallest first, then always the smallest that shares a variable with what is there; ties keep the written order."""
         if self.options.naive_join_order or len(parts) == 1:
             return parts
-        size = {id(b): min(self.source.cardinality(t, graph) for t in ts) for ts, b in parts}
+        parts = [(ts, replace(b, expected=min(self.source.cardinality(t, graph) for t in ts))) for ts, b in parts]
+        size = {id(b): b.expected for _, b in parts}
         left, out = list(parts), []
         bound: set[str] = set()
         while left:

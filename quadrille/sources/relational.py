@@ -188,7 +188,7 @@ class RelationalSource:
             return (F.col(column) == int(t.v)) if _canonical(t.v) else F.lit(False)
         return self.object(table, column)["v"] == t.v
 
-    def scan(self, triple: Triple, graph: Slot | None) -> Bindings:
+    def scan(self, triple: Triple, graph: Slot | None, by: str | None = None) -> Bindings:
         """One pattern alone: a table where the predicate names its column, else the triples of every table that may match."""
         if graph is not None:
             return self._none(triple, graph)

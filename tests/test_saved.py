@@ -8,6 +8,7 @@ from quadrille.functions import terms as T
 from quadrille.operators import parts as P
 from quadrille.operators.store import QuadStore
 from quadrille.session import Engine
+from quadrille.sources.relational import RelationalSource
 
 
 def e(x):
@@ -104,3 +105,61 @@ def test_look_ups_by_object_and_by_subject_read_few_rows(spark, tmp_path):
     assert by_object.count() == want > 0 and by_subject.count() == 1
     assert _rows_read(by_object) < n / 20 and _rows_read(by_subject) < n / 20
     assert store.count(o=e("o77")) == quads.where("o.v = 'http://e/o77'").count() and _rows_read(store._matching({"o": e("o77")}, None)) < n / 10
+
+
+PAPERS = "PREFIX ex: <http://example.org/> SELECT * "
+PATTERNS = [
+    "{ ?p ex:title ?t ; ex:mainAuthor ?a . ?a ex:name ?n ; ex:affiliation ex:org3 }",
+    "{ ?p ex:title ?t ; ex:venue ex:venue2 ; ex:mainAuthor ?a . ?a ex:name ?n ; ex:affiliation ex:org3 }",
+    "{ ?p ex:venue ex:venue1 . ?q ex:cites ?p OPTIONAL { ?q ex:year ?y } }",
+    "{ ?a ex:affiliation ex:nowhere ; ex:name ?n }",
+    "{ ?a ex:affiliation ex:org1 . ?a ?p ?o }",
+]
+
+
+@pytest.fixture(scope="module")
+def papers(spark, tmp_path_factory):
+    from quadrille.sources.generator import Spec, bibliography
+    from quadrille.sources.readers import load_text
+
+    return load_text(spark, bibliography(Spec(papers=300, authors=60, venues=6, organisations=8, topics=12))).save(str(tmp_path_factory.mktemp("papers")))
+
+
+def _solutions(outcome):
+    return sorted(map(str, outcome.collect()))
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_look_ups_change_no_solution(papers, pattern):
+    engine = Engine(papers)
+    want = _solutions(engine.run(PAPERS + pattern, naive_join_order=True))
+    for rows in (1_000, 3):
+        got = engine.run(PAPERS + pattern, lookup_from=1, lookup_rows=rows)
+        assert _solutions(got) == want
+    assert any("looked up" in n for n in engine.run(PAPERS + pattern, lookup_from=1).notes) and not any("looked up" in n for n in engine.run(PAPERS + pattern).notes)
+
+
+def test_a_look_up_reaches_the_scan(papers):
+    """Few values of a subject or an object stand in the scan of the order in which they lie together; nothing is shuffled."""
+    of_objects = Engine(papers).run(PAPERS + "{ ?a ex:affiliation ex:org3 . ?p ex:mainAuthor ?a }", lookup_from=1).plan()
+    assert "/o/part=" in of_objects and "In(o.v, [" in of_objects and "SortMergeJoin" not in of_objects
+    of_subjects = Engine(papers).run(PAPERS + PATTERNS[0], lookup_from=1).plan()
+    assert "/s/part=" in of_subjects and "In(s.v, [" in of_subjects and "SortMergeJoin" not in of_subjects
+    tables = Engine(RelationalSource(papers.spark, "/root/testdata/sf0.001"))
+    text = 'SELECT * { ?n <http://d/nation#n_nationkey> 3 . ?c <http://d/customer#c_nationkey> ?n ; <http://d/customer#c_name> ?m }'
+    found = tables.run(text, lookup_from=1)
+    assert "EqualTo(c_nationkey," in found.plan() and found.count() == tables.run(text, naive_join_order=True).count() > 0
+
+
+def test_fields_of_terms_are_filtered_at_run_time(spark, papers):
+    """Joins compare fields, so that Spark puts its own filter of one side's keys before the other side's shuffle."""
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = Engine(papers).run(PAPERS + PATTERNS[0])
+        assert "might_contain" in found.plan() and found.count() == Engine(papers).run(PAPERS + PATTERNS[0], naive_join_order=True).count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
