@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import count
 
@@ -104,7 +105,7 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
     that leave it unbound meet all others, as they must.
     """
     shared = [v for v in a.names if v in b.names]
-    if shared and not any(v in a.definite and v in b.definite for v in shared):
+    if _unsure(a, b, shared):
         v = shared[0]
         found = join(_where_bound(a, v), _where_bound(b, v), hint)
         if v not in a.definite:
@@ -123,17 +124,49 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
     return replace(fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite)), expected=expected)
 
 
-def left_join(a: Bindings, b: Bindings, condition: Column | None) -> Bindings:
-    on = compatible(a, b, [v for v in a.names if v in b.names])
-    on = condition if on is None else on if condition is None else on & condition
+#: A condition over the scope of rows joined of both sides; none holds always.
+Condition = Callable[[dict[str, Column]], Column | None]
+
+
+def _unsure(a: Bindings, b: Bindings, shared: list[str]) -> bool:
+    """Whether there are shared variables, but none that both sides always bind: no equality to join on."""
+    return bool(shared) and not any(v in a.definite and v in b.definite for v in shared)
+
+
+def left_join(a: Bindings, b: Bindings, condition: Condition) -> Bindings:
+    shared = [v for v in a.names if v in b.names]
+    if _unsure(a, b, shared):
+        return _left_join_by_parts(a, b, condition)
+    on, extra = compatible(a, b, shared), condition(merged(a, b))
+    on = extra if on is None else on if extra is None else on & extra
     df = a.df.join(b.df, F.lit(True) if on is None else on, "left")
     return fresh(df, merged(a, b), set(a.definite), a.key(*a.definite))
 
 
-def anti_join(a: Bindings, b: Bindings, condition: Column | None) -> Bindings:
+def _left_join_by_parts(a: Bindings, b: Bindings, condition: Condition) -> Bindings:
+    """The inner join, which splits rows by what they bind, and the rows of a that have no partner in it.
+
+    Rows of a are told apart by their terms alone: equal rows have equal partners. So no row
+    has to be numbered, and only rows that leave the variable unbound meet all others, as they must.
+    """
+    kept = {v: f"kept {v}" for v in a.names}
+    own = a.df.select(*a.names.values(), *[a.col(v).alias(f"{a.names[v]}_kept") for v in a.names])
+    inner = join(Bindings(own, a.names | {kept[v]: f"{a.names[v]}_kept" for v in a.names}, a.definite | {kept[v] for v in a.definite}), b)
+    holds = condition(inner.scope())
+    inner = inner if holds is None else inner.filtered(holds)
+    met = fresh(inner.df, {v: inner.col(kept[v]) for v in a.names}, set(a.definite))
+    on = F.lit(True)
+    for v in a.names:
+        on = on & (same_term(a.col(v), met.col(v)) if v in a.definite else a.col(v).eqNullSafe(met.col(v)))
+    alone = Bindings(a.df.select(*a.names.values()).join(met.df.distinct(), on, "left_anti"), a.names, a.definite)
+    found = fresh(inner.df, {v: inner.col(v) for v in inner.names if v not in kept.values()}, set(inner.definite) - set(kept.values()))
+    return union(found, alone)
+
+
+def anti_join(a: Bindings, b: Bindings, condition: Condition) -> Bindings:
     """Rows of a without a partner in b; b's own variables are unbound."""
-    on = compatible(a, b, [v for v in a.names if v in b.names])
-    on = condition if on is None else on if condition is None else on & condition
+    on, extra = compatible(a, b, [v for v in a.names if v in b.names]), condition(merged(a, b))
+    on = extra if on is None else on if extra is None else on & extra
     return Bindings(a.df.join(b.df, F.lit(True) if on is None else on, "left_anti"), a.names, a.definite, a.keys)
 
 

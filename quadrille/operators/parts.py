@@ -96,6 +96,11 @@ def read(spark: SparkSession, path: str, order: str, parts: list[Part]) -> DataF
     return spark.read.schema(f"{SCHEMA}, pb int, part string").option("basePath", f"{path}/{order}").parquet(*[f"{path}/{order}/part={p.name}" for p in parts])
 
 
+def of_predicates(quads: DataFrame, names: list[str]) -> DataFrame:
+    """The quads of a saved store with these predicates, from their buckets alone."""
+    return quads.where(F.col("pb").isin(*[bucket(F.lit(n)) for n in names]) & F.col("p.v").isin(names))
+
+
 def write(spark: SparkSession, path: str, quads: DataFrame, compression: str, row_group: int = ROW_GROUP) -> Part | None:
     """Write distinct quads (g, s, p, o) as a part; none if there are none."""
     name = uuid.uuid4().hex

@@ -17,6 +17,7 @@ from ..functions import terms as T
 from ..functions.terms import Term
 
 SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE = (T.RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range"))
+VOCABULARY = [SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE]
 #: Schema statements that the driver may close at most.
 MAX_SCHEMA = 1_000_000
 
@@ -48,7 +49,7 @@ class RdfsSchema:
     @classmethod
     def collect(cls, quads: DataFrame) -> RdfsSchema:
         """From the default graph of quads (g, s, p, o)."""
-        rows = quads.where(F.col("g").isNull() & F.col("p.v").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE)).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
+        rows = quads.where(F.col("g").isNull() & F.col("p.v").isin(VOCABULARY)).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
         if len(rows) > MAX_SCHEMA:
             raise ValueError(f"more than {MAX_SCHEMA} schema statements")
         found: dict[str, Relation] = defaultdict(lambda: defaultdict(set))
@@ -140,28 +141,52 @@ def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
     return found.unionAll(spark.createDataFrame(closed, f"s {T.TERM}, p {T.TERM}, o {T.TERM}")) if closed else found
 
 
-def materialise(quads: DataFrame, settle, most_rounds: int = 65, stored: bool = False) -> tuple[DataFrame, RdfsStats]:
-    """quads with what follows in the default graph, to the fixpoint, and counts.
+#: Predicates of new triples up to which only those of the known ones are read.
+FEW_PREDICATES = 64
 
-    settle writes a DataFrame to storage and reads it back; it is used for the quads too, as
-    every round reads them, unless they are stored already. One round is enough for a schema that does not speak of the RDFS
-    vocabulary itself; the last round finds nothing. A round looks at what the round before added, and
-    at everything only where that changed the schema.
+
+def inferences(quads: DataFrame, settle, fresh: DataFrame | None = None, few=None) -> tuple[DataFrame, int, int]:
+    """What follows from quads in the default graph and isn't there, as triples (s, p, o); how many; rounds.
+
+    settle writes a DataFrame to storage and reads it back. One round is enough for a schema that does not speak of the RDFS
+    vocabulary itself; the last round finds nothing. A round looks at what the round before added, and at
+    everything only where that changed the schema. It goes on to the fixpoint: terms and so triples are finitely many.
+
+    fresh: those of the quads that were added to others which are closed already; unless they
+    change the schema, the first round looks at them alone. few: of a list of predicates, the
+    quads that have them; then the known triples are read for the predicates of new ones only.
     """
-    data = quads if stored else settle(quads)
-    before = data.where("g is null").count()
-    added = rounds = 0
-    schema, part = RdfsSchema.collect(data), data.where("g is null").select("s", "p", "o")
-    while rounds < most_rounds:
+    known = quads.where("g is null").select("s", "p", "o")
+    schema, part, rounds, total = RdfsSchema.collect(few(VOCABULARY) if few else quads), known, 0, 0
+    added = known.limit(0)
+    if fresh is not None and not fresh.where(F.col("g").isNull() & F.col("p.v").isin(VOCABULARY)).limit(1).count():
+        part = fresh.where("g is null").select("s", "p", "o")
+    while True:
         rounds += 1
-        known = data.where("g is null").select("s", "p", "o")
-        new = settle(proposals(part, schema).distinct().join(known, ["s", "p", "o"], "left_anti"))
-        fresh = new.count()
-        if not fresh:
-            break
-        added += fresh
-        data = data.unionByName(new.select(F.lit(None).cast(T.TERM).alias("g"), "s", "p", "o"))
-        part, changed = new, RdfsSchema.collect(data)
+        proposed = proposals(part, schema).distinct()
+        held = known
+        if few is not None:
+            proposed = settle(proposed)
+            names = [r[0] for r in proposed.select("p.v").distinct().limit(FEW_PREDICATES + 1).collect()]
+            if len(names) <= FEW_PREDICATES:
+                held = few(names).where("g is null").select("s", "p", "o")
+        new = settle(proposed.join(held.unionByName(added), ["s", "p", "o"], "left_anti"))
+        n = new.count()
+        if not n:
+            return added, total, rounds
+        total, added, part = total + n, added.unionByName(new), new
+        changed = RdfsSchema.collect(_default(known.unionByName(added))) if new.where(F.col("p.v").isin(VOCABULARY)).limit(1).count() else schema
         if changed != schema:
-            schema, part = changed, data.where("g is null").select("s", "p", "o")
-    return data, RdfsStats(before, before + added, added, rounds)
+            schema, part = changed, known.unionByName(added)
+
+
+def _default(triples: DataFrame) -> DataFrame:
+    return triples.select(F.lit(None).cast(T.TERM).alias("g"), "s", "p", "o")
+
+
+def materialise(quads: DataFrame, settle, stored: bool = False) -> tuple[DataFrame, RdfsStats]:
+    """quads with what follows in the default graph, to the fixpoint, and counts. They are settled too, as every round reads them, unless they are stored already."""
+    data = quads if stored else settle(quads)
+    before = data.where("g is null").count()
+    added, n, rounds = inferences(data, settle)
+    return data.unionByName(_default(added)), RdfsStats(before, before + n, n, rounds)

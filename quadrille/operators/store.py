@@ -21,7 +21,7 @@ from . import bindings as B
 from . import parts as P
 from .bindings import Bindings
 from .parts import SCHEMA, Manifest, bucket
-from .rdfs import RdfsSchema, RdfsStats, materialise
+from .rdfs import VOCABULARY, RdfsSchema, RdfsStats, inferences, materialise
 
 #: Predicates whose counts the planner keeps; beyond that the rest share an estimate.
 MAX_STATS = 50_000
@@ -70,13 +70,15 @@ class QuadStore:
         Manifest([part] if part else [], streams, (before.number if before else 0) + 1).write(self.spark, path)
         return QuadStore.open(self.spark, path)
 
-    def append(self, more: DataFrame | list[tuple], compression: str = "zstd", row_group: int = P.ROW_GROUP, stream: tuple[str, int] | None = None) -> QuadStore:
+    def append(self, more: DataFrame | list[tuple], compression: str = "zstd", row_group: int = P.ROW_GROUP, stream: tuple[str, int] | None = None, rdfs: bool = False) -> QuadStore:
         """The store at this one's path, as it is now, with these quads too.
 
         What is written is what is new and, now and then, small parts that grow together; what
         is read to leave out known quads is the buckets of the new ones' predicates, there the range
         of their subjects. stream: a stream's name and the number of its batch; one that the
-        store holds already adds nothing. Of two commits at one time the later one is an error.
+        store holds already adds nothing. rdfs: what follows by RDFS from the new quads, for a store
+        whose own inferences are stored; unless the schema changes, that reads of the store only
+        the buckets of the inferred predicates. Of two commits at one time the later one is an error.
         """
         if self.path is None:
             raise ValueError("only a saved store can be appended to")
@@ -91,6 +93,12 @@ class QuadStore:
         parts = manifest.parts
         if n:
             fresh = self._unknown(fresh, parts, sorted(touched), ranges, n <= BROADCAST_QUADS and size <= BROADCAST_BYTES)
+            if rdfs:
+                fresh = settled(fresh)
+                held = P.read(self.spark, self.path, "s", parts)
+                few = lambda names: P.of_predicates(held, names).select("g", "s", "p", "o").unionByName(fresh)
+                added, _, _ = inferences(held.select("g", "s", "p", "o").unionByName(fresh), settled, fresh, few)
+                fresh = fresh.unionByName(added.select(F.lit(None).cast(T.TERM).alias("g"), "s", "p", "o"))
             stay, small = P.absorbed(parts, n)
             part = P.write(self.spark, self.path, fresh.unionByName(P.read(self.spark, self.path, "s", small).select("g", "s", "p", "o")) if small else fresh, compression, row_group)
             parts = [*stay, part] if part else parts
@@ -211,7 +219,7 @@ class QuadStore:
 
     # --- inference and output ---
     def rdfs_schema(self) -> RdfsSchema:
-        return RdfsSchema.collect(self.quads)
+        return RdfsSchema.collect(P.of_predicates(self.quads, VOCABULARY) if self.bucketed else self.quads)
 
     def materialise_rdfs(self) -> tuple[QuadStore, RdfsStats]:
         data, stats = materialise(self.quads.select("g", "s", "p", "o"), settled, stored=self.bucketed)

@@ -96,6 +96,17 @@ def entries() -> dict[str, Entry]:
         "filter_not_bound": Entry("SELECT ?c { ?c c:c_name ?n OPTIONAL { ?o o:o_custkey ?c ; o:o_orderstatus \"F\" ; o:o_orderpriority \"5-LOW\" } FILTER (!BOUND(?o)) }", f"SELECT {cust} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW')"),
         "optional": Entry("SELECT ?c ?o { ?c c:c_name ?n OPTIONAL { ?o o:o_custkey ?c ; o:o_orderstatus \"F\" } }", f"SELECT {cust} AS c, {order} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'"),
         "optional_condition": Entry("SELECT ?c ?o { ?c c:c_acctbal ?b OPTIONAL { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER (?t > ?b * 20) } }", f"SELECT {cust} AS c, {order} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20"),
+        "optional_maybe_unbound": Entry(
+            "SELECT ?m ?k ?b { ?n n:n_name ?m OPTIONAL { ?n n:n_regionkey ?k FILTER (?k = <http://d/region/1>) } OPTIONAL { ?s s:s_acctbal ?b FILTER (?b > 5000) OPTIONAL { ?s s:s_nationkey ?z . ?z n:n_regionkey ?k FILTER (?k = <http://d/region/1> || ?k = <http://d/region/2>) } FILTER (BOUND(?k)) } }",
+            "WITH a AS (SELECT n_name, CASE WHEN n_regionkey = 1 THEN 'http://d/region/1' END AS k FROM nation), b AS (SELECT s_acctbal, CASE WHEN n_regionkey IN (1, 2) THEN 'http://d/region/' || n_regionkey END AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000) "
+            "SELECT n_name AS m, coalesce(a.k, b.k) AS k, s_acctbal AS b FROM a LEFT JOIN b ON (a.k = b.k OR a.k IS NULL OR b.k IS NULL) AND coalesce(a.k, b.k) IS NOT NULL",
+            {"b": D},
+        ),
+        "malformed_constants": Entry(
+            f"SELECT ?c ?x {{ {{ <http://d/customer/--5> c:c_name ?x }} UNION {{ <http://d/customer/²> c:c_name ?x }} UNION {{ ?c p:p_size \"--5\"^^<{T.INTEGER}> }} UNION {{ ?c p:p_size \"²\"^^<{T.INTEGER}> }} UNION {{ ?c p:p_size 7 ; p:p_brand ?x }} }}",
+            f"SELECT {_iri('part', 'p_partkey')} AS c, p_brand AS x FROM part WHERE p_size = 7",
+        ),
+        "group_by_some_unbound": Entry("SELECT ?k (COUNT(*) AS ?n) { ?n n:n_name ?m OPTIONAL { ?n n:n_regionkey ?k FILTER (?k = <http://d/region/1>) } } GROUP BY ?k", "SELECT CASE WHEN n_regionkey = 1 THEN 'http://d/region/1' END AS k, count(*) AS n FROM nation GROUP BY 1", {"n": N}),
         "optional_twice": Entry("SELECT ?n ?c ?s { ?n n:n_name \"NATION_1\" OPTIONAL { ?c c:c_nationkey ?n ; c:c_mktsegment \"BUILDING\" } OPTIONAL { ?s s:s_nationkey ?n } }", f"SELECT {_iri('nation', 'n_nationkey')} AS n, {cust} AS c, {_iri('supplier', 's_suppkey')} AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_name = 'NATION_1'"),
         "union": Entry("SELECT ?x ?b ?m { { ?x c:c_acctbal ?b ; c:c_mktsegment ?m } UNION { ?x s:s_acctbal ?b } }", f"SELECT {cust} AS x, c_acctbal AS b, c_mktsegment AS m FROM customer UNION ALL SELECT {_iri('supplier', 's_suppkey')}, s_acctbal, NULL FROM supplier", {"b": D}),
         "nested_group": Entry("SELECT ?c ?o { ?c c:c_acctbal ?b { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER (?t > ?b * 30) } }", f"SELECT {cust} AS c, {order} AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > c_acctbal * 30"),

@@ -70,7 +70,7 @@ class Compiler:
                 return self.join(node, graph)
             case LeftJoin():
                 left, right = self.compile(node.left, graph), self.compile(node.right, graph)
-                return B.left_join(left, right, self.condition(node, left, right))
+                return B.left_join(left, right, self.condition(node))
             case Union():
                 return B.union(self.compile(node.left, graph), self.compile(node.right, graph))
             case Filter():
@@ -92,13 +92,15 @@ class Compiler:
                 return Bindings(df if node.limit is None else df.limit(node.limit), child.names, child.definite)
         raise TypeError(node)
 
-    def condition(self, node: LeftJoin, left: Bindings, right: Bindings) -> Column | None:
-        scope = B.merged(left, right)
-        found = None
-        for c in node.conditions:
-            one = truth(c, scope)
-            found = one if found is None else found & one
-        return found
+    def condition(self, node: LeftJoin) -> B.Condition:
+        def of(scope: dict[str, Column]) -> Column | None:
+            found = None
+            for c in node.conditions:
+                one = truth(c, scope)
+                found = one if found is None else found & one
+            return found
+
+        return of
 
     def join(self, node: Join, graph: Slot | None) -> Bindings:
         """A filter of the right group on variables bound only outside of it holds for the join."""
@@ -130,8 +132,8 @@ class Compiler:
                 left, right = self.compile(inner.left, graph), self.compile(inner.right, graph)
                 if names[0] not in left.names and names[0] in right.definite:
                     self.notes.append(f"anti-join: OPTIONAL without ?{names[0]}")
-                    return B.anti_join(left, right, self.condition(inner, left, right))
-                child = B.left_join(left, right, self.condition(inner, left, right))
+                    return B.anti_join(left, right, self.condition(inner))
+                child = B.left_join(left, right, self.condition(inner))
                 return child.filtered(truth(missing, child.scope()))
         child = self.compile(inner, graph)
         return child.filtered(truth(missing, child.scope()))

@@ -163,3 +163,48 @@ def test_fields_of_terms_are_filtered_at_run_time(spark, papers):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+SCHEMA_TEXT = """@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> .
+    e:C1 r:subClassOf e:C2 . e:C2 r:subClassOf e:C3 . e:p0 r:subPropertyOf e:q . e:q r:domain e:C1 . e:p1 r:range e:C2 ."""
+
+
+@pytest.mark.parametrize("more", [[("n1", "p0", "n2"), ("n1", "p1", "n3")], [("q", "http://www.w3.org/2000/01/rdf-schema#range", "C9"), ("n1", "p0", "n2")], [("s1", "p9", "x")]])
+def test_inference_after_an_append(spark, tmp_path, rows, more):
+    """The same as a full run, where the new quads change the schema, too; else only the buckets of what they touch are read."""
+    from quadrille.sources.readers import load_text
+
+    more = [(e(s), T.iri(p) if ":" in p else e(p), e(o)) for s, p, o in more]
+    base = load_text(spark, SCHEMA_TEXT).add(rows)
+    closed = base.materialise_rdfs()[0].save(str(tmp_path / "store"))
+    want = base.add(more).materialise_rdfs()[0]
+    held = {}
+    if more[0][1].v == "http://e/p9":
+        held = _spoilt(tmp_path / "store", {r[0] for r in spark.createDataFrame([("http://e/p9",), *((T.RDFS + x,) for x in ("subClassOf", "subPropertyOf", "domain", "range"))], "p string").select(P.bucket("p")).collect()})
+    grown = closed.append(more, rdfs=True)
+    for f, content in held.items():
+        f.write_bytes(content)
+    plain = lambda store: {(r.s.v, r.p.v, r.o.v) for r in store.quads.collect()}
+    assert plain(grown) == plain(want) and grown.quad_count() == want.quad_count() > closed.quad_count()
+    assert grown.materialise_rdfs()[1].inferred == 0
+
+
+def test_optional_on_variables_that_may_be_unbound(spark):
+    """Against every pair of rows by hand; rows with bound values meet by equality, repeated rows stay as often as they are."""
+    from quadrille.sources.readers import load_text
+
+    text = "@prefix e: <http://e/> . " + " ".join(f"e:a{i} e:n {i % 4} ; {f'e:k {i % 3} ;' if i % 2 else ''} e:t 1 . e:b{i} e:m {i} ; {f'e:k {i % 5} ;' if i % 3 else ''} e:u 1 ." for i in range(12))
+    engine = Engine(load_text(spark, text))
+    for condition in ("", "FILTER (?m > 4)", "FILTER (BOUND(?k) && ?m < ?n + 6)"):
+        query = f"PREFIX e: <http://e/> SELECT ?n ?k ?m {{ {{ ?a e:n ?n OPTIONAL {{ ?a e:k ?k }} }} OPTIONAL {{ ?b e:m ?m OPTIONAL {{ ?b e:k ?k }} {condition} }} }}"
+        left = [(i % 4, i % 3 if i % 2 else None) for i in range(12)]
+        right = [(i, i % 5 if i % 3 else None) for i in range(12)]
+        want = []
+        for n, k in left:
+            fits = [(n, k if k is not None else j, m) for m, j in right if k is None or j is None or k == j]
+            fits = [f for f in fits if not condition or ("> 4" in condition and f[2] > 4) or ("BOUND" in condition and f[1] is not None and f[2] < n + 6)]
+            want += fits or [(n, k, None)]
+        got = [tuple(None if t is None else int(t.v) for t in row) for row in engine.run(query).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    plan = engine.run(query).plan()
+    assert plan.count("NestedLoopJoin LeftOuter") == plan.count("NestedLoopJoin LeftAnti") == 0 and ("HashJoin" in plan or "SortMergeJoin" in plan)
