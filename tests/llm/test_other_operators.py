@@ -400,3 +400,30 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, folder)
     want = docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {(r.doc_id, r.n) for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {(r.doc_id, r.n) for r in want}
+
+
+@pytest.mark.parametrize("labelled", [(), (0, 1)])
+def test_pipeline_of_odd_tables(spark, tmp_path, labelled):
+    """Null and empty texts, null ids and sources, repeated rows, one very long text, columns that stages use themselves, no usable labels; and an empty table."""
+    import corpus_pipeline
+
+    words = "stone river cloud people house garden winter letter window paper".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % 10] + str((i * j) % 17) for j in range(40))
+    rows = [(i, text(i), "en", "ab"[i % 2]) for i in range(12)] + [(3, text(3), "en", "b"), (3, text(3), "en", "b"), (20, None, None, None), (21, "", "en", "a"), (None, text(40), None, None), (22, "x" * 300_000 + " y" * 5_000, "de", "a"), (23, "\n\n \n", "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score string, key string, row int, component_id string"
+    spark.createDataFrame([(*r, 0, "s", "k", 1, "c") for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in labelled] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, folder = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= set(range(12)) | {None, 22} and kept.where("doc_id = 3").count() == 1
+    out = corpus_pipeline.run(spark, folder).toPandas()
+    assert set(out["doc_id"].dropna()) <= {r[0] for r in rows} and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+    for _, part in out.sort_values("offset").groupby("sequence_id"):
+        assert (part["offset"] == part["length"].cumsum() - part["length"]).all()
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
