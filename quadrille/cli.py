@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from .session import Engine
 from .sources.generator import Spec, bibliography
 from .sources.readers import read_nquads, read_ntriples, read_turtle
 from .sources.tokens import ParseError
+from .storage import Folder, shared_folder
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -39,12 +40,11 @@ def arguments() -> argparse.ArgumentParser:
     return p
 
 
-def load(spark: SparkSession, args: argparse.Namespace, folder: str) -> QuadStore:
+def load(spark: SparkSession, args: argparse.Namespace, generated: Folder) -> QuadStore:
     parts: list[DataFrame] = []
     if args.generate is not None:
-        text = Path(folder) / "generated.ttl"
-        text.write_text(bibliography(Spec.sized(args.generate)))
-        parts.append(read_turtle(spark, str(text)))
+        generated.write_new(bibliography(Spec.sized(args.generate)))
+        parts.append(read_turtle(spark, generated.path.toString()))
     if args.files:
         read = read_nquads if args.nquads else read_ntriples if args.ntriples else read_turtle
         parts.append(read(spark, args.files))
@@ -67,31 +67,33 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.appName("quadrille").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    with tempfile.TemporaryDirectory() as folder:
-        try:
-            store = load(spark, args, folder)
-            print(f"{store.triple_count()} triples in the default graph, {store.quad_count()} quads in all")
-            if args.rdfs:
-                store, stats = store.materialise_rdfs()
-                print(f"RDFS: {stats.inferred} inferred in {stats.rounds} rounds, {stats.after} triples now")
-            if args.save:
-                store.save(args.save, "none" if args.plain else "zstd")
-            text = args.query
-            if text is None and not args.save and not sys.stdin.isatty():
-                text = sys.stdin.read()
-            if text and text.startswith("@"):
-                text = Path(text[1:]).read_text()
-            if text:
-                out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=True if args.merge else False if args.no_merge else None, rdfs_query_time=args.rdfs_query)
-                if args.plan:
-                    print(out.algebra + out.plan())
-                print(out.table(args.limit))
-        except ParseError as e:
-            print(f"syntax error: {e}", file=sys.stderr)
-            return 1
-        except Exception as e:
-            print(f"error: {str(e).splitlines()[0][:500] if str(e) else type(e).__name__}", file=sys.stderr)
-            return 1
+    generated = Folder(spark, f"{shared_folder(spark)}/generated-{uuid.uuid4().hex}.ttl")  # where executors can read it, too
+    try:
+        store = load(spark, args, generated)
+        print(f"{store.triple_count()} triples in the default graph, {store.quad_count()} quads in all")
+        if args.rdfs:
+            store, stats = store.materialise_rdfs()
+            print(f"RDFS: {stats.inferred} inferred in {stats.rounds} rounds, {stats.after} triples now")
+        if args.save:
+            store.save(args.save, "none" if args.plain else "zstd")
+        text = args.query
+        if text is None and not args.save and not sys.stdin.isatty():
+            text = sys.stdin.read()
+        if text and text.startswith("@"):
+            text = Path(text[1:]).read_text()
+        if text:
+            out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=True if args.merge else False if args.no_merge else None, rdfs_query_time=args.rdfs_query)
+            if args.plan:
+                print(out.algebra + out.plan())
+            print(out.table(args.limit))
+    except ParseError as e:
+        print(f"syntax error: {e}", file=sys.stderr)
+        return 1
+    except Exception as e:
+        print(f"error: {str(e).splitlines()[0][:500] if str(e) else type(e).__name__}", file=sys.stderr)
+        return 1
+    finally:
+        generated.delete()
     return 0
 
 

@@ -30,12 +30,12 @@ BROADCAST_QUADS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 class QuadStore:
-    def __init__(self, quads: DataFrame, path: str | None = None, manifest: Manifest | None = None, objects: DataFrame | None = None) -> None:
-        """quads (g, s, p, o), repeats allowed unless they come from a saved store (path, its manifest, and the quads in the order of objects)."""
+    def __init__(self, quads: DataFrame, path: str | None = None, manifest: Manifest | None = None, objects: DataFrame | None = None, distinct: bool = False) -> None:
+        """quads (g, s, p, o), repeats allowed unless they are said to be distinct or come from a saved store (path, its manifest, and the quads in the order of objects)."""
         self.spark: SparkSession = quads.sparkSession
         self.bucketed, self.path, self.manifest = path is not None, path, manifest
         self.staged = quads
-        self.quads = quads if self.bucketed else quads.select("g", "s", "p", "o").dropDuplicates()
+        self.quads = quads if self.bucketed or distinct else quads.select("g", "s", "p", "o").dropDuplicates()
         self.objects = objects
 
     # --- making and keeping ---
@@ -223,8 +223,7 @@ class QuadStore:
 
     def materialise_rdfs(self) -> tuple[QuadStore, RdfsStats]:
         data, stats = materialise(self.quads.select("g", "s", "p", "o"), settled, stored=self.bucketed)
-        store = QuadStore(data)
-        return store, stats
+        return QuadStore(data, distinct=True), stats
 
     def ntriples(self) -> DataFrame:
         """The default graph as lines (value)."""

@@ -33,7 +33,7 @@ class Options:
     #: Joined patterns of at most so many rows are run while the plan is made, where the next pattern has `lookup_from` rows or more by
     #: its statistics; that one then reads only what their values can meet. 0: never.
     lookup_rows: int = 1_000
-    lookup_from: int = 1_000_000
+    lookup_from: int = 250_000
 
 
 class Source(Protocol):

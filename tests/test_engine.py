@@ -10,6 +10,7 @@ from quadrille.sources.readers import load_text, read_nquads, read_ntriples, rea
 from quadrille.sources.tokens import ParseError
 
 P = "PREFIX ex: <http://example.org/> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
+#: This graph and the counts below, which results are held against.
 LIBRARY = """
 @prefix ex: <http://example.org/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 ex:alice a ex:Author ; ex:name "Alice" ; ex:age 34 ; ex:homepage <http://example.org/people/alice> ; ex:knows ex:bob, ex:carol .
