@@ -56,7 +56,7 @@ TABLES = (
 
 def _canonical(text: str) -> bool:
     """Whether a text is what a whole number of a column is written as."""
-    return re.fullmatch(r"0|-?[1-9][0-9]{0,18}", text) is not None
+    return re.match(r"(?:0|-?[1-9][0-9]{0,18})\Z", text) is not None
 
 
 class RelationalSource:
