@@ -36,6 +36,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--plain", action="store_true", help="save without compression")
     p.add_argument("--open", metavar="PATH", help="open a saved store")
     p.add_argument("--plan", action="store_true", help="print the algebra and the plan")
+    p.add_argument("--profile", action="store_true", help="print the rows that each node gave; that runs the query once more")
     p.add_argument("--limit", type=int, default=20, metavar="N", help="print so many solutions at most")
     return p
 
@@ -82,9 +83,11 @@ def main(argv: list[str] | None = None) -> int:
         if text and text.startswith("@"):
             text = Path(text[1:]).read_text()
         if text:
-            out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=True if args.merge else False if args.no_merge else None, rdfs_query_time=args.rdfs_query)
+            out = Engine(store).run(text, naive_join_order=args.naive, enable_merge_join=True if args.merge else False if args.no_merge else None, rdfs_query_time=args.rdfs_query, row_counts=args.profile)
             if args.plan:
                 print(out.algebra + out.plan())
+            if args.profile:
+                print(out.profile())
             print(out.table(args.limit))
     except ParseError as e:
         print(f"syntax error: {e}", file=sys.stderr)

@@ -1,16 +1,18 @@
 """RDFS entailment: rules 2, 3, 5, 7, 9 and 11.
 
-The schema (subclasses, subproperties, domains, ranges) is closed on the driver: it is the
-vocabulary, not the data, and its size is checked. In a round the data meet the closed rules
-in one join (broadcast up to a size) and one shuffle removes what is already known.
+The schema (subclasses, subproperties, domains, ranges) is closed on the driver where its statements
+and the closed rules are few, both counted; else on executors, where walks of twice the
+length are joined in each round. In a round the data meet the closed rules in one join
+(broadcast up to a size) and one shuffle removes what is already known.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -18,29 +20,53 @@ from ..functions.terms import Term
 
 SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE = (T.RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range"))
 VOCABULARY = [SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE]
-#: Schema statements that the driver may close at most.
+#: Schema statements that the driver may hold at most.
 MAX_SCHEMA = 1_000_000
+#: Pairs of closed rules that the driver may hold at most.
+MAX_PAIRS = 1_000_000
 
 Relation = dict[Term, set[Term]]
 
 
-def closure(relation: Relation) -> Relation:
+class TooLarge(ValueError):
+    """A schema beyond what the driver may hold."""
+
+
+def reachable(relation: Relation, start: Term) -> set[Term]:
     """Everything reachable; on a cycle that includes the start."""
+    seen: set[Term] = set()
+    todo = list(relation.get(start, ()))
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += relation.get(x, ())
+    return seen
+
+
+def inverse(relation: Relation) -> Relation:
+    out: Relation = defaultdict(set)
+    for a, above in relation.items():
+        for b in above:
+            out[b].add(a)
+    return out
+
+
+def within(relation: Relation, room: int = MAX_PAIRS) -> Relation:
+    """The relation's closure, an error with more than so many pairs."""
     out: Relation = {}
     for start in relation:
-        seen: set[Term] = set()
-        todo = list(relation[start])
-        while todo:
-            x = todo.pop()
-            if x not in seen:
-                seen.add(x)
-                todo += relation.get(x, ())
-        out[start] = seen
+        out[start] = reachable(relation, start)
+        room -= len(out[start])
+        if room < 0:
+            raise TooLarge("more pairs of closed rules than the driver may hold")
     return out
 
 
 @dataclass
 class RdfsSchema:
+    """A schema of few statements. As collected it isn't closed: questions follow the statements, in memory of their number."""
+
     sub_class: Relation
     sub_property: Relation
     domain: Relation
@@ -49,20 +75,31 @@ class RdfsSchema:
     @classmethod
     def collect(cls, quads: DataFrame) -> RdfsSchema:
         """From the default graph of quads (g, s, p, o)."""
-        rows = quads.where(F.col("g").isNull() & F.col("p.v").isin(VOCABULARY)).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
+        rows = _statements(quads).limit(MAX_SCHEMA + 1).collect()
         if len(rows) > MAX_SCHEMA:
-            raise ValueError(f"more than {MAX_SCHEMA} schema statements")
+            raise TooLarge(f"more than {MAX_SCHEMA} schema statements")
         found: dict[str, Relation] = defaultdict(lambda: defaultdict(set))
         for r in rows:
             s, o = (Term(x.k, x.v, x.l, x.d) for x in (r.s, r.o))
             found[r.p.v][s].add(o)
-        return cls(closure(found[SUB_CLASS]), closure(found[SUB_PROPERTY]), dict(found[DOMAIN]), dict(found[RANGE]))
+        return cls(*(dict(found[v]) for v in VOCABULARY))
+
+    def closed(self) -> RdfsSchema:
+        """With subclasses and subproperties closed, TooLarge beyond MAX_PAIRS of each and of the rules."""
+        found = RdfsSchema(within(self.sub_class), within(self.sub_property), self.domain, self.range)
+        found.rules()
+        return found
+
+    @cached_property
+    def below(self) -> tuple[Relation, Relation]:
+        """Subproperties and subclasses, from above."""
+        return inverse(self.sub_property), inverse(self.sub_class)
 
     def properties_entailing(self, p: Term) -> list[Term]:
-        return [p, *sorted(x for x, above in self.sub_property.items() if p in above and x != p)]
+        return [p, *sorted(reachable(self.below[0], p) - {p})]
 
     def classes_entailing(self, c: Term) -> list[Term]:
-        return [c, *sorted(x for x, above in self.sub_class.items() if c in above and x != c)]
+        return [c, *sorted(reachable(self.below[1], c) - {c})]
 
     def _with(self, relation: Relation, c: Term) -> list[Term]:
         classes = set(self.classes_entailing(c))
@@ -83,11 +120,119 @@ class RdfsSchema:
         direct = {c for q in self.above(p) for c in relation.get(q, ())}
         return direct | {d for c in direct for d in self.sub_class.get(c, ())}
 
-    def rules(self) -> tuple[dict[Term, set[Term]], dict[Term, set[Term]], dict[Term, set[Term]]]:
-        """Of each property: further properties, classes of the subject, classes of the object."""
-        known = {*self.sub_property, *self.domain, *self.range}
-        more = {p: self.sub_property.get(p, set()) - {p} for p in known}
-        return more, {p: self.types(self.domain, p) for p in known}, {p: self.types(self.range, p) for p in known}
+    def rules(self) -> tuple[Relation, Relation, Relation]:
+        """Of each property of a closed schema: further properties, classes of the subject, classes of the object."""
+        more = {p: above - {p} for p, above in self.sub_property.items()}
+        of: tuple[Relation, Relation] = {}, {}
+        room = MAX_PAIRS
+        for p in {*self.sub_property, *self.domain, *self.range}:
+            for found, relation in zip(of, (self.domain, self.range)):
+                found[p] = self.types(relation, p)
+                room -= len(found[p])
+            if room < 0:
+                raise TooLarge("more pairs of closed rules than the driver may hold")
+        return more, *of
+
+    # --- what a round asks of a closed schema ---
+    def proposals(self, triples: DataFrame) -> DataFrame:
+        return proposals(triples, self)
+
+    def changed_by(self, new: DataFrame, triples: DataFrame, settle) -> Schema | None:
+        """The closed schema of triples, new ones among them, if it isn't this one."""
+        if not _speaks_of_schema(new):
+            return None
+        found = closed_schema(_default(triples), settle)
+        return None if found == self else found
+
+
+class WideSchema:
+    """A schema whose closure the driver can't hold: statements, closed pairs and rules are DataFrames.
+
+    statements (s, p, o) need not be closed. Of what the rounds add only statements that don't
+    follow from the others make a new schema, so that closed pairs are never closed again.
+    """
+
+    def __init__(self, statements: DataFrame, settle) -> None:
+        self.statements = settle(statements.select("s", "p", "o").distinct())
+        classes, properties = (transitive(self._of(v), settle) for v in (SUB_CLASS, SUB_PROPERTY))
+
+        def types(name: str) -> DataFrame:
+            direct = self._of(name)
+            direct = direct.union(properties.join(direct.toDF("b", "c"), "b").select("a", F.col("c").alias("b")))
+            return settle(direct.union(direct.join(classes.toDF("b", "c"), "b").select("a", F.col("c").alias("b"))).distinct())
+
+        def rows(pairs: DataFrame, mode: int, of_class: bool = False) -> DataFrame:
+            return pairs.select(F.lit(of_class).alias("ofclass"), F.col("a").alias("k"), F.lit(mode).cast("tinyint").alias("m"), F.col("b").alias("t"))
+
+        self.rules = rows(properties.where("a <> b"), _MORE).union(rows(types(DOMAIN), _SUBJECT)).union(rows(types(RANGE), _OBJECT)).union(rows(classes, _SUBJECT, True))
+        self.pairs = [x.select(F.col("a").alias("s"), T.constant(T.iri(v)).cast(T.TERM).alias("p"), F.col("b").alias("o")) for x, v in ((classes, SUB_CLASS), (properties, SUB_PROPERTY))]
+
+    def _of(self, name: str) -> DataFrame:
+        return self.statements.where(F.col("p.v") == name).select(F.col("s").alias("a"), F.col("o").alias("b"))
+
+    def proposals(self, triples: DataFrame) -> DataFrame:
+        """As for a schema on the driver, but both sides are shuffled; a type's rules hang on its class and on rdf:type."""
+        of_predicate = F.struct(F.lit(False).alias("ofclass"), F.col("p").alias("k"))
+        of_class = F.struct(F.lit(True).alias("ofclass"), F.col("o").alias("k"))
+        keys = F.when(F.col("p.v") == T.TYPE, F.array(of_predicate, of_class)).otherwise(F.array(of_predicate))
+        keyed = triples.select("s", "p", "o", F.inline(keys))
+        found = _applied(keyed.join(self.rules, ["ofclass", "k"]), F.col("m"), F.col("t"))
+        for x in self.pairs:
+            found = found.unionAll(x)
+        return found
+
+    def changed_by(self, new: DataFrame, triples: DataFrame, settle) -> Schema | None:
+        if not _speaks_of_schema(new):
+            return None
+        said = new.where(F.col("p.v").isin(VOCABULARY)).select("s", "p", "o")
+        for x in self.pairs:
+            said = said.join(x, ["s", "p", "o"], "left_anti")
+        said = settle(said)
+        return WideSchema(self.statements.unionByName(said), settle) if said.limit(1).count() else None
+
+
+Schema = RdfsSchema | WideSchema
+
+
+def closed_schema(quads: DataFrame, settle) -> Schema:
+    """The closed schema of quads' default graph, on the driver where it is small."""
+    try:
+        return RdfsSchema.collect(quads).closed()
+    except TooLarge:
+        return WideSchema(_statements(quads), settle)
+
+
+def transitive(edges: DataFrame, settle) -> DataFrame:
+    """(a, b) of terms to all pairs that a walk along edges leads to.
+
+    A round knows the pairs of walks of less than n edges and those of just n, and makes those of less than
+    2n and of just 2n: so rounds are the logarithm of the longest of shortest walks, and in a chain or
+    a tree each pair is found once. Where walks of n to 2n - 1 edges lead to no new pair none of
+    n edges is shortest, so no longer one is: the end. Terms are numbered meanwhile.
+    """
+    terms = settle(edges.select("a").union(edges.select("b")).distinct().toDF("t").withColumn("id", F.monotonically_increasing_id()))
+    a, b = terms.toDF("a", "x"), terms.toDF("b", "y")
+    just = settle(edges.join(a, "a").join(b, "b").select("x", "y").distinct())
+    found = just.limit(0)
+    while True:
+        walks = just.union(_walked(found, just)).distinct()
+        new = settle(walks.join(found, ["x", "y"], "left_anti"))
+        if not new.limit(1).count():
+            return settle(found.join(a, "x").join(b, "y").select("a", "b"))
+        found = found.union(new)
+        just = settle(_walked(just, just).distinct())
+
+
+def _walked(first: DataFrame, then: DataFrame) -> DataFrame:
+    return first.toDF("x", "z").join(then.toDF("z", "y"), "z").select("x", "y")
+
+
+def _statements(quads: DataFrame) -> DataFrame:
+    return quads.where(F.col("g").isNull() & F.col("p.v").isin(VOCABULARY)).select("s", "p", "o")
+
+
+def _speaks_of_schema(triples: DataFrame) -> bool:
+    return triples.where(F.col("p.v").isin(VOCABULARY)).limit(1).count() > 0
 
 
 @dataclass(frozen=True)
@@ -130,17 +275,20 @@ def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
         joined = keyed.join(rules, ["ofclass", "k"], "left" if own else "inner")
         always = F.array(*[F.struct(F.lit(m).cast("tinyint").alias("m"), T.constant(t).alias("t")) for m, t in own]).cast(out) if own else F.array().cast(out)
         outs = F.concat(F.coalesce("outs", F.array().cast(out)), F.when(is_type, always).otherwise(F.array().cast(out))) if own else F.col("outs")
-        each = joined.select("s", "p", "o", F.explode(outs).alias("x"))
-        typed = T.constant(T.iri(T.TYPE))
-        found = each.select(
-            F.when(F.col("x.m") == _OBJECT, F.col("o")).otherwise(F.col("s")).alias("s"),
-            F.when(F.col("x.m") == _MORE, F.col("x.t")).otherwise(typed).alias("p"),
-            F.when(F.col("x.m") == _MORE, F.col("o")).otherwise(F.col("x.t")).alias("o"),
-        )
+        found = _applied(joined.select("s", "p", "o", F.explode(outs).alias("x")), F.col("x.m"), F.col("x.t"))
     closed = [(a.row(), T.iri(name).row(), b.row()) for name, relation in ((SUB_CLASS, schema.sub_class), (SUB_PROPERTY, schema.sub_property)) for a in sorted(relation) for b in sorted(relation[a])]
     return found.unionAll(spark.createDataFrame(closed, f"s {T.TERM}, p {T.TERM}, o {T.TERM}")) if closed else found
 
 
+def _applied(triples: DataFrame, m: Column, t: Column) -> DataFrame:
+    """What rules (m, t) make of triples beside them."""
+    return triples.select(
+        F.when(m == _OBJECT, F.col("o")).otherwise(F.col("s")).alias("s"),
+        F.when(m == _MORE, t).otherwise(T.constant(T.iri(T.TYPE))).alias("p"),
+        F.when(m == _MORE, F.col("o")).otherwise(t).alias("o"),
+    )
+
+
 #: Predicates of new triples up to which only those of the known ones are read.
 FEW_PREDICATES = 64
 
@@ -157,13 +305,13 @@ def inferences(quads: DataFrame, settle, fresh: DataFrame | None = None, few=Non
     quads that have them; then the known triples are read for the predicates of new ones only.
     """
     known = quads.where("g is null").select("s", "p", "o")
-    schema, part, rounds, total = RdfsSchema.collect(few(VOCABULARY) if few else quads), known, 0, 0
+    schema, part, rounds, total = closed_schema(few(VOCABULARY) if few else quads, settle), known, 0, 0
     added = known.limit(0)
-    if fresh is not None and not fresh.where(F.col("g").isNull() & F.col("p.v").isin(VOCABULARY)).limit(1).count():
+    if fresh is not None and not _speaks_of_schema(fresh.where("g is null")):
         part = fresh.where("g is null").select("s", "p", "o")
     while True:
         rounds += 1
-        proposed = proposals(part, schema).distinct()
+        proposed = schema.proposals(part).distinct()
         held = known
         if few is not None:
             proposed = settle(proposed)
@@ -175,8 +323,8 @@ def inferences(quads: DataFrame, settle, fresh: DataFrame | None = None, few=Non
         if not n:
             return added, total, rounds
         total, added, part = total + n, added.unionByName(new), new
-        changed = RdfsSchema.collect(_default(known.unionByName(added))) if new.where(F.col("p.v").isin(VOCABULARY)).limit(1).count() else schema
-        if changed != schema:
+        changed = schema.changed_by(new, known.unionByName(added), settle)
+        if changed is not None:
             schema, part = changed, known.unionByName(added)
 
 

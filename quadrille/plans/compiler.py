@@ -18,7 +18,7 @@ from ..functions import terms as T
 from ..operators import bindings as B
 from ..operators.bindings import Bindings
 from ..operators.rdfs import RdfsSchema
-from .algebra import Aggregate, Bgp, Distinct, Expr, Filter, Graph, Group, Join, LeftJoin, Node, Op, OrderBy, Project, Query, Slice, Slot, Triple, Union, Var, expr_variables
+from .algebra import Aggregate, Bgp, Distinct, Expr, Filter, Graph, Group, Join, LeftJoin, Node, Op, OrderBy, Project, Query, Slice, Slot, Triple, Union, Var, expr_variables, show
 from .expressions import Value, compile_expr, truth
 
 
@@ -34,6 +34,8 @@ class Options:
     #: its statistics; that one then reads only what their values can meet. 0: never.
     lookup_rows: int = 1_000
     lookup_from: int = 250_000
+    #: Count the rows that each node, pattern and join of patterns gives, for `Outcome.counted`.
+    row_counts: bool = False
 
 
 class Source(Protocol):
@@ -55,14 +57,48 @@ class Source(Protocol):
     def rdfs_schema(self) -> RdfsSchema: ...
 
 
+#: Entailed classes or properties up to which each gets a scan of its own; more are asked for in one scan.
+FEW_SCANS = 32
+#: Of those in one scan, how many are broadcast.
+BROADCAST_TERMS = 200_000
+
+
+@dataclass
+class Counted:
+    """A place in the tree whose rows are counted, by the name of its metric; or whose rows are known."""
+
+    depth: int
+    what: str
+    metric: str
+    rows: int | None = None
+
+
 class Compiler:
     def __init__(self, source: Source, options: Options = Options()) -> None:
         self.source, self.options = source, options
         self.notes: list[str] = []
+        self.counted: list[Counted] = []
+        self.depth = 0
         self.schema = source.rdfs_schema() if options.rdfs_query_time else None
 
     # --- the tree ---
     def compile(self, node: Node, graph: Slot | None = None) -> Bindings:
+        if not self.options.row_counts:
+            return self.compiled(node, graph)
+        place = self.place(show(node).splitlines()[0])
+        self.depth += 1
+        found = self.compiled(node, graph)
+        self.depth -= 1
+        return observed(found, place)
+
+    def place(self, what: str) -> Counted:
+        self.counted.append(Counted(self.depth, what, f"rows {len(self.counted)}"))
+        return self.counted[-1]
+
+    def observe(self, found: Bindings, what: str) -> Bindings:
+        return observed(found, self.place(what)) if self.options.row_counts else found
+
+    def compiled(self, node: Node, graph: Slot | None) -> Bindings:
         match node:
             case Bgp():
                 return self.bgp(node, graph)
@@ -154,10 +190,11 @@ class Compiler:
         else:
             parts = self.source.star(list(node.triples), graph)
         parts = self.ordered(parts, graph)
-        found = parts[0][1]
+        found = self.observe(parts[0][1], _patterns(parts[0][0]))
         for triples, more in parts[1:]:
             found, more = self.looked_up(found, triples, more, graph)
-            found = B.join(found, more, self.hint(found, more))
+            more = self.observe(more, _patterns(triples))
+            found = self.observe(B.join(found, more, self.hint(found, more)), "joined")
         return found
 
     def looked_up(self, found: Bindings, triples: list[Triple], more: Bindings, graph: Slot | None) -> tuple[Bindings, Bindings]:
@@ -181,7 +218,9 @@ class Compiler:
             kept = F.col(more.keys[v][1]).isin(sorted({*rows.column(found.keys[v][1]).to_pylist()}))
         else:
             kept = more.col(v)["v"].isin(sorted({t["v"] for t in rows.column(found.names[v]).to_pylist()}))
-        self.notes.append(f"looked up: {rows.num_rows} rows' ?{v} in {' , '.join(' '.join(map(_slot, t.slots())) for t in triples)}")
+        self.notes.append(f"looked up: {rows.num_rows} rows' ?{v} in {_patterns(triples)}")
+        if self.options.row_counts:
+            self.counted[-1].rows = rows.num_rows
         return here, more.filtered(kept)
 
     def ordered(self, parts: list[tuple[list[Triple], Bindings]], graph: Slot | None) -> list[tuple[list[Triple], Bindings]]:
@@ -209,12 +248,12 @@ class Compiler:
         if t.p.v == T.TYPE:
             if not isinstance(t.o, T.Term):
                 return self.source.scan(t, graph)
-            scans = [self.source.scan(replace(t, o=c), graph) for c in schema.classes_entailing(t.o)]
             other = Var("_bnode_ other")
-            scans += [self.source.scan(Triple(t.s, p, other), graph) for p in schema.properties_with_domain(t.o)]
-            scans += [self.source.scan(Triple(other, p, t.s), graph) for p in schema.properties_with_range(t.o)]
+            scans = self.among(t, "o", schema.classes_entailing(t.o), graph)
+            scans += self.among(Triple(t.s, t.p, other), "p", schema.properties_with_domain(t.o), graph)
+            scans += self.among(Triple(other, t.p, t.s), "p", schema.properties_with_range(t.o), graph)
         else:
-            scans = [self.source.scan(replace(t, p=p), graph) for p in schema.properties_entailing(t.p)]
+            scans = self.among(t, "p", schema.properties_entailing(t.p), graph)
         if len(scans) == 1:
             return scans[0]
         wanted = list(dict.fromkeys([*t.variables(), *([graph.name] if isinstance(graph, Var) else [])]))
@@ -226,6 +265,16 @@ class Compiler:
             return Bindings(found.df.limit(1), {}, frozenset())
         return B.distinct(found).sure(*wanted)
 
+    def among(self, t: Triple, slot: str, terms: list[T.Term], graph: Slot | None) -> list[Bindings]:
+        """The pattern with each of the terms in a slot: a scan for each or, where they are many, one that meets them all."""
+        if len(terms) <= FEW_SCANS:
+            return [self.source.scan(replace(t, **{slot: x}), graph) for x in terms]
+        asked = Var("_bnode_ asked")
+        found = self.source.scan(replace(t, **{slot: asked}), graph)
+        values = self.source.spark.createDataFrame([(x.row(),) for x in terms], f"asked {T.TERM}")
+        values = F.broadcast(values) if len(terms) <= BROADCAST_TERMS else values
+        return [replace(found, df=found.df.join(values, B.same_term(found.col(asked.name), F.col("asked")), "left_semi"))]
+
     # --- modifiers ---
     def sort_keys(self, node: OrderBy, child: Bindings) -> list[Column]:
         scope = child.scope()
@@ -322,10 +371,18 @@ def project(child: Bindings, names) -> Bindings:
     return B.fresh(child.df, {v: child.col(v) if v in child.names else T.unbound() for v in names}, {v for v in names if v in child.definite}, child.key(*names))
 
 
+def observed(found: Bindings, place: Counted) -> Bindings:
+    return replace(found, df=found.df.observe(place.metric, F.count(F.lit(1)).alias("rows")))
+
+
 def _slot(x: Slot) -> str:
     return f"?{x.name}" if isinstance(x, Var) else str(x)
 
 
+def _patterns(triples: list[Triple]) -> str:
+    return " , ".join(" ".join(map(_slot, t.slots())) for t in triples)
+
+
 def compile_query(query: Query, source: Source, options: Options = Options()) -> tuple[Bindings, Compiler]:
     compiler = Compiler(source, options)
     return compiler.compile(query.root), compiler
