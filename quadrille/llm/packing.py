@@ -25,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import by_bytes, settled
 
 WINDOW, END = 4096, 2
 #: Cost of a document of n tokens in a sequence: LINEAR x n + QUADRATIC x n x n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Groups of a task, about.
 GROUPS = 8
-#: Words whose ids a worker keeps; beyond that it starts anew. It changes speed only.
-MEMO = 300_000
+#: Words whose ids a worker keeps, and the bytes of the longest; beyond that it starts anew, and longer ones are encoded each time. It changes speed only.
+MEMO, MEMO_WORD = 300_000, 64
 #: How byte-level models write bytes as characters: printable Latin-1 as it is, the rest from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
@@ -86,7 +86,8 @@ class Encoder(dict):
             found = pack_ids([t.id for t in self.merges(word.decode("latin-1").translate(BYTE_CHARS))])
         else:
             found = self._ids(text)
-        self[word] = found
+        if len(word) <= MEMO_WORD:
+            self[word] = found
         return found
 
 
@@ -110,7 +111,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, window: int = WINDOW)
         from pyspark import TaskContext
 
         encode, last, row = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId() << 40
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in by_bytes(batches, 1, 1024):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist())):
                 row += 1
@@ -165,7 +166,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, group_tokens: int = 1
     A null text is empty: the end id alone. Every row is packed, equal rows and repeated
     ids too. sequence_id is the group's number x 2^32 plus the sequence within it. Rows are
     dealt to groups by a hash of their place in the input, so equal rows spread like
-    others, and reruns over the same files agree. An empty table gives no row.
+    others, and reruns over the same files agree. Of equal lengths in a group the lower hash goes
+    first, and of sequences of one cost the first. A text of any length is encoded whole, by
+    one task, in memory of its size; at most 8 MB of texts, or one text, are encoded at
+    once. Its full pieces leave their ids behind. An empty table gives no row.
     """
     pieces = settled(tokenized(docs, path, end, window))
     left = pieces.where("ids is not null").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

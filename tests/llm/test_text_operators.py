@@ -244,6 +244,23 @@ def test_packing(spark):
     assert len(twice) == 2 and twice.length.tolist() == [4, 4]
 
 
+def test_packing_keeps_no_long_words(spark):
+    """Texts beyond a slice's bytes, words beyond the memo's, and both again: ids are the library's, each in one piece."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    texts = ["x" * 300 + " word " + "größe" * 40, "lorem ipsum " * 800_000, None, "", "x" * 300 + " word " + "größe" * 40, "a " * 5_000]
+    encode = packing.Encoder(path)
+    encode(texts[0]), encode(texts[0])
+    assert max(map(len, encode)) <= packing.MEMO_WORD
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        mine = found[found["doc_id"] == i].sort_values("start")
+        assert mine["length"].sum() == len(ids) == mine["doc_tokens"].iloc[0]
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(mine["start"], mine["length"], mine["ids_crc32"]))
+
+
 def test_packing_of_equal_rows(spark):
     """A third of all rows being equal, or without id and text, they spread over the groups like others."""
     rows = [(5, "same words here " * 60, "s")] * 1500 + [(None, None, "s")] * 1500 + [(i, "other words " * 90, "s") for i in range(10, 1500)]
