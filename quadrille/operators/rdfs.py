@@ -134,8 +134,9 @@ class RdfsSchema:
         return more, *of
 
     # --- what a round asks of a closed schema ---
-    def proposals(self, triples: DataFrame) -> DataFrame:
-        return proposals(triples, self)
+    def proposals(self, triples: DataFrame, stated: bool = False) -> DataFrame:
+        """What the rules give over triples and, unless that was stated before, the closed schema itself."""
+        return proposals(triples, self, stated)
 
     def changed_by(self, new: DataFrame, triples: DataFrame, settle) -> Schema | None:
         """The closed schema of triples, new ones among them, if it isn't this one."""
@@ -170,14 +171,14 @@ class WideSchema:
     def _of(self, name: str) -> DataFrame:
         return self.statements.where(F.col("p.v") == name).select(F.col("s").alias("a"), F.col("o").alias("b"))
 
-    def proposals(self, triples: DataFrame) -> DataFrame:
+    def proposals(self, triples: DataFrame, stated: bool = False) -> DataFrame:
         """As for a schema on the driver, but both sides are shuffled; a type's rules hang on its class and on rdf:type."""
         of_predicate = F.struct(F.lit(False).alias("ofclass"), F.col("p").alias("k"))
         of_class = F.struct(F.lit(True).alias("ofclass"), F.col("o").alias("k"))
         keys = F.when(F.col("p.v") == T.TYPE, F.array(of_predicate, of_class)).otherwise(F.array(of_predicate))
         keyed = triples.select("s", "p", "o", F.inline(keys))
         found = _applied(keyed.join(self.rules, ["ofclass", "k"]), F.col("m"), F.col("t"))
-        for x in self.pairs:
+        for x in [] if stated else self.pairs:
             found = found.unionAll(x)
         return found
 
@@ -249,7 +250,7 @@ _MORE, _SUBJECT, _OBJECT = 0, 1, 2
 BROADCAST_RULES = 200_000
 
 
-def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
+def proposals(triples: DataFrame, schema: RdfsSchema, stated: bool = False) -> DataFrame:
     """(s, p, o) that the rules give over triples (s, p, o), with repeats: one join with the closed rules, one explode.
 
     A triple's rules hang on its class where it is a type, else on its predicate. What the
@@ -276,7 +277,7 @@ def proposals(triples: DataFrame, schema: RdfsSchema) -> DataFrame:
         always = F.array(*[F.struct(F.lit(m).cast("tinyint").alias("m"), T.constant(t).alias("t")) for m, t in own]).cast(out) if own else F.array().cast(out)
         outs = F.concat(F.coalesce("outs", F.array().cast(out)), F.when(is_type, always).otherwise(F.array().cast(out))) if own else F.col("outs")
         found = _applied(joined.select("s", "p", "o", F.explode(outs).alias("x")), F.col("x.m"), F.col("x.t"))
-    closed = [(a.row(), T.iri(name).row(), b.row()) for name, relation in ((SUB_CLASS, schema.sub_class), (SUB_PROPERTY, schema.sub_property)) for a in sorted(relation) for b in sorted(relation[a])]
+    closed = [] if stated else [(a.row(), T.iri(name).row(), b.row()) for name, relation in ((SUB_CLASS, schema.sub_class), (SUB_PROPERTY, schema.sub_property)) for a in sorted(relation) for b in sorted(relation[a])]
     return found.unionAll(spark.createDataFrame(closed, f"s {T.TERM}, p {T.TERM}, o {T.TERM}")) if closed else found
 
 
@@ -309,9 +310,10 @@ def inferences(quads: DataFrame, settle, fresh: DataFrame | None = None, few=Non
     added = known.limit(0)
     if fresh is not None and not _speaks_of_schema(fresh.where("g is null")):
         part = fresh.where("g is null").select("s", "p", "o")
+    stated = False
     while True:
         rounds += 1
-        proposed = schema.proposals(part).distinct()
+        proposed, stated = schema.proposals(part, stated).distinct(), True
         held = known
         if few is not None:
             proposed = settle(proposed)
@@ -325,7 +327,7 @@ def inferences(quads: DataFrame, settle, fresh: DataFrame | None = None, few=Non
         total, added, part = total + n, added.unionByName(new), new
         changed = schema.changed_by(new, known.unionByName(added), settle)
         if changed is not None:
-            schema, part = changed, known.unionByName(added)
+            schema, part, stated = changed, known.unionByName(added), False
 
 
 def _default(triples: DataFrame) -> DataFrame:
