@@ -1,4 +1,4 @@
-"""The queries op1 to op13: each operator over its whole table, in the contract's columns."""
+"""The queries op1 to op13: each operator over its whole table, in the contract's columns; and rows of what SQL can say of op6 and op7."""
 
 from __future__ import annotations
 
@@ -36,11 +36,21 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_scan(table(spark, sf_dir, "documents")))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6's rows what SQL can say: words and the places of the base phrases."""
+    return op6_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.per_row(mixing.mix(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7's rows what SQL can say: sizes and the targets of sources."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,9 +88,28 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing, op10_image_copies, op11_alignment, op12_token_counts, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_line_dedup, op4_toxicity, op5_tool_calls, op6_licenses, op7_mixing, op8_simhash, op9_packing, op10_image_copies, op11_alignment, op12_token_counts, op13_hard_negatives, license_base, mixing_targets)}
 
 SQL = {
+    "license_base": r"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+cut AS (SELECT row, unnest(w) AS a, unnest(range(len(w))) AS pos FROM words),
+nearby AS (SELECT row, pos, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM cut WINDOW o AS (PARTITION BY row ORDER BY pos)),
+found AS (SELECT row, pos, CASE WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' WHEN a = 'all' AND b = 'rights' AND c = 'reserved' THEN 'reserved' END AS label FROM nearby),
+places AS (SELECT row, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found WHERE label IS NOT NULL GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM words LEFT JOIN places USING (row)
+""",
+    "mixing_targets": r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
+ends AS (SELECT *, 2.0 * source_size / weight AS ends_at FROM sources),
+/* One level times its weight for each source, or twice its size: the level at which these sum to the share lies before the first end that exceeds it. */
+sums AS (SELECT x.ends_at, sum(least(2.0 * y.source_size, x.ends_at * y.weight)) AS given FROM (SELECT DISTINCT ends_at FROM ends) x CROSS JOIN ends y GROUP BY x.ends_at),
+upper AS (SELECT min(ends_at) AS ends_at FROM sums WHERE given >= (SELECT 1.5 * sum(source_size) FROM ends)),
+level AS (SELECT ((SELECT 1.5 * sum(source_size) FROM ends) - coalesce(sum(2.0 * e.source_size) FILTER (WHERE e.ends_at < u.ends_at), 0)) / sum(e.weight) FILTER (WHERE e.ends_at >= u.ends_at) AS level FROM ends e, upper u)
+SELECT doc_id, size, source_size, round(CAST(least(2.0 * source_size, coalesce(level * weight, 2.0 * source_size)) AS DOUBLE), 3) AS target
+FROM sized JOIN ends ON sized.source IS NOT DISTINCT FROM ends.source, level
+""",
     "op2_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
