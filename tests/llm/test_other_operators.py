@@ -50,6 +50,15 @@ def test_top_k_of_large_values(spark):
     assert top(spark, rows, k=3) == top_by_hand(rows, k=3)
 
 
+def test_top_k_of_products_beyond_doubles(spark):
+    """Sums beyond 2^53, where doubles round: bounded by 64 bits, and beyond that bound."""
+    for size in (5e5, 1.5e6):
+        rng = np.random.default_rng(5)
+        rows = [(i, [float(np.float32(x)) for x in rng.normal(0, size, 8)]) for i in range(60)]
+        assert 1 << 53 < max(abs(s) for _, _, _, s in top_by_hand(rows)) < 1 << 63
+        assert top(spark, rows) == top_by_hand(rows)
+
+
 def test_top_k_repeated_rows(spark):
     got = top(spark, [(2, [1.0]), (2, [2.0]), (3, [1.0]), (3, [1.0]), (5, [-1.0])], k=2)
     assert got == [(2, 1, 3, 256 * 256), (2, 1, 3, 2 * 256 * 256), (2, 2, 3, 256 * 256), (2, 2, 3, 2 * 256 * 256)]
