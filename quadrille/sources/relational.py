@@ -25,6 +25,8 @@ from ..plans.algebra import Slot, Triple, Var
 BASE = "http://d/"
 _TYPES = {"string": T.STRING, "int": T.INTEGER, "bigint": T.INTEGER, "smallint": T.INTEGER, "tinyint": T.INTEGER, "double": T.DOUBLE, "float": T.DOUBLE, "boolean": T.BOOLEAN, "timestamp": T.DATETIME, "timestamp_ntz": T.DATETIME, "date": T.XSD + "date"}
 NUMBERS = ("int", "bigint", "smallint", "tinyint", "double", "float")
+#: Triples that one task makes of a table's rows, about.
+TASK_TRIPLES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -218,10 +220,17 @@ class RelationalSource:
                 columns[x.name] = F.col(name)
         return B.fresh(df, columns, set(columns))
 
-    def _triples(self, table: Table, t: Triple) -> list[DataFrame]:
+    def _dealt(self, table: Table) -> DataFrame:
+        """The table's rows, dealt to tasks that make a bounded number of triples each, however few files and row groups hold them. Equal rows stay together."""
+        columns = list(self.columns(table.name))
+        tasks = -(-int(self.rows(table.name)) * (len(columns) + 1) // TASK_TRIPLES)
+        df = self.frame(table.name).select(*columns)
+        return df.repartition(tasks, F.xxhash64(*columns)) if tasks > 1 else df
+
+    def _triples(self, table: Table, t: Triple, df: DataFrame | None = None) -> list[DataFrame]:
         if not self._present(table.name):
             return []
-        df, s = self.rows_of(table, t.s), self.subject(table).alias("s")
+        df, s = self.rows_of(table, t.s) if df is None else df, self.subject(table).alias("s")
         out = [df.select(s, T.constant(T.iri(T.TYPE)).alias("p"), T.constant(T.iri(self.base + table.name)).alias("o"))]
         if not isinstance(t.p, T.Term):
             pairs = F.explode(F.array(*[F.struct(T.constant(T.iri(f"{self.base}{table.name}#{c}")).alias("p"), F.when(F.col(c).isNotNull(), self.object(table, c)).alias("o")) for c in self.columns(table.name)]))
@@ -229,9 +238,9 @@ class RelationalSource:
         return out
 
     def triples(self, names: tuple[str, ...]) -> DataFrame:
-        """All triples of these tables as (s, p, o)."""
+        """All triples of these tables as (s, p, o). They are about to be told apart or shuffled: what a task holds for that is bounded by its rows."""
         x = Triple(Var("s"), Var("p"), Var("o"))
-        parts = [p for n in names for p in self._triples(self.tables[n], x)]
+        parts = [p for n in names if self._present(n) for p in self._triples(self.tables[n], x, self._dealt(self.tables[n]))]
         df = parts[0]
         for p in parts[1:]:
             df = df.unionAll(p)
@@ -255,14 +264,17 @@ class RelationalSource:
         """Rows by the Parquet footers of each table (a count reads no column)."""
         return {}
 
+    def rows(self, name: str) -> float:
+        if name not in self._rows:
+            self._rows[name] = float(self.frame(name).count())
+        return self._rows[name]
+
     def cardinality(self, triple: Triple, graph: Slot | None) -> float:
         found = self._column(triple.p)
         table = found[0] if found else self._class(triple)
         if table is None:
             return 1e15
-        if table.name not in self._rows:
-            self._rows[table.name] = float(self.frame(table.name).count())
-        n = self._rows[table.name]
+        n = self.rows(table.name)
         if isinstance(triple.s, T.Term):
             return 1.0
         return n / 100 if isinstance(triple.o, T.Term) and found else n

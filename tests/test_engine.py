@@ -249,3 +249,17 @@ def test_rdfs_both_ways(spark, data, pattern, n):
     store = load_text(spark, H + data)
     assert Engine(store).count(P + f"SELECT * {{ {pattern} }}", rdfs_query_time=True) == n
     assert Engine(store.materialise_rdfs()[0]).count(P + f"SELECT * {{ {pattern} }}") == n
+
+
+def test_a_table_of_one_file_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A table that Spark would read in one task makes its triples in many: none holds much more than the rest, and they are the same."""
+    from quadrille.sources import relational
+
+    rows = spark.range(4000).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("n"), F.col("id")).alias("s_name"), F.lit(3).alias("s_nationkey"), F.lit(1.5).alias("s_acctbal"))
+    rows.unionAll(rows.limit(100)).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    counts = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    whole = relational.RelationalSource(spark, str(tmp_path)).triples(("supplier", "nation"))
+    monkeypatch.setattr(relational, "TASK_TRIPLES", 1000)
+    dealt = relational.RelationalSource(spark, str(tmp_path)).triples(("supplier", "nation"))
+    assert max(counts(dealt)) < 2500 and sum(counts(dealt)) == whole.count() == 4100 * 5
+    assert dealt.exceptAll(whole).isEmpty()
