@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 
 _numbers = count()
+#: Pairs of rows, as the planner expects them, that a task of a join of many with many gets about; its tasks at most; rows of the smaller side that are broadcast for it at most, and tasks that each of more rows goes to at most.
+TASK_PAIRS, MOST_TASKS, BROADCAST_ROWS, SHARES = 1 << 30, 1 << 13, 1 << 19, 64
 #: A plain column that says which of the terms of one kind (its domain) a variable is bound to.
 Keys = dict[str, tuple[str, Column]]
 
@@ -34,6 +36,8 @@ class Bindings:
     keys: dict[str, tuple[str, str]] = field(default_factory=dict)
     #: Rows that the planner expects.
     expected: float = float("inf")
+    #: Variables whose terms many rows may have: a table's columns, not its subjects.
+    many: frozenset[str] = frozenset()
 
     def col(self, var: str) -> Column:
         return F.col(self.names[var])
@@ -51,7 +55,7 @@ class Bindings:
         return replace(self, df=self.df.where(condition))
 
     def sure(self, *names: str) -> Bindings:
-        return Bindings(self.df, self.names, self.definite | set(names), self.keys)
+        return replace(self, definite=self.definite | set(names))
 
 
 def same_term(x: Column, y: Column) -> Column:
@@ -116,12 +120,39 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
     on = compatible(a, b, shared)
     expected = min(a.expected, b.expected) if shared else a.expected * b.expected
     right = b.df.hint(hint) if hint else b.df
-    df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
+    if on is not None and hint is None and all(v in a.many and v in b.many for v in shared):
+        df = _dealt_join(a, b, on, [v for v in shared if v in a.definite and v in b.definite])
+    else:
+        df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
     scope = merged(a, b)
     if all(v in a.names and v in a.definite or v not in a.names for v in b.names):
         found = Bindings(df, {**b.names, **a.names}, a.definite | b.definite, {**b.keys, **a.keys})
-        return replace(found, df=df.select(*found.columns()), expected=expected)
-    return replace(fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite)), expected=expected)
+        return replace(found, df=df.select(*found.columns()), expected=expected, many=a.many | b.many)
+    return replace(fresh(df, scope, a.definite | b.definite, b.key(*(v for v in b.names if v not in a.names)) | a.key(*a.definite)), expected=expected, many=a.many | b.many)
+
+
+def _dealt_join(a: Bindings, b: Bindings, on: Column, sure: list[str]) -> DataFrame:
+    """The inner join of many rows with many for each term, in tasks that follow the pairs of rows: a few terms, or one file, don't make a few tasks.
+
+    The larger side's rows are dealt out by their hash. Each of its shares meets all of the smaller side: by a
+    broadcast where that has few rows, else by a shuffle in which each of its rows goes to every share.
+    """
+    pairs = a.expected * b.expected
+    tasks = min(MOST_TASKS, -(-int(pairs) // TASK_PAIRS)) if pairs < float("inf") else 1
+    if tasks <= 1:
+        return a.df.join(b.df, on, "inner")
+    small, large = (a, b) if a.expected < b.expected else (b, a)
+    row = F.xxhash64(*large.columns())
+    if small.expected <= BROADCAST_ROWS:
+        return large.df.repartition(tasks, row).join(F.broadcast(small.df), on, "inner")
+    shares = min(tasks, SHARES)
+    v = sure[0]
+    keyed = v in a.keys and v in b.keys and a.keys[v][0] == b.keys[v][0]
+    term = lambda x: F.col(x.keys[v][1]) if keyed else x.col(v)["v"]
+    name = f"share{next(_numbers)}"
+    left = large.df.withColumn(f"{name}a", F.pmod(row, F.lit(shares)).cast("int")).repartition(tasks, term(large), F.col(f"{name}a"))
+    right = small.df.withColumn(f"{name}b", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(tasks, term(small), F.col(f"{name}b"))
+    return left.join(right, on & (F.col(f"{name}a") == F.col(f"{name}b")), "inner").drop(f"{name}a", f"{name}b")
 
 
 #: A condition over the scope of rows joined of both sides; none holds always.

@@ -10,7 +10,7 @@ numeric literal stays the native column: filters and sums reach the scan as such
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,7 +166,11 @@ class RelationalSource:
                 columns[t.o.name] = self.object(table, name)
                 if name in table.references and (key := self.key(table.references[name], table.name, name)):
                     keys[t.o.name] = key
-        return B.fresh(df, columns, set(columns), keys)
+        return replace(B.fresh(df, columns, set(columns), keys), many=frozenset(columns) - {subject} - {t.o.name for t in triples if isinstance(t.o, Var) and self._names_row(table, t)})
+
+    def _names_row(self, table: Table, t: Triple) -> bool:
+        found = self._column(t.p)
+        return found is not None and table.key == (found[1],)
 
     def key(self, domain: str, table: str, column: str) -> tuple[str, Column] | None:
         """A whole number that names a row of `domain`, from the table's column: joins on it need not build the subjects' texts."""

@@ -263,3 +263,22 @@ def test_a_table_of_one_file_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
     dealt = relational.RelationalSource(spark, str(tmp_path)).triples(("supplier", "nation"))
     assert max(counts(dealt)) < 2500 and sum(counts(dealt)) == whole.count() == 4100 * 5
     assert dealt.exceptAll(whole).isEmpty()
+
+
+@pytest.mark.parametrize("broadcast", [1 << 19, 0])
+def test_many_rows_of_few_terms_are_dealt_to_tasks(spark, tmp_path, monkeypatch, broadcast):
+    """Rows that share few objects: no task forms most of the pairs, by a broadcast or by a shuffle, and the rows are those of the plain join."""
+    from quadrille.operators import bindings
+    from quadrille.sources.relational import RelationalSource
+
+    spark.range(900).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("n")).selectExpr("id AS c_custkey", "CAST(n AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id AS s_suppkey", "CAST(id % 3 AS INT) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    text = "SELECT ?c ?s { ?c <http://d/customer#c_nationkey> ?n . ?s <http://d/supplier#s_nationkey> ?n }"
+    plain = Engine(RelationalSource(spark, str(tmp_path))).run(text).native()
+    monkeypatch.setattr(bindings, "TASK_PAIRS", 5000)
+    monkeypatch.setattr(bindings, "BROADCAST_ROWS", broadcast)
+    dealt = Engine(RelationalSource(spark, str(tmp_path))).run(text).native()
+    n = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(n) == plain.count() == sum(1 for c in range(900) for s in range(60) if c % 7 and c % 2 == s % 3)
+    assert max(n) < sum(n) / 3 and dealt.exceptAll(plain).isEmpty()
