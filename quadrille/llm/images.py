@@ -8,9 +8,10 @@ are candidates. Their constellations are then compared bit by bit, each gives a
 and the corners that one transform puts in their places are counted: images are linked by
 this consensus, not by a key.
 
-Each key pairs the smallest image that holds it with the others, block by block of images
-before the shuffle and then among the blocks, so no group's pairs are written out and a
-key of very many images comes once from each block.
+A key's smallest image is its hub, and the images that share keys with a hub are its star. All pairs of a star's
+images that share keys and can have enough corners in common are compared, a pair of several stars in the first of them; so no pair that shares
+a key is left out, and an image's corners are sent once for each of its stars, not for each partner. Large stars are dealt to
+tasks by pairs of blocks. Tasks return a row for each image, not its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settled, with_group_min
+from .shingles import least_rows
 
 #: Scales by which a picture of a page is shrunk (these are never resized), and other images, by steps of 2^(1/6): two match where a factor leads from one's scale to the other's.
 SCALES, LADDER = (1.0, 2.0), tuple(round(2 ** (i / 6), 2) for i in range(13))
@@ -35,16 +37,18 @@ SCALES, LADDER = (1.0, 2.0), tuple(round(2 ** (i / 6), 2) for i in range(13))
 MEMBERS = 3
 #: Pixels of a cell in which a member's place is told; bits in which descriptors of one corner may differ.
 PLACE, RADIUS = 2, 16
-#: Corners that must agree on one transform; by how many pixels, and by what share of their distance, they may miss their places; transforms tried at once.
-LEAST, TOLERANCE, DRIFT, VOTES = 5, 2.5, 0.15, 16
+#: Corners that must agree on one transform; by how many pixels, and by what share of their distance, they may miss their places.
+LEAST, TOLERANCE, DRIFT = 5, 2.5, 0.15
 #: Keys that a block of images holds about, and keys of a bucket of the join.
 BLOCK_KEYS, BUCKET_KEYS = 1 << 19, 1 << 20
-#: Pictures that are unpacked and kept while pairs are verified; so many at most go through the last rounds in one task.
-SEEN, FEW_PICTURES = 512, 1 << 13
-#: Images with candidates of which so many are broadcast at most (8 bytes each), to read their corners; more are joined by shuffle.
-BROADCAST_ENDS = 1 << 20
+#: Pictures of a block of a star: the least and the most, and how many blocks a star has between these; corners of a block, corners unpacked at once and matches compared at once, about.
+FEW_PICTURES, MANY_PICTURES, BLOCKS, BLOCK_CORNERS, SHEET, MATCHES = 256, 4096, 16, 1 << 19, 1 << 17, 1 << 18
+#: Repeated digests, and rows of images in stars, of which so many are broadcast at most; more are joined by shuffle.
+BROADCAST_ENDS = 1 << 18
 #: Pixels described at once; side of a tile of a larger image, and what a corner's descriptor reaches beyond it.
 AT_ONCE, TILE, HALO = 1 << 19, 512, 16
+#: Pixels of small images described together.
+TOGETHER = 1 << 17
 #: Heights are padded to these pixels, to describe images together.
 PAD = 24
 #: Up to so many corners all distances are taken at once.
@@ -159,13 +163,20 @@ def page_image(html: str | None) -> np.ndarray:
 
 
 # --- descriptors ---
-def _shift(x: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    return np.roll(x, (dy, dx), axis=(1, 2))
+def _spread(x: np.ndarray, d: int, axis: int, of: np.ufunc) -> np.ndarray:
+    """Each place with those d before and behind it along an axis; ends keep what they have."""
+    out = x.copy()
+    n, at = x.shape[axis], [slice(None)] * 3
+    low, high = at.copy(), at.copy()
+    low[axis], high[axis] = slice(0, max(0, n - d)), slice(d, n)
+    low, high = tuple(low), tuple(high)
+    of(out[high], x[low], out=out[high])
+    of(out[low], x[high], out=out[low])
+    return out
 
 
 def _box(x: np.ndarray) -> np.ndarray:
-    y = x + _shift(x, 1, 0) + _shift(x, -1, 0)
-    return y + _shift(y, 0, 1) + _shift(y, 0, -1)
+    return _spread(_spread(x, 1, 1, np.add), 1, 2, np.add)
 
 
 def _size(n: int, scale: float) -> int:
@@ -179,7 +190,8 @@ def _scaled(images: np.ndarray, scale: float) -> np.ndarray:
     if scale >= 2:  # whole pixels are averaged, so that none is left out
         whole = int(scale)
         h, w, scale = h // whole, w // whole, scale / whole
-        images = images[:, : h * whole, : w * whole].reshape(-1, h, whole, w, whole).mean(axis=(2, 4), dtype=np.float32)
+        rows = sum(images[:, i : h * whole : whole] for i in range(whole))
+        images = sum(rows[:, :, i : w * whole : whole] for i in range(whole)) / np.float32(whole * whole)
     if scale == 1:
         return images
     ys, xs = (np.minimum((np.arange(int(n / scale)) * scale), n - 1) for n in (h, w))
@@ -201,13 +213,18 @@ def describe(images: np.ndarray, heights: np.ndarray | None = None) -> tuple[np.
     n, h, w = x.shape
     if h <= 2 * BORDER + 1 or w <= 2 * BORDER + 1:
         return np.zeros((n, 0), bool), np.zeros((n, 0, 2), int), np.zeros((n, 0), int), np.zeros((n, 0), np.uint64)
-    gy, gx = _shift(x, -1, 0) - _shift(x, 1, 0), _shift(x, 0, -1) - _shift(x, 0, 1)
+    gy, gx = np.zeros_like(x), np.zeros_like(x)
+    np.subtract(x[:, 2:], x[:, :-2], out=gy[:, 1:-1])
+    np.subtract(x[:, :, 2:], x[:, :, :-2], out=gx[:, :, 1:-1])
     a, b, c = _box(gx * gx), _box(gy * gy), _box(gx * gy)
-    strength = a * b - c * c - 0.06 * (a + b) ** 2
+    strength = a * b - c * c
+    a += b
+    a *= a
+    a *= np.float32(0.06)
+    strength -= a
     peak = strength
     for d in SPREAD:
-        peak = np.maximum(peak, np.maximum(_shift(peak, d, 0), _shift(peak, -d, 0)))
-        peak = np.maximum(peak, np.maximum(_shift(peak, 0, d), _shift(peak, 0, -d)))
+        peak = _spread(_spread(peak, d, 1, np.maximum), d, 2, np.maximum)
     inner = np.zeros((h, w), bool)
     inner[BORDER:-BORDER, BORDER:-BORDER] = True
     value = (strength >= peak) & (strength > 1e4) & inner
@@ -220,21 +237,18 @@ def describe(images: np.ndarray, heights: np.ndarray | None = None) -> tuple[np.
         return np.zeros((n, 0), bool), np.zeros((n, 0, 2), int), np.zeros((n, 0), int), np.zeros((n, 0), np.uint64)
     # in the order of their places: the same in any copy
     found = np.arange(k) < count[:, None]
-    top = np.zeros((n, k), np.int64)
-    top[found] = place
-    yx = np.stack([top // w, top % w], axis=-1)
-    yx = np.where(found[..., None], yx, BORDER)
-    smooth = _box(x)
+    y, x0 = place // w, place % w
+    smooth = _box(x).ravel()
+    own = row * (h * w) + place
     reach = np.arange(-3, 4)
-    rows = np.arange(n)[:, None, None, None]
-    patch = smooth[rows, yx[:, :, 0, None, None] + reach[:, None], yx[:, :, 1, None, None] + reach[None, :]]
-    my, mx = (patch * reach[:, None]).sum(axis=(2, 3)), (patch * reach[None, :]).sum(axis=(2, 3))
-    turn = np.rint(np.arctan2(my, mx) * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
-    # places in the flat image: the corner's own and the turned tests' (n, k, tests, ends)
-    flat = smooth.reshape(n, -1)
-    at = (yx[:, :, 0] * w + yx[:, :, 1])[:, :, None, None] + (_OFFSETS[..., 1] * w + _OFFSETS[..., 0])[turn]
-    level = np.take_along_axis(flat, at.reshape(n, -1), axis=1).reshape(at.shape)
-    bits = np.packbits(level[..., 0] < level[..., 1], axis=2, bitorder="little").view(np.uint64)[..., 0]
+    patch = smooth[own[:, None] + (reach[:, None] * w + reach).ravel()].astype(np.float64)
+    my, mx = patch @ np.repeat(reach, 7).astype(np.float64), patch @ np.tile(reach, 7).astype(np.float64)
+    turned = np.rint(np.arctan2(my, mx) * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
+    # the turned tests' places in the flat image, one end and the other
+    one, other = (smooth[own[:, None] + (_OFFSETS[..., e, 1] * w + _OFFSETS[..., e, 0])[turned]] for e in (0, 1))
+    yx, turn, bits = np.full((n, k, 2), BORDER), np.zeros((n, k), np.int64), np.zeros((n, k), np.uint64)
+    yx[found], turn[found] = np.stack([y, x0], axis=-1), turned
+    bits[found] = np.packbits(one < other, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return found, yx, turn, bits
 
 
@@ -257,11 +271,42 @@ def describe_tiled(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def nearest(yx: np.ndarray) -> np.ndarray:
     """Of corners of one scale, ordered by place, each one's MEMBERS nearest (k, MEMBERS): itself first, ties by place."""
-    k = len(yx)
-    if k > FEW:
-        return _nearest(yx)
-    away = ((yx[:, None] - yx[None]) ** 2).sum(axis=2) * k + np.arange(k)
-    return np.sort(np.partition(away, MEMBERS - 1, axis=1)[:, :MEMBERS], axis=1) % k
+    return _nearest_of(yx, np.array([0, len(yx)]))
+
+
+def _nearest_of(yx: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As nearest, of several images and scales, each from one of `ends` to the next; runs of about one length are taken together."""
+    out = np.zeros((len(yx), MEMBERS), np.int64)
+    begin, size = ends[:-1], np.diff(ends)
+    for r in np.flatnonzero(size > FEW):
+        out[begin[r] : ends[r + 1]] = begin[r] + _nearest(yx[begin[r] : ends[r + 1]])
+    wide = np.where((size > 0) & (size <= FEW), -(-size // 8) * 8, 0)
+    for p in np.unique(wide[wide > 0]).tolist():
+        same, step = np.flatnonzero(wide == p), max(1, (1 << 16) // (p * p))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            here = np.arange(p) < size[some, None]
+            y, x = (yx[np.minimum(begin[some, None] + np.arange(p), len(yx) - 1), i] for i in (0, 1))
+            span = max(int(np.ptp(y)), int(np.ptp(x))) + 1
+            kind = np.int32 if 2 * span * span * p < 1 << 31 else np.int64
+            y, x = y.astype(kind), x.astype(kind)
+            away = (y[:, :, None] - y[:, None]) ** 2 + (x[:, :, None] - x[:, None]) ** 2
+            away *= kind(p)
+            away += np.arange(p, dtype=kind)
+            np.copyto(away, np.iinfo(kind).max, where=~here[:, None])
+            near = (_least(away) % p).astype(np.int64)
+            out[(begin[some, None] + np.arange(p))[here]] = (begin[some, None, None] + near)[here]
+    return out
+
+
+def _least(away: np.ndarray) -> np.ndarray:
+    """The MEMBERS least of the last axis, whose values differ, in order; they are overwritten there."""
+    out = np.empty((*away.shape[:-1], MEMBERS), away.dtype)
+    for m in range(MEMBERS):
+        out[..., m] = away.min(axis=-1)
+        if m < MEMBERS - 1:
+            np.copyto(away, np.iinfo(away.dtype).max, where=away == out[..., m, None])
+    return out
 
 
 def _nearest(yx: np.ndarray) -> np.ndarray:
@@ -273,8 +318,8 @@ def _nearest(yx: np.ndarray) -> np.ndarray:
         while True:
             low, high = np.searchsorted(y, own[0, 0] - reach), np.searchsorted(y, own[-1, 0] + reach, side="right")
             if high - low >= MEMBERS:
-                away = ((own[:, None] - yx[None, low:high]) ** 2).sum(axis=2) * k + np.arange(low, high)
-                best = np.sort(np.partition(away, MEMBERS - 1, axis=1)[:, :MEMBERS], axis=1)
+                away = ((own[:, None, 0] - yx[low:high, 0]) ** 2 + (own[:, None, 1] - yx[low:high, 1]) ** 2) * k + np.arange(low, high)
+                best = _least(away)
                 if (low == 0 and high == k) or (best[:, -1] // k <= reach * reach).all():
                     break
             reach *= 2
@@ -321,11 +366,15 @@ def corners(images: np.ndarray, scales: tuple[float, ...] = LADDER, heights: np.
     return [Corners(*(np.concatenate([p[j] for p in some]) for j in range(4))) if some else none for some in parts]
 
 
-def keys(found: Corners, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
-    """The Hamming tables' keys of an image's constellations (m) and the corners (m, MEMBERS) each speaks of; every key once, at its first place."""
-    near = np.empty((len(found.bits), MEMBERS), np.int64)
-    for begin, end in _runs(found.scale):
-        near[begin:end] = begin + nearest(found.yx[begin:end])
+def sheet(found: list[Corners]) -> tuple[Corners, np.ndarray]:
+    """The corners of several images in one, and the image of each."""
+    return Corners(*(np.concatenate([c[j] for c in found]) for j in range(4))), np.repeat(np.arange(len(found)), [len(c.bits) for c in found])
+
+
+def constellations(found: Corners, image: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sheet's corners the constellation (k, MEMBERS) that each begins and its keys (tables, k)."""
+    fresh = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (found.scale[1:] != found.scale[:-1])]) if len(image) else np.empty(0, np.int64)
+    near = _nearest_of(found.yx, np.r_[fresh, len(image)])
     step = found.yx[near[:, 1:]] - found.yx[:, None]
     own = np.einsum("kij,kmj->kmi", _turn[(-found.turn) % TURNS], step[..., ::-1].astype(np.float64))
     place = np.rint(own / PLACE).astype(np.int64) & 0xFF
@@ -334,13 +383,19 @@ def keys(found: Corners, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
     key = np.full(len(near), 0x9E3779B97F4A7C15, np.uint64)
     for m in range(MEMBERS - 1):
         key = _mix(key ^ (place[:, m, 0] | place[:, m, 1] << 8 | (turned[:, m] // 2) << 16).astype(np.uint64))
-    out = []
+    out = np.empty((tables, len(near)), np.uint64)
     for t in range(tables):
         own_key = _mix(key ^ np.uint64(t + 1))
         for m in range(MEMBERS):
             own_key = _mix(own_key ^ ((words[:, m] >> np.uint64(16 * t)) & np.uint64(0xFFFF)))
-        out.append(own_key)
-    distinct, at = np.unique(np.concatenate(out), return_index=True)
+        out[t] = own_key
+    return near, out
+
+
+def keys(found: Corners, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """The Hamming tables' keys of an image's constellations (m) and the corners (m, MEMBERS) each speaks of; every key once, at its first place."""
+    near, out = constellations(found, np.zeros(len(found.bits), np.int64), tables)
+    distinct, at = np.unique(out.ravel(), return_index=True)
     return distinct, near[at % max(1, len(near))]
 
 
@@ -351,44 +406,76 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def consensus(a: Corners, b: Corners, least: int = LEAST, tables: int = TABLES) -> int:
-    """See agreement."""
-    return agreement(a, b, keys(a, tables), keys(b, tables), least)
+    """How many corners of a lie in b where one similarity transform puts them: 0 without a common constellation. See agreements."""
+    (ka, ma), (kb, mb) = keys(a, tables), keys(b, tables)
+    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    both, _ = sheet([a, b])
+    return int(agreements(both, np.zeros(len(ia), np.int64), ma[ia], len(a.bits) + mb[ib], 1, least)[0])
 
 
-def agreement(a: Corners, b: Corners, keys_a: tuple[np.ndarray, np.ndarray], keys_b: tuple[np.ndarray, np.ndarray], least: int) -> int:
-    """How many corners of a lie in b where one similarity transform puts them: 0 without a common constellation.
+def agreements(found: Corners, pair: np.ndarray, ma: np.ndarray, mb: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Votes of n pairs of images, by their constellations ma and mb (m, MEMBERS; corners of a sheet) that share a key; `pair` tells whose.
 
-    Constellations that share a key are compared bit by bit: each member's descriptors differ in RADIUS
+    Constellations are compared bit by bit: each member's descriptors differ in RADIUS
     bits at most. Each of them then gives a transform (least squares over its members), and
-    corners of all these constellations vote for it that lie within TOLERANCE pixels, and a
-    share DRIFT of their distance from it. The transform with most votes counts; once one has `least`, no more are tried.
+    corners of all the pair's constellations vote for it that lie within TOLERANCE pixels, and a
+    share DRIFT of their distance from it. The transform with most votes counts; once one has `least`, no more are tried for that
+    pair. Pairs with fewer than `least` corners in such constellations have 0.
     """
-    (ka, ma), (kb, mb) = keys_a, keys_b
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    ma, mb = ma[ia], mb[ib]
-    close = (np.bitwise_count(a.bits[ma] ^ b.bits[mb]) <= RADIUS).all(axis=1)
-    pairs = np.unique(np.concatenate([ma[close], mb[close]], axis=1), axis=0)
-    if not len(pairs):
-        return 0
-    ma, mb = pairs[:, :MEMBERS], pairs[:, MEMBERS:]
-    pa, pb = ((x.yx * x.scale[:, None]) @ np.array([1j, 1]) for x in (a, b))  # x + iy in pixels of the image itself
-    qa, qb = pa[ma], pb[mb]
+    close = (np.bitwise_count(found.bits[ma] ^ found.bits[mb]) <= RADIUS).all(axis=1)
+    pair, ma, mb = pair[close], ma[close], mb[close]
+    order = np.lexsort((mb[:, 0], ma[:, 0], pair))  # a constellation is told by its first corner
+    pair, ma, mb = pair[order], ma[order], mb[order]
+    new = np.r_[np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (ma[1:, 0] != ma[:-1, 0]) | (mb[1:, 0] != mb[:-1, 0])]
+    pair, ma, mb = pair[new], ma[new], mb[new]
+    kept = (np.bincount(pair, minlength=n) * MEMBERS >= least)[pair]
+    pair, ma, mb = pair[kept], ma[kept], mb[kept]
+    lp, la, lb = np.repeat(pair, MEMBERS), ma.ravel(), mb.ravel()
+    order = np.lexsort((lb, la, lp))
+    lp, la, lb = lp[order], la[order], lb[order]
+    fresh = np.r_[np.ones(min(1, len(lp)), bool), (lp[1:] != lp[:-1]) | (la[1:] != la[:-1])]
+    enough = np.bincount(lp[fresh], minlength=n) >= least
+    new = (fresh | np.r_[np.ones(min(1, len(lp)), bool), lb[1:] != lb[:-1]]) & enough[lp]
+    lp, la, lb = lp[new], la[new], lb[new]
+    kept = enough[pair]
+    pair, ma, mb = pair[kept], ma[kept], mb[kept]
+    at = (found.yx * found.scale[:, None]) @ np.array([1j, 1])  # x + iy in pixels of the image itself
+    qa, qb = at[ma], at[mb]
     ca, cb = qa.mean(axis=1), qb.mean(axis=1)
     za, zb = qa - ca[:, None], qb - cb[:, None]
     turn = (zb * za.conj()).sum(axis=1) / np.maximum((abs(za) ** 2).sum(axis=1), 1e-9)  # rotation and scale as one number
-    links = np.unique(np.stack([ma.ravel(), mb.ravel()], axis=1), axis=0)
-    xa, xb, best = pa[links[:, 0]], pb[links[:, 1]], 0
-    for at in range(0, len(turn), VOTES):
-        if best >= least:
-            break
-        some = slice(at, at + VOTES)
-        away = abs(cb[some, None] + turn[some, None] * (xa - ca[some, None]) - xb)
-        fits = away <= TOLERANCE * np.maximum(1, abs(turn[some, None])) + DRIFT * abs(xb - cb[some, None])
-        for row in np.flatnonzero(fits.sum(axis=1) > best):
-            best = max(best, len(np.unique(links[fits[row], 0])))
+    xa, xb = at[la], at[lb]
+    first, links = np.searchsorted(lp, np.arange(n)), np.bincount(lp, minlength=n)
+    begin, end = np.searchsorted(pair, np.arange(n)), np.searchsorted(pair, np.arange(n), side="right")
+    best, tried, step = np.zeros(n, np.int64), 0, 1
+    while len(open_ := np.flatnonzero((begin + tried < end) & (best < least))):
+        count = np.minimum(end[open_] - begin[open_] - tried, step)
+        some = np.repeat(begin[open_] + tried - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        wide = np.cumsum(links[pair[some]])
+        for s, e in _slices(wide, MATCHES):
+            which = some[s:e]
+            which = which[best[pair[which]] < least]
+            size = links[pair[which]]
+            t = np.repeat(np.arange(len(which)), size)
+            link = np.repeat(first[pair[which]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(which) else t
+            away = abs(cb[which][t] + turn[which][t] * (xa[link] - ca[which][t]) - xb[link])
+            fits = away <= TOLERANCE * np.maximum(1, abs(turn[which]))[t] + DRIFT * abs(xb[link] - cb[which][t])
+            t, corner = t[fits], la[link[fits]]
+            votes = np.bincount(t[np.r_[np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (corner[1:] != corner[:-1])]], minlength=len(which))
+            np.maximum.at(best, pair[which], votes)
+        tried, step = tried + step, min(16, 2 * step)
     return best
 
 
+def _slices(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches whose running totals grow by at most so much, but for single ones."""
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
 # --- features ---
 FEATURES = "image_id long, digest long, pixels long, n_corners long, corners binary"
 
@@ -402,7 +489,7 @@ def _features(rows: Iterator[tuple[list, list[np.ndarray | None]]], scales: tupl
             if x is not None:  # images of about one height are described together
                 by.setdefault((-(-x.shape[0] // PAD) * PAD, x.shape[1]), []).append(i)
         for (high, wide), same in by.items():
-            step = min(64, max(1, AT_ONCE // max(1, high * wide)))
+            step = min(64, max(1, TOGETHER // max(1, high * wide)))
             for at in range(0, len(same), step):
                 some = same[at : at + step]
                 if step == 1:
@@ -432,47 +519,42 @@ def page_features(pages: DataFrame) -> DataFrame:
 
 # --- joins ---
 def _key_blocks(batches: Iterator[pa.RecordBatch], buckets: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """(digest, corners) to rows (bucket, pairs, images, block) for the Hamming-table join.
+    """(digest, corners) to rows (bucket, images, block) for the Hamming-table join: every key of every image, once.
 
-    Some images at a time: of a key that several of them hold only their smallest image goes
-    on, and the others are paired with it at once. So a key comes once from each block of
-    images, however many hold it. A block lists its images; each key takes 5 bytes beside its
-    bucket, and 4 for its image.
+    Some images at a time, so that keys lie close and compress. A block lists its images; each key takes 5 bytes beside its
+    bucket, and 1 to 4 for its image.
     """
-    held: dict[int, np.ndarray] = {}
-    total = 0
 
     def flush() -> pa.RecordBatch:
-        digests = np.array(sorted(held), np.int64)
-        key = np.concatenate([held[d] for d in digests.tolist()])
-        image = np.repeat(np.arange(len(digests)), [len(held[d]) for d in digests.tolist()])
-        order = np.lexsort((image, key))
-        key, image = key[order], image[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        hub = image[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        pairs, shared = np.unique(np.stack([hub, image], axis=1)[hub != image], axis=0, return_counts=True)
-        key, image = key[first], image[first]
+        digests, which = np.unique(np.array(ids, np.int64), return_index=True)
+        found, image = sheet([held[i] for i in which])
+        key, image = constellations(found, image, tables)[1].ravel(), np.tile(image, tables)
         bucket, rest = (key % np.uint64(buckets)).astype(np.int64), key // np.uint64(buckets) & np.uint64((1 << 40) - 1)
-        order = np.lexsort((rest, bucket))
+        order = np.lexsort((image, rest, bucket))
         bucket, rest, image = bucket[order], rest[order], image[order]
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1]) | (image[1:] != image[:-1])]
+        bucket, rest, image = bucket[new], rest[new], image[new]
         rows: list[tuple] = []
-        if len(pairs):
-            rows.append((int(digests[pairs[0, 0]] % buckets), np.column_stack([digests[pairs], shared]).astype("<i8").tobytes(), b"", b""))
         for begin, end in _runs(bucket):
             mine, which = np.unique(image[begin:end], return_inverse=True)
             steps = np.diff(rest[begin:end], prepend=np.uint64(0))
             block = _columns(steps, 5) + _columns(which, _width(len(mine)))
-            rows.append((int(bucket[begin]), b"", digests[mine].astype("<i8").tobytes(), zlib.compress(block, 1)))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "pairs", "images", "block"])
+            rows.append((int(bucket[begin]), digests[mine].astype("<i8").tobytes(), zlib.compress(block, 1)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "images", "block"])
 
+    ids: list[int] = []
+    held: list[Corners] = []
+    total = 0
     for batch in batches:
         for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if digest not in held and len(own := keys(Corners.unpacked(data), tables)[0]):
-                held[digest] = own
-                total += len(own)
+            own = Corners.unpacked(data)
+            if len(own.bits):
+                ids.append(digest)
+                held.append(own)
+                total += len(own.bits) * tables
             if total >= BLOCK_KEYS:
                 yield flush()
-                held, total = {}, 0
+                ids, held, total = [], [], 0
     if held:
         yield flush()
 
@@ -494,110 +576,124 @@ def _uncolumned(raw: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets, as _key_blocks wrote them, to pairs (a, b, n): of each key the smallest image with every other; n keys say so."""
-    pairs, keys_, images = [np.empty((0, 3), np.int64)], [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
+    """Whole buckets, as _key_blocks wrote them, to pairs (a, b): of each key the smallest image with every other."""
+    keys_, images = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
     for batch in batches:
-        for bucket, paired, listed, block in zip(*(c.to_pylist() for c in batch.columns)):
-            pairs.append(np.frombuffer(paired, "<i8").reshape(-1, 3))
-            if listed:
-                mine = np.frombuffer(listed, "<i8")
-                wide = _width(len(mine))
-                raw = np.frombuffer(zlib.decompress(block), np.uint8)
-                n = len(raw) // (5 + wide)
-                rest = np.cumsum(_uncolumned(raw[: 5 * n], n))
-                keys_.append(np.stack([np.full(n, bucket, np.uint64), rest], axis=1))
-                images.append(mine[_uncolumned(raw[5 * n :], n).astype(np.int64)])
+        for bucket, listed, block in zip(*(c.to_pylist() for c in batch.columns)):
+            mine = np.frombuffer(listed, "<i8")
+            wide = _width(len(mine))
+            raw = np.frombuffer(zlib.decompress(block), np.uint8)
+            n = len(raw) // (5 + wide)
+            rest = np.cumsum(_uncolumned(raw[: 5 * n], n))
+            keys_.append(np.stack([np.full(n, bucket, np.uint64), rest], axis=1))
+            images.append(mine[_uncolumned(raw[5 * n :], n).astype(np.int64)])
     key, image = np.concatenate(keys_), np.concatenate(images)
     order = np.lexsort((image, key[:, 1], key[:, 0]))
     key, image = key[order], image[order]
     first = np.r_[np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]).any(axis=1)]
     hub = image[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else image
-    found, shared = np.unique(np.stack([hub, image], axis=1)[hub != image], axis=0, return_counts=True)
-    pairs.append(np.column_stack([found, shared]))
-    whole = np.concatenate(pairs)
+    whole = np.unique(np.stack([hub, image], axis=1)[hub != image], axis=0)
     for at in range(0, len(whole), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(whole[at : at + (1 << 16), i]) for i in range(3)], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(whole[at : at + (1 << 16), i]) for i in range(2)], names=["a", "b"])
 
 
 def candidates(pictures: DataFrame, n_keys: int, tables: int = TABLES) -> DataFrame:
-    """pictures (digest, corners) to distinct pairs (a, b, n) of digests that share keys: of each key's images, the smallest with the others, n counting the keys."""
+    """pictures (digest, corners), each digest once, to distinct pairs (a, b) of digests: of each key's images, the smallest with the others."""
     buckets = max(1, -(-n_keys // BUCKET_KEYS))
-    blocks = pictures.select("digest", "corners").mapInArrow(lambda b: _key_blocks(b, buckets, tables), "bucket long, pairs binary, images binary, block binary")
-    return blocks.repartition(buckets, "bucket").mapInArrow(_bucket_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    blocks = pictures.select("digest", "corners").mapInArrow(lambda b: _key_blocks(b, buckets, tables), "bucket long, images binary, block binary")
+    return blocks.repartition(buckets, "bucket").mapInArrow(_bucket_pairs, "a long, b long").distinct()
+
+
+class Member(NamedTuple):
+    """An image of a star: its block there, the smaller hubs whose stars hold it too."""
+
+    digest: int
+    block: int
+    before: list[int]
+    corners: Corners
+
+
+def _matches(cells: list[tuple[tuple[int, int, int], list[Member]]], least: int, tables: int) -> pa.RecordBatch:
+    """Cells ((hub, i, j), members), pairs of blocks i and j of a star, to a row for each linked image: (a, b, n), b having n links there, a the smallest image they lead to."""
+    rows = sorted(((c, m) for c, (_, some) in enumerate(cells) for m in some), key=lambda r: (r[0], r[1].digest))
+    cell, digest, block = (np.array(x, np.int64) for x in ([c for c, _ in rows], [m.digest for _, m in rows], [m.block for _, m in rows]))
+    inner = np.array([i == j for (_, i, j), _ in cells])
+    before = {r: set(m.before) for r, (_, m) in enumerate(rows) if m.before}
+    shared = np.isin(np.arange(len(rows)), list(before))
+    found, image = sheet([m.corners for _, m in rows])
+    near, key = constellations(found, image, tables)
+    key, image, corner = key.ravel(), np.tile(image, tables), np.tile(np.arange(len(image)), tables)
+    order = np.lexsort((image, key, cell[image]))
+    key, image, corner = key[order], image[order], corner[order]
+    group = np.r_[np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (cell[image[1:]] != cell[image[:-1]])]
+    new = group | np.r_[np.ones(min(1, len(key)), bool), image[1:] != image[:-1]]  # a key once in an image, at its first place
+    group = np.cumsum(group)[new]
+    image, corner = image[new], corner[new]
+    ends = np.searchsorted(group, group, side="right")
+    order = np.argsort(image, kind="stable")  # image by image, each with those behind it in its keys
+    partners = (ends - np.arange(len(ends)) - 1)[order]
+    begin = np.searchsorted(image[order], np.arange(len(rows) + 1))
+    total = np.cumsum(np.bincount(image[order], weights=partners, minlength=len(rows)).astype(np.int64))
+    n_links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for s, e in _slices(total, MATCHES):
+        left, count = order[begin[s] : begin[e]], partners[begin[s] : begin[e]]
+        right = np.repeat(left + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+        left = np.repeat(left, count)
+        a, b = image[left], image[right]
+        meant = inner[cell[a]] | (block[a] != block[b])
+        left, right, code = left[meant], right[meant], (a * len(rows) + b)[meant]
+        pairs, pair, n = np.unique(code, return_inverse=True, return_counts=True)
+        a, b = pairs // len(rows), pairs % len(rows)
+        own = n > 1 if least > MEMBERS else n > 0  # one constellation has too few corners
+        for i in np.flatnonzero(own & shared[a] & shared[b]):
+            own[i] = before[int(a[i])].isdisjoint(before[int(b[i])])
+        some = own[pair]
+        good = agreements(found, pair[some], near[corner[left[some]]], near[corner[right[some]]], len(pairs), least) >= least
+        a, b = a[good], b[good]
+        n_links += np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+        label = least_rows(len(rows), a, b, label)
+    linked = n_links > 0
+    return pa.RecordBatch.from_arrays([pa.array(x[linked], pa.int64()) for x in (digest[label], digest, n_links)], names=["a", "b", "n"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, corners of a, corners of b) to (a, b, votes)."""
-    seen: dict[int, tuple] = {}  # images of several pairs are unpacked once, mostly
-
-    def made(digest: int, data: bytes) -> tuple:
-        if digest not in seen:
-            if len(seen) >= SEEN:
-                seen.clear()
-            own = Corners.unpacked(data)
-            seen[digest] = own, keys(own, tables)
-        return seen[digest]
-
+    """(hub, i, j, block, before, digest, corners), sorted by cell (hub, i, j), to (a, b, n) of _matches, some whole cells at a time."""
+    cells: list[tuple[tuple[int, int, int], list[Member]]] = []
+    total = 0
     for batch in batches:
-        votes = []
-        for x, y, cx, cy in zip(*(c.to_pylist() for c in batch.columns)):
-            (a, ka), (b, kb) = made(x, cx), made(y, cy)
-            votes.append(agreement(a, b, ka, kb, least))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64())], names=["a", "b", "votes"])
-
-
-def _rounds(batches: Iterator[pa.RecordBatch], least: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """The rounds of links() over a bounded number of pictures (digest, corners), in one place, to (a, b, votes) of the links."""
-    seen = {d: Corners.unpacked(c) for batch in batches for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-    known = {d: keys(c, tables) for d, c in seen.items()}
-    part, tried, out = sorted(seen), set(), []
-    while part:
-        key = np.concatenate([known[d][0] for d in part])
-        image = np.repeat(np.array(part, np.int64), [len(known[d][0]) for d in part])
-        order = np.lexsort((image, key))
-        key, image = key[order], image[order]
-        first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-        hub = image[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        pairs = {(a, b) for a, b in zip(hub.tolist(), image.tolist()) if a != b} - tried
-        tried |= pairs
-        votes = {(a, b): agreement(seen[a], seen[b], known[a], known[b], least) for a, b in sorted(pairs)}
-        out += [(a, b, n) for (a, b), n in votes.items() if n >= least]
-        part = sorted({b for (_, b), n in votes.items() if n < least})
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "votes"])
-
-
-def verified(pairs: DataFrame, pictures: DataFrame, least: int = LEAST, tables: int = TABLES) -> DataFrame:
-    """pairs (a, b) with votes, see consensus. Joins are over derived keys, so both sides are exchanged and Spark can split the pairs of one image."""
-    ends = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select(F.col("b").alias("digest")))
-    own = _of(pictures, ends)
-    for end in ("a", "b"):
-        other = own.select(F.xxhash64("digest").alias("_h"), F.col("digest").alias("_d"), F.col("corners").alias(f"corners_{end}"))
-        pairs = pairs.withColumn("_k", F.xxhash64(end)).join(other, (F.col("_k") == F.col("_h")) & (F.col(end) == F.col("_d"))).drop("_k", "_h", "_d")
-    return pairs.select("a", "b", "corners_a", "corners_b").mapInArrow(lambda b: _verified(b, least, tables), "a long, b long, votes long")
+        for hub, i, j, block, before, digest, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if not cells or cells[-1][0] != (hub, i, j):
+                if total >= SHEET:
+                    yield _matches(cells, least, tables)
+                    cells, total = [], 0
+                cells.append(((hub, i, j), []))
+            own = Corners.unpacked(data)
+            cells[-1][1].append(Member(digest, block, before, own))
+            total += len(own.bits)
+    if cells:
+        yield _matches(cells, least, tables)
 
 
 def links(pictures: DataFrame, least: int = LEAST, tables: int = TABLES) -> DataFrame:
-    """pictures (digest, n_corners, corners), each digest once, to links (a, b, votes) with `least` votes.
+    """pictures (digest, n_corners, corners), each digest once, to rows (a, b, n): n links of b, with `least` votes, and a smallest image that they lead to in one task.
 
-    An image is compared with the smallest image of each of its keys. Images for which that
-    fails are joined anew among themselves, so that a key's next image takes the place of one that
-    shares it by chance, until no new pair comes up.
+    All pairs that share keys are looked at, each in one cell: its images' smallest common hub, and their blocks there. Summed
+    over the rows of b, n counts all its links; a and b are in one component, and rows join all images of a component.
     """
-    part, tried, out = pictures, None, None
-    while True:
-        n_keys = part.agg(F.coalesce(F.sum("n_corners"), F.lit(0))).first()[0] * tables
-        pairs = candidates(part, n_keys, tables)
-        pairs = settled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        done = settled(verified(pairs, part, least, tables))
-        good, failed = done.where(F.col("votes") >= least), done.where(F.col("votes") < least)
-        out = good if out is None else out.unionByName(good)
-        if failed.isEmpty():
-            return out
-        tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-        part = settled(_of(part, failed.select(F.col("b").alias("digest"))))
-        if part.count() <= FEW_PICTURES:  # the same rounds, without a job for each
-            more = part.select("digest", "corners").coalesce(1).mapInArrow(lambda b: _rounds(b, least, tables), "a long, b long, votes long")
-            return out.unionByName(more).distinct()
+    n_keys = pictures.agg(F.coalesce(F.sum("n_corners"), F.lit(0))).first()[0] * tables
+    stars = settled(candidates(pictures, n_keys, tables))
+    stars = stars.unionAll(stars.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("hub"), F.col("b").alias("digest"))
+    sized = stars.join(pictures.select("digest", "n_corners"), "digest").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_corners").alias("m"))
+    size = F.least(F.lit(MANY_PICTURES), F.greatest(F.lit(max(1, FEW_PICTURES)), F.ceil(F.col("n") / BLOCKS)))
+    sized = sized.select(F.col("hub").alias("_g"), F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("m") / BLOCK_CORNERS)).cast("bigint").alias("blocks"))
+    hubs = stars.groupBy(F.col("digest").alias("_d")).agg(F.collect_set("hub").alias("hubs"))
+    cells = stars.join(sized, F.col("hub") == F.col("_g")).join(hubs, F.col("digest") == F.col("_d"))
+    cells = cells.select("hub", "digest", F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block"), F.filter("hubs", lambda h: h < F.col("hub")).alias("before"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("x"))
+    cells = settled(cells.select("hub", F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"), "block", "before", "digest"))
+    sent = F.broadcast(cells) if cells.count() <= BROADCAST_ENDS else cells
+    sent = pictures.select("digest", "corners").join(sent, "digest").select("hub", "i", "j", "block", "before", "digest", "corners")
+    sent = sent.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return sent.mapInArrow(lambda b: _verified(b, least, tables), "a long, b long, n long")
 
 
 def _first_of_each(real: DataFrame, classes: DataFrame) -> DataFrame:
@@ -609,18 +705,11 @@ def _first_of_each(real: DataFrame, classes: DataFrame) -> DataFrame:
     return real.join(firsts, F.col("digest") == F.col("_d"), "left").where("first is null or first = row")
 
 
-def _of(pictures: DataFrame, some: DataFrame) -> DataFrame:
-    """The pictures of these digests; few digests are broadcast, so that no picture's corners are shuffled to be left out."""
-    some = settled(some.distinct())
-    return pictures.join(F.broadcast(some) if some.count() <= BROADCAST_ENDS else some, "digest", "left_semi")
-
-
 def copies(features: DataFrame, least: int = LEAST, tables: int = TABLES) -> DataFrame:
     """FEATURES to (image_id, digest, n_corners, component_id, n_links).
 
     component_id is the smallest image_id that links reach, the image itself included; n_links counts the
-    verified links of its picture (of each key with the smallest image that holds it; see
-    links). Rows of one digest (64 bits of size and pixels) are one picture. Unreadable images (null digest) stay
+    links of its picture, all of them (see links). Rows of one digest (64 bits of size and pixels) are one picture. Unreadable images (null digest) stay
     by themselves: their component_id is their own id. A null id is linked like any other
     but never the smallest, unless all ids of a component are null. Repeated rows stay rows. An
     empty table gives no row; other columns take no part.
@@ -630,8 +719,7 @@ def copies(features: DataFrame, least: int = LEAST, tables: int = TABLES) -> Dat
     classes = settled(real.groupBy("digest").agg(F.min("image_id").alias("low"), F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")))
     found = settled(links(_first_of_each(real, classes).select("digest", "n_corners", "corners"), least, tables))
     labels = components(found.select("a", "b")).select(F.col("node").alias("_n"), "label")
-    ends = found.select(F.col("a").alias("_d")).unionAll(found.select(F.col("b").alias("_d")))
-    counts = ends.groupBy("_d").agg(F.count(F.lit(1)).alias("n_links"))
+    counts = found.groupBy(F.col("b").alias("_d")).agg(F.sum("n").alias("n_links"))
     known = classes.join(labels, F.col("digest") == F.col("_n"), "left").join(counts, F.col("digest") == F.col("_d"), "left").select("digest", "low", F.coalesce("label", "digest").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = settled(with_group_min(known, "label", "low", "component_id").select(F.col("digest").alias("_g"), "component_id", "n_links"))
     out = real.select("image_id", "digest", "n_corners").join(known, F.col("digest") == F.col("_g")).drop("_g")

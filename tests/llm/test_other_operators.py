@@ -344,6 +344,47 @@ def test_rounds_in_one_task_and_in_many(spark, monkeypatch, few):
     assert got >= {(10, 11), (20, 21), (30, 31)} and not any(a == -9 for a, _ in got)
 
 
+def test_a_pair_whose_keys_a_smaller_image_holds(spark):
+    """The smallest image of all keys that two images share is linked to one of them and not to the other: the two are compared all the same."""
+    rng = np.random.default_rng(11)
+    g, h = (images.corners(texture(rng)[None], (1.0,))[0] for _ in range(2))
+    g = images.Corners(*(f[:14] for f in g))
+    near = np.sort(images.keys(g)[1], axis=1)
+    apart = [images.Corners(g.scale[t], g.yx[t] + np.array([400 * i, 0]), g.turn[t], g.bits[t]) for i, t in enumerate(np.unique(near, axis=0))]
+    far = lambda y: images.Corners(h.scale, h.yx + np.array([y, 0]), h.turn, h.bits)
+    some = {1: images.sheet([*apart, far(20000)])[0], 2: images.sheet([g, far(2000)])[0], 3: g}
+    held = {d: images.keys(c)[0] for d, c in some.items()}
+    assert np.isin(np.intersect1d(held[2], held[3]), held[1]).all()
+    df = spark.createDataFrame([(d, len(c.bits), c.packed()) for d, c in some.items()], "digest long, n_corners long, corners binary")
+    rows = images.links(df).collect()
+    assert {d: sum(r.n for r in rows if r.b == d) for d in some} == {1: 1, 2: 2, 3: 1} and {r.a for r in rows} <= {1, 2} and any(r.b == 3 for r in rows)
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, few):
+    """Pages with one passage in common, each beside its edited copies: each picture's number of links and its component, in one block and in many."""
+    monkeypatch.setattr(images, "FEW_PICTURES", few)
+    rng = np.random.default_rng(12)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    passage, texts = draw(60), []
+    for _ in range(12):
+        words = draw(120) + passage + draw(int(rng.integers(20, 120)))
+        texts += [" ".join(words[i:]) for i in (0, 30, 90)]
+    features = images.page_features(spark.createDataFrame(list(enumerate(texts)), "page_id long, html string"))
+    rows = features.collect()
+    found = {r.digest: images.Corners.unpacked(r.corners) for r in rows}
+    held = {d: set(images.keys(c, 2)[0].tolist()) for d, c in found.items()}
+    pairs = [(a, b) for a in found for b in found if a < b and held[a] & held[b]]
+    links = [(a, b) for a, b in pairs if images.consensus(found[a], found[b], tables=2) >= images.LEAST]
+    label = {d: d for d in found}
+    for a, b in links * len(found):
+        label[a] = label[b] = min(label[a], label[b])
+    low = {d: min(r.image_id for r in rows if label[r.digest] == label[d]) for d in found}
+    got = images.copies(features, tables=2).collect()
+    assert all(r.n_links == sum(r.digest in x for x in links) and r.component_id == low[r.digest] for r in got) and len(got) == len(texts)
+    assert len(links) > 30 and max(sum(k in x for x in held.values()) for k in held[rows[0].digest]) > 4
+
+
 def test_page_images():
     assert images.page_image(None).shape == (15, 48) and not images.page_image("<p></p>").any()
     a = images.page_image("<p>one two</p><script>x y</script>")
