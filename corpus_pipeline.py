@@ -2,7 +2,7 @@
 
 Each stage is one operator of quadrille.llm over all that the stage before kept: documents
 that the toxicity machine rejects go; lines that many documents share go, but for one
-holder; of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays;
+holder; of near-duplicates (five-word shingles, similarity 0.8 or more; SimHash proposes pairs, and min-hash those too far apart for it) one document stays;
 sources are mixed to their target weights, documents repeated or left out as wholes; what
 is left is packed into sequences.
 """

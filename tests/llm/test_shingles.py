@@ -3,9 +3,10 @@
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import shingles
+from quadrille.llm import shingles, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +63,32 @@ def test_similar_sets():
     label = shingles.similar(sets)
     want = shingles.least_rows(60, *np.array([(i, j) for i, j in combinations(range(60), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]).T)
     assert (label == want).all() and len(set(label)) < 60
+
+
+def test_simhash_proposes_pairs_of_the_pipeline(spark, monkeypatch):
+    """Without a candidate of min-hash's: pairs within two bits are found if, and only if, their shingles are similar enough."""
+    rng = np.random.default_rng(8)
+    texts, sims = [], []
+    for i in range(40):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 5000, 1500))
+        texts += [base, edited(rng, base, [int(rng.integers(5, 1490))])]
+    sims = [simhash.majority(shingles.shingles(t)) for t in texts]
+    near = [i for i in range(0, 80, 2) if (sims[i] ^ sims[i + 1]).bit_count() <= 2]
+    assert 10 < len(near)
+    monkeypatch.setattr(shingles, "candidates", lambda classes: classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert {r.doc_id for r in got.collect()} == set(range(80)) - {i + 1 for i in near}
+    monkeypatch.setattr(shingles, "similar", lambda sets, similarity: np.arange(len(sets)))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).count() == 80
+
+
+def test_simhash_edges(spark):
+    rng = np.random.default_rng(9)
+    sims = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
+    sims += [s ^ (1 << int(rng.integers(63))) for s in sims[:20]] + [s ^ 3 for s in sims[20:30]] + sims[:5] + [sims[5] ^ 7]
+    n = len(sims)
+    links = [(i, j) for i, j in combinations(range(n), 2) if ((sims[i] ^ sims[j]) & (1 << 64) - 1).bit_count() <= 2]
+    rows = [(r.a, r.b) for r in shingles.simhash_edges(spark.createDataFrame(list(enumerate(sims)), "fp long, sim long")).collect()]
+    label = [shingles.least_rows(n, *np.array(x).T) for x in (links, rows)]
+    assert (label[0] == label[1]).all() and len(set(label[0])) < n
