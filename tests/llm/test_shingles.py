@@ -1,5 +1,6 @@
 """The pipeline's near-duplicate stage against brute force."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import shingles, simhash
+from quadrille.llm.common import settled
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -92,3 +94,38 @@ def test_simhash_edges(spark):
     rows = [(r.a, r.b) for r in shingles.simhash_edges(spark.createDataFrame(list(enumerate(sims)), "fp long, sim long")).collect()]
     label = [shingles.least_rows(n, *np.array(x).T) for x in (links, rows)]
     assert (label[0] == label[1]).all() and len(set(label[0])) < n
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    frame = spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count()
+    got = settled(settled(frame).groupBy("count").agg(F.sum("k").alias("s")))
+    for _ in range(100):  # files go in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert [tuple(r) for r in got.collect()] == [(100, 4950)]
+    assert frame.count() == 100  # what was settled can be used again
+
+
+def test_texts_are_exchanged_once_where_one_of_each_is_kept(spark):
+    """Repeated and null ids too; besides the join and the window, nothing may deal the rows again."""
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "c"), (None, "c"), (0, "d"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.one_of_each(docs, lambda d: d.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("label")))
+    assert sorted(kept.collect(), key=str) == sorted([(1, "a b"), (None, "c"), (0, "d"), (2, None)], key=str)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # rows, and ids to keep
