@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import count
+from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -14,6 +15,8 @@ from ..functions import terms as T
 _numbers = count()
 #: Pairs of rows, as the planner expects them, that a task of a join of many with many gets about; its tasks at most; rows of the smaller side that are broadcast for it at most, and tasks that each of more rows goes to at most.
 TASK_PAIRS, MOST_TASKS, BROADCAST_ROWS, SHARES = 1 << 30, 1 << 13, 1 << 19, 64
+#: Of a join that pairs all rows with all: rows of a side, and pairs, up to which they are left to Spark; pairs of a task while these make fewer than `SOME_TASKS`; pairs of a task otherwise; rows of a pack.
+FEW_ROWS, FEW_PAIRS, LEAST_PAIRS, SOME_TASKS, CELL_PAIRS, PACK_ROWS = 1 << 6, 1 << 22, 1 << 20, 64, 1 << 26, 1 << 7
 #: A plain column that says which of the terms of one kind (its domain) a variable is bound to.
 Keys = dict[str, tuple[str, Column]]
 
@@ -123,7 +126,7 @@ def join(a: Bindings, b: Bindings, hint: str | None = None) -> Bindings:
     if on is not None and hint is None and all(v in a.many and v in b.many for v in shared):
         df = _dealt_join(a, b, on, [v for v in shared if v in a.definite and v in b.definite])
     else:
-        df = a.df.crossJoin(b.df) if on is None else a.df.join(right, on, "inner")
+        df = _all_pairs(a, b) if on is None else a.df.join(right, on, "inner")
     scope = merged(a, b)
     if all(v in a.names and v in a.definite or v not in a.names for v in b.names):
         found = Bindings(df, {**b.names, **a.names}, a.definite | b.definite, {**b.keys, **a.keys})
@@ -155,6 +158,41 @@ def _dealt_join(a: Bindings, b: Bindings, on: Column, sure: list[str]) -> DataFr
     return left.join(right, on & (F.col(f"{name}a") == F.col(f"{name}b")), "inner").drop(f"{name}a", f"{name}b")
 
 
+def _all_pairs(a: Bindings, b: Bindings) -> DataFrame:
+    """Every row of one side with every row of the other; many pairs in tasks that follow their number, and in an order that takes few bytes to write.
+
+    One side's rows are packed in short arrays. A task gets some of the packs and a share of the other side's rows,
+    and writes each row with a whole pack: few terms of each side are in one file, so its dictionaries hold them, and
+    what follows repeats what was just written. Both sides are counted first, which is little beside pairing them.
+    """
+    plain = a.df.crossJoin(b.df)
+    if not a.columns() or not b.columns() or a.expected * b.expected <= FEW_PAIRS or any(x.df.limit(FEW_ROWS + 1).count() <= FEW_ROWS for x in (b, a)):
+        return plain
+    packed, other = (a, b) if len(a.names) <= len(b.names) else (b, a)
+    n, m = packed.df.count(), other.df.count()
+    if n * m <= FEW_PAIRS:
+        return plain
+    tasks = min(MOST_TASKS, max(-(-n * m // CELL_PAIRS), min(SOME_TASKS, -(-n * m // LEAST_PAIRS))))
+    groups = min(tasks, max(1, round(sqrt(tasks * n / m))))
+    shares = -(-tasks // groups)
+    packs = max(groups, -(-n // PACK_ROWS))
+    pack, rows, group, share, cell = (f"{x}{next(_numbers)}" for x in ("pack", "rows", "group", "share", "cell"))
+    each = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    task = (F.col(group) * shares + F.col(share)).alias(cell)
+    left = _lots(packed, packs, pack).groupBy(pack).agg(F.collect_list(F.struct(*packed.columns())).alias(rows))
+    left = left.withColumn(group, F.col(pack) % groups).withColumn(share, each(shares)).select(rows, task).repartition(tasks, cell)
+    right = _lots(other, shares, share).withColumn(group, each(groups)).select(*other.columns(), task).repartition(tasks, cell)
+    met = left.join(right.hint("shuffle_hash"), cell).select(F.explode(rows).alias(rows), *other.columns())
+    return met.select(*[F.col(f"{rows}.{c}").alias(c) for c in packed.columns()], *other.columns())
+
+
+def _lots(a: Bindings, lots: int, name: str) -> DataFrame:
+    """a's rows with a lot each, by their hash; equal ones are numbered first, so that many copies of a row don't fall to one."""
+    copy = f"copy{next(_numbers)}"
+    numbered = a.df.select(*a.columns()).withColumn(copy, F.row_number().over(Window.partitionBy(*a.columns()).orderBy(F.lit(0))))
+    return numbered.select(*a.columns(), F.pmod(F.xxhash64(*a.columns(), copy), F.lit(lots)).cast("int").alias(name))
+
+
 #: A condition over the scope of rows joined of both sides; none holds always.
 Condition = Callable[[dict[str, Column]], Column | None]
 

@@ -282,3 +282,28 @@ def test_many_rows_of_few_terms_are_dealt_to_tasks(spark, tmp_path, monkeypatch,
     n = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(n) == plain.count() == sum(1 for c in range(900) for s in range(60) if c % 7 and c % 2 == s % 3)
     assert max(n) < sum(n) / 3 and dealt.exceptAll(plain).isEmpty()
+
+
+@pytest.mark.parametrize("most", [1 << 13, 5])
+def test_all_pairs_are_dealt_to_tasks(spark, tmp_path, monkeypatch, most):
+    """Rows that leave a variable unbound meet all others: no task pairs most of them, none spells out all terms of both sides, copies of a row stay as many, and the rows are those of the plain join."""
+    from quadrille.operators import bindings
+    from quadrille.sources.relational import RelationalSource
+
+    spark.range(600).selectExpr("id AS c_custkey", "CONCAT('n', id) AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id AS o_orderkey", "IF(id < 90, id, NULL) AS o_custkey", "CONCAT('p', id % 3) AS o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    text = "SELECT ?c ?o ?s { { ?c <http://d/customer#c_name> ?n OPTIONAL { ?o <http://d/orders#o_custkey> ?c } } { { ?o <http://d/orders#o_orderpriority> ?s } UNION { ?x <http://d/orders#o_orderpriority> ?s } } }"
+    engine = Engine(RelationalSource(spark, str(tmp_path)))
+    plain = engine.run(text).native()
+    copied = [bindings.fresh(spark.range(n).select(T.make(F.lit(T.LITERAL), (F.col("id") % few).cast("string")).alias("x")), {v: F.col("x")}, {v}) for v, n, few in (("a", 500, 2), ("b", 300, 300))]
+    for name, value in {"FEW_PAIRS": 1000, "FEW_ROWS": 4, "LEAST_PAIRS": 4000, "CELL_PAIRS": 4000, "PACK_ROWS": 20, "MOST_TASKS": most}.items():
+        monkeypatch.setattr(bindings, name, value)
+    dealt = engine.run(text).native()
+    assert dealt.count() == 90 * 1 + 510 * 400 + 600 * 400 and dealt.exceptAll(plain).isEmpty()
+    met = bindings.join(*copied)
+    rows = met.df.select(met.col("a")["v"].alias("a"), met.col("b")["v"].alias("b"))
+    assert sorted(r["count"] for r in rows.groupBy("a", "b").count().collect()) == [250] * 600
+    if most > 5:
+        tasks = dealt.where("o IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("c"), F.count_distinct("o").alias("o")).collect()
+        assert max(r["n"] for r in tasks) < 90_000 and max(r["c"] for r in tasks) < 400
+        assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) < 150_000 / 3
