@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import shingles, simhash
+from quadrille.llm import queries, shingles, simhash
 from quadrille.llm.common import settled
 
 FOLDER = "/root/testdata/sf0.001"
@@ -96,6 +96,37 @@ def test_simhash_edges(spark):
     assert (label[0] == label[1]).all() and len(set(label[0])) < n
 
 
+def test_near_copies(spark, monkeypatch, tmp_path):
+    """op8's classes of near copies against all pairs; a group of many copies with edits is one class, where fingerprints leave many."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    base = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    texts = [None, "", " \n", "one", "One", "one two", "one two three", "one two three four", "a b a b a b", "b a b a b a b", "a b a b a b a b a b"]
+    for n in (30, 60, 100, 200) * 3:
+        one = base(n)
+        texts += [one, one.upper(), *(edited(rng, one, rng.choice(n, max(1, round(n * x)), replace=False)) for x in (0.01, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3))]
+    crowd = base(300)
+    first = len(texts)
+    texts += [edited(rng, crowd, rng.choice(300, 15, replace=False)) for _ in range(80)]
+    ids = [*rng.permutation(len(texts) - 4).tolist(), 7, None, None, 3]
+    texts[20] = texts[-3]  # a null id in a class of others
+    grams3 = lambda t: [tuple(w[i : i + 3]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 2)) if w]
+    sets, fps = [frozenset(grams3(t)) for t in texts], [simhash.fingerprint(t) for t in texts]
+    n, near, wide = len(texts), [], []
+    for i, j in combinations(range(n), 2):
+        both = len(sets[i] & sets[j])
+        near += [(i, j)] * ((fps[i] ^ fps[j]).bit_count() <= 2)
+        wide += [(i, j)] * (2 * both >= len(sets[i]) + len(sets[j]) - both)
+    low = lambda label: [min((ids[k] for k in range(n) if label[k] == label[i] and ids[k] is not None), default=None) for i in range(n)]
+    narrow, whole = (shingles.least_rows(n, *np.array(x).T) for x in (near, near + wide))
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_simhash(spark, str(tmp_path)).collect()
+    want = zip(ids, [f"{f:016x}" for f in fps], low(narrow), low(whole))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len(set(whole[first:].tolist())) == 1 and len(set(narrow[first:].tolist())) > 40
+    assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def shuffle_files(spark):
     files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
     return {f for f in files.split("\n") if "/shuffle_" in f}
