@@ -15,8 +15,8 @@ from ..functions import terms as T
 _numbers = count()
 #: Pairs of rows, as the planner expects them, that a task of a join of many with many gets about; its tasks at most; rows of the smaller side that are broadcast for it at most, and tasks that each of more rows goes to at most.
 TASK_PAIRS, MOST_TASKS, BROADCAST_ROWS, SHARES = 1 << 30, 1 << 13, 1 << 19, 64
-#: Of a join that pairs all rows with all: rows of a side, and pairs, up to which they are left to Spark; pairs of a task while these make fewer than `SOME_TASKS`; pairs of a task otherwise; rows of a pack.
-FEW_ROWS, FEW_PAIRS, LEAST_PAIRS, SOME_TASKS, CELL_PAIRS, PACK_ROWS = 1 << 6, 1 << 22, 1 << 20, 64, 1 << 26, 1 << 7
+#: Of a join that pairs all rows with all: rows of a side, and pairs, up to which they are left to Spark; pairs of a task while these make fewer than `SOME_TASKS`; pairs of a task otherwise; rows of a pack; rows of the other side that a task has, as far as there are tasks (Spark keeps so many as they are, and sorts more away).
+FEW_ROWS, FEW_PAIRS, LEAST_PAIRS, SOME_TASKS, CELL_PAIRS, PACK_ROWS, SHARE_ROWS = 1 << 6, 1 << 22, 1 << 20, 64, 1 << 26, 1 << 7, 1 << 12
 #: A plain column that says which of the terms of one kind (its domain) a variable is bound to.
 Keys = dict[str, tuple[str, Column]]
 
@@ -164,6 +164,8 @@ def _all_pairs(a: Bindings, b: Bindings) -> DataFrame:
     One side's rows are packed in short arrays. A task gets some of the packs and a share of the other side's rows,
     and writes each row with a whole pack: few terms of each side are in one file, so its dictionaries hold them, and
     what follows repeats what was just written. Both sides are counted first, which is little beside pairing them.
+    The packs and shares meet in a Cartesian product, which gives a pair at a time: a hash join's generated code
+    would hold all rows that a pack makes with its whole share before it hands on the first.
     """
     plain = a.df.crossJoin(b.df)
     if not a.columns() or not b.columns() or a.expected * b.expected <= FEW_PAIRS or any(x.df.limit(FEW_ROWS + 1).count() <= FEW_ROWS for x in (b, a)):
@@ -174,15 +176,14 @@ def _all_pairs(a: Bindings, b: Bindings) -> DataFrame:
         return plain
     tasks = min(MOST_TASKS, max(-(-n * m // CELL_PAIRS), min(SOME_TASKS, -(-n * m // LEAST_PAIRS))))
     groups = min(tasks, max(1, round(sqrt(tasks * n / m))))
-    shares = -(-tasks // groups)
+    shares = max(-(-tasks // groups), min(tasks, -(-m // SHARE_ROWS)))
+    groups = -(-tasks // shares)
     packs = max(groups, -(-n // PACK_ROWS))
-    pack, rows, group, share, cell = (f"{x}{next(_numbers)}" for x in ("pack", "rows", "group", "share", "cell"))
-    each = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
-    task = (F.col(group) * shares + F.col(share)).alias(cell)
+    pack, rows, share = (f"{x}{next(_numbers)}" for x in ("pack", "rows", "share"))
     left = _lots(packed, packs, pack).groupBy(pack).agg(F.collect_list(F.struct(*packed.columns())).alias(rows))
-    left = left.withColumn(group, F.col(pack) % groups).withColumn(share, each(shares)).select(rows, task).repartition(tasks, cell)
-    right = _lots(other, shares, share).withColumn(group, each(groups)).select(*other.columns(), task).repartition(tasks, cell)
-    met = left.join(right.hint("shuffle_hash"), cell).select(F.explode(rows).alias(rows), *other.columns())
+    left = left.repartitionById(groups, F.col(pack) % groups).select(rows)
+    right = _lots(other, shares, share).repartitionById(shares, F.col(share)).select(*other.columns())
+    met = left.crossJoin(right.hint("shuffle_replicate_nl")).select(F.explode(rows).alias(rows), *other.columns())
     return met.select(*[F.col(f"{rows}.{c}").alias(c) for c in packed.columns()], *other.columns())
 
 

@@ -307,3 +307,24 @@ def test_all_pairs_are_dealt_to_tasks(spark, tmp_path, monkeypatch, most):
         tasks = dealt.where("o IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("c"), F.count_distinct("o").alias("o")).collect()
         assert max(r["n"] for r in tasks) < 90_000 and max(r["c"] for r in tasks) < 400
         assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) < 150_000 / 3
+
+
+def test_all_pairs_are_handed_on_pack_by_pack(spark, monkeypatch):
+    """Who takes one row of a join of all with all makes a task form one pack's rows, not those of a pack with its whole share of the other side."""
+    from quadrille.operators import bindings
+
+    for name, value in {"FEW_PAIRS": 1000, "LEAST_PAIRS": 100_000, "CELL_PAIRS": 100_000, "PACK_ROWS": 20}.items():
+        monkeypatch.setattr(bindings, name, value)
+    a, b = (bindings.fresh(spark.range(n).select(T.make(F.lit(T.LITERAL), F.col("id").cast("string")).alias("x")), {v: F.col("x")}, {v}) for v, n in (("a", 500), ("b", 3000)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = bindings.join(a, b)
+        one = met.df.select(met.col("a")["v"], met.col("b")["v"]).limit(1)
+        assert len(one.collect()) == 1
+        node = one._jdf.queryExecution().executedPlan()
+        while node.nodeName() != "Generate":
+            node = node.children().head()
+        assert 0 < node.metrics().apply("numOutputRows").value() < 20 * 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert met.df.count() == met.df.distinct().count() == 500 * 3000
